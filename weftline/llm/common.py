@@ -147,3 +147,49 @@ def grams(hashes: np.ndarray, k: int) -> np.ndarray:
         np.cumsum(hashes[i : j + k - 1] * _WORD_UP[: j - i + k - 1], out=sums[1:])
         out[i:j] = (sums[k:] - sums[: j - i]) * _WORD_DOWN[: j - i]
     return mix(out)
+
+
+# --- bounded bit tables ---------------------------------------------------------
+
+#: Bits of a broadcast bit table: 1 MB, whatever the number of keys.
+BITS = 1 << 23
+
+
+def bit_rows(keys: DataFrame, column: str, bits: int = BITS) -> DataFrame:
+    """A bit table of the long values in ``column``: at most bits / 64 rows of (word, mask)."""
+    at = F.pmod(F.xxhash64(column), F.lit(bits))
+    return keys.select(F.call_function("div", at, F.lit(64)).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(pmod(xxhash64(`{column}`), {bits}L), 64) as int))").alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("mask"))
+
+
+def perhaps(df: DataFrame, column: str, keys: DataFrame, key: str, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``df`` that may be, and rows that can't be, among ``keys``, without moving ``df``.
+
+    The broadcast is the bit table, bounded by ``bits``. It may let rows pass
+    that aren't among the keys, never the reverse, so an exact join of the first
+    part settles them; with many keys that part grows towards all of ``df``.
+    """
+    table_ = F.broadcast(bit_rows(keys, key, bits).select(F.col("word").alias("_word"), F.col("mask").alias("_mask")))
+    at = F.pmod(F.xxhash64(column), F.lit(bits))
+    marked = df.withColumn("_at", at).join(table_, F.call_function("div", F.col("_at"), F.lit(64)) == F.col("_word"), "left")
+    hit = F.coalesce(F.expr("getbit(_mask, cast(pmod(_at, 64) as int))") == 1, F.lit(False))
+    extra = ["_at", "_word", "_mask"]
+    return marked.filter(hit).drop(*extra), marked.filter(~hit).drop(*extra)
+
+
+def without(df: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
+    """``df`` without the rows whose ``column`` is in ``ids`` (a distinct, non-null column of that name)."""
+    maybe, no = perhaps(df, column, ids, column)
+    return no.unionByName(maybe.join(ids.select(column), column, "left_anti").select(*df.columns))
+
+
+def packed_bits(values: DataFrame, column: str, bits: int) -> bytes:
+    """Bits at ``values`` (non-negative longs below ``bits``) as bytes; at most bits / 64 rows reach the driver."""
+    rows = values.select(F.call_function("div", F.col(column), F.lit(64)).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(`{column}`, 64) as int))").alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    out = np.zeros(bits // 64, dtype=np.int64)
+    out[rows.column("word").to_numpy()] = rows.column("mask").to_numpy()
+    return out.tobytes()
+
+
+def has_bit(table_: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether bits ``at`` of a byte table are set."""
+    return (table_[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) != 0
