@@ -1,11 +1,12 @@
 """The subpackage's entries for ``queries()`` and ``oracle_sql()``."""
 
 from .exact_dedup import OP4_SQL, op4_exact_dedup
+from .lm_scoring import op2_lm_scoring
 from .mixing import op3_mixing
 from .near_dup import op10_ngram_jaccard
 from .sharding import op1_sharding
 from .substring_dedup import op5_substring_dedup
 from .token_counts import op9_token_counts
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op3_mixing, op4_exact_dedup, op5_substring_dedup, op9_token_counts, op10_ngram_jaccard)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_lm_scoring, op3_mixing, op4_exact_dedup, op5_substring_dedup, op9_token_counts, op10_ngram_jaccard)}
 ORACLE_SQL = {"op4_exact_dedup": OP4_SQL}
