@@ -193,3 +193,18 @@ def packed_bits(values: DataFrame, column: str, bits: int) -> bytes:
 def has_bit(table_: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Whether bits ``at`` of a byte table are set."""
     return (table_[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) != 0
+
+
+_MARKS = np.ones(256, dtype=bool)
+_MARKS[[c for c in range(33, 127) if not chr(c).isalnum()]] = False
+
+
+def plain(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Text bytes for loose comparison: A-Z and accented Latin-1 capitals in lower case, ASCII marks dropped."""
+    data = _LOWER[data]
+    after = np.zeros(len(data), dtype=bool)
+    after[1:] = data[:-1] == 0xC3
+    capital = after & (data >= 0x80) & (data <= 0x9E) & (data != 0x97)
+    data = data + capital.astype(np.uint8) * np.uint8(32)
+    keep = _MARKS[data]
+    return data[keep], np.append(0, np.cumsum(keep))[at]

@@ -1,6 +1,8 @@
 """The subpackage's entries for ``queries()`` and ``oracle_sql()``."""
 
+from .decontamination import op7_decontamination
 from .exact_dedup import OP4_SQL, op4_exact_dedup
+from .licenses import op8_license_scan
 from .lm_scoring import op2_lm_scoring
 from .mixing import op3_mixing
 from .near_dup import op10_ngram_jaccard
@@ -8,5 +10,5 @@ from .sharding import op1_sharding
 from .substring_dedup import op5_substring_dedup
 from .token_counts import op9_token_counts
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_lm_scoring, op3_mixing, op4_exact_dedup, op5_substring_dedup, op9_token_counts, op10_ngram_jaccard)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_lm_scoring, op3_mixing, op4_exact_dedup, op5_substring_dedup, op7_decontamination, op8_license_scan, op9_token_counts, op10_ngram_jaccard)}
 ORACLE_SQL = {"op4_exact_dedup": OP4_SQL}
