@@ -9,6 +9,7 @@ from .near_dup import op10_ngram_jaccard
 from .sharding import op1_sharding
 from .substring_dedup import op5_substring_dedup
 from .token_counts import op9_token_counts
+from .toxicity import op6_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_lm_scoring, op3_mixing, op4_exact_dedup, op5_substring_dedup, op7_decontamination, op8_license_scan, op9_token_counts, op10_ngram_jaccard)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_lm_scoring, op3_mixing, op4_exact_dedup, op5_substring_dedup, op6_toxicity, op7_decontamination, op8_license_scan, op9_token_counts, op10_ngram_jaccard)}
 ORACLE_SQL = {"op4_exact_dedup": OP4_SQL}
