@@ -21,11 +21,13 @@ one set.
    index frequent tokens alone. The number of cells doubles with the size;
    sets near a bound index under both numbers, as linked sizes differ by 1/t.
 3. A rare token's list is short (fewer than ``frequent`` documents): its pairs
-   are candidates if their sizes allow a link. A frequent item's list may hold
+   are candidates if their sizes, and the places of their common rare tokens,
+   allow a link. A frequent item's list may hold
    a third of all sets: all of it is compared with one pivot, the set with
    fewest rare tokens. Members linked with the pivot need no pairs among
    themselves; the others are compared with all members, unless rare tokens,
-   which pairs met here don't share, rule the link out.
+   which pairs met here don't share, or the sets' parity tables, whose
+   differing bits never outnumber the differing tokens, rule the link out.
 4. Candidates are verified on whole token sets, and linked sets are grouped
    by star contraction.
 
@@ -146,6 +148,21 @@ def frequent_bits(docs: DataFrame, k: int, least: int = FREQUENT, most: int = FR
     return packed_bits(counts.filter(F.col("df") >= bound).select(F.pmod("token", F.lit(BITS)).alias("at")), "at", BITS)
 
 
+#: Bits of a set's parity table: bit b is the parity of the number of its tokens in cell b.
+PARITY = 1024
+
+
+def parity(tokens: np.ndarray) -> np.ndarray:
+    """The parity table of a token set, as longs. Two sets differ in at least as many tokens as their tables in bits."""
+    odd = np.bincount(((tokens >> np.uint64(8)) % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+
+
+def apart(x: str, y: str, longs: int):
+    """Number of bits in which the arrays ``x`` and ``y`` of so many longs differ."""
+    return F.expr(" + ".join(f"bit_count({x}[{i}] ^ {y}[{i}])" for i in range(longs)))
+
+
 def signatures(tokens: np.ndarray, bits: np.ndarray, percent: int):
     """Number of rare tokens, rare items and frequent items of a token set."""
     n = len(tokens)
@@ -180,10 +197,10 @@ def signatures(tokens: np.ndarray, bits: np.ndarray, percent: int):
 
 
 def indexed(docs: DataFrame, k: int, percent: int, bits: bytes) -> DataFrame:
-    """doc_id, n, key, r, rare and often (items of the index) of every document."""
+    """doc_id, n, key, r, rare and often (items of the index) and bits (parity table) of every document."""
     shared = docs.sparkSession.sparkContext.broadcast(bits)
-    types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-    names = ["doc_id", "n", "key", "r", "rare", "often"]
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64())]
+    names = ["doc_id", "n", "key", "r", "rare", "often", "bits"]
 
     def lists(parts: list[np.ndarray]) -> pa.Array:
         at = np.zeros(len(parts) + 1, dtype=np.int32)
@@ -197,53 +214,82 @@ def indexed(docs: DataFrame, k: int, percent: int, bits: bytes) -> DataFrame:
             rows, size, first = [], 0, 0
 
             def flush(last, rows):
-                n, key, r, rare, often = zip(*rows, strict=True)
-                return pa.RecordBatch.from_arrays([ids.slice(first, last - first), pa.array(n, types[1]), pa.array(key, types[2]), pa.array(r, types[3]), lists(rare), lists(often)], names=names)  # noqa: B023
+                n, key, r, rare, often, odd = zip(*rows, strict=True)
+                return pa.RecordBatch.from_arrays([ids.slice(first, last - first), pa.array(n, types[1]), pa.array(key, types[2]), pa.array(r, types[3]), lists(rare), lists(often), lists(odd)], names=names)  # noqa: B023
 
             for i, tokens in token_sets(batch, k):
                 if len(tokens):
                     r, rare, often = signatures(tokens, table_, percent)
-                    rows.append((len(tokens), set_key(tokens), r, rare, often))
-                    size += len(rare) + len(often)
+                    rows.append((len(tokens), set_key(tokens), r, rare, often, parity(tokens)))
+                    size += len(rare) + len(often) + PARITY // 64
                 else:
-                    rows.append((0, None, 0, tokens, tokens))
+                    rows.append((0, None, 0, tokens, tokens, tokens))
                 if size > 1 << 19:
                     yield flush(i + 1, rows)
                     rows, size, first = [], 0, i + 1
             if rows:
                 yield flush(len(batch), rows)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n int, key long, r int, rare array<long>, often array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n int, key long, r int, rare array<long>, often array<long>, bits array<long>")
 
 
 def rare_pairs(items: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (a < b) from rare tokens: rows come sorted by item, and equal items stand together."""
+    """Candidate pairs (a < b) from rare tokens.
+
+    Rows come sorted by item, and equal items stand together. Of a pair, the
+    common items and the places of the last one in both sets are known. The set
+    whose prefix ends first has all its other tokens of it alone, and the other
+    set those before the last common one; a pair with more of them than linked
+    sets of these sizes can have is none.
+    """
 
     def run(batches):
         left = [np.zeros(0, np.int64)] * 3
         for batch in batches:
-            item, key, n = (np.concatenate([x, batch.column(i).to_numpy()]) for i, x in enumerate(left))
+            item, key, at = (np.concatenate([x, batch.column(i).to_numpy()]) for i, x in enumerate(left))
             last = int(np.searchsorted(item, item[-1])) if len(item) else 0
-            left = [x[last:] for x in (item, key, n)]  # the last run may go on in the next batch
-            yield from pairs(item[:last], key[:last], n[:last])
+            left = [x[last:] for x in (item, key, at)]  # the last run may go on in the next batch
+            yield from pairs(item[:last], key[:last], at[:last])
         yield from pairs(*left)
 
-    def pairs(item, key, n):
+    def pairs(item, key, at):
+        once = np.ones(len(item), dtype=bool)
+        once[1:] = (np.diff(item) != 0) | (np.diff(key) != 0)  # copies of a set
+        item, key, at = item[once], key[once], at[once]
         found, step = [], 1
         while step < len(item):
             same = np.flatnonzero(item[step:] == item[:-step])
             if not len(same):
                 break
-            a, b, x, y = key[same], key[same + step], n[same], n[same + step]
-            fits = (a != b) & (100 * np.minimum(x, y) >= percent * np.maximum(x, y))
-            found.append(np.stack([np.minimum(a, b)[fits], np.maximum(a, b)[fits]], axis=1))
+            a, b = same, same + step
+            x, y = (at[a] >> 32) & 0x3FFFFFFF, (at[b] >> 32) & 0x3FFFFFFF
+            fits = 100 * np.minimum(x, y) >= percent * np.maximum(x, y)
+            found.append((key[a][fits], key[b][fits], at[a][fits], at[b][fits]))
             step += 1
         if found:
-            both = np.unique(np.concatenate(found), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
-
-    rows = items.select(F.explode("rare").alias("item"), "key", F.col("n").cast("long").alias("n"))
-    return rows.repartition("item").sortWithinPartitions("item").mapInArrow(run, "a long, b long").distinct()
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], names=["a", "b", "x", "y"])
+
+    # The size, the place, and a mark of prefixes that go on into the frequent class.
+    packed = F.expr("shiftleft(cast(size(often) > 0 as long), 62) + shiftleft(cast(n as long), 32) + place")
+    rows = items.select(F.posexplode("rare").alias("place", "item"), "key", "n", "often").select("item", "key", packed.alias("at"))
+    met = rows.repartition("item").sortWithinPartitions("item", "key").mapInArrow(run, "a long, b long, x long, y long")  # keys of an item ascend, so a < b
+    found = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("both"), F.max("x").alias("x"), F.max("y").alias("y"))
+    for c in ("x", "y"):
+        n = F.expr(f"shiftright({c}, 32) & 1073741823L")
+        place = F.expr(f"({c} & 4294967295L) + 1")
+        found = found.withColumn(f"n{c}", n).withColumn(f"last{c}", place)
+        full = F.col(f"n{c}") - F.ceil(F.col(f"n{c}") * percent / 100) + 1
+        found = found.withColumn(f"full{c}", F.when(F.expr(f"{c} >= 4611686018427387904L"), F.col(f"last{c}")).otherwise(F.greatest(full, f"last{c}")))
+    alone = F.least(F.col("fullx") + F.col("lasty"), F.col("lastx") + F.col("fully")) - 2 * F.col("both")
+    return found.filter((100 + percent) * alone <= (100 - percent) * (F.col("nx") + F.col("ny"))).select("a", "b")
+
+
+def plausible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose parity tables differ in no more bits than linked sets of their sizes can."""
+    a = nodes.select(F.col("key").alias("a"), F.col("n").alias("n1"), F.col("bits").alias("bits1"))
+    b = nodes.select(F.col("key").alias("b"), F.col("n").alias("n2"), F.col("bits").alias("bits2"))
+    both = pairs.join(a, "a").join(b, "b")
+    return both.filter((100 + percent) * apart("bits1", "bits2", PARITY // 64) <= (100 - percent) * (F.col("n1") + F.col("n2"))).select("a", "b")
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -282,25 +328,26 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percen
 def linked(items: DataFrame, docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Nodes (key, first) and enough of their links to connect every group of linked sets."""
     real = items.filter("n > 0")
-    nodes = real.groupBy("key").agg(F.min("doc_id").alias("first"))
-    often = saved(real.filter(F.size("often") > 0).select(F.explode("often").alias("item"), "key", "n", "r").distinct())
+    nodes = saved(real.groupBy("key").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("bits").alias("bits")))
+    folded = F.expr("transform(sequence(0, 3), i -> bits[i] ^ bits[i + 4] ^ bits[i + 8] ^ bits[i + 12])")
+    often = saved(real.filter(F.size("often") > 0).select(F.explode("often").alias("item"), "key", "n", "r", folded.alias("bits")).dropDuplicates(["item", "key"]))
     # Written before the join, so that adaptive execution can split a hot item of the other side.
-    pivots = saved(often.groupBy("item").agg(F.min(F.struct("r", "key", "n")).alias("p"), F.count(F.lit(1)).alias("size")).filter("size > 1").select("item", F.col("p.key").alias("pivot"), F.col("p.n").alias("pn")))
+    pivots = saved(often.groupBy("item").agg(F.min(F.struct("r", "key", "n")).alias("p"), F.count(F.lit(1)).alias("size")).filter("size > 1").select("item", F.col("p.key").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.r").alias("pr")))
     fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
     member = often.join(pivots, "item").filter(F.col("key") != F.col("pivot"))
-    star = member.filter(fits(F.col("n"), F.col("pn"))).select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b")).distinct()
-    one = saved(rare_pairs(real, percent).unionByName(star).distinct())
+    could = lambda r, q, n, m: (100 + percent) * (r + q) <= (100 - percent) * (n + m)  # noqa: E731  as sets that meet here only share no rare token
+    star = member.filter(fits(F.col("n"), F.col("pn")) & could(F.col("r"), F.col("pr"), F.col("n"), F.col("pn"))).select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b")).distinct()
+    one = saved(plausible(saved(rare_pairs(real, percent).unionByName(star).distinct()), nodes, percent))
     links = verified(one, nodes, docs, k, percent)
     # Members that don't link with their item's pivot meet all others there.
     sides = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    far = saved(member.join(sides, (F.col("pivot") == F.col("a")) & (F.col("key") == F.col("b")), "left_anti").select("item", "key", "n", "r"))
+    far = saved(member.join(sides, (F.col("pivot") == F.col("a")) & (F.col("key") == F.col("b")), "left_anti").select("item", "key", "n", "r", "bits"))
     if far.isEmpty():
         return nodes, links
-    other = often.select("item", F.col("key").alias("key2"), F.col("n").alias("n2"), F.col("r").alias("r2"))
-    could = (100 + percent) * (F.col("r") + F.col("r2")) <= (100 - percent) * (F.col("n") + F.col("n2"))
-    two = far.join(other, (far["item"] == other["item"]) & (F.col("key") != F.col("key2")) & fits(F.col("n"), F.col("n2")) & could)
+    other = often.select("item", F.col("key").alias("key2"), F.col("n").alias("n2"), F.col("r").alias("r2"), F.col("bits").alias("bits2"))
+    two = far.join(other, (far["item"] == other["item"]) & (F.col("key") != F.col("key2")) & fits(F.col("n"), F.col("n2")) & could(F.col("r"), F.col("r2"), F.col("n"), F.col("n2")) & ((100 + percent) * apart("bits", "bits2", 4) <= (100 - percent) * (F.col("n") + F.col("n2"))))
     two = two.select(F.least("key", "key2").alias("a"), F.greatest("key", "key2").alias("b")).distinct().join(one, ["a", "b"], "left_anti")
-    return nodes, links.unionByName(verified(saved(two), nodes, docs, k, percent))
+    return nodes, links.unionByName(verified(saved(plausible(saved(two), nodes, percent)), nodes, docs, k, percent))
 
 
 def groups(docs: DataFrame, k: int = 5, percent: int = 80, frequent: int = FREQUENT) -> DataFrame:
