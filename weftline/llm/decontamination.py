@@ -30,9 +30,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import mix, plain, table, texts, words
+from .common import plain, table, texts, words
 
-SPAN, STRIDE, TABLES, SAMPLES = 16, 4, 12, 4
+SPAN, STRIDE, TABLES, SAMPLES = 10, 3, 12, 6
+#: First steps that all tables share; each table samples one of them.
+EARLY = 3
 TOLERANCE = 0.2
 BLOCK_WORDS = 1 << 18
 
@@ -42,75 +44,106 @@ def plain_words(text: str | None) -> np.ndarray:
     return words(data, at)[2]
 
 
+def _padded(parts: list[np.ndarray], span: int) -> tuple[np.ndarray, np.ndarray]:
+    """Upper halves of word hashes with ``span`` zeros after each part, and where the parts start."""
+    at = np.cumsum([0] + [len(x) + span for x in parts], dtype=np.int64)
+    out = np.zeros(int(at[-1]) + 1, dtype=np.uint32)
+    for s, x in zip(at[:-1].tolist(), parts, strict=True):
+        out[s : s + len(x)] = (x >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+    return out, at[:-1]
+
+
+def _mixed(sums: np.ndarray, word: np.ndarray) -> np.ndarray:
+    h = (sums * np.uint32(0x85EBCA6B)) ^ word
+    h = (h ^ (h >> np.uint32(15))) * np.uint32(0x9E3779B1)
+    return h ^ (h >> np.uint32(13))
+
+
+def _embed(base: np.ndarray, starts: np.ndarray, span: int, steps: list[int], bits: np.ndarray):
+    """Hashes of the sampled places so far, once for each sampled place, of all windows."""
+    place, sums, k = starts.copy(), np.zeros(len(starts), dtype=np.uint32), 0
+    for j in range(steps[-1] + 1):
+        word = np.where(place < starts + span, base[np.minimum(place, len(base) - 1)], np.uint32(0))
+        if j == steps[k]:
+            sums = _mixed(sums, word)
+            yield sums
+            k += 1
+        place = place + ((word * bits[j]) >> np.uint32(31)).astype(np.int64)
+
+
 class Index:
     """Sampled CGK embeddings of the windows of a block of items."""
 
     def __init__(self, items: list[tuple[int, np.ndarray]], tolerance: float = TOLERANCE, tables: int = TABLES, seed: int = 1):
         self.items, self.tolerance = [x for x in items if len(x[1])], tolerance
         rng = np.random.default_rng(seed)
-        spans = sorted({min(SPAN, len(w)) for _, w in self.items})
         self.groups = []
-        for span in spans:
+        for span in sorted({min(SPAN, len(w)) for _, w in self.items}):
             where = [(k, s) for k, (_, w) in enumerate(self.items) if min(SPAN, len(w)) == span for s in sorted({*range(0, len(w) - span + 1, STRIDE), len(w) - span})]
-            base = np.concatenate([self.items[k][1][s : s + span] for k, s in where])
-            starts = np.arange(len(where)) * span
+            base, at = _padded([self.items[k][1][s : s + span] for k, s in where], span)
+            bits = rng.integers(1, 1 << 31, size=(tables, 2 * span), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+            bits[:, :EARLY] = bits[0, :EARLY]  # the first steps are walked once for all tables
             drawn = []
-            for _ in range(tables):
-                steps = np.sort(rng.choice(2 * span, min(SAMPLES, 2 * span), replace=False))
-                steps[0] = min(steps[0], int(rng.integers(0, 4)))
-                bits = rng.integers(1, 1 << 63, size=int(steps[-1]) + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-                sums, marks = np.zeros(len(where), dtype=np.uint64), []
-                for step_sums in self._walk(base, starts, span, steps, bits):
-                    sums = step_sums
-                    mark = np.zeros(1 << 20, dtype=bool)
-                    mark[(sums >> np.uint64(44)).astype(np.int64)] = True
+            for t in range(tables):
+                first = t % min(EARLY, 2 * span)
+                rest = np.arange(first + 1, 2 * span)
+                second = rest[: max(1, min(4, len(rest)))]
+                steps = [first]
+                if len(rest):
+                    steps.append(int(rng.choice(second)))
+                    later = rest[rest > steps[1]]
+                    steps += sorted(rng.choice(later, min(SAMPLES - 2, len(later)), replace=False).tolist())
+                marks, sums = [], None
+                for sums in _embed(base, at, span, steps, bits[t]):
+                    mark = np.zeros(1 << 17, dtype=bool)
+                    mark[sums >> np.uint32(15)] = True
                     marks.append(mark)
                 order = np.argsort(sums, kind="stable")
-                drawn.append((steps, bits, marks, sums[order], order))
+                drawn.append((steps, bits[t], marks, sums[order], order))
             self.groups.append((span, where, drawn))
 
-    @staticmethod
-    def _walk(base, starts, span, steps, bits):
-        """Hashes of the sampled places so far, once for each sampled place, of all windows."""
-        place, sums, k = starts.copy(), np.zeros(len(starts), dtype=np.uint64), 0
-        end = starts + span
-        for j in range(int(steps[-1]) + 1):
-            word = np.where(place < end, base[np.minimum(place, len(base) - 1)], np.uint64(0))
-            if j == steps[k]:
-                sums = mix(sums * np.uint64(3) + word + np.uint64(1))
-                yield sums
-                k += 1
-            place = place + ((word * bits[j]) >> np.uint64(63)).astype(np.int64)
-
     def meetings(self, base: np.ndarray, bounds: np.ndarray):
         """``(window start, item number, place in the item)`` of windows that agree with an item in a table."""
         for span, where, drawn in self.groups:
-            reach = np.diff(bounds)
-            starts = np.concatenate([np.arange(b, b + n) for b, n in zip(bounds[:-1], np.maximum(reach - max(1, span - int(span * self.tolerance)) + 1, 0), strict=True)]) if len(reach) else np.zeros(0, np.int64)
-            if not len(starts):
+            few = max(1, span - int(span * self.tolerance))
+            parts = [base[s:e] for s, e in zip(bounds[:-1], bounds[1:], strict=True)]
+            if not any(len(x) >= few for x in parts):
                 continue
-            ends = np.repeat(bounds[1:], np.maximum(reach - max(1, span - int(span * self.tolerance)) + 1, 0))
-            ends = np.minimum(starts + span, ends)
+            padded, at = _padded(parts, span)
+            size = np.maximum(np.diff(bounds) - few + 1, 0)
+            real = np.zeros(len(padded), dtype=bool)
+            for s, n in zip(at.tolist(), size.tolist(), strict=True):
+                real[s : s + n] = True
+            starts = np.flatnonzero(real).astype(np.int32)
+            place, begun = starts, {}
+            early = {steps[0] for steps, *_ in drawn}
+            for j in range(max(early) + 1):
+                word = padded[place]
+                if j in early:
+                    steps, _, marks, _, _ = next(d for d in drawn if d[0][0] == j)
+                    sums = _mixed(np.zeros(1, dtype=np.uint32), word)
+                    on = np.flatnonzero(marks[0][sums >> np.uint32(15)])
+                    begun[j] = (starts[on], place[on], sums[on], word[on])
+                place = place + ((word * drawn[0][1][j]) >> np.uint32(31)).astype(np.int32)
+            shift = np.repeat(bounds[:-1] - at, np.append(np.diff(at), len(padded) - at[-1])) if len(at) else None
             for steps, bits, marks, keys, order in drawn:
-                place, end, begin, sums, k = starts, ends, starts, np.zeros(len(starts), dtype=np.uint64), 0
-                for j in range(int(steps[-1]) + 1):
-                    word = base[np.minimum(place, len(base) - 1)]
+                begin, place, sums, word = begun[steps[0]]
+                place, k = place + ((word * bits[steps[0]]) >> np.uint32(31)).astype(np.int32), 1
+                for j in range(steps[0] + 1, steps[-1] + 1):
+                    word = padded[place]
                     if j >= span:
-                        word = np.where(place < end, word, np.uint64(0))
-                    elif len(end):
-                        word = np.where(place < end, word, np.uint64(0)) if (place[-1] >= end[-1] or (place >= end).any()) else word
+                        word = np.where(place < begin + span, word, np.uint32(0))
                     if j == steps[k]:
-                        sums = mix(sums * np.uint64(3) + word + np.uint64(1))
-                        on = np.flatnonzero(marks[k][(sums >> np.uint64(44)).astype(np.int64)])
-                        place, end, begin, sums, word = place[on], end[on], begin[on], sums[on], word[on]
+                        sums = _mixed(sums, word)
+                        on = np.flatnonzero(marks[k][sums >> np.uint32(15)])
+                        place, begin, sums, word = place[on], begin[on], sums[on], word[on]
                         k += 1
                         if not len(on):
                             break
-                    place = place + ((word * bits[j]) >> np.uint64(63)).astype(np.int64)
-                if not len(begin):
-                    continue
+                    place = place + ((word * bits[j]) >> np.uint32(31)).astype(np.int32)
                 low, high = np.searchsorted(keys, sums), np.searchsorted(keys, sums, "right")
-                for b, x, y in zip(begin[low < high].tolist(), low[low < high].tolist(), high[low < high].tolist(), strict=True):
+                met = np.flatnonzero(low < high)
+                for b, x, y in zip((begin[met] + shift[begin[met]]).tolist(), low[met].tolist(), high[met].tolist(), strict=True):
                     for i in order[x:y].tolist():
                         yield b, *where[i]
 
