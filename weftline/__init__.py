@@ -1,0 +1 @@
+"""Dataflow, catalog and parity analytics on Spark DataFrames."""
