@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, table
+from .common import BLANKS, saved, table
 
 LEAST, MOST = 384, 8192
 #: A cut follows a character of the first set and one of the second.
@@ -60,8 +60,6 @@ def recipes(docs: DataFrame, hashed=F.xxhash64) -> DataFrame:
     a, b = shared.select("hash", "chunk"), shared.select("hash", F.col("chunk").alias("other"))
     ranks = a.join(b, "hash").filter("other <= chunk").groupBy("hash", "chunk").agg(F.count(F.lit(1)).cast("int").alias("rank"))
     keyed = docs.withColumn("_row", F.expr("uuid()")) if "_row" not in docs.columns else docs
-    from .common import saved
-
     keyed = saved(keyed)
     cut = keyed.select("_row", F.posexplode(chunks(normalised(F.col("text")))).alias("at", "chunk")).withColumn("hash", hashed(F.col("chunk")))
     named = cut.join(ranks, ["hash", "chunk"], "left").groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("at", F.struct("hash", F.coalesce("rank", F.lit(0)).alias("rank")).alias("id")))).alias("ids"))
@@ -80,7 +78,8 @@ def groups(docs: DataFrame, hashed=F.xxhash64) -> DataFrame:
     # Rows alike in all this are counted first; one that repeats stays once.
     alike = rows.groupBy("doc_id", "recipe", "points", "text_sha256").agg(F.count(F.lit(1)).alias("copies"))
     rank = F.struct(-F.col("points"), F.col("doc_id").isNull(), F.col("doc_id"))
-    best = alike.groupBy("recipe").agg(F.min(rank).alias("best"), F.sum("copies").alias("group_size"))
+    # Written, so that adaptive execution can split the other side's rows of a large group.
+    best = saved(alike.groupBy("recipe").agg(F.min(rank).alias("best"), F.sum("copies").alias("group_size")))
     return (
         alike.join(best, "recipe")
         .select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("best") == rank).alias("_top"), "text_sha256", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("_copy"))
