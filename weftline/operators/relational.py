@@ -308,3 +308,32 @@ def normalizer(df: DataFrame, occurs: int, flat: Sequence[str], groups: Mapping[
 def repeated(df: DataFrame, occurs: int, index: str = "idx") -> DataFrame:
     """Each row ``occurs`` times with its number."""
     return df.select("*", F.explode(F.sequence(F.lit(1), F.lit(occurs))).alias(index))
+
+
+# --- types and registration -----------------------------------------------------------
+
+
+def cast_keys(df: DataFrame, by_suffix: Mapping[str, str]) -> DataFrame:
+    """Columns whose names end in a suffix get its type, so that keys of both sides of a join agree."""
+    out = []
+    for c, t in df.dtypes:
+        want = next((w for s, w in by_suffix.items() if c.lower().endswith(s.lower())), t)
+        out.append(F.col(quoted(c)).cast(want).alias(c) if want != t else F.col(quoted(c)))
+    return df.select(*out)
+
+
+def registered(spark, name: str, sql: str) -> DataFrame:
+    """A view's translated SQL under its name."""
+    df = spark.sql(sql)
+    df.createOrReplaceTempView(name)
+    return df
+
+
+def dropped(spark, name: str) -> bool:
+    return spark.catalog.dropTempView(name)
+
+
+def ddl_of(df: DataFrame, name: str) -> str:
+    """CREATE TABLE of a frame's schema."""
+    columns = ",\n  ".join(f"{quoted(c)} {t}" for c, t in df.dtypes)
+    return f"CREATE TABLE {quoted(name)} (\n  {columns}\n)"

@@ -353,7 +353,7 @@ def q_ordered_dedup(spark, d):
     return R.first_of(table(spark, d, "orders").select("o_custkey", "o_orderkey"), ["o_custkey"], ["o_orderkey"])
 
 
-@query("SELECT p_partkey, i.generate_series AS idx FROM part, generate_series(1, 3) i WHERE p_size < 10")
+@query("SELECT p_partkey, i.generate_series::INT AS idx FROM part, generate_series(1, 3) i WHERE p_size < 10")
 def q_normalizer_explode(spark, d):
     return R.repeated(table(spark, d, "part").filter("p_size < 10").select("p_partkey"), 3)
 
@@ -856,3 +856,90 @@ def q_cdc_latest_apply(spark, d):
 def q_windowed_events(spark, d):
     out = cdc.windowed(table(spark, d, "events"), "ts", "10 minutes", "1 hour", None, ["event_type"], [F.count(F.lit(1)).alias("n")])
     return out.select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "event_type", "n")
+
+
+# --- further sources, lineage and catalog reports -----------------------------------------------------------------------------
+
+
+@query("SELECT c_custkey, CAST(floor(months / 12) AS BIGINT) AS age FROM (SELECT c_custkey, (2024 - (1950 + c_custkey % 50)) * 12 + 6 - (1 + c_custkey % 12) - CASE WHEN 1 + c_custkey % 28 > 15 THEN 1 ELSE 0 END AS months FROM customer)")
+def q_calculate_age(spark, d):
+    c = table(spark, d, "customer").select("c_custkey", F.expr("make_date(1950 + cast(c_custkey % 50 as int), 1 + cast(c_custkey % 12 as int), 1 + cast(c_custkey % 28 as int))").alias("dob"))
+    out = xml_frontend.OPERATIONS["calculate_age"]({"dob_column": "dob", "result_column": "age", "as_of": "date'2024-06-15'"})(c)
+    return out.select("c_custkey", F.col("age").cast("long").alias("age"))
+
+
+@query("SELECT o_custkey, string_agg(o_orderstatus, '' ORDER BY o_orderkey) AS source FROM orders GROUP BY 1")
+def q_source_text_assembly(spark, d):
+    lines = table(spark, d, "orders").select(F.lit("o").alias("owner"), F.col("o_custkey").alias("name"), F.lit("P").alias("type"), F.col("o_orderkey").alias("line"), F.col("o_orderstatus").alias("text"))
+    return readers.source_text(lines).select(F.col("name").alias("o_custkey"), "source")
+
+
+@query("SELECT url, CASE WHEN k = 0 THEN 'ddl' WHEN k = 1 THEN 'etl' WHEN k = 2 THEN 'dictionary' WHEN k = 3 THEN 'output' ELSE 'other' END AS kind FROM (SELECT 'b/' || event_id || ['.sql', '.xml', '_dba_x.csv', '.csv', '.bin'][event_id % 5 + 1] AS url, event_id % 5 AS k FROM events)")
+def q_file_kinds(spark, d):
+    ends = F.element_at(F.array(*map(F.lit, (".sql", ".xml", "_dba_x.csv", ".csv", ".bin"))), (F.col("event_id") % 5 + 1).cast("int"))
+    return table(spark, d, "events").select(F.concat(F.lit("b/"), "event_id", ends).alias("url")).withColumn("kind", readers.file_kind(F.col("url")))
+
+
+@query("SELECT * FROM (VALUES ('view', true), ('click', true), ('never', false), ('dark', false)) v(name, csv_exists)")
+def q_output_cross_check(spark, d):
+    files = spark.createDataFrame([("gs://b/x/VIEW.csv",), ("click.CSV",), ("other.csv",)], "path string")
+    return catalog.output_check(_pipelines(spark).drop("csv_exists"), files).select("name", "csv_exists")
+
+
+@query("WITH t AS (SELECT 'ORDERS' AS n, count(*) AS rows FROM orders UNION ALL SELECT 'CUSTOMER', count(*) FROM customer UNION ALL SELECT 'PART', count(*) FROM part), u AS (SELECT * FROM (VALUES ('view', 'ORDERS'), ('view', 'CUSTOMER'), ('click', 'ORDERS'), ('click', 'PART'), ('never', 'NATION'), ('dark', 'CUSTOMER')) v(name, n)) SELECT name, count(*) AS sources, CAST(coalesce(sum(rows * 100), 0) AS BIGINT) AS bytes, max(rows) AS max_rows FROM u LEFT JOIN t USING (n) GROUP BY 1")
+def q_parity_preview(spark, d):
+    out = None
+    for n in ("orders", "customer", "part"):
+        one = table(spark, d, n).agg(F.lit(n).alias("name"), F.count(F.lit(1)).alias("row_count")).withColumn("bytes", F.col("row_count") * 100)
+        out = one if out is None else out.unionByName(one)
+    return catalog.parity_preview(_pipelines(spark), out)
+
+
+@query(f"{_S} SELECT 'pipeline' AS kind, p.name, total IS NOT NULL OR csv_exists AS in_scope FROM p LEFT JOIN k ON k.c = p.name UNION ALL SELECT 'table', 'T' || i.generate_series, i.generate_series % 2 = 1 FROM generate_series(1, 4) i")
+def q_scope_manifest(spark, d):
+    m = catalog.matched_runs(_pipelines(spark), catalog.run_stats(_runs(spark, d)))
+    t = spark.range(1, 5).select(F.concat(F.lit("T"), "id").alias("fqn"), F.when(F.col("id") % 2 == 0, "safe").otherwise("review").alias("verdict"))
+    return catalog.scope(m, t).select("kind", "name", "in_scope")
+
+
+@query("SELECT (50 * 7.0 + 10 * 5.0)::DOUBLE AS manual_days, (50 * 0.5 + 10 * 1.0)::DOUBLE AS assisted_days, 365.0::DOUBLE AS days_saved, 400 / 35.0::DOUBLE AS speedup, 2e12::DOUBLE / 1e9 * 0.02 AS storage_month, 2e12::DOUBLE * 50 * 30 / 1e12 * 5 AS query_month")
+def q_roi_projection(spark, d):
+    out = spark.range(1).select(*catalog.roi(F.lit(50), F.lit(10), F.lit(2e12)))
+    return out.select("manual_days", "assisted_days", "days_saved", "speedup", "storage_month", "query_month")
+
+
+@query(f"WITH RECURSIVE {_E}, w AS (SELECT DISTINCT src AS node, 0 AS depth FROM e WHERE src NOT IN (SELECT dst FROM e) UNION SELECT e.dst, w.depth + 1 FROM w JOIN e ON w.node = e.src) SELECT node, max(depth)::INT AS depth FROM w GROUP BY 1")
+def q_layout_depth(spark, d):
+    return graph.waves(_edges(spark, d)).select("node", (F.col("wave") - 1).alias("depth"))
+
+
+@query("SELECT c AS name, CASE c WHEN 'member_name' THEN 'PII' WHEN 'c_acctbal' THEN 'FINANCIAL' WHEN 'tax_file' THEN 'TAX' WHEN 'order_id' THEN 'INTERNAL' ELSE 'PUBLIC' END AS s FROM (VALUES ('member_name'), ('c_acctbal'), ('tax_file'), ('order_id'), ('status')) v(c)")
+def q_sensitivity_rules(spark, d):
+    return spark.createDataFrame([(x,) for x in ("member_name", "c_acctbal", "tax_file", "order_id", "status")], "name string").withColumn("s", catalog.sensitivity(F.col("name")))
+
+
+@query("SELECT * FROM (VALUES ('SOURCE.ORDERS', 'OUTPUTS.SEGMENT_REVENUE'), ('SOURCE.CUSTOMER', 'OUTPUTS.SEGMENT_REVENUE')) v(src, dst)")
+def q_table_level_lineage(spark, d):
+    from weftline.plans import lineage
+
+    return graph.table_level(lineage.frame(spark, lineage.pipeline_edges(xml_frontend.parse(FLAGSHIP_XML))))
+
+
+@query("SELECT * FROM (VALUES ('o_custkey', 'o_custkey', 'join'), ('o_custkey', 'o_custkey', 'extract'), ('o_totalprice', 'o_totalprice', 'extract'), ('o_totalprice', 'o_totalprice', 'join'), ('o_totalprice', 'tax', 'transform'), ('o_totalprice', 'gross', 'transform'), ('o_totalprice', 'o_totalprice', 'transform'), ('o_custkey', 'o_custkey', 'transform')) v(source_column, target_column, operation)")
+def q_column_lineage(spark, d):
+    from weftline.plans import lineage
+
+    e = lineage.frame(spark, lineage.pipeline_edges(xml_frontend.parse(FLAGSHIP_XML)))
+    return e.filter("source_column in ('o_custkey', 'o_totalprice')").select("source_column", "target_column", "operation").distinct()
+
+
+@query("SELECT * FROM (VALUES ('a', 'ghost'), ('b', 'gone')) v(file, ref)")
+def q_unresolved_refs(spark, d):
+    refs = spark.createDataFrame([("a", "orders"), ("a", "ghost"), ("b", "gone"), ("b", "Customer")], "file string, ref string")
+    return parity.unresolved(refs, spark.createDataFrame([("orders",), ("customer",)], "name string"))
+
+
+@query("SELECT p_partkey, CAST(p_size AS BIGINT) AS size_id, p_name AS site_id FROM part")
+def q_key_types(spark, d):
+    p = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("p_partkey"), F.col("p_size").alias("size_id"), F.col("p_name").alias("site_id"))
+    return R.cast_keys(p, {"partkey": "bigint", "size_id": "bigint", "site_id": "string"})
