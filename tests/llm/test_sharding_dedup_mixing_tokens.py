@@ -130,6 +130,14 @@ def test_mix_meets_targets(spark):
     assert mixing.mixed(df.limit(0)).count() == 0
 
 
+def test_clashing_columns_are_replaced(spark):
+    df = docs_of(spark, odd_rows()).withColumn("size", mixing.word_count(F.col("text")))
+    plain = Counter((r.doc_id, r.copies, r.target) for r in mixing.mixed(df).collect())
+    odd = df.withColumns({c: F.lit("mine") for c in ("target", "copies", "_rank", "extra", "keep_id", "_hash", "_place", "slot", "recipe", "_row", "n_tokens")})
+    assert Counter((r.doc_id, r.copies, r.target) for r in mixing.mixed(odd).collect()) == plain
+    assert sharding.shard(odd, 3).count() == exact_dedup.groups(odd).count() == token_counts.counted(odd).count() == df.count()
+
+
 def test_fit_against_brute_force():
     rng = random.Random(4)
     for _ in range(200):

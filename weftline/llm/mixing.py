@@ -30,6 +30,8 @@ from .common import table, word_count
 
 WEIGHTS = (3.0, 1.0, 2.0)
 CELLS = 1024
+#: Columns that the operator adds for itself; an input's columns of these names, or of the result's, are replaced.
+OWN = ("_cell", "_order", "_rank", "_s", "_z", "_c", "_before", "passes", "extra")
 #: Words that the last programme fits; the greedy part before it leaves less than this or one length.
 FITTED = 1 << 16
 
@@ -120,6 +122,7 @@ def _quotas(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def mixed(docs: DataFrame, size: str = "size", share: float = 1.5, most: float = 2.0, seed: int = 0) -> DataFrame:
     """``docs`` (with ``doc_id``, ``source`` and words in ``size``) plus ``source_size``, ``target`` and ``copies`` (0 to 2)."""
+    docs = docs.drop("source_size", "target", "copies", *OWN)
     rows = docs.withColumn("_cell", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(CELLS)).cast("int")).withColumn("_order", F.xxhash64(F.lit(seed + 1), "doc_id"))
     bins = docs.groupBy("source", F.col(size).alias("size")).agg(F.count(F.lit(1)).alias("docs"))
     goal = targets(bins.select("source", (F.col("size") * F.col("docs")).alias("size")), share, most)

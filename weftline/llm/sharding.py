@@ -98,7 +98,7 @@ def numbered(df: DataFrame, number: str = "row_number") -> DataFrame:
 def shard(df: DataFrame, shards: int = 16, seed: int = 0) -> DataFrame:
     """The rows of ``df`` with ``row_number``, ``shard`` and ``slot``."""
     n = df.count()
-    new = ("row_number", "shard", "slot")
+    new = ("row_number", "shard", "slot", "_copies", "_hash", "_bucket", "_before", "_start", "_from", "_copy", "_place")
     rows = numbered(df.drop(*new))
     place = walked(F.col("row_number"), max(n, 1), seed)
     return rows.withColumn("_place", place).select(*[c for c in rows.columns if c != "row_number"], "row_number", F.pmod("_place", F.lit(shards)).cast("int").alias("shard"), F.call_function("div", F.col("_place"), F.lit(shards)).alias("slot"))
