@@ -329,8 +329,7 @@ def linked(items: DataFrame, docs: DataFrame, k: int, percent: int) -> tuple[Dat
     """Nodes (key, first) and enough of their links to connect every group of linked sets."""
     real = items.filter("n > 0")
     nodes = saved(real.groupBy("key").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("bits").alias("bits")))
-    folded = F.expr("transform(sequence(0, 3), i -> bits[i] ^ bits[i + 4] ^ bits[i + 8] ^ bits[i + 12])")
-    often = saved(real.filter(F.size("often") > 0).select(F.explode("often").alias("item"), "key", "n", "r", folded.alias("bits")).dropDuplicates(["item", "key"]))
+    often = saved(real.filter(F.size("often") > 0).select(F.explode("often").alias("item"), "key", "n", "r", "bits").dropDuplicates(["item", "key"]))
     # Written before the join, so that adaptive execution can split a hot item of the other side.
     pivots = saved(often.groupBy("item").agg(F.min(F.struct("r", "key", "n")).alias("p"), F.count(F.lit(1)).alias("size")).filter("size > 1").select("item", F.col("p.key").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.r").alias("pr")))
     fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
@@ -345,7 +344,7 @@ def linked(items: DataFrame, docs: DataFrame, k: int, percent: int) -> tuple[Dat
     if far.isEmpty():
         return nodes, links
     other = often.select("item", F.col("key").alias("key2"), F.col("n").alias("n2"), F.col("r").alias("r2"), F.col("bits").alias("bits2"))
-    two = far.join(other, (far["item"] == other["item"]) & (F.col("key") != F.col("key2")) & fits(F.col("n"), F.col("n2")) & could(F.col("r"), F.col("r2"), F.col("n"), F.col("n2")) & ((100 + percent) * apart("bits", "bits2", 4) <= (100 - percent) * (F.col("n") + F.col("n2"))))
+    two = far.join(other, (far["item"] == other["item"]) & (F.col("key") != F.col("key2")) & fits(F.col("n"), F.col("n2")) & could(F.col("r"), F.col("r2"), F.col("n"), F.col("n2")) & ((100 + percent) * apart("bits", "bits2", PARITY // 64) <= (100 - percent) * (F.col("n") + F.col("n2"))))
     two = two.select(F.least("key", "key2").alias("a"), F.greatest("key", "key2").alias("b")).distinct().join(one, ["a", "b"], "left_anti")
     return nodes, links.unionByName(verified(saved(plausible(saved(two), nodes, percent)), nodes, docs, k, percent))
 
