@@ -217,3 +217,20 @@ def cut(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the 50-word windows that start in a smaller doc_id."""
     return cut(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP5_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (
+  SELECT row, doc_id, i, array_to_string(w[i:i + 49], ' ') AS k
+  FROM (SELECT row, doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
+low AS (SELECT k, min(doc_id) AS m FROM win GROUP BY k),
+gone AS (SELECT DISTINCT row, i + j.range AS p FROM win JOIN low USING (k), range(0, 50) j WHERE m < doc_id),
+word AS (SELECT row, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM d),
+kept AS (
+  SELECT word.row, count(gone.p) AS n_removed, string_agg(x, ' ' ORDER BY word.p) FILTER (gone.p IS NULL) AS t
+  FROM word LEFT JOIN gone ON gone.row = word.row AND gone.p = word.p GROUP BY word.row)
+SELECT doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (row)
+"""
