@@ -5,7 +5,7 @@ toxic texts than in others. It is kept as a trie, and the Levenshtein automata
 of its words, intersected with that trie, are determinised into one table: a
 state is a set of (trie node, errors so far), so one pass over a word's letters
 tells whether it is within one error (two for long words) of a lexicon word,
-whatever the lexicon's size. Every distinct word of a slice runs through the
+whatever the lexicon's size; a stem takes any ending, but no error. Every distinct word of a slice runs through the
 table together.
 
 A hit is scored with its context window: hits between quotation marks or near
@@ -38,6 +38,8 @@ from .common import id_remainder, plain, saved, table, texts, words
 SAMPLE, LEXICON = 10_000, 64
 #: A lexicon word follows this many different words in toxic texts, is this many times commoner there, and its log-likelihood ratio reaches the third.
 SUPPORT, LIFT, RATIO = 5, 3.0, 25.0
+#: A stem has so many letters, at least so many words, and is this many times commoner in toxic texts.
+STEM_LETTERS, STEM_WORDS, STEM_LIFT = range(3, 9), 3, 10.0
 #: Words on either side of a hit that make its context.
 CONTEXT = 6
 #: Words that introduce another's speech.
@@ -57,8 +59,9 @@ def allowed(word: bytes) -> int:
 class Automaton:
     """All lexicon words within their allowed errors, as one transition table over bytes."""
 
-    def __init__(self, lexicon: list[bytes]):
+    def __init__(self, lexicon: list[bytes], stems: list[bytes] = ()):
         self.lexicon = sorted({w for w in map(_letters, lexicon) if w})
+        self.stems = sorted({w for w in map(_letters, stems) if w})
         child: list[dict[int, int]] = [{}]
         ends: list[bytes | None] = [None]
         most = [0]  # errors that some word below may have
@@ -74,7 +77,19 @@ class Automaton:
                 node = child[node][c]
                 most[node] = max(most[node], allowed(w))
             ends[node] = w
-        letters = sorted({c for w in self.lexicon for c in w})
+        stem_ends = set()
+        for w in self.stems:
+            node = 0
+            for c in w:
+                if c not in child[node]:
+                    child[node][c] = len(child)
+                    child.append({})
+                    ends.append(None)
+                    most.append(0)
+                node = child[node][c]
+            stem_ends.add(node)
+        past = -1  # a stem and any letters after it
+        letters = sorted({c for w in [*self.lexicon, *self.stems] for c in w})
         self.column = np.zeros(256, dtype=np.int64)  # 0: any other letter
         self.column[letters] = np.arange(1, len(letters) + 1)
 
@@ -82,7 +97,7 @@ class Automaton:
             todo = list(state.items())
             while todo:  # letters left out
                 node, e = todo.pop()
-                for n in child[node].values():
+                for n in child[node].values() if node != past else ():
                     if e + 1 <= most[n] and e + 1 < state.get(n, 99):
                         state[n] = e + 1
                         todo.append((n, e + 1))
@@ -91,6 +106,10 @@ class Automaton:
         def move(state: frozenset, c: int | None) -> frozenset:
             new: dict[int, int] = {}
             for node, e in state:
+                if node == past or (node in stem_ends and not e):
+                    new[past] = 0
+                if node == past:
+                    continue
                 for letter, n in child[node].items():
                     cost = e + (letter != c)
                     if cost <= most[n] and cost < new.get(n, 99):
@@ -115,15 +134,17 @@ class Automaton:
         # 0: no word, 1: a word with errors, 2: a word of the lexicon.
         self.accept = np.zeros(len(rows), dtype=np.int8)
         for state, i in number.items():
-            errors = [e for node, e in state if ends[node] is not None and e <= allowed(ends[node])]
-            self.accept[i] = 0 if not errors else 2 if min(errors) == 0 else 1
-        self.longest = max((len(w) + allowed(w) for w in self.lexicon), default=0)
-        self.shortest = min((len(w) - allowed(w) for w in self.lexicon), default=1)
+            errors = [e for node, e in state if node != past and ends[node] is not None and e <= allowed(ends[node])]
+            stem = any(node == past or (node in stem_ends and not e) for node, e in state)
+            self.accept[i] = 2 if stem or (errors and min(errors) == 0) else 1 if errors else 0
+        self.beyond = np.array([any(node == past for node, _ in state) for state in sorted(number, key=number.get)])
+        self.longest = max([*(len(w) + allowed(w) for w in self.lexicon), *(len(w) + 1 for w in self.stems)], default=0)
+        self.shortest = min([*(len(w) - allowed(w) for w in self.lexicon), *map(len, self.stems)], default=1)
 
     def run(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The kind (0, 1, 2) of every word of ``data``."""
         out, size = np.zeros(len(starts), dtype=np.int8), ends - starts
-        at = np.flatnonzero((size <= self.longest) & (size >= self.shortest))
+        at = np.flatnonzero((size <= self.longest if not self.stems else size > 0) & (size >= self.shortest))
         at = at[np.argsort(-size[at], kind="stable")]  # long words first, so those still running are a prefix
         left, state = size[at], np.ones(len(at), dtype=np.int32)
         for j in range(self.longest):
@@ -131,7 +152,7 @@ class Automaton:
             if not n:
                 break
             state[:n] = self.next[state[:n], self.column[data[starts[at[:n]] + j]]]
-        out[at] = self.accept[state]
+        out[at] = np.where(left <= self.longest, self.accept[state], np.where(self.beyond[state], 2, 0))
         return out
 
 
@@ -195,8 +216,8 @@ def _quoted(data, at, loose, cut, places, text) -> np.ndarray:
 class Model:
     """Lexicon, automaton and weights."""
 
-    def __init__(self, lexicon: list[bytes]):
-        self.automaton = Automaton(lexicon)
+    def __init__(self, lexicon: list[bytes], stems: list[bytes] = ()):
+        self.automaton = Automaton(lexicon, stems)
         self.reporting = np.unique(np.concatenate([words(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]))[2] for w in REPORTING]))
         self.weights = np.zeros(FEATURES)
 
@@ -229,8 +250,8 @@ def sampled(docs: DataFrame, labels: DataFrame, folds: int = 5, most: int = SAMP
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))  # at most ``most`` pairs
 
 
-def lexicon(rows: DataFrame) -> list[bytes]:
-    """Words that mark toxic texts among ``rows``, strongest first."""
+def lexicon(rows: DataFrame) -> tuple[list[bytes], list[bytes]]:
+    """Words and stems that mark toxic texts among ``rows``; a word that a stem covers is left out."""
 
     def run(batches):
         for batch in batches:
@@ -253,19 +274,29 @@ def lexicon(rows: DataFrame) -> list[bytes]:
     by_word = saved(seen.groupBy("word").agg(F.sum("bad").alias("bad"), F.sum(1 - F.col("good")).alias("good")))
     bad, good = by_word.agg(F.sum("bad"), F.sum("good")).first()
     if not bad or not good:
-        return []
+        return [], []
     both = F.col("bad") + F.col("good")
     part = lambda x, total: F.when(F.col(x) > 0, F.col(x) * F.log(F.col(x) * F.lit(bad + good) / (both * F.lit(total)))).otherwise(F.lit(0.0))
     lift = (F.col("bad") / F.lit(bad)) / ((F.col("good") + 0.5) / F.lit(good))
     ratio = 2 * (part("bad", bad) + part("good", good))
-    top = by_word.filter((F.col("bad") >= SUPPORT) & (F.octet_length("word") >= 3) & (lift >= LIFT)).withColumn("ratio", ratio).filter(F.col("ratio") >= RATIO)
-    return [bytes(r.word) for r in top.orderBy(F.desc("ratio"), "word").limit(LEXICON).collect()]
+    word = F.col("word").cast("string")
+    stems = by_word.select(F.explode(F.array(*[F.when(F.length(word) > n, F.substring(word, 1, n)) for n in STEM_LETTERS])).alias("stem"), "bad", "good")
+    stems = stems.filter("stem IS NOT NULL").groupBy(F.encode("stem", "UTF-8").alias("word")).agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.count_if(F.col("bad") > F.col("good")).alias("words"))
+    kept = lambda df, least: df.filter((F.col("bad") >= SUPPORT) & (lift >= least)).withColumn("ratio", ratio).filter(F.col("ratio") >= RATIO).orderBy(F.desc("ratio"), F.length("word"), "word").limit(LEXICON)
+    # The strongest stem of a family stands for the family; what it covers, or what it would only widen, is left out.
+    found: list[bytes] = []
+    for r in kept(stems.filter(F.col("words") >= STEM_WORDS), STEM_LIFT).collect():
+        w = bytes(r.word)
+        if not any(w.startswith(x) or x.startswith(w) for x in found):
+            found.append(w)
+    plain_ = [bytes(r.word) for r in kept(by_word.filter(F.octet_length("word") >= 3), LIFT).collect()]
+    return [w for w in plain_ if not any(w.startswith(x) for x in found)], found
 
 
 def fitted(docs: DataFrame, labels: DataFrame) -> Model:
     """A model of the labelled training rows."""
     rows = saved(sampled(docs, labels))
-    model = Model(lexicon(rows))
+    model = Model(*lexicon(rows))
     held = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
