@@ -76,7 +76,8 @@ def groups(docs: DataFrame, hashed=F.xxhash64) -> DataFrame:
         F.sha2(normalised(F.col("text")), 256).alias("text_sha256"),
     )
     # Rows alike in all this are counted first; one that repeats stays once.
-    alike = rows.groupBy("doc_id", "recipe", "points", "text_sha256").agg(F.count(F.lit(1)).alias("copies"))
+    # Both uses below read what is written here, so texts are cut and hashed once.
+    alike = saved(rows.groupBy("doc_id", "recipe", "points", "text_sha256").agg(F.count(F.lit(1)).alias("copies")))
     rank = F.struct(-F.col("points"), F.col("doc_id").isNull(), F.col("doc_id"))
     # Written, so that adaptive execution can split the other side's rows of a large group.
     best = saved(alike.groupBy("recipe").agg(F.min(rank).alias("best"), F.sum("copies").alias("group_size")))
