@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from weftline.functions import dialect
 from weftline.plans import sqltext
-from weftline.plans.ir import Context, Graph, Source, Target, view_name
+from weftline.plans.ir import Context, Graph, Source, Statement, Target, view_name
 from weftline.plans.xml_frontend import statement_node
+from weftline.sources.readers import copied
 
 
 def _short(sql: str) -> str:
@@ -54,6 +55,12 @@ def _add(script: Script, text: str, procedures: dict[str, list[str]] | None = No
         else:
             for inner in procedures[name]:
                 _add(script, inner, procedures)
+    elif s.kind == "copy" and (m := re.search(r"(?is)\bFROM\s+'([^']+)'", text)):
+        kind = re.search(r"(?is)\bTYPE\s*=\s*'?(\w+)", text)
+        table, path, form = view_name(s.target), m[1], (kind[1].lower() if kind else "csv")
+        script.graph.nodes.append(Statement(f"s{n}", table, lambda df, ctx: copied(df, path, form)))
+        if table not in script.targets:
+            script.targets.append(table)
     elif s.kind in ("drop", "statistics", "copy", "create"):
         script.notes.append(f"{s.kind} {s.target or ''}".strip())
     elif s.kind != "empty":

@@ -109,3 +109,11 @@ def recent(df: DataFrame, stamp: str, n: int, tie: str) -> DataFrame:
 def first_seen(df: DataFrame, key: str, order: str) -> DataFrame:
     """The first row of each key, as ordered de-duplication."""
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(order))).filter("_n = 1").drop("_n")
+
+
+def copied(target: DataFrame, path: str, kind: str = "csv") -> DataFrame:
+    """COPY INTO: a file's rows appended to ``target`` by column name, cast to its types; columns it lacks are null."""
+    spark = target.sparkSession
+    rows = csv(spark, path) if kind == "csv" else getattr(spark.read, kind)(path)
+    have = {c.lower(): c for c in rows.columns}
+    return target.unionByName(rows.select(*[(F.col(quoted(have[c.lower()])) if c.lower() in have else F.lit(None)).cast(t).alias(c) for c, t in target.dtypes]))
