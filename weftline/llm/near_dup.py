@@ -358,7 +358,7 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, frequent: int = FREQU
     nodes, links = linked(items, docs, k, percent)
     marks = labels(links)
     named = nodes.join(marks, nodes["key"] == marks["node"], "left").select("key", "first", F.coalesce("label", "key").alias("label"))
-    tops = named.groupBy("label").agg(F.min("first").alias("component_id"))
+    named, tops = saved(named), saved(named.groupBy("label").agg(F.min("first").alias("component_id")))  # both written, so that a large group's rows can be split
     of = saved(named.join(tops, "label").select("key", "component_id"))
     rows = items.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "key")
     full = rows.filter("n_shingles > 0").join(of, "key").select("doc_id", "n_shingles", "component_id")
@@ -374,3 +374,18 @@ def one_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of all documents at 4-word shingles and Jaccard 0.85."""
     return groups(table(spark, sf_dir, "documents"), k=4, percent=85)
+
+
+OP10_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) >= 4 THEN list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')))
+                      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS sh FROM w),
+t AS (SELECT doc_id, unnest(sh) AS g FROM s),
+o AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n FROM t a JOIN t b USING (g) WHERE a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM o JOIN s a ON a.doc_id = x JOIN s b ON b.doc_id = y WHERE 100 * n >= 85 * (len(a.sh) + len(b.sh) - n)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT doc_id AS node, doc_id AS other FROM s UNION SELECT r.node, e.y FROM r JOIN e ON r.other = e.x)
+SELECT doc_id, len(sh) AS n_shingles, (SELECT min(other) FROM r WHERE node = doc_id) AS component_id FROM s
+"""
