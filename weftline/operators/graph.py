@@ -77,6 +77,25 @@ def acyclic_core(edges: DataFrame) -> DataFrame:
     return e
 
 
+def _peeled(units: DataFrame, edges: DataFrame) -> tuple[DataFrame | None, DataFrame]:
+    """``unit`` and ``wave`` of nodes in order of readiness, and the edges left, which lie on or behind cycles.
+
+    Each edge is removed once, when its start is ready, so all rounds together
+    read the edges a few times, however deep the graph is.
+    """
+    ready = cut(units.select("unit").distinct().join(edges.select(F.col("v").alias("unit")).distinct(), "unit", "left_anti"))
+    rest, at, out = edges, 1, None
+    while not ready.isEmpty():
+        wave = ready.withColumn("wave", F.lit(at))
+        out = wave if out is None else out.unionByName(wave)
+        gone = ready.select(F.col("unit").alias("u"))
+        left = cut(rest.join(gone, "u", "left_anti"))
+        touched = rest.join(gone, "u", "left_semi").select(F.col("v").alias("unit")).distinct()
+        ready = cut(touched.join(left.select(F.col("v").alias("unit")).distinct(), "unit", "left_anti"))
+        rest, at = left, at + 1
+    return out, rest
+
+
 def waves(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """``node``, ``wave`` and ``in_cycle``: one more than the longest path from a root; roots are 1.
 
@@ -84,27 +103,18 @@ def waves(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     of the graph that peeling leaves is searched for cycles.
     """
     every = nodes_of(edges) if nodes is None else nodes.select("node").unionByName(nodes_of(edges)).distinct()
-    e = edges.select("src", "dst").distinct()
-    core = acyclic_core(e)
-    loops = cut(cycle_nodes(core)) if not core.isEmpty() else None
-    if loops is None:
-        of = every.select("node", F.col("node").alias("unit"), F.lit(False).alias("in_cycle"))
-    else:
-        of = every.join(loops, "node", "left").select("node", F.coalesce("cycle", "node").alias("unit"), F.col("cycle").isNotNull().alias("in_cycle"))
-    of = cut(of)
-    a, b = of.select(F.col("node").alias("src"), F.col("unit").alias("u")), of.select(F.col("node").alias("dst"), F.col("unit").alias("v"))
-    flat = cut(e.join(a, "src").join(b, "dst").select("u", "v").filter("u <> v").distinct())
-    left, at, out = cut(of.select("unit").distinct()), 1, None
-    rest = flat
-    while not left.isEmpty():
-        ready = left.join(rest.select(F.col("v").alias("unit")).distinct(), "unit", "left_anti").withColumn("wave", F.lit(at))
-        ready = cut(ready)
-        out = ready if out is None else out.unionByName(ready)
-        left = cut(left.join(ready, "unit", "left_anti"))
-        rest = cut(rest.join(ready.select(F.col("unit").alias("u")), "u", "left_anti"))
-        at += 1
-    if out is None:
-        return of.select("node", F.lit(None).cast("int").alias("wave"), "in_cycle")
+    every = cut(every)
+    e = cut(edges.select(F.col("src").alias("u"), F.col("dst").alias("v")).distinct())
+    out, rest = _peeled(every.select(F.col("node").alias("unit")), e)
+    if rest.isEmpty():
+        if out is None:
+            return every.select("node", F.lit(None).cast("int").alias("wave"), F.lit(False).alias("in_cycle"))
+        return out.select(F.col("unit").alias("node"), "wave", F.lit(False).alias("in_cycle"))
+    loops = cut(cycle_nodes(acyclic_core(rest.select(F.col("u").alias("src"), F.col("v").alias("dst")))))
+    of = cut(every.join(loops, "node", "left").select("node", F.coalesce("cycle", "node").alias("unit"), F.col("cycle").isNotNull().alias("in_cycle")))
+    a, b = of.select(F.col("node").alias("u"), F.col("unit").alias("u2")), of.select(F.col("node").alias("v"), F.col("unit").alias("v2"))
+    flat = cut(e.join(a, "u").join(b, "v").select(F.col("u2").alias("u"), F.col("v2").alias("v")).filter("u <> v").distinct())
+    out, _ = _peeled(of, flat)
     return of.join(out, "unit").select("node", "wave", "in_cycle")
 
 
