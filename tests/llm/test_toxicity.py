@@ -42,13 +42,18 @@ def test_automaton_equals_edit_distance():
     assert kinds(toxicity.Automaton([]), [b"a", b"bc"]) == [0, 0]
 
 
+def test_learned_limits_of_errors():
+    automaton = toxicity.Automaton([b"trash", b"pathetic", b"disgusting"], [], {b"trash": 0, b"disgusting": 1})
+    assert kinds(automaton, [b"trash", b"thrash", b"pathetik", b"disgustin", b"disgusti"]) == [2, 0, 1, 1, 0]
+
+
 def test_stems_take_any_ending():
     lexicon, stems = [b"idiot", b"disgusting", b"foolish"], [b"fool", b"xyz"]
     automaton = toxicity.Automaton(lexicon, stems)
     rng = random.Random(3)
     tokens = [b"fool", b"foolhardiness" * 4, b"foo", b"xyzidiotic", b"idiott", b"idiots", b"axyz", b"xy", b"foxl"]
     tokens += [bytes(rng.choice(b"folxyzidt") for _ in range(rng.randint(1, 7))) + rng.choice([b"", b"idiot", b"disgusting"]) for _ in range(3000)]
-    want = [2 if t in lexicon or t.startswith((b"fool", b"xyz")) else int(any(edit(t, w) <= toxicity.allowed(w) for w in lexicon)) for t in tokens]
+    want = [2 if t in lexicon else 3 if t.startswith((b"fool", b"xyz")) else int(any(edit(t, w) <= toxicity.allowed(w) for w in lexicon)) for t in tokens]
     assert kinds(automaton, tokens) == want
 
 
@@ -76,7 +81,7 @@ def test_misspelled_and_quoted_words(spark):
     rows, labels = rows_of(random.Random(2), 3000)
     docs = spark.createDataFrame([*rows, (9000, None, "", "", 0), (9001, "", "", "", 0), (9002, "you IDIOTT and xoron w1 w2 disgustxng", "", "", 0), (9003, 'a "disgusting" w1', "", "", 0), (None, "w1", "", "", 0)], DOCS)
     model = toxicity.fitted(docs, spark.createDataFrame([*labels, (77777, 1, 1), (5, None, None)], "doc_id long, quality int, toxic int"))
-    assert kinds(model.automaton, [b"idiot", b"moron", b"disgusting"]) == [2, 2, 2]
+    assert min(kinds(model.automaton, [b"idiot", b"moron", b"disgusting"])) >= 2
     got = {r.doc_id: r.score for r in toxicity.scored(docs, model).collect()}
     held = [(got[i], t) for i, _, t in labels if zlib.crc32(str(i).encode()) % 5 == 0]
     assert sum((s >= 0.5) == t for s, t in held) > 0.95 * len(held)

@@ -8,9 +8,10 @@ tells whether it is within one error (two for long words) of a lexicon word,
 whatever the lexicon's size; a stem takes any ending, but no error. Every distinct word of a slice runs through the
 table together.
 
-A hit is scored with its context window: hits between quotation marks or near
-words of reporting count apart from the others, as do misspelled and exact
-ones. A logistic regression on these counts gives the score; labels, language,
+How many errors a lexicon word may have is learned too: where words so near it
+stand in clean texts more than in toxic ones, it may have fewer. A hit is
+scored with its context window: hits between quotation marks or near words of
+reporting count apart from the others, as do words and stems. A logistic regression on these counts gives the score; labels, language,
 source and id are never inputs.
 
 The lexicon and the regression are fitted on at most ``SAMPLE`` labelled
@@ -44,7 +45,7 @@ STEM_LETTERS, STEM_WORDS, STEM_LIFT = range(3, 9), 3, 10.0
 CONTEXT = 6
 #: Words that introduce another's speech.
 REPORTING = ("said", "says", "quote", "quoted", "quotes", "wrote", "writes", "called", "calls", "reported", "according", "word", "words", "term", "insult", "slur", "sagte", "zitat", "dijo", "dit")
-FEATURES = 10
+FEATURES = 9
 
 
 def _letters(word: bytes) -> bytes:
@@ -52,22 +53,24 @@ def _letters(word: bytes) -> bytes:
 
 
 def allowed(word: bytes) -> int:
-    """Errors that a word of the lexicon may have: none in short words, whose neighbours are often words."""
-    return 0 if len(word) < 5 else 1 if len(word) < 9 else 2
+    """Errors that a word of the lexicon may have at most: none in short words, whose neighbours are often words."""
+    return 0 if len(word) < 4 else 1 if len(word) < 9 else 2
 
 
 class Automaton:
     """All lexicon words within their allowed errors, as one transition table over bytes."""
 
-    def __init__(self, lexicon: list[bytes], stems: list[bytes] = ()):
+    def __init__(self, lexicon: list[bytes], stems: list[bytes] = (), errors: dict[bytes, int] | None = None):
         self.lexicon = sorted({w for w in map(_letters, lexicon) if w})
+        limits = {_letters(w): e for w, e in (errors or {}).items()}
+        allowed_ = lambda w: min(allowed(w), limits.get(w, 9))
         self.stems = sorted({w for w in map(_letters, stems) if w})
         child: list[dict[int, int]] = [{}]
         ends: list[bytes | None] = [None]
         most = [0]  # errors that some word below may have
         for w in self.lexicon:
             node = 0
-            most[0] = max(most[0], allowed(w))
+            most[0] = max(most[0], allowed_(w))
             for c in w:
                 if c not in child[node]:
                     child[node][c] = len(child)
@@ -75,7 +78,7 @@ class Automaton:
                     ends.append(None)
                     most.append(0)
                 node = child[node][c]
-                most[node] = max(most[node], allowed(w))
+                most[node] = max(most[node], allowed_(w))
             ends[node] = w
         stem_ends = set()
         for w in self.stems:
@@ -131,18 +134,18 @@ class Automaton:
                 row.append(number[to])
             rows[number[state]] = row
         self.next = np.array([rows[i] for i in range(len(rows))], dtype=np.int32)
-        # 0: no word, 1: a word with errors, 2: a word of the lexicon.
+        # 0: no word, 1: a word with errors, 2: a word of the lexicon, 3: a stem with an ending.
         self.accept = np.zeros(len(rows), dtype=np.int8)
         for state, i in number.items():
-            errors = [e for node, e in state if node != past and ends[node] is not None and e <= allowed(ends[node])]
+            errors = [e for node, e in state if node != past and ends[node] is not None and e <= allowed_(ends[node])]
             stem = any(node == past or (node in stem_ends and not e) for node, e in state)
-            self.accept[i] = 2 if stem or (errors and min(errors) == 0) else 1 if errors else 0
+            self.accept[i] = 2 if errors and min(errors) == 0 else 3 if stem else 1 if errors else 0
         self.beyond = np.array([any(node == past for node, _ in state) for state in sorted(number, key=number.get)])
-        self.longest = max([*(len(w) + allowed(w) for w in self.lexicon), *(len(w) + 1 for w in self.stems)], default=0)
-        self.shortest = min([*(len(w) - allowed(w) for w in self.lexicon), *map(len, self.stems)], default=1)
+        self.longest = max([*(len(w) + allowed_(w) for w in self.lexicon), *(len(w) + 1 for w in self.stems)], default=0)
+        self.shortest = min([*(len(w) - allowed_(w) for w in self.lexicon), *map(len, self.stems)], default=1)
 
     def run(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """The kind (0, 1, 2) of every word of ``data``."""
+        """The kind (0 to 3) of every word of ``data``."""
         out, size = np.zeros(len(starts), dtype=np.int8), ends - starts
         at = np.flatnonzero((size <= self.longest if not self.stems else size > 0) & (size >= self.shortest))
         at = at[np.argsort(-size[at], kind="stable")]  # long words first, so those still running are a prefix
@@ -152,7 +155,7 @@ class Automaton:
             if not n:
                 break
             state[:n] = self.next[state[:n], self.column[data[starts[at[:n]] + j]]]
-        out[at] = np.where(left <= self.longest, self.accept[state], np.where(self.beyond[state], 2, 0))
+        out[at] = np.where(left <= self.longest, self.accept[state], np.where(self.beyond[state], 3, 0))
         return out
 
 
@@ -175,17 +178,14 @@ def _features(automaton: Automaton, reporting: np.ndarray, batch: pa.RecordBatch
             near = told[high] > told[low]
             quoted = _quoted(data, at, loose, cut, starts[hit], text)
             softened = near | quoted
-            for column, mask in ((1, (kind[hit] == 2) & ~softened), (2, (kind[hit] == 1) & ~softened), (3, (kind[hit] == 2) & softened), (4, (kind[hit] == 1) & softened)):
-                out[:, column] = np.bincount(text[mask], minlength=m)
             n = np.maximum(np.diff(bounds), 1)
-            out[:, 5] = 100 * out[:, 1] / n
-            out[:, 9] = 100 * out[:, 2] / n
-            out[:, 6] = out[:, 1] > 0
-            out[:, 7] = out[:, 2] > 0
-            out[:, 8] = (out[:, 3] + out[:, 4]) > 0
-            out[:, 1:5] = np.log1p(out[:, 1:5])
-            out[:, 5] = np.log1p(out[:, 5])
-            out[:, 9] = np.log1p(out[:, 9])
+            for column, mask in ((1, kind[hit] < 3), (4, kind[hit] == 3)):
+                count = np.bincount(text[mask & ~softened], minlength=m)
+                out[:, column], out[:, column + 1], out[:, column + 2] = np.log1p(count), np.log1p(100 * count / n), count > 0
+                told_ = np.bincount(text[mask & softened], minlength=m)
+                out[:, 7] += told_
+            out[:, 8] = out[:, 7] > 0
+            out[:, 7] = np.log1p(out[:, 7])
         yield first, out
 
 
@@ -216,12 +216,12 @@ def _quoted(data, at, loose, cut, places, text) -> np.ndarray:
 class Model:
     """Lexicon, automaton and weights."""
 
-    def __init__(self, lexicon: list[bytes], stems: list[bytes] = ()):
-        self.automaton = Automaton(lexicon, stems)
+    def __init__(self, lexicon: list[bytes], stems: list[bytes] = (), errors: dict[bytes, int] | None = None):
+        self.automaton = Automaton(lexicon, stems, errors)
         self.reporting = np.unique(np.concatenate([words(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]))[2] for w in REPORTING]))
         self.weights = np.zeros(FEATURES)
 
-    def fit(self, x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> None:
+    def fit(self, x: np.ndarray, y: np.ndarray, penalty: float = 0.03) -> None:
         """Penalised logistic regression by Newton steps."""
         w = np.zeros(FEATURES)
         share = (y.sum() + 1) / (len(y) + 2) if len(y) else 0.5
@@ -250,8 +250,8 @@ def sampled(docs: DataFrame, labels: DataFrame, folds: int = 5, most: int = SAMP
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))  # at most ``most`` pairs
 
 
-def lexicon(rows: DataFrame) -> tuple[list[bytes], list[bytes]]:
-    """Words and stems that mark toxic texts among ``rows``; a word that a stem covers is left out."""
+def lexicon(rows: DataFrame) -> tuple[list[bytes], list[bytes], dict[bytes, int]]:
+    """Words and stems that mark toxic texts among ``rows``, and the errors that words may have; a word that a stem covers is left out."""
 
     def run(batches):
         for batch in batches:
@@ -274,7 +274,7 @@ def lexicon(rows: DataFrame) -> tuple[list[bytes], list[bytes]]:
     by_word = saved(seen.groupBy("word").agg(F.sum("bad").alias("bad"), F.sum(1 - F.col("good")).alias("good")))
     bad, good = by_word.agg(F.sum("bad"), F.sum("good")).first()
     if not bad or not good:
-        return [], []
+        return [], [], {}
     both = F.col("bad") + F.col("good")
     part = lambda x, total: F.when(F.col(x) > 0, F.col(x) * F.log(F.col(x) * F.lit(bad + good) / (both * F.lit(total)))).otherwise(F.lit(0.0))
     lift = (F.col("bad") / F.lit(bad)) / ((F.col("good") + 0.5) / F.lit(good))
@@ -290,7 +290,19 @@ def lexicon(rows: DataFrame) -> tuple[list[bytes], list[bytes]]:
         if not any(w.startswith(x) or x.startswith(w) for x in found):
             found.append(w)
     plain_ = [bytes(r.word) for r in kept(by_word.filter(F.octet_length("word") >= 3), LIFT).collect()]
-    return [w for w in plain_ if not any(w.startswith(x) for x in found)], found
+    chosen = [w for w in plain_ if not any(w.startswith(x) for x in found)]
+    return chosen, found, _errors(by_word, chosen)
+
+
+def _errors(by_word: DataFrame, chosen: list[bytes]) -> dict[bytes, int]:
+    """Errors that each chosen word may have: as many as keep to words that toxic texts have no less than clean ones."""
+    texts_ = [w.decode("utf-8", "replace") for w in chosen if allowed(w)]
+    if not texts_:
+        return {}
+    near = F.array(*[F.when(F.abs(F.length("word") - len(w)) <= 2, F.struct(F.lit(w).alias("w"), F.levenshtein(F.col("word").cast("string"), F.lit(w), 2).alias("d"))) for w in texts_])
+    rows = by_word.select(F.explode(F.filter(near, lambda x: x["d"].between(1, 2))).alias("x"), "bad", "good").groupBy("x.w", "x.d").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).collect()  # two rows for each chosen word at most
+    seen = {(r.w, r.d): r.good > r.bad for r in rows}
+    return {w.encode(): 0 if seen.get((w, 1)) else 1 if seen.get((w, 2)) else 2 for w in texts_}
 
 
 def fitted(docs: DataFrame, labels: DataFrame) -> Model:
