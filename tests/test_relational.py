@@ -99,6 +99,9 @@ def test_merge_branches_and_ambiguous_sources(spark):
     assert rows(dml.merge(t, s, spec)) == rows_of([(1, "x"), (3, "y"), (None, "n"), (None, "m")])
     with pytest.raises(Exception, match="several source rows"):
         dml.merge(t, s.unionByName(s), spec).collect()
+    only_new = dml.Merge("k", [], [dml.When({"k": "s.k", "v": "s.v"}, "s.k > 1")])
+    assert rows(dml.merge(t, s.unionByName(s), only_new)) == rows_of([(1, "a"), (2, "b"), (None, "n"), (3, "y"), (3, "y")])
+    assert rows(dml.merge(t, s, dml.Merge("k", [dml.When({"v": "s.v"})], match_condition="t.v = 'zzz'"))) == rows_of([(1, "a"), (2, "b"), (None, "n")])
     assert rows(dml.merge(t, s.limit(0), spec)) == rows_of([(1, "a"), (None, "n")])
     assert rows(dml.merge(t.limit(0), s.unionByName(s), dml.Merge("k", [], [dml.When({"k": "s.k"})]))) == rows_of([(1, None), (3, None), (None, None)] * 2)
 

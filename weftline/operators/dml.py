@@ -72,20 +72,38 @@ def merge(target: DataFrame, source: DataFrame, spec: Merge) -> DataFrame:
     """One full outer join; each row takes the first branch whose condition holds.
 
     Several source rows for one target row are an error, raised when the result
-    is computed, as which of them applies would be left to chance.
+    is computed, as which of them applies would be left to chance; without
+    branches for matched rows or for the target's other rows, they are not.
     """
     pairs = keys_of(spec.on)
-    t = target.withColumn("_in_t", F.lit(True)).withColumn("_tid", F.monotonically_increasing_id()).alias("t")
-    s = source.withColumn("_in_s", F.lit(True)).alias("s")
+    if not spec.matched and not spec.not_matched_by_source:  # rows are only added
+        meets = F.lit(True)
+        for x, y in pairs:
+            meets = meets & (F.col(f"t.{quoted(x)}") == F.col(f"s.{quoted(y)}"))
+        if spec.match_condition:
+            meets = meets & F.expr(spec.match_condition)
+        fresh = source.alias("s").join(target.alias("t"), meets, "left_anti")
+        return target.unionByName(_merged(target.limit(0), fresh, spec, pairs))
+    return _merged(target, source, spec, pairs)
+
+
+def _merged(target: DataFrame, source: DataFrame, spec: Merge, pairs: list[tuple[str, str]]) -> DataFrame:
+    t, s = target.withColumn("_in_t", F.lit(True)), source.withColumn("_in_s", F.lit(True))
+    guarded = bool(spec.matched or spec.not_matched_by_source)
+    by_key = guarded and not spec.match_condition
+    if by_key:  # counted on the join's own keys, so the source is shuffled once for both
+        s = s.withColumn("_many", F.count(F.lit(1)).over(Window.partitionBy(*[quoted(y) for _, y in pairs])))
+    elif guarded:
+        t = t.withColumn("_tid", F.monotonically_increasing_id())
     on = F.lit(True)
     for x, y in pairs:
         on = on & (F.col(f"t.{quoted(x)}") == F.col(f"s.{quoted(y)}"))
     if spec.match_condition:
         on = on & F.expr(spec.match_condition)
-    both = t.join(s, on, "full")
-    many = F.when(F.col("t._in_t") & F.col("s._in_s"), F.count("s._in_s").over(Window.partitionBy("t._tid", F.when(F.col("t._tid").isNull(), F.xxhash64(*[F.col(f"s.{quoted(y)}") for _, y in pairs])))))
-    if spec.matched:
-        both = both.withColumn("_many", many)
+    both = t.alias("t").join(s.alias("s"), on, "full")
+    if guarded and not by_key:
+        own = Window.partitionBy("t._tid", F.when(F.col("t._tid").isNull(), F.xxhash64(*[F.col(f"s.{quoted(y)}") for _, y in pairs])))
+        both = both.withColumn("_many", F.when(F.col("t._in_t") & F.col("s._in_s"), F.count("s._in_s").over(own)))
     is_t, is_s = F.coalesce(F.col("t._in_t"), F.lit(False)), F.coalesce(F.col("s._in_s"), F.lit(False))
     plan = [(is_t & is_s, spec.matched), (~is_t & is_s, spec.not_matched), (is_t & ~is_s, spec.not_matched_by_source)]
     branch, n, branches = F.when(F.lit(False), F.lit(-1)), 0, []
@@ -98,9 +116,9 @@ def merge(target: DataFrame, source: DataFrame, spec: Merge) -> DataFrame:
     kept = F.when(is_t, F.lit(n)).otherwise(F.lit(-1))
     both = both.withColumn("_b", F.coalesce(branch, kept))
     deletes = [i for i, w in enumerate(branches) if w.set_ is None]
+    if guarded:
+        both = both.filter(F.when((F.col("_many") > 1) & is_t & is_s, F.raise_error(F.lit("several source rows match one target row")).cast("boolean")).otherwise(F.lit(True)))
     rows = both.filter((F.col("_b") >= 0) & ~F.col("_b").isin(deletes) if deletes else F.col("_b") >= 0)
-    if spec.matched:
-        rows = rows.filter(F.when((F.col("_many") > 1) & (F.col("_b") < len(spec.matched)), F.raise_error(F.lit("several source rows match one target row")).cast("boolean")).otherwise(F.lit(True)))
     out = []
     for c, kind in target.dtypes:
         value = F.col(f"t.{quoted(c)}")
