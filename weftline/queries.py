@@ -219,11 +219,11 @@ def q_anti_missing(spark, d):
     return R.joiner(table(spark, d, "customer").select("c_custkey", "c_name"), table(spark, d, "orders"), {"c_custkey": "o_custkey"}, "anti")
 
 
-@query("SELECT c.c_custkey, c.c_acctbal FROM customer c LEFT JOIN customer p ON c.c_custkey = p.c_custkey AND p.c_custkey % 3 <> 0 WHERE p.c_custkey IS NULL OR p.c_acctbal IS DISTINCT FROM (CASE WHEN c.c_custkey % 5 = 0 THEN c.c_acctbal + 1 ELSE c.c_acctbal END)")
+@query("SELECT c.c_custkey, c.c_acctbal FROM customer c LEFT JOIN customer p ON c.c_custkey = p.c_custkey AND p.c_acctbal >= 0 WHERE p.c_custkey IS NULL OR p.c_acctbal IS DISTINCT FROM (CASE WHEN c.c_custkey % 5 = 0 THEN c.c_acctbal + 1 ELSE c.c_acctbal END)")
 def q_new_or_changed(spark, d):
     c = table(spark, d, "customer").select("c_custkey", "c_acctbal")
     now = c.withColumn("c_acctbal", F.expr("case when c_custkey % 5 = 0 then c_acctbal + 1 else c_acctbal end"))
-    out = R.new_or_changed(now, c.filter("c_custkey % 3 <> 0"), ["c_custkey"], ["c_acctbal"])
+    out = R.new_or_changed(now, c.filter("c_acctbal >= 0"), ["c_custkey"], ["c_acctbal"])
     return out.join(c.withColumnRenamed("c_acctbal", "b"), "c_custkey").select("c_custkey", F.col("b").alias("c_acctbal"))
 
 
@@ -401,16 +401,16 @@ def q_dml_truncate(spark, d):
     return xml_frontend.statement_node("x", "TRUNCATE TABLE region").evaluate(_context(spark, d))
 
 
-@query("SELECT n_nationkey, n_name, n_regionkey FROM nation UNION ALL SELECT CAST(s_suppkey + 100 AS INT), s_name, NULL FROM supplier WHERE s_suppkey < 10")
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation UNION ALL SELECT CAST(s_suppkey + 100 AS INT), s_name, NULL FROM supplier WHERE s_acctbal > 5000")
 def q_insert_positional(spark, d):
-    return xml_frontend.statement_node("i", "INSERT INTO dw.nation (n_nationkey, n_name) SELECT s_suppkey + 100, s_name FROM src.supplier WHERE s_suppkey < 10").evaluate(_context(spark, d))
+    return xml_frontend.statement_node("i", "INSERT INTO dw.nation (n_nationkey, n_name) SELECT s_suppkey + 100, s_name FROM src.supplier WHERE s_acctbal > 5000").evaluate(_context(spark, d))
 
 
 def _part_changes(spark, d):
-    return table(spark, d, "part").filter("p_partkey % 4 = 0").select(F.when(F.col("p_partkey") % 8 == 0, F.col("p_partkey") + 1_000_000).otherwise(F.col("p_partkey")).alias("pk"), F.concat(F.lit("new "), "p_name").alias("pname"), (F.col("p_size") + 1).alias("psize"))
+    return table(spark, d, "part").filter("p_retailprice > 1200").select(F.when(F.col("p_partkey") % 8 == 0, F.col("p_partkey") + 1_000_000).otherwise(F.col("p_partkey")).alias("pk"), F.concat(F.lit("new "), "p_name").alias("pname"), (F.col("p_size") + 1).alias("psize"))
 
 
-_CHANGES = "(SELECT CASE WHEN p_partkey % 8 = 0 THEN p_partkey + 1000000 ELSE p_partkey END AS pk, 'new ' || p_name AS pname, p_size + 1 AS psize FROM part WHERE p_partkey % 4 = 0)"
+_CHANGES = "(SELECT CASE WHEN p_partkey % 8 = 0 THEN p_partkey + 1000000 ELSE p_partkey END AS pk, 'new ' || p_name AS pname, p_size + 1 AS psize FROM part WHERE p_retailprice > 1200)"
 _MERGE = "MERGE INTO dw.part tgt USING changes src ON tgt.p_partkey = src.pk WHEN MATCHED THEN UPDATE SET tgt.p_name = src.pname, p_size = src.psize WHEN NOT MATCHED THEN INSERT (p_partkey, p_name, p_size) VALUES (src.pk, src.pname, src.psize)"
 
 
@@ -434,14 +434,14 @@ def q_incremental_upsert(spark, d):
 
 
 @query("""
-WITH dim AS (SELECT c_custkey AS sk, c_custkey AS nk, c_mktsegment AS seg FROM customer WHERE c_custkey % 3 <> 0),
+WITH dim AS (SELECT c_custkey AS sk, c_custkey AS nk, c_mktsegment AS seg FROM customer WHERE c_acctbal >= 0),
 src AS (SELECT c_custkey AS nk, CASE WHEN c_custkey % 5 = 0 THEN 'X' ELSE c_mktsegment END AS seg FROM customer),
 fresh AS (SELECT src.nk, src.seg FROM src LEFT JOIN dim ON src.nk = dim.nk WHERE dim.nk IS NULL OR dim.seg <> src.seg)
 SELECT dim.sk, dim.nk, dim.seg, TIMESTAMP '2000-01-01' AS effective_dt, CASE WHEN dim.seg <> src.seg THEN TIMESTAMP '2024-01-01' END AS end_dt, CASE WHEN dim.seg <> src.seg THEN 'N' ELSE 'Y' END AS current_flg FROM dim JOIN src ON src.nk = dim.nk
 UNION ALL SELECT (SELECT max(sk) FROM dim) + row_number() OVER (ORDER BY nk), nk, seg, TIMESTAMP '2024-01-01', NULL, 'Y' FROM fresh""")
 def q_scd2_close_and_insert(spark, d):
     c = table(spark, d, "customer")
-    dim = c.filter("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("sk"), F.col("c_custkey").alias("nk"), F.col("c_mktsegment").alias("seg"), F.expr("timestamp_ntz'2000-01-01'").alias("effective_dt"), F.lit(None).cast("timestamp_ntz").alias("end_dt"), F.lit("Y").alias("current_flg"))
+    dim = c.filter("c_acctbal >= 0").select(F.col("c_custkey").alias("sk"), F.col("c_custkey").alias("nk"), F.col("c_mktsegment").alias("seg"), F.expr("timestamp_ntz'2000-01-01'").alias("effective_dt"), F.lit(None).cast("timestamp_ntz").alias("end_dt"), F.lit("Y").alias("current_flg"))
     src = c.select(F.col("c_custkey").alias("nk"), F.expr("case when c_custkey % 5 = 0 then 'X' else c_mktsegment end").alias("seg"))
     return dml.scd2(dim, src, ["nk"], ["seg"], "timestamp_ntz'2024-01-01'")
 
@@ -552,11 +552,11 @@ CREATE OR REPLACE TASK etl.t_enrich WAREHOUSE = w AFTER etl.t_delta AS CALL etl.
 """
 
 
-@query("SELECT c_custkey, count(*) AS n, max(c_acctbal + 1) AS bal FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_custkey % 2 = 0 GROUP BY 1")
+@query("SELECT c_custkey, count(*) AS n, max(c_acctbal + 1) AS bal FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_acctbal > 0 GROUP BY 1")
 def q_script_tasks(spark, d):
     """A stream's changes through a task and a procedure."""
     c = table(spark, d, "customer").select("c_custkey", "c_acctbal")
-    new = c.withColumn("c_acctbal", F.expr("case when c_custkey % 2 = 0 then c_acctbal + 1 else c_acctbal end"))
+    new = c.withColumn("c_acctbal", F.expr("case when c_acctbal > 0 then c_acctbal + 1 else c_acctbal end"))
     empty = c.limit(0)
     views = {"customer_cdc": scripts.stream_frame(c, new, ["c_custkey"]), "delta": empty, "enriched": empty.select("c_custkey", F.lit(0).cast("long").alias("n"), F.col("c_acctbal").alias("bal"))}
     return scripts.task_pipeline(TASKS).script().run(_context(spark, d, **views))["enriched"]
@@ -591,16 +591,16 @@ def q_package_ssis(spark, d):
 
 
 def _edges(spark, d):
-    """A DAG over names: customers of one segment, nations, regions and an all node."""
-    c, n, r = table(spark, d, "customer").filter("c_custkey <= 60"), table(spark, d, "nation"), table(spark, d, "region")
+    """A DAG over names: customers, nations, regions and an all node."""
+    c, n, r = table(spark, d, "customer"), table(spark, d, "nation"), table(spark, d, "region")
     a = c.select(F.concat(F.lit("C"), "c_custkey").alias("src"), F.concat(F.lit("N"), "c_nationkey").alias("dst"))
     b = n.select(F.concat(F.lit("N"), "n_nationkey"), F.concat(F.lit("R"), "n_regionkey"))
     top = r.select(F.concat(F.lit("R"), "r_regionkey"), F.lit("ALL"))
-    skip = c.filter("c_custkey % 7 = 0").select(F.concat(F.lit("C"), "c_custkey"), F.lit("ALL"))
+    skip = c.filter("c_acctbal > 9000").select(F.concat(F.lit("C"), "c_custkey"), F.lit("ALL"))
     return a.union(b).union(top).union(skip).distinct()
 
 
-_E = "e AS (SELECT 'C' || c_custkey AS src, 'N' || c_nationkey AS dst FROM customer WHERE c_custkey <= 60 UNION SELECT 'N' || n_nationkey, 'R' || n_regionkey FROM nation UNION SELECT 'R' || r_regionkey, 'ALL' FROM region UNION SELECT 'C' || c_custkey, 'ALL' FROM customer WHERE c_custkey <= 60 AND c_custkey % 7 = 0)"
+_E = "e AS (SELECT 'C' || c_custkey AS src, 'N' || c_nationkey AS dst FROM customer UNION SELECT 'N' || n_nationkey, 'R' || n_regionkey FROM nation UNION SELECT 'R' || r_regionkey, 'ALL' FROM region UNION SELECT 'C' || c_custkey, 'ALL' FROM customer WHERE c_acctbal > 9000)"
 _P = f"WITH RECURSIVE {_E}, p AS (SELECT src, dst FROM e UNION SELECT p.src, e.dst FROM p JOIN e ON p.dst = e.src)"
 
 
@@ -631,7 +631,7 @@ def q_cycle_nodes(spark, d):
 
 def _lineage(spark, d):
     """Column edges out of events: users to pipeline steps to outputs, with operations by event type."""
-    e = table(spark, d, "events").filter("event_id <= 2000")
+    e = table(spark, d, "events")
     op = F.element_at(F.array(*map(F.lit, ("extract", "transform", "join", "aggregate", "load", "update", "fk"))), (F.col("event_id") % 7 + 1).cast("int"))
     src = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("SOURCE.U"), F.col("user_id") % 40)).otherwise(F.concat(F.lit("PIPELINE.P"), F.col("user_id") % 15, F.lit(".S"), F.col("event_id") % 3))
     dst = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("PIPELINE.P"), F.col("event_id") % 15, F.lit(".S"), F.col("event_id") % 4)).otherwise(F.concat(F.lit("OUTPUTS.O"), F.col("event_id") % 20))
@@ -640,7 +640,7 @@ def _lineage(spark, d):
 
 _L = """l AS (SELECT CASE WHEN event_id % 2 = 0 THEN 'SOURCE.U' || user_id % 40 ELSE 'PIPELINE.P' || user_id % 15 END AS src,
  CASE WHEN event_id % 2 = 0 THEN 'PIPELINE.P' || event_id % 15 ELSE 'OUTPUTS.O' || event_id % 20 END AS dst, event_type AS col,
- ['extract', 'transform', 'join', 'aggregate', 'load', 'update', 'fk'][event_id % 7 + 1] AS operation FROM events WHERE event_id <= 2000)"""
+ ['extract', 'transform', 'join', 'aggregate', 'load', 'update', 'fk'][event_id % 7 + 1] AS operation FROM events)"""
 _RANK = "CASE operation WHEN 'aggregate' THEN 100 WHEN 'join' THEN 90 WHEN 'transform' THEN 80 WHEN 'fk' THEN 60 WHEN 'extract' THEN 30 WHEN 'load' THEN 20 ELSE 0 END"
 
 
@@ -769,15 +769,15 @@ def q_domain_rules(spark, d):
 
 _DEC = f"""WITH {_T}, m AS (SELECT 'DW.' || name AS fqn, name, name LIKE '%LEGACY%' AS legacy, (TIMESTAMP '2010-01-01' + to_days(CAST(length(name) * 500 AS INT))) AS seen, CAST(regexp_extract(name, '[0-9]+$') AS INT) AS k FROM t),
  z AS (SELECT *, date_diff('day', seen, TIMESTAMP '2024-06-01') AS days FROM m),
- y AS (SELECT fqn, greatest(0, least(100, 100 - CASE WHEN k % 2 = 0 THEN 30 ELSE 0 END - CASE WHEN k % 3 = 0 THEN 60 ELSE 0 END - CASE WHEN k % 5 = 0 THEN 30 ELSE 0 END - CASE WHEN k % 7 = 0 THEN 10 ELSE 0 END + CASE WHEN days > 2555 THEN 20 ELSE 0 END + CASE WHEN legacy THEN 15 ELSE 0 END)) AS score FROM z)"""
+ y AS (SELECT fqn, greatest(0, least(100, 100 - CASE WHEN k BETWEEN 5 AND 20 THEN 30 ELSE 0 END - CASE WHEN k <= 9 THEN 60 ELSE 0 END - CASE WHEN k BETWEEN 30 AND 44 THEN 30 ELSE 0 END - CASE WHEN k >= 40 THEN 10 ELSE 0 END + CASE WHEN days > 2555 THEN 20 ELSE 0 END + CASE WHEN legacy THEN 15 ELSE 0 END)) AS score FROM z)"""
 
 
 @query(f"{_DEC} SELECT fqn, score::INT AS score, CASE WHEN score >= 80 THEN 'safe' WHEN score >= 50 THEN 'review' ELSE 'blocked' END AS verdict FROM y")
 def q_decommission_score(spark, d):
     t = _tables(spark, d)
     k = F.regexp_extract("name", "[0-9]+$", 0).cast("int")
-    by = lambda n: t.filter(k % n == 0).select("fqn", F.lit("p").alias("by"))
-    return catalog.decommission(t, by(3), by(2), by(5), by(7), "timestamp_ntz'2024-06-01'").select("fqn", "score", "verdict")
+    by = lambda low, high: t.filter(k.between(low, high)).select("fqn", F.lit("p").alias("by"))
+    return catalog.decommission(t, by(0, 9), by(5, 20), by(30, 44), by(40, 49), "timestamp_ntz'2024-06-01'").select("fqn", "score", "verdict")
 
 
 @query("SELECT * FROM (VALUES ('a.csv', 'x_mel,x_syd', 'disjoint'), ('b.csv', 'load_b,purge_b', 'lifecycle'), ('c.csv', 'one,two', 'update_back'), ('d.csv', 'p1,p2,p3,p4', 'unknown')) v(target, writers, pattern)")
