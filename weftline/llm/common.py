@@ -15,8 +15,21 @@ BLANKS = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows of an Arrow batch at most: batches of texts are held by the JVM and by its Python workers at once.
+BATCH_ROWS = 2048
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches by ``BATCH_ROWS``, unless the session asks for fewer rows itself."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key, "10000"))
+    if not 0 < now <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table of ``sf_dir``."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -25,6 +38,7 @@ def shared_folder(spark: SparkSession) -> str:
 
     One is made only where none is set, as in tests on one machine.
     """
+    small_batches(spark)
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
@@ -91,6 +105,7 @@ def texts(batch: pa.RecordBatch, name: str = "text", most: int = 1 << 20):
     A slice holds whole texts and about ``most`` bytes, so working memory is
     bounded by the larger of that and one text. Null texts are empty.
     """
+    pa.default_memory_pool().release_unused()  # of the batches before
     column = batch.column(batch.schema.get_field_index(name)).cast(pa.large_binary())
     if column.null_count:
         column = column.fill_null(b"")
