@@ -64,6 +64,51 @@ def test_weights_raise_the_held_out_likelihood():
     assert np.allclose(w.sum(1), 1) and w[9, 0] > 0.8 and w[1, 2] > 0.9
 
 
+def test_word_order_within_a_class_counts(spark, monkeypatch):
+    real = lm_scoring.Vocabulary.__init__
+    monkeypatch.setattr(lm_scoring.Vocabulary, "__init__", lambda self, common, *rest: real(self, common.slice(0, 0), *rest))
+    held = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 7 == 2]
+    rows = [(i, f"a{i % 20}xx b{i % 20}xx c{i % 20}xx d{i % 20}xx") for i in range(2000) if i not in held]
+    rows += [(held[0], "a1xx b1xx c1xx d1xx"), (held[1], "b1xx d1xx a1xx c1xx"), (held[2], "a1xx b1xx c1xx d2xx"), (held[3], "e1xx b1xx c1xx d1xx")]
+    got = {r.doc_id: r for r in lm_scoring.scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(got) == len(rows)
+    true, moved, last, first = (got[i].score for i in held[:4])
+    assert true > moved + 4 and true > last + 1 and true > first + 1
+
+
+def test_gram_counts_and_contexts_are_exact(spark):
+    rng = np.random.default_rng(5)
+    lists = [[f"w{x}" for x in rng.integers(0, 6, rng.integers(0, 30))] for _ in range(200)]
+    df = spark.createDataFrame([(i, i % 5 == 0, i % 5 == 1, " ".join(w)) for i, w in enumerate(lists)], "doc_id long, held_out boolean, deleted boolean, text string").repartition(3, "doc_id").localCheckpoint()
+    full, part = Counter(), Counter()
+    grams = [[tuple((["."] * 2 + w + ["."])[k + 2 - o : k + 3]) for k in range(len(w) + 1) for o in range(3)] for w in lists]
+    for i, g in enumerate(grams):
+        full.update(g if i % 5 else [])
+        part.update(g if i % 5 == 1 else [])
+
+    def act(piece, tokens, found):
+        import pyarrow as pa
+
+        text = np.repeat(piece.column(0).to_numpy(), np.diff(tokens[2], prepend=-1))
+        return pa.RecordBatch.from_arrays([pa.array(text), *(pa.array(x[o]) for x in found for o in range(3))], names=["doc_id", *(f"{c}{o}" for c in "fp"[: len(found)] for o in range(3))])
+
+    answers = lm_scoring.gram_counts(df)
+    form = ", ".join(["doc_id long", *(f"{c}{o} long" for c in "fp" for o in range(3))])
+    got = lm_scoring._met(df.filter("deleted").drop("deleted"), answers.filter("deleted"), 2, act, form).collect()
+    want = Counter((i, *(full[g[k + o]] for o in range(3)), *(part[g[k + o]] for o in range(3))) for i, g in enumerate(grams) if i % 5 == 1 for k in range(0, len(g), 3))
+    assert Counter(tuple(r) for r in got) == want
+
+
+def test_word_probabilities_of_a_context_sum_to_one():
+    # The context (end, a) was seen 5 times: before b 3 times and the end twice; a was seen 8 times: before b 5 times, a once and the end twice.
+    low = np.array([0.4, 0.3, 0.2, 0.1])  # the end, a, b and all unseen words
+    at = lambda c1, c2, c3, w: lm_scoring.word_terms(np.array([[8, c1, 9], [5, c2, 9], [0, c3, 9]]), np.array([2]), np.array([0.3, low[w], 0.4]))
+    terms = [at(9, 2, 2, 0), at(8, 1, 0, 1), at(5, 5, 3, 2), at(0, 0, 0, 3)]
+    assert np.isclose(sum(p3[1] for _, p3, _ in terms), 1) and np.isclose(sum(p2[1] for _, _, p2 in terms), 1)
+    assert all(b[1] == 3 and b[0] == 4 for b, _, _ in terms)
+    assert lm_scoring.word_terms(np.full((3, 1), 1 << 40), np.array([0]), np.ones(1))[0][0] == 41
+
+
 def test_hashes_follow_words():
     data = np.frombuffer(b"ab  cd\nab " + b"z" * (common._BLOCK + 5) + b" ab", np.uint8)
     _, _, h, bounds = common.words(data, np.array([0, len(data)]))

@@ -1,49 +1,58 @@
 """Language-model scores by deleted interpolation.
 
-Tokens are a text's words (A-Z lower-cased) and one end. The model is a class
-n-gram: the commonest words are classes of their own, all others share classes
-by their last two bytes, and
+Tokens are a text's words (A-Z lower-cased) and one end. The model mixes the
+maximum-likelihood word trigram and word bigram estimates, a class n-gram and
+the uniform estimate. The weights depend on how often the trigram's context of
+two words was seen (buckets by powers of two). They are learned by expectation
+maximisation on the counts of a deleted block, a seventh of the training
+documents, against estimates from the others; the final estimates use all
+training documents. Words never seen share one place, so the probabilities of
+a context sum to one.
+
+Word, bigram and trigram counts cover all training documents. A block of texts
+sends its distinct n-grams, sorted, delta coded and compressed, to the ranges
+that count them; each range answers a block with the totals of its n-grams in
+the same order, and the block's texts meet the answers to be scored. The table
+is read more than once and in one order; answers that don't belong to a
+block's texts are an error.
+
+The class n-gram serves contexts that are rare or unseen: the commonest words
+are classes of their own, all others share classes by their last two bytes, and
 
     P(w | h) = P(class | h) * (c(w) + 1) / (c(class) + V(class) + 1)
 
-where P(class | h) mixes the maximum-likelihood trigram, bigram and unigram
-estimates and the uniform one. The weights depend on how often the trigram's
-context was seen (buckets by powers of two). They are learned by expectation
-maximisation on the counts of a deleted block, a seventh of the training
-documents, against estimates from the others; the final estimates use all
-training documents. Words never seen share one place in each class, so the
-probabilities of a context sum to one.
-
-Word counts cover all training documents and are exact; they are gathered as
-sorted runs per task and summed by word. Counts of the commonest words reach
-the scoring pass as a table of fixed size. Every other word of a document is a
-row that meets its count in a join, one row for each distinct word of a
-document, and the documents' sums are added up by row. Class counts are dense
-tables of fixed size.
-
-Words are known by 64-bit hashes. Cases: a null text is an empty one and has
-just the end; without training documents every word is unseen; equal rows get
-equal scores; a null doc_id counts as the empty text for the division into
-training and held-out rows; an empty table gives an empty result.
+where P(class | h) mixes class estimates of three orders and the uniform one,
+by the count of a context of two coarse classes. Its tables have a fixed size.
+
+Words are known by 64-bit hashes, n-grams by 48-bit ones. Cases: a null text is
+an empty one and has just the end; without training documents every word is
+unseen; equal rows get equal scores; a null doc_id counts as the empty text for
+the division into training and held-out rows; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_remainder, saved, table, texts, words
+from .common import id_remainder, mix, saved, table, texts, words
 
 #: Classes: the end, words of their own, then classes by ending; and classes of a trigram's context.
 CLASSES, OWN, CONTEXT = 1024, 512, 32
-#: Slots of the table of common words; a word that loses its slot to a commoner one is joined instead.
+#: Slots of the table of common words; a word that loses its slot to a commoner one has the class of its ending.
 SLOTS = 1 << 18
 END = np.uint64(0x9C0FFEE5EED51DE5)
-#: Levels of a logged probability in the counts that expectation maximisation reads, a quarter of an octave each.
-LEVELS, STEP, BUCKETS = 64, 4, 24
+#: Levels of a logged probability in the counts that expectation maximisation reads, a quarter of an octave each (half a one for words).
+LEVELS, STEP, WORD_STEP, BUCKETS = 64, 4, 2, 64
+#: Bits of an n-gram's hash, and bytes of text that a block holds at least.
+KEY_BITS, BLOCK = 48, 1 << 23
+#: Class counts that travel in one piece, and the level of compressed pieces.
+CELLS, ZSTD = 1 << 15, 6
 
 
 def _endings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -86,7 +95,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 class Vocabulary:
-    """Common words by slot, classes and class sizes: fixed size, built from exact counts."""
+    """Common words by slot, classes and their numbers of words: fixed size, built from exact counts."""
 
     def __init__(self, common: pa.Table, endings: list, total: int, distinct: int):
         self.total, self.distinct = total, distinct
@@ -96,28 +105,25 @@ class Vocabulary:
         slot = (word >> np.uint64(46)).astype(np.int64)
         first = np.sort(np.unique(slot, return_index=True)[1])
         word, n, kind, slot = word[first], n[first], kind[first], slot[first]
-        self.word, self.n, self.own = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int64), np.zeros(SLOTS, np.int16)
-        self.word[slot], self.n[slot] = word, n
+        self.word, self.own = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int16)
+        self.word[slot] = word
         real = np.flatnonzero(kind >= 0)[: OWN - 1]
         self.own[slot[real]] = np.arange(1, len(real) + 1)
-        self.size, self.types = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
-        for e, words_, types in endings:
-            c = 0 if e < 0 else OWN + e
-            self.size[c], self.types[c] = words_, types
-        np.subtract.at(self.size, OWN + kind[real], n[real])
+        self.types = np.zeros(CLASSES, np.int64)
+        for e, _, types in endings:
+            self.types[0 if e < 0 else OWN + e] = types
         np.subtract.at(self.types, OWN + kind[real], 1)
-        self.size[1 : len(real) + 1], self.types[1 : len(real) + 1] = n[real], 1
+        self.types[1 : len(real) + 1] = 1
 
     def look(self, hashes: np.ndarray, kinds: np.ndarray):
-        """Counts (-1: not here), classes and context classes of tokens."""
+        """Classes and context classes of tokens."""
         slot = (hashes >> np.uint64(46)).astype(np.int64)
         here = self.word[slot] == hashes
-        n = np.where(here, self.n[slot], -1)
         own = np.where(here, self.own[slot], 0)
         classes = np.where(own > 0, own, OWN + kinds)
         classes[kinds < 0] = 0
         half = CONTEXT // 2
-        return n, classes.astype(np.int64), np.where(classes < half, classes, half + kinds % half).astype(np.int64)
+        return classes.astype(np.int64), np.where(classes < half, classes, half + kinds % half).astype(np.int64)
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
@@ -151,18 +157,21 @@ def class_counts(docs: DataFrame, held) -> DataFrame:
         sums, seen = np.zeros(cells, dtype=np.int64), False
         for batch in batches:
             for _, hashes, kinds, stops in _tokens(batch):
-                _, classes, coarse = held.value.look(hashes, kinds)
+                classes, coarse = held.value.look(hashes, kinds)
                 one, two = _contexts(classes, coarse, stops)
                 np.add.at(sums, one * CLASSES + classes, 1)
                 np.add.at(sums, pairs + two * CLASSES + classes, 1)
                 seen = True
         if seen:
-            full = np.flatnonzero(sums)
-            for i in range(0, len(full), 1 << 18):
-                part = full[i : i + (1 << 18)]
-                yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(sums[part])], names=["cell", "n"])
+            parts = [_packed(sums[i : i + CELLS]) for i in range(0, cells, CELLS)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts), dtype=np.int32)), pa.array(parts, pa.binary())], names=["part", "blob"])
+
+    def add(group: pa.Table) -> pa.Table:
+        sums = sum(_unpacked(x.as_py(), 1)[0] for x in group.column("blob")).astype(np.int64)
+        full = np.flatnonzero(sums)
+        return pa.table([pa.array((full + group.column("part")[0].as_py() * CELLS).astype(np.int32)), pa.array(sums[full])], names=["cell", "n"])
 
-    return docs.select("text").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(run, "part int, blob binary").groupBy("part").applyInArrow(add, "cell int, n long")
 
 
 def _dense(counts: DataFrame) -> np.ndarray:
@@ -179,8 +188,8 @@ class Estimates:
         self.pair = sums[: CLASSES * CLASSES].reshape(CLASSES, CLASSES)
         self.triple = sums[CLASSES * CLASSES :].reshape(CONTEXT * CONTEXT, CLASSES)
         self.after_one, self.after_two = self.pair.sum(1), self.triple.sum(1)
-        single, total = self.pair.sum(0), int(self.pair.sum())
-        self.single = single / total if total else np.full(CLASSES, 1 / CLASSES)
+        self.size, total = self.pair.sum(0), int(self.pair.sum())
+        self.single = self.size / total if total else np.full(CLASSES, 1 / CLASSES)
         self.bucket = np.minimum(BUCKETS - 1, np.ceil(np.log2(self.after_two + 1))).astype(np.int64)
 
     def of(self, one: np.ndarray, two: np.ndarray, classes: np.ndarray):
@@ -191,8 +200,8 @@ class Estimates:
         return self.bucket[two], p3, p2, p1
 
 
-def _level(p: np.ndarray) -> np.ndarray:
-    return np.where(p > 0, np.minimum(LEVELS - 2, np.round(-STEP * np.log2(np.maximum(p, 1e-12)))), LEVELS - 1).astype(np.int64)
+def _level(p: np.ndarray, step: int = STEP) -> np.ndarray:
+    return np.where(p > 0, np.minimum(LEVELS - 2, np.round(-step * np.log2(np.maximum(p, 1e-12)))), LEVELS - 1).astype(np.int64)
 
 
 def held_out_counts(docs: DataFrame, held, estimates) -> DataFrame:
@@ -202,7 +211,7 @@ def held_out_counts(docs: DataFrame, held, estimates) -> DataFrame:
         seen: dict[int, int] = {}
         for batch in batches:
             for _, hashes, kinds, stops in _tokens(batch):
-                _, classes, coarse = held.value.look(hashes, kinds)
+                classes, coarse = held.value.look(hashes, kinds)
                 bucket, p3, p2, p1 = estimates.value.of(*_contexts(classes, coarse, stops), classes)
                 keys, n = np.unique(((bucket * LEVELS + _level(p3)) * LEVELS + _level(p2)) * LEVELS + _level(p1), return_counts=True)
                 for k, c in zip(keys.tolist(), n.tolist(), strict=True):  # at most BUCKETS * LEVELS ** 3 keys
@@ -213,12 +222,12 @@ def held_out_counts(docs: DataFrame, held, estimates) -> DataFrame:
     return docs.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def mixture(counts: pa.Table, rounds: int = 40) -> np.ndarray:
-    """Weights (trigram, bigram, unigram, uniform) of each bucket by expectation maximisation."""
+def mixture(counts: pa.Table, rounds: int = 40, uniform: float = 1 / CLASSES, step: int = STEP) -> np.ndarray:
+    """Weights of the three estimates and the uniform one, for each bucket, by expectation maximisation."""
     key, n = counts.column("key").to_numpy(), counts.column("n").to_numpy().astype(float)
     levels = np.stack([key // LEVELS**2 % LEVELS, key // LEVELS % LEVELS, key % LEVELS], axis=1)
-    p = np.where(levels < LEVELS - 1, 2.0 ** (-levels / STEP), 0.0)
-    p = np.concatenate([p, np.full((len(p), 1), 1 / CLASSES)], axis=1)
+    p = np.where(levels < LEVELS - 1, 2.0 ** (-levels / step), 0.0)
+    p = np.concatenate([p, np.full((len(p), 1), uniform)], axis=1)
     bucket, out = key // LEVELS**3, np.full((BUCKETS, 4), 0.25)
     for b in range(BUCKETS):
         mine = bucket == b
@@ -234,65 +243,211 @@ def mixture(counts: pa.Table, rounds: int = 40) -> np.ndarray:
     return out
 
 
-def scored(docs: DataFrame, train: DataFrame, block: DataFrame) -> DataFrame:
-    """Scores of ``docs`` (doc_id, held_out, text) by a model of ``train``; ``block`` is its deleted part."""
-    context = docs.sparkSession.sparkContext
+def _grams(hashes: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """Hashes of the words, then of the word pairs, then of the word triples that end at each token; a text begins after two ends."""
+    near = np.append(END, hashes[:-1])
+    far = np.append([END, END], hashes[:-2])[: len(hashes)]
+    far[np.append(0, stops[:-1] + 1)] = END
+    one = hashes * np.uint64(0x9E3779B97F4A7C15)
+    two = one + near * np.uint64(0xC2B2AE3D27D4EB4F)
+    three = two + far * np.uint64(0x165667B19E3779F9)
+    return mix(np.concatenate([one + np.uint64(1), two + np.uint64(2), three + np.uint64(3)])) >> np.uint64(64 - KEY_BITS)
+
+
+def _packed(*columns: np.ndarray) -> bytes:
+    """Equally long arrays of numbers as compressed planes of bytes."""
+    planes = np.concatenate([np.ascontiguousarray(x, np.uint64).view(np.uint8).reshape(-1, 8).T for x in columns])
+    return planes.shape[1].to_bytes(8, "little") + pa.Codec("zstd", ZSTD).compress(planes.tobytes(), asbytes=True)
+
+
+def _unpacked(blob: bytes, columns: int) -> list[np.ndarray]:
+    n = int.from_bytes(blob[:8], "little")
+    planes = np.frombuffer(pa.decompress(blob[8:], decompressed_size=8 * n * columns, codec="zstd", asbytes=True), np.uint8).reshape(columns, 8, n)
+    return [np.ascontiguousarray(x.T).view(np.uint64).ravel() for x in planes]
+
+
+def _blocks(batches):
+    """``(number, slices)`` of runs of rows that have about ``BLOCK`` bytes of text; the number is a hash of the texts."""
+    held, size, name = [], 0, hashlib.blake2b(digest_size=8)
+    number = lambda: int.from_bytes(name.digest(), "little", signed=True)
+    for batch in batches:
+        for first, data, at in texts(batch):
+            held.append(batch.slice(first, len(at) - 1))
+            name.update(np.ascontiguousarray(at))
+            name.update(np.ascontiguousarray(data))
+            size += len(data)
+            if size >= BLOCK:
+                yield number(), held
+                held, size, name = [], 0, hashlib.blake2b(digest_size=8)
+    if held:
+        yield number(), held
+
+
+def gram_counts(rows: DataFrame) -> DataFrame:
+    """``block``, ``deleted``, ``part`` and ``blob``: for each block of texts, part by part, the training counts of its sorted n-grams.
+
+    A deleted block's answers hold the counts in all deleted blocks too.
+    """
+    parts = max(64, 4 * rows.rdd.getNumPartitions())
+    bounds = (np.arange(1, parts, dtype=np.float64) * (2.0**KEY_BITS / parts)).astype(np.uint64)
+    form = "block long, deleted boolean, part int, blob binary"
+    names = ["block", "deleted", "part", "blob"]
+
+    def emit(deleted):
+        def run(batches):
+            for number, held in _blocks(batches):
+                keys = []
+                for piece in held:
+                    train = ~piece.column(1).to_numpy(zero_copy_only=False)
+                    for first, hashes, _, stops in _tokens(piece):
+                        counted = np.repeat(train[first : first + len(stops)], np.diff(stops, prepend=-1))
+                        keys.append(_grams(hashes, stops) << np.uint64(1) | np.tile(counted, 3).astype(np.uint64))
+                keys = np.sort(np.concatenate(keys))
+                counted, keys = keys & np.uint64(1), keys >> np.uint64(1)
+                first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+                n, keys = np.add.reduceat(counted, first), keys[first]
+                cut = [0, *np.searchsorted(keys, bounds).tolist(), len(keys)]
+                full = [i for i in range(parts) if cut[i] < cut[i + 1]]
+                blobs = [_packed(np.diff(keys[cut[i] : cut[i + 1]], prepend=np.uint64(0)), n[cut[i] : cut[i + 1]]) for i in full]
+                m = len(full)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, number)), pa.array(np.full(m, deleted)), pa.array(full, pa.int32()), pa.array(blobs, pa.binary())], names=names)
+
+        return run
+
+    def count(group: pa.Table) -> pa.Table:
+        blobs = [_unpacked(x.as_py(), 2) for x in group.column("blob")]
+        deleted = group.column("deleted").to_pylist()
+        at = np.cumsum([0] + [len(n) for _, n in blobs])
+        keys, n = np.concatenate([np.cumsum(steps, dtype=np.uint64) for steps, _ in blobs]), np.concatenate([n for _, n in blobs])
+        order = np.argsort(keys)
+        keys = keys[order]
+        new = np.append(True, keys[1:] != keys[:-1])
+        first, which = np.flatnonzero(new), np.cumsum(new) - 1
+        total, part = np.empty_like(n), np.empty_like(n)
+        total[order] = np.add.reduceat(n[order], first)[which]
+        mine = np.where(np.repeat(deleted, np.diff(at)), n, np.uint64(0))
+        part[order] = np.add.reduceat(mine[order], first)[which]
+        answers = [_packed(total[s:e], part[s:e]) if d else _packed(total[s:e]) for s, e, d in zip(at[:-1], at[1:], deleted, strict=True)]
+        return group.select(names[:-1]).append_column("blob", pa.array(answers, pa.binary()))
+
+    sent = rows.filter("deleted").drop("deleted").mapInArrow(emit(True), form).unionByName(rows.filter("NOT deleted").drop("deleted").mapInArrow(emit(False), form))
+    return sent.groupBy("part").applyInArrow(count, form)
+
+
+def _met(rows: DataFrame, answers: DataFrame, columns: int, act, form: str) -> DataFrame:
+    """``act(slice, counts)`` for slices of ``rows``; counts are a function from tokens to ``columns`` arrays of three rows (word, pair, triple)."""
+
+    def pack(batches):
+        for number, held in _blocks(batches):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", ZSTD))) as out:
+                for piece in held:
+                    out.write_batch(piece)
+            yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([-1], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "part", "blob"])
+
+    def run(group: pa.Table) -> pa.Table:
+        parts, blobs = group.column("part").to_pylist(), group.column("blob")
+        packs, told = [i for i, p in enumerate(parts) if p < 0], {p: i for i, p in enumerate(parts) if p >= 0}  # equal blocks have equal answers
+        if not packs or not told:
+            raise RuntimeError("the documents were not read in the same order again")
+        found = [np.concatenate(x) for x in zip(*(_unpacked(blobs[told[p]].as_py(), columns) for p in sorted(told)), strict=True)]
+        return pa.Table.from_batches([x for i in packs for x in one(list(pa.ipc.open_stream(blobs[i].as_py())), found)])
+
+    def one(pieces, found):
+        tokens = [t for piece in pieces for t in _tokens(piece)]
+        keys = np.concatenate([_grams(hashes, stops) for _, hashes, _, stops in tokens])
+        order = np.argsort(keys)
+        keys = keys[order]
+        new = np.append(True, keys[1:] != keys[:-1])
+        which = np.empty(len(keys), dtype=np.int64)
+        which[order] = np.cumsum(new) - 1
+        if int(new.sum()) != len(found[0]):
+            raise RuntimeError("the answers are not those of the block")
+        out, at, each = [], 0, iter(tokens)
+        for piece in pieces:
+            done = 0
+            while done < len(piece):
+                first, hashes, kinds, stops = next(each)
+                mine = which[at : at + 3 * len(hashes)].reshape(3, -1)
+                at, done = at + mine.size, first + len(stops)
+                out.append(act(piece.slice(first, len(stops)), (hashes, kinds, stops), [x[mine].astype(np.int64) for x in found]))
+        return out
+
+    packs = rows.mapInArrow(pack, "block long, part int, blob binary")
+    return packs.unionByName(answers.select("block", "part", "blob")).groupBy("block").applyInArrow(run, form)
+
+
+def word_terms(counts: np.ndarray, stops: np.ndarray, low: np.ndarray):
+    """Bucket of each token's context of two words, and its trigram and bigram estimates, from the counts of words, pairs and triples.
+
+    ``low`` is the estimate below them. Every word but an end is followed by a token, so its count, or its pair's, is
+    that of the context; texts begin after ends, which are as many as the texts.
+    """
+    c1, c2, c3 = counts
+    n1, n2 = np.append(c1[stops[0]], c1[:-1]), np.append(c1[stops[0]], c2[:-1])
+    n2[np.append(0, stops[:-1] + 1)] = c1[stops[0]]
+    p2 = np.where(n1 > 0, c2 / np.maximum(n1, 1), low)
+    p3 = np.where(n2 > 0, c3 / np.maximum(n2, 1), p2)
+    return np.minimum(BUCKETS - 1, np.ceil(np.log2(n2 + 1))).astype(np.int64), p3, p2
+
+
+def scored(rows: DataFrame) -> DataFrame:
+    """Scores of ``rows`` (doc_id, held_out, deleted, text) by a model of those not held out; ``deleted`` marks its deleted part."""
+    context = rows.sparkSession.sparkContext
+    train, block = rows.filter("NOT held_out"), rows.filter("deleted")
     counts = saved(word_counts(train))
     known = vocabulary(counts)
     words_ = context.broadcast(known)
     full, part = _dense(class_counts(train, words_)), _dense(class_counts(block, words_))
-    weights = mixture(held_out_counts(block, words_, context.broadcast(Estimates(full - part))).toArrow())
-    model = context.broadcast((Estimates(full), weights))
-    names = ["row", "doc_id", "held_out", "n_tokens", "n_known", "logs", "fixed", "word", "times"]
-    types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
-
-    def run(batches):
-        vocabulary_, (estimates, mix_) = words_.value, model.value
-        spread = np.log10(vocabulary_.size + vocabulary_.types + 1)
-        row = TaskContext.get().partitionId() << 33
-        for batch in batches:
-            ids, out = batch.column(0), batch.column(1)
-            for first, hashes, kinds, stops in _tokens(batch):
-                n, classes, coarse = vocabulary_.look(hashes, kinds)
-                bucket, p3, p2, p1 = estimates.of(*_contexts(classes, coarse, stops), classes)
-                w = mix_[bucket]
-                p = w[:, 0] * p3 + w[:, 1] * p2 + w[:, 2] * p1 + w[:, 3] / CLASSES
-                begins = np.append(0, stops[:-1] + 1)
-                fixed = np.add.reduceat(np.log10(p) - spread[classes], begins)
-                logs = np.add.reduceat(np.where(n >= 0, np.log10(np.maximum(n, 0) + 1), 0.0), begins)
-                known_ = np.add.reduceat((n > 0).astype(np.int64), begins)
-                size = stops - begins + 1
-                # The rest: each distinct word of a text is a row; a text's own sums stand in a row with no word.
-                rest = np.flatnonzero(n < 0)
-                text = np.searchsorted(stops, rest)
-                order = np.lexsort((hashes[rest], text))
-                word, text = hashes[rest][order], text[order]
-                new = np.flatnonzero((np.diff(word, prepend=np.uint64(0)) != 0) | (np.diff(text, prepend=-1) != 0))
-                times = np.diff(np.append(new, len(word)))
-                word, text = word[new], text[new]
-                m, k = len(size), len(word)
-                rows = row + np.arange(m)
-                row += m
-                none = np.zeros(k, dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.append(rows, rows[text])), pa.concat_arrays([ids.slice(first, m).cast(types[1]), pa.nulls(k, types[1])]), pa.concat_arrays([out.slice(first, m), pa.nulls(k, types[2])]),
-                    pa.array(np.append(size, none)), pa.array(np.append(known_, none)), pa.array(np.append(logs, none.astype(float))), pa.array(np.append(fixed, none.astype(float))),
-                    pa.array(np.append(rows * 2654435761, word.view(np.int64))), pa.array(np.append(np.zeros(m, np.int64), times)),
-                ], names=names)
-
-    rows = docs.select("doc_id", "held_out", "text").mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, logs double, fixed double, word long, times long")
-    n = F.when(F.col("times") > 0, F.coalesce("n", F.lit(0))).otherwise(F.lit(0))
-    met = rows.join(counts.select("word", "n"), "word", "left").select("row", "doc_id", "held_out", "n_tokens", "fixed", (F.col("n_known") + F.when(n > 0, F.col("times")).otherwise(F.lit(0))).alias("n_known"), (F.col("logs") + F.col("times") * F.log10(n + 1)).alias("logs"))
-    sums = met.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("logs").alias("logs"), F.sum("fixed").alias("fixed"))
+    others = context.broadcast(Estimates(full - part))
+    weights = mixture(held_out_counts(block, words_, others).toArrow())
+    whole = context.broadcast(Estimates(full))
+    answers, uniform = saved(gram_counts(rows)), 1 / (known.distinct + 1)
+
+    def low(tokens, n, estimates):
+        """The class n-gram's estimates of tokens that occur ``n`` times."""
+        hashes, kinds, stops = tokens
+        classes, coarse = words_.value.look(hashes, kinds)
+        bucket, p3, p2, p1 = estimates.of(*_contexts(classes, coarse, stops), classes)
+        w = weights[bucket]
+        return (w[:, 0] * p3 + w[:, 1] * p2 + w[:, 2] * p1 + w[:, 3] / CLASSES) * (n + 1) / (estimates.size + words_.value.types + 1)[classes]
+
+    def levels(piece, tokens, found):
+        left = found[0] - found[1]
+        p1 = low(tokens, left[0], others.value)
+        bucket, p3, p2 = word_terms(left, tokens[2], p1)
+        keys, n = np.unique(((bucket * LEVELS + _level(p3, WORD_STEP)) * LEVELS + _level(p2, WORD_STEP)) * LEVELS + _level(p1, WORD_STEP), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["key", "n"])
+
+    seen = _met(block.drop("deleted"), answers.filter("deleted"), 2, levels, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()  # at most BUCKETS * LEVELS ** 3 keys
+    mix_ = mixture(seen, uniform=uniform, step=WORD_STEP)
     base = float(np.log10(known.total + known.distinct + 1))
-    return sums.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(known.total).cast("long").alias("train_tokens"), (F.col("logs") - F.col("n_tokens") * F.lit(base)).alias("base_score"), (F.col("logs") + F.col("fixed")).alias("score"))
+
+    def score(piece, tokens, found):
+        stops = tokens[2]
+        begins = np.append(0, stops[:-1] + 1)
+        n = found[0][0]
+        p1 = low(tokens, n, whole.value)
+        bucket, p3, p2 = word_terms(found[0], stops, p1)
+        w = mix_[bucket]
+        size = stops - begins + 1
+        logs = np.add.reduceat(np.log10(n + 1), begins) - size * base
+        total = np.add.reduceat(np.log10(w[:, 0] * p3 + w[:, 1] * p2 + w[:, 2] * p1 + w[:, 3] * uniform), begins)
+        return pa.RecordBatch.from_arrays([
+            piece.column(0).cast(pa.int64()), piece.column(1), pa.array(size), pa.array(np.add.reduceat((n > 0).astype(np.int64), begins)), pa.array(np.full(len(size), known_total)), pa.array(logs), pa.array(total),
+        ], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    known_total = int(known.total)
+    form = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    first = lambda piece, tokens, found: score(piece, tokens, found[:1])
+    rest = _met(rows.filter("NOT deleted").drop("deleted"), answers.filter("NOT deleted"), 1, score, form)
+    return _met(block.drop("deleted"), answers.filter("deleted"), 2, first, form).unionByName(rest)
 
 
 def scores(docs: DataFrame, folds: int = 7, held: int = 2, deleted: int = 3) -> DataFrame:
     """Scores of all ``docs``: training rows are those whose id's remainder isn't ``held``, and ``deleted`` is their block."""
     fold = id_remainder(F.col("doc_id"), folds)
-    rows = docs.select("doc_id", "text")
-    return scored(rows.withColumn("held_out", fold == held), rows.filter(fold != held), rows.filter(fold == deleted))
+    return scored(docs.select("doc_id", (fold == held).alias("held_out"), (fold == deleted).alias("deleted"), "text"))
 
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
