@@ -64,6 +64,18 @@ def test_recall_at_the_tolerance_and_no_false_hits(spark):
     assert dec.hits(df.limit(0), bench).count() == 0 and dec.hits(df, bench.limit(0)).count() == 0 and dec.clean(df, bench.limit(0)).count() == len(rows)
 
 
+def test_recall_by_length_of_the_item():
+    rng = random.Random(7)
+    some, _ = world(rng)
+    for n in [*range(1, 21), 24, 30]:
+        items = [some(n) for _ in range(150)]
+        index = dec.Index([(k, dec.plain_words(" ".join(w))) for k, w in enumerate(items)])
+        docs = [dec.plain_words(" ".join(some(30) + edited(rng, w, int(dec.TOLERANCE * n)) + some(30))) for w in items]
+        found = index.matches(np.concatenate(docs), np.cumsum([0] + [len(x) for x in docs]))
+        caught = sum((k, k) in found for k in range(len(items)))
+        assert caught == len(items) if n < dec.SEEDED else caught >= 0.95 * len(items), (n, caught)
+
+
 def test_items_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(dec, "BLOCK_WORDS", 30)
     some, items = world(random.Random(3))

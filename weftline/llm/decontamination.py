@@ -1,16 +1,19 @@
-"""Benchmark decontamination: CGK embedding, bit-sampling LSH and exact edit verification.
+"""Benchmark decontamination: exact seeds, CGK embedding, bit-sampling LSH and exact edit verification.
 
 Texts are compared by words (A-Z lower-cased, ASCII marks dropped). A document
 holds an item when some run of its words is within ``tolerance`` times the
 item's words in edit distance.
 
+An item of fewer than ``SEEDED`` words that may have d edits is cut into d + 1
+parts. One of them is unedited, so every text that holds the item has that run
+of words, and no such item is missed. Longer items are found by embeddings.
+
 The CGK embedding reads a window along a random walk: at each step it writes
 the word under the pointer and moves on if that word's random bit for the step
 is 1, so windows at small edit distance fall into step again and their
 embeddings differ in few places. A table of the index samples some places;
-windows that agree there with an item meet. Windows are as long as the item up
-to ``SPAN`` words; a longer item has several, so edits that crowd in one part
-leave others. All windows of a text walk together, and leave a table as soon
+windows that agree there with an item meet. Windows are ``SPAN`` words long; an
+item has several, so edits that crowd in one part leave others. All windows of a text walk together, and leave a table as soon
 as the places sampled so far agree with no item's. ``TABLES`` tables bring the
 recall at the tolerance over 0.95 (tests measure it); every meeting is then
 verified by the edit distance of the whole item to the text around it.
@@ -18,8 +21,7 @@ verified by the edit distance of the whole item to the text around it.
 The items are the query set: they go to every task in blocks of at most
 ``BLOCK_WORDS`` words, however many there are, and documents are not shuffled.
 
-Cases: null, empty or blank texts and items never match; an item shorter than
-a window is one window; equal rows of documents give equal rows, equal items
+Cases: null, empty or blank texts and items never match; equal rows of documents give equal rows, equal items
 each match; a null doc_id or item_id is carried; extra columns are kept by
 :func:`clean`; an empty table gives an empty result.
 """
@@ -30,9 +32,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import plain, table, texts, words
+from .common import grams, plain, table, texts, words
 
 SPAN, STRIDE, TABLES, SAMPLES = 10, 3, 12, 6
+#: Items below this number of words are found by exact runs.
+SEEDED = 20
 #: First steps that all tables share; each table samples one of them.
 EARLY = 3
 TOLERANCE = 0.2
@@ -72,14 +76,27 @@ def _embed(base: np.ndarray, starts: np.ndarray, span: int, steps: list[int], bi
 
 
 class Index:
-    """Sampled CGK embeddings of the windows of a block of items."""
+    """Exact runs of a block's short items, and sampled CGK embeddings of the windows of the others."""
 
     def __init__(self, items: list[tuple[int, np.ndarray]], tolerance: float = TOLERANCE, tables: int = TABLES, seed: int = 1):
         self.items, self.tolerance = [x for x in items if len(x[1])], tolerance
+        runs: dict[int, list] = {}
+        for k, (_, w) in enumerate(self.items):
+            if len(w) < SEEDED:
+                cuts = min(int(tolerance * len(w)) + 1, len(w))
+                size = len(w) // cuts
+                runs.setdefault(size, []).extend((k, s, grams(w[s : s + size], size)[0]) for s in (j * len(w) // cuts for j in range(cuts)))
+        self.seeds = []
+        for size, found in sorted(runs.items()):
+            found.sort(key=lambda x: x[2])
+            keys = np.array([x[2] for x in found], dtype=np.uint64)
+            mark = np.zeros(1 << 17, dtype=bool)
+            mark[keys >> np.uint64(47)] = True
+            self.seeds.append((size, mark, keys, [x[:2] for x in found]))
         rng = np.random.default_rng(seed)
         self.groups = []
-        for span in sorted({min(SPAN, len(w)) for _, w in self.items}):
-            where = [(k, s) for k, (_, w) in enumerate(self.items) if min(SPAN, len(w)) == span for s in sorted({*range(0, len(w) - span + 1, STRIDE), len(w) - span})]
+        for span in sorted({min(SPAN, len(w)) for _, w in self.items if len(w) >= SEEDED}):
+            where = [(k, s) for k, (_, w) in enumerate(self.items) if len(w) >= SEEDED and min(SPAN, len(w)) == span for s in sorted({*range(0, len(w) - span + 1, STRIDE), len(w) - span})]
             base, at = _padded([self.items[k][1][s : s + span] for k, s in where], span)
             bits = rng.integers(1, 1 << 31, size=(tables, 2 * span), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
             bits[:, :EARLY] = bits[0, :EARLY]  # the first steps are walked once for all tables
@@ -103,7 +120,15 @@ class Index:
             self.groups.append((span, where, drawn))
 
     def meetings(self, base: np.ndarray, bounds: np.ndarray):
-        """``(window start, item number, place in the item)`` of windows that agree with an item in a table."""
+        """``(start, item number, place in the item)`` of runs of a short item, and of windows that agree with an item in a table."""
+        for size, mark, keys, where in self.seeds:
+            runs = grams(base, size)
+            on = np.flatnonzero(mark[runs >> np.uint64(47)])
+            low, high = np.searchsorted(keys, runs[on]), np.searchsorted(keys, runs[on], "right")
+            met = np.flatnonzero((low < high) & (on + size <= bounds[np.searchsorted(bounds, on, "right")]))
+            for b, x, y in zip(on[met].tolist(), low[met].tolist(), high[met].tolist(), strict=True):
+                for i in range(x, y):
+                    yield b, *where[i]
         for span, where, drawn in self.groups:
             few = max(1, span - int(span * self.tolerance))
             parts = [base[s:e] for s, e in zip(bounds[:-1], bounds[1:], strict=True)]
