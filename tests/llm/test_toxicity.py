@@ -57,6 +57,15 @@ def test_stems_take_any_ending():
     assert kinds(automaton, tokens) == want
 
 
+def test_all_words_that_pass_are_in_the_lexicon(spark):
+    letters = "bcdfghklmn"
+    bad = [f"{a}{b}{a}" for a in letters for b in letters][:90]  # too short for stems
+    rows = [(" ".join(f"p{i} {w}" for w in bad), 1) for i in range(10)]
+    rows += [(" ".join(f"p{j % 10} n{(i * 7 + j) % 900}" for j in range(60)), 0) for i in range(400)]
+    found, _, _ = toxicity.lexicon(spark.createDataFrame(rows, "text string, toxic int"))
+    assert sorted(found) == sorted(w.encode() for w in bad)
+
+
 def rows_of(rng, n):
     clean = ["w%d" % i for i in range(300)]
     bad = ["idiot", "moron", "disgusting"]

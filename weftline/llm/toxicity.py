@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 
 from .common import id_remainder, plain, saved, table, texts, words
 
-#: Labelled rows that are fitted on, and words in the lexicon, at most.
-SAMPLE, LEXICON = 10_000, 64
+#: Labelled rows that are fitted on at most; they bound the lexicon, which holds all words and stems that reach the values below.
+SAMPLE = 10_000
 #: A lexicon word follows this many different words in toxic texts, is this many times commoner there, and its log-likelihood ratio reaches the third.
 SUPPORT, LIFT, RATIO = 5, 3.0, 25.0
 #: A stem has so many letters, at least so many words, and is this many times commoner in toxic texts.
@@ -282,7 +282,7 @@ def lexicon(rows: DataFrame) -> tuple[list[bytes], list[bytes], dict[bytes, int]
     word = F.col("word").cast("string")
     stems = by_word.select(F.explode(F.array(*[F.when(F.length(word) > n, F.substring(word, 1, n)) for n in STEM_LETTERS])).alias("stem"), "bad", "good")
     stems = stems.filter("stem IS NOT NULL").groupBy(F.encode("stem", "UTF-8").alias("word")).agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.count_if(F.col("bad") > F.col("good")).alias("words"))
-    kept = lambda df, least: df.filter((F.col("bad") >= SUPPORT) & (lift >= least)).withColumn("ratio", ratio).filter(F.col("ratio") >= RATIO).orderBy(F.desc("ratio"), F.length("word"), "word").limit(LEXICON)
+    kept = lambda df, least: df.filter((F.col("bad") >= SUPPORT) & (lift >= least)).withColumn("ratio", ratio).filter(F.col("ratio") >= RATIO).orderBy(F.desc("ratio"), F.length("word"), "word")
     # The strongest stem of a family stands for the family; what it covers, or what it would only widen, is left out.
     found: list[bytes] = []
     for r in kept(stems.filter(F.col("words") >= STEM_WORDS), STEM_LIFT).collect():
