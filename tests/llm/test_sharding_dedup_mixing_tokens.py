@@ -166,3 +166,10 @@ def test_token_counts_equal_the_library(spark, sf_dir):
     got = {(r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts.counted(df).collect()}
     assert got == {(i, len((t or "").encode()), n := len(model.encode(t or "")), n > 4096) for i, t, _ in odd_rows()}
     assert token_counts.counted(df.limit(0)).count() == 0
+
+
+def test_fit_takes_a_long_document_that_comes_nearer():
+    for lengths, counts, budget, want in [([3000], [1], 2000, 3000), ([3000], [1], 1000, 0), ([100, 3000], [1, 1], 2000, 3000), ([400_000], [1], 380_000, 400_000), ([7, 400_000], [1, 1], 380_000, 400_000), ([300_000, 900_000], [1, 1], 290_000, 300_000)]:
+        lengths, counts = np.array(lengths), np.array(counts)
+        take = mixing.fit(lengths, counts, budget)
+        assert (take <= counts).all() and abs(int((lengths * take).sum()) - want) <= 7, (lengths, budget, take)

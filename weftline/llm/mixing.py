@@ -60,6 +60,15 @@ def targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, weights: tu
     )
 
 
+def _nearer(lengths: np.ndarray, counts: np.ndarray, take: np.ndarray, budget: int) -> np.ndarray:
+    """``take`` with one more document, of any length, if that comes nearer to ``budget``."""
+    rest, free = budget - int((lengths * take).sum()), np.flatnonzero(take < counts)
+    if len(free):
+        i = free[np.argmin(np.abs(lengths[free] - rest))]
+        take[i] += abs(rest - int(lengths[i])) < abs(rest)
+    return take
+
+
 def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """How many documents of each length to take so that their words come nearest ``budget``."""
     total = int((lengths * counts).sum())
@@ -85,9 +94,9 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
                 rest -= more * int(lengths[i])
     goal = int(min(rest, 4 * FITTED))
     if goal <= 0:
-        return take
-    # Bounded knapsack over reachable sums as bits; counts split in powers of two. Some sums above the goal are kept, to come nearest from either side.
-    top = goal + min(goal, 512)
+        return _nearer(lengths, counts, take, budget)
+    # Bounded knapsack over reachable sums as bits; counts split in powers of two. Sums up to twice the goal are kept, to come nearest from either side.
+    top = 2 * goal
     mask, sums, steps = (1 << (top + 1)) - 1, 1, []
     for i in order[::-1]:
         free, part = int(min(counts[i] - take[i], top // lengths[i])), 1
@@ -105,7 +114,7 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
         if not before >> best & 1:
             take[i] += n
             best -= n * int(lengths[i])
-    return take
+    return _nearer(lengths, counts, take, budget)
 
 
 def _quotas(pdf: pd.DataFrame) -> pd.DataFrame:
