@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import os
+import hashlib
+import re
 import tempfile
 
 import numpy as np
@@ -36,13 +37,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder that all executors share: the session's ``spark.checkpoint.dir``.
 
-    One is made only where none is set, as in tests on one machine.
+    One is made only where none is set and all tasks run on this machine, as in
+    tests; on a cluster a folder of one machine would lose data, so that is an
+    error.
     """
     small_batches(spark)
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "checkpoints"))
+        if not shared and not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoints-"))
     return context.getCheckpointDir()
 
 
@@ -68,7 +73,6 @@ _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BLOCK = 1 << 18
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -80,18 +84,29 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+_SIZE, _NEXT, _LEFT = np.uint64(0xA24BAED4963EE407), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F)
+#: Masks of the first 0 to 8 bytes of eight.
+_FIRST = np.array([0, *((1 << 8 * n) - 1 for n in range(1, 9))], dtype=np.uint64)
+#: Words of more bytes are hashed by BLAKE2b.
+_LANES = 64
 
 
-_BYTE_BASE, _WORD_BASE = 0x5851F42D4C957F2D, 0x2545F4914F6CDD1D
-_BYTE_VALUE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
-_UP = _powers(_BYTE_BASE, _BLOCK + 1)
-_DOWN = _powers(pow(_BYTE_BASE, -1, 1 << 64), _BLOCK + 1)
-_WORD_UP = _powers(_WORD_BASE, 1 << 12)
-_WORD_DOWN = _powers(pow(_WORD_BASE, -1, 1 << 64), 1 << 12)
+def _word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
+    """64-bit hashes of the words: eight bytes at a time, each scrambled into what came before, with the word's length."""
+    padded = np.zeros(len(data) + 8, dtype=np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    size = ends - starts
+    out = mix((eight[starts] & _FIRST[np.minimum(size, 8)]) + (size + (seed << 40)).astype(np.uint64) * _SIZE)
+    left, at = np.flatnonzero(size > 8), 8
+    while len(left) and at < _LANES:
+        out[left] = mix(out[left] * _NEXT ^ (eight[starts[left] + at] & _FIRST[np.minimum(size[left] - at, 8)]))
+        at += 8
+        left = left[size[left] > at]
+    for i in left.tolist():
+        key = hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8, key=seed.to_bytes(8, "little"))
+        out[i] = int.from_bytes(key.digest(), "little")
+    return out
 
 
 def hash_bytes(data: bytes) -> int:
@@ -121,10 +136,11 @@ def texts(batch: pa.RecordBatch, name: str = "text", most: int = 1 << 20):
         first = last
 
 
-def words(data: np.ndarray, at: np.ndarray, lower: bool = False):
+def words(data: np.ndarray, at: np.ndarray, lower: bool = False, seed: int = 0):
     """Words of the texts in ``data`` cut at ``at``: starts, ends, 64-bit hashes, and the first word of each text.
 
-    The last array has one entry more than there are texts.
+    The last array has one entry more than there are texts. Hashes of different
+    seeds are unrelated.
     """
     if lower:
         data = _LOWER[data]
@@ -136,37 +152,23 @@ def words(data: np.ndarray, at: np.ndarray, lower: bool = False):
     closes = inside
     closes[:-1] &= ~inside[1:] | begins[1:-1]
     starts, ends = np.flatnonzero(opens), np.flatnonzero(closes) + 1
-    hashes = np.empty(len(starts), dtype=np.uint64)
-    i = 0
-    while i < len(starts):
-        j = max(i + 1, int(np.searchsorted(ends, starts[i] + _BLOCK, "right")))
-        s, e = starts[i:j] - starts[i], ends[i:j] - starts[i]
-        span = data[starts[i] : ends[j - 1]]
-        up, down = (_UP, _DOWN) if len(span) <= _BLOCK else (_powers(_BYTE_BASE, len(span) + 1), _powers(pow(_BYTE_BASE, -1, 1 << 64), len(span) + 1))
-        sums = np.zeros(len(span) + 1, dtype=np.uint64)
-        np.cumsum(_BYTE_VALUE[span] * up[: len(span)], out=sums[1:])
-        hashes[i:j] = mix((sums[e] - sums[s]) * down[s])
-        i = j
-    return starts, ends, hashes, np.searchsorted(starts, at)
+    return starts, ends, _word_hashes(data, starts, ends, seed), np.searchsorted(starts, at)
 
 
 def grams(hashes: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of all runs of ``k`` words (across text bounds too; callers mask those)."""
-    n = len(hashes) - k + 1
-    if n <= 0:
+    """Hashes of all runs of ``k`` words (across text bounds too; callers mask those).
+
+    A run's hash scrambles those of its two halves, so no pattern of repeated
+    words makes different runs equal.
+    """
+    if len(hashes) < k:
         return np.zeros(0, dtype=np.uint64)
-    if k <= 8:
-        out = np.zeros(n, dtype=np.uint64)
-        for i in range(k):
-            out += hashes[i : n + i] * _WORD_UP[i + 1]
-        return mix(out)
-    out, step = np.empty(n, dtype=np.uint64), len(_WORD_UP) - k
-    for i in range(0, n, step):  # powers repeat for each block, so a long text needs no longer tables
-        j = min(n, i + step)
-        sums = np.zeros(j - i + k, dtype=np.uint64)
-        np.cumsum(hashes[i : j + k - 1] * _WORD_UP[: j - i + k - 1], out=sums[1:])
-        out[i:j] = (sums[k:] - sums[: j - i]) * _WORD_DOWN[: j - i]
-    return mix(out)
+    out, width = mix(hashes + np.uint64(k) * _SIZE), 1
+    while width < k:
+        step = min(width, k - width)  # the last halves overlap
+        out = mix(out[:-step] * _LEFT + out[step:])
+        width += step
+    return out
 
 
 # --- bounded bit tables ---------------------------------------------------------
@@ -181,6 +183,14 @@ def bit_rows(keys: DataFrame, column: str, bits: int = BITS) -> DataFrame:
     return keys.select(F.call_function("div", at, F.lit(64)).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(pmod(xxhash64(`{column}`), {bits}L), 64) as int))").alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("mask"))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until ``df`` has no such column (names are compared without case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def perhaps(df: DataFrame, column: str, keys: DataFrame, key: str, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
     """Rows of ``df`` that may be, and rows that can't be, among ``keys``, without moving ``df``.
 
@@ -188,12 +198,12 @@ def perhaps(df: DataFrame, column: str, keys: DataFrame, key: str, bits: int = B
     that aren't among the keys, never the reverse, so an exact join of the first
     part settles them; with many keys that part grows towards all of ``df``.
     """
-    table_ = F.broadcast(bit_rows(keys, key, bits).select(F.col("word").alias("_word"), F.col("mask").alias("_mask")))
-    at = F.pmod(F.xxhash64(column), F.lit(bits))
-    marked = df.withColumn("_at", at).join(table_, F.call_function("div", F.col("_at"), F.lit(64)) == F.col("_word"), "left")
-    hit = F.coalesce(F.expr("getbit(_mask, cast(pmod(_at, 64) as int))") == 1, F.lit(False))
-    extra = ["_at", "_word", "_mask"]
-    return marked.filter(hit).drop(*extra), marked.filter(~hit).drop(*extra)
+    at, word, mask = (fresh(df, x) for x in ("at", "word", "mask"))
+    table_ = F.broadcast(bit_rows(keys, key, bits).select(F.col("word").alias(word), F.col("mask").alias(mask)))
+    marked = df.withColumn(at, F.pmod(F.xxhash64(column), F.lit(bits)))
+    marked = marked.join(table_, F.call_function("div", F.col(at), F.lit(64)) == F.col(word), "left")
+    hit = F.coalesce(F.expr(f"getbit(`{mask}`, cast(pmod(`{at}`, 64) as int))") == 1, F.lit(False))
+    return marked.filter(hit).drop(at, word, mask), marked.filter(~hit).drop(at, word, mask)
 
 
 def without(df: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:

@@ -7,33 +7,36 @@ occurrence owns a contiguous range of windows around it.
 
 1. Seed: anchors are counted by their documents. An anchor of one document
    only ends here.
-2. Extend: for an anchor of several documents, its owned range and all words
-   that those windows reach, to the left and the right, are compared by hash.
-   Where all occurrences reach alike, one row stands for the range. Where they
-   differ, each window of the range is a row, so the part of the extension that
-   matches is found on either side.
-3. A row whose hash also stands in a document with a smaller doc_id marks its
+2. Extend: ranges of anchors that may be shared are joined to the shared ones.
+   Where all occurrences of an anchor reach alike, to the left and the right,
+   one row stands for the range. Where they differ, the texts that have such
+   ranges are opened, and each window of those ranges is a row, so the part of
+   the extension that matches is found on either side.
+3. A row whose words also stand in a document with a smaller doc_id marks its
    words; adjoining marks make maximal repeats, and those words go.
 
-A range or window is compared with the smallest document that has it, never
-with all others, so a passage in a third of all documents costs one row for
-each of them. Keys are the anchor's 64-bit hash together with the range's or
-window's own 64-bit hash.
+A range or window is known by a 128-bit BLAKE2b digest of its words
+themselves, so no clash of word hashes removes a word. It is compared with the
+smallest document that has it, never with all others, so a passage in a third
+of all documents costs one row for each of them.
 
-Shared anchors reach the second pass by a bit table of fixed size, which may
-only let more rows through; beyond ``SHARED_MOST`` anchors they are joined
-instead. Either way the rows compared are the same.
+Shared anchors and opened texts are looked up in bit tables of fixed size
+first, which spare rows from being moved; exact joins follow. The fuller a
+table, the more rows are moved; results and path are the same.
 
 Cases: words are runs of ``[^\\x20\\x09-\\x0D]``, unchanged; null texts and
-texts of fewer than ``window`` words lose nothing; a document never matches
-itself, nor an equal doc_id; rows with a null doc_id count as larger than all
-others and keep their words among themselves; an empty table gives an empty
-result.
+texts of fewer than ``window`` words lose nothing; a very long text is read
+whole, in one task, and costs memory in proportion to its length; a document
+never matches itself, nor a row of equal doc_id; rows of one doc_id with
+different texts are judged each by its own words, equal rows alike; rows with
+a null doc_id count as larger than all others and keep their words among
+themselves; further columns are ignored, whatever their names; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
 
-import hashlib
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -43,9 +46,8 @@ from pyspark.sql import functions as F
 from .common import grams, has_bit, mix, packed_bits, perhaps, saved, table, texts, words
 
 SEED, WINDOW = 25, 50
-#: Bits of each table of shared anchors (4 MB), and anchors that a table is used for.
+#: Bits of the table of shared anchors: 4 MB.
 TABLE_BITS = 1 << 25
-SHARED_MOST = 1 << 23
 
 
 def selected(hashes: np.ndarray, window: int, seed: int) -> np.ndarray:
@@ -83,11 +85,30 @@ class Ranges:
 
 
 def _ranges(batch: pa.RecordBatch, window: int, seed: int):
-    """``(row, Ranges)`` of the texts that have a window."""
+    """``(row, Ranges, Digests)`` of the texts that have a window."""
     for row, data, at in texts(batch):
-        _, _, hashes, bounds = words(data, at)
+        starts, ends, hashes, bounds = words(data, at)
         for i in np.flatnonzero(np.diff(bounds) >= window):
-            yield row + int(i), Ranges(hashes[bounds[i] : bounds[i + 1]], window, seed)
+            mine = slice(bounds[i], bounds[i + 1])
+            yield row + int(i), Ranges(hashes[mine], window, seed), Digests(data, starts[mine], ends[mine])
+
+
+class Digests:
+    """Digests of a text's runs of words, joined by one space."""
+
+    def __init__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+        self.data, self.starts, self.ends = data, starts, ends
+
+    def of(self, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Two longs for each run of words from ``first`` to before ``end``."""
+        if not len(first):
+            return np.zeros((0, 2), dtype=np.int64)
+        body = memoryview(b" ".join(self.data[self.starts[0] : self.ends[-1]].tobytes().split()))
+        size = self.ends - self.starts + 1
+        after = np.cumsum(size)
+        begin, stop = (after - size)[first].tolist(), (after[end - 1] - 1).tolist()
+        found = b"".join([blake2b(body[s:e], digest_size=16).digest() for s, e in zip(begin, stop, strict=True)])
+        return np.frombuffer(found, np.int64).reshape(-1, 2)
 
 
 def _batches(rows, names, types, most=1 << 17):
@@ -111,7 +132,7 @@ def anchors(docs: DataFrame, window: int, seed: int) -> DataFrame:
             ids = batch.column(0).to_numpy()
 
             def rows(batch=batch, ids=ids):
-                for i, r in _ranges(batch, window, seed):
+                for i, r, _ in _ranges(batch, window, seed):
                     both = np.unique(np.stack([r.anchor, r.reach], axis=1), axis=0) if len(r.anchor) > 1 else np.stack([r.anchor, r.reach], axis=1)
                     yield np.ascontiguousarray(both[:, 0]).view(np.int64), np.ascontiguousarray(both[:, 1]).view(np.int64), np.full(len(both), ids[i])
 
@@ -120,77 +141,88 @@ def anchors(docs: DataFrame, window: int, seed: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "anchor long, reach long, doc_id long")
 
 
-def _bit_of(hashes: np.ndarray) -> np.ndarray:
-    return hashes % np.uint64(TABLE_BITS)
+_ROWS = "k1 long, k2 long, doc_id long, body long, first long, last long"
+_NAMES = ["k1", "k2", "doc_id", "body", "first", "last"]
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and body, which tells rows of one doc_id apart by their texts."""
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("body"))
 
 
 def spans(docs: DataFrame, window: int, seed: int, shared: DataFrame) -> DataFrame:
-    """k1, k2, doc_id, first, last: ranges, or single windows where reaches differ, of shared anchors."""
-    counts = shared.agg(F.count(F.lit(1))).first()[0]
-    if counts <= SHARED_MOST:
-        at = F.expr(f"pmod(anchor, {TABLE_BITS}L)")
-        tables = [packed_bits(shared.filter(cond).select(at.alias("at")), "at", TABLE_BITS) for cond in ("not differs", "differs")]
-        held = docs.sparkSession.sparkContext.broadcast(tables)
-    else:
-        held = None
-
-    def rows(batch, ids, alike, differ):
-        for i, r in _ranges(batch, window, seed):
-            bit = _bit_of(r.anchor)
-            single = has_bit(differ, bit)
-            whole = has_bit(alike, bit) & ~single
-            yield r.anchor[whole].view(np.int64), r.reach[whole].view(np.int64), np.full(int(whole.sum()), ids[i]), r.first[whole], r.last[whole]
-            size = (r.last - r.first + 1)[single]
-            start = np.repeat(r.first[single] - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(size.sum())
-            offset = np.repeat((r.first + r.offset)[single], size) - start
-            key = mix(r.windows[start] + offset.astype(np.uint64) * np.uint64(0xA24BAED4963EE407) + np.uint64(1))
-            yield np.repeat(r.anchor[single], size).view(np.int64), key.view(np.int64), np.full(len(start), ids[i]), start, start
-
-    names, types = ["k1", "k2", "doc_id", "first", "last"], [pa.int64()] * 5
+    """k1, k2, doc_id, body, first, last: the ranges of shared anchors, or their single windows where reaches differ."""
+    at = F.expr(f"pmod(anchor, {TABLE_BITS}L)")
+    held = docs.sparkSession.sparkContext.broadcast(packed_bits(shared.select(at.alias("at")), "at", TABLE_BITS))
 
     def run(batches):
-        alike, differ = (np.frombuffer(x, np.uint8) for x in held.value)
+        bits = np.frombuffer(held.value, np.uint8)
         for batch in batches:
-            yield from _batches(rows(batch, batch.column(0).to_numpy(), alike, differ), names, types)
+            ids, bodies = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+
+            def rows(batch=batch, ids=ids, bodies=bodies):
+                for i, r, digests in _ranges(batch, window, seed):
+                    on = has_bit(bits, r.anchor % np.uint64(TABLE_BITS))
+                    first, last = r.first[on], r.last[on]
+                    keys = digests.of(first, last + window)
+                    yield keys[:, 0], keys[:, 1], np.full(len(first), ids[i]), np.full(len(first), bodies[i]), first, last, r.anchor[on].view(np.int64)
+
+            yield from _batches(rows(), [*_NAMES, "anchor"], [pa.int64()] * 7)
 
-    def run_all(batches):
-        none, every = np.zeros(TABLE_BITS // 8, np.uint8), np.full(TABLE_BITS // 8, 255, np.uint8)
+    ranges = docs.select("doc_id", "text", "body").mapInArrow(run, f"{_ROWS}, anchor long")
+    met = saved(ranges.join(shared, "anchor").select(*_NAMES, "differs"))
+    places = F.collect_set(F.struct("first", "last")).alias("places")  # of one text, by its own words
+    return met.filter("NOT differs").drop("differs").unionByName(saved(opened(docs, saved(met.filter("differs").groupBy("doc_id", "body").agg(places)), window)))
+
+
+def opened(docs: DataFrame, ranges: DataFrame, window: int) -> DataFrame:
+    """The single windows of the ``ranges`` (doc_id, body, places) of ``docs``."""
+    maybe, _ = perhaps(docs.select("doc_id", "body", "text"), "body", ranges, "body")
+
+    def run(batches):
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            for kind in ((every, none), (none, every)):
-                for out in _batches(rows(batch, ids, *kind), names, types):
-                    yield out.append_column("differs", pa.array(np.full(len(out), kind[0] is none)))
+            ids, bodies, places = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3)
+
+            def rows(batch=batch, ids=ids, bodies=bodies, places=places):
+                for row, data, at in texts(batch):
+                    starts, ends, _, bounds = words(data, at)
+                    for i in range(len(at) - 1):
+                        pairs = places[row + i].values.flatten()
+                        first, last = (np.asarray(x) for x in pairs)
+                        size = last - first + 1
+                        start = np.repeat(first - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(size.sum())
+                        mine = slice(bounds[i], bounds[i + 1])
+                        keys = Digests(data, starts[mine], ends[mine]).of(start, start + window)
+                        yield keys[:, 0], keys[:, 1], np.full(len(start), ids[row + i]), np.full(len(start), bodies[row + i]), start, start
+
+            yield from _batches(rows(), _NAMES, [pa.int64()] * 6)
 
-    source = docs.select("doc_id", "text")
-    schema = "k1 long, k2 long, doc_id long, first long, last long"
-    if held is not None:
-        return source.mapInArrow(run, schema)
-    every = source.mapInArrow(run_all, f"{schema}, differs boolean")
-    return every.join(shared.withColumnRenamed("anchor", "k1"), ["k1", "differs"], "left_semi").drop("differs")
+    return maybe.join(ranges, ["doc_id", "body"]).select("doc_id", "body", "text", "places").mapInArrow(run, _ROWS)
 
 
 def repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
-    """doc_id, spans: word ranges [first, end) of a document that stand in one with a smaller doc_id.
+    """doc_id, body, spans: word ranges [first, end) of a text that stand in a row with a smaller doc_id.
 
-    Spans of one document may adjoin or overlap; their union is its repeats.
+    ``docs`` has doc_id, text and body. Spans of one text may adjoin or overlap; their union is its repeats.
     """
     if not 1 <= seed < window:
         raise ValueError("a seed is shorter than a window")
-    known = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text")
+    known = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     found = anchors(known, window, seed).groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min("reach").alias("a"), F.max("reach").alias("b"))
     shared = saved(found.filter("low < high").select("anchor", (F.col("a") != F.col("b")).alias("differs")))
-    rows = saved(spans(known, window, seed, shared))
+    rows = spans(known, window, seed, shared)
     least = saved(rows.groupBy("k1", "k2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("k1", "k2", "low"))
     hit = rows.join(least, ["k1", "k2"]).filter("low < doc_id")
-    return hit.groupBy("doc_id").agg(F.collect_set(F.struct("first", (F.col("last") + window).alias("end"))).alias("spans"))
+    return hit.groupBy("doc_id", "body").agg(F.collect_set(F.struct("first", (F.col("last") + window).alias("end"))).alias("spans"))
 
 
 def cut(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
     """doc_id, n_words, n_removed and kept (the text of the words that stay, joined by one space)."""
+    docs = _keyed(docs)
     found = saved(repeats(docs, window, seed))
-    maybe, clean = perhaps(docs.select("doc_id", "text"), "doc_id", found, "doc_id")
+    maybe, clean = perhaps(docs, "body", found, "body")
     none = F.lit(None).cast("array<struct<first:bigint,end:bigint>>")
-    both = maybe.join(found, "doc_id", "left").unionByName(clean.withColumn("spans", none))
+    both = maybe.join(found, ["doc_id", "body"], "left").unionByName(clean.withColumn("spans", none)).select("doc_id", "text", "spans")
 
     def run(batches):
         for batch in batches:
@@ -202,9 +234,8 @@ def cut(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
                     w = raw[at[i] : at[i + 1]].split()
                     gone = np.zeros(len(w) + 1, dtype=np.int64)
                     for x in marks[row + i].as_py() or ():
-                        if x["end"] <= len(w):  # another row of this doc_id may be longer
-                            gone[x["first"]] += 1
-                            gone[x["end"]] -= 1
+                        gone[x["first"]] += 1
+                        gone[x["end"]] -= 1
                     gone = np.cumsum(gone)[:-1] > 0
                     n_words.append(len(w))
                     n_removed.append(int(gone.sum()))
