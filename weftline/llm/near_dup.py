@@ -7,9 +7,11 @@ one set.
 
 1. Token frequencies are counted over all documents, packed (sorted, delta
    coded and compressed per task). Tokens in ``frequent`` documents or more are
-   the frequent class, known to every task by a bit table of fixed size. A
-   clash in that table, or in the shortened counting keys, only makes a rare
-   token frequent; as it does so for every document, no link is lost.
+   the frequent class, known to every task by a bit table that grows with their
+   number up to ``BITS_MOST``. A clash in that table, or in the shortened
+   counting keys, only makes a rare token frequent; as it does so for every
+   document, no link is lost, and a full table only means that all tokens are
+   indexed in combinations.
 2. In the order rare, frequent, each class by hash, a set of n tokens with
    m = n - ceil(t n) + 1 indexes its first m rare tokens alone. If it has only
    R < m rare ones, its prefix goes on into the frequent class, where tokens
@@ -17,24 +19,30 @@ one set.
    prefix is extended until the cells' token counts, less one for each cell,
    sum to m - R. If two linked sets had no indexed item in common, each cell
    would hold at most one common token, so that more than n - ceil(t n) tokens
-   of the prefix that ends first were not shared, a contradiction. Small sets
-   index frequent tokens alone. The number of cells doubles with the size;
-   sets near a bound index under both numbers, as linked sizes differ by 1/t.
+   of the prefix that ends first were not shared, a contradiction. The number
+   of cells is one for the smallest sets and doubles with the size; sets near a
+   bound index under both numbers, as linked sizes differ by 1/t.
 3. A rare token's list is short (fewer than ``frequent`` documents): its pairs
    are candidates if their sizes, and the places of their common rare tokens,
    allow a link. A frequent item's list may hold
    a third of all sets: all of it is compared with one pivot, the set with
    fewest rare tokens. Members linked with the pivot need no pairs among
-   themselves; the others are compared with all members, unless rare tokens,
-   which pairs met here don't share, or the sets' parity tables, whose
-   differing bits never outnumber the differing tokens, rule the link out.
-4. Candidates are verified on whole token sets, and linked sets are grouped
-   by star contraction.
+   themselves. The others are compared among themselves, and with linked
+   members if they are near enough to the pivot for that (set differences obey
+   the triangle inequality), unless rare tokens, which pairs met here don't
+   share, or the sets' parity tables, whose differing bits never outnumber the
+   differing tokens, rule the link out.
+4. Candidates are verified on whole token sets, hashed anew from the words with
+   another seed, and linked sets are grouped by star contraction.
 
 Cases: words are runs of ``[^\\x20\\x09-\\x0D]``, A-Z lower-cased; fewer than
 ``k`` words make one token; a null, empty or blank text has no tokens and links
-with nothing; equal rows share a group; a null doc_id takes part and never is a
-group's id unless all its ids are null; an empty table gives an empty result.
+with nothing; a very long text is read whole, in one task, and its memory is
+in proportion to its length; equal rows share a group; rows of one doc_id may
+have different texts and groups; a null doc_id takes part and never is a
+group's id unless all its ids are null; further columns are ignored by
+:func:`groups` and kept by :func:`one_each`, whatever their names; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -44,29 +52,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BITS, grams, has_bit, mix, packed_bits, perhaps, saved, table, texts, without, words
+from .common import BITS, fresh, grams, has_bit, mix, packed_bits, perhaps, saved, table, texts, without, words
 from .components import labels
 
 #: Bits of a token that are counted, and tokens that one counting block holds.
 COUNTED_BITS, BLOCK = 40, 1 << 21
-#: Frequent tokens that the bit table holds at most; more raise the frequency that counts as frequent.
-FREQUENT_MOST = BITS // 8
+#: Documents that make a token frequent.
 FREQUENT = 16
-#: Sets below this size index frequent tokens alone; it is also three times the first number of cells.
-SMALL = 48
+#: Bits of the table of frequent tokens at most (32 MB); it has eight for each token up to there.
+BITS_MOST = 1 << 28
 
 
-def token_sets(batch: pa.RecordBatch, k: int):
+def token_sets(batch: pa.RecordBatch, k: int, seed: int = 0):
     """``(row, sorted distinct tokens)`` of every text of a batch; the array is empty without words."""
     for first, data, at in texts(batch):
-        _, _, hashes, bounds = words(data, at, lower=True)
+        _, _, hashes, bounds = words(data, at, lower=True, seed=seed)
         runs = grams(hashes, k)
         for i in range(len(at) - 1):
             s, e = bounds[i], bounds[i + 1]
             if e - s >= k:
                 yield first + i, np.unique(runs[s : e - k + 1])
             elif e > s:
-                yield first + i, mix(np.array([np.bitwise_xor.reduce(hashes[s:e] * (np.arange(e - s, dtype=np.uint64) * np.uint64(2) + np.uint64(3))) + np.uint64(e - s)], dtype=np.uint64))
+                yield first + i, grams(hashes[s:e], e - s)
             else:
                 yield first + i, hashes[:0]
 
@@ -139,13 +146,13 @@ def _whole(f):
     return run
 
 
-def frequent_bits(docs: DataFrame, k: int, least: int = FREQUENT, most: int = FREQUENT_MOST) -> bytes:
-    """The bit table of the frequent class, at the lowest doubled frequency that ``most`` tokens reach."""
+def frequent_bits(docs: DataFrame, k: int, least: int = FREQUENT, most: int = BITS_MOST) -> bytes:
+    """The bit table of the frequent class."""
     counts = saved(frequent_tokens(docs, k, least))
-    steps = [least << i for i in range(40)]
-    row = counts.agg(*[F.count_if(F.col("df") >= s).alias(str(s)) for s in steps]).first()
-    bound = next(s for s in steps if row[str(s)] <= most)
-    return packed_bits(counts.filter(F.col("df") >= bound).select(F.pmod("token", F.lit(BITS)).alias("at")), "at", BITS)
+    n, bits = counts.count(), min(BITS, most)
+    while bits < min(8 * n, most):
+        bits *= 2
+    return packed_bits(counts.select(F.pmod("token", F.lit(bits)).alias("at")), "at", bits)
 
 
 #: Bits of a set's parity table: bit b is the parity of the number of its tokens in cell b.
@@ -167,21 +174,19 @@ def signatures(tokens: np.ndarray, bits: np.ndarray, percent: int):
     """Number of rare tokens, rare items and frequent items of a token set."""
     n = len(tokens)
     m = n - needed(n, percent) + 1
-    common = has_bit(bits, tokens % np.uint64(BITS))
+    common = has_bit(bits, tokens % np.uint64(8 * len(bits)))
     rare = tokens[~common]
     if len(rare) >= m:
         return len(rare), rare[:m], tokens[:0]
-    often, need, out = tokens[common], m - len(rare), []
-    high = -(-SMALL * 100 // percent)
-    if n < high:
-        out.append(mix(often[:need] + np.uint64(1)))
-    cells, low = SMALL // 3, SMALL
+    often, need, out = tokens[common], m - len(rare), [tokens[:0]]
+    cells, low = 1, 2  # a set of one token links with none but its like
     while n >= low:
-        if n < -(-2 * low * 100 // percent):
+        high = 6 * cells
+        if n < -(-high * 100 // percent):
             cell = (often >> np.uint64(20)) % np.uint64(cells)
-            fresh = np.zeros(len(often), dtype=np.int64)
-            fresh[np.unique(cell, return_index=True)[1]] = 1
-            p = int(np.searchsorted(np.arange(1, len(often) + 1) - np.cumsum(fresh), need)) + 1
+            again = np.ones(len(often), dtype=np.int64)
+            again[np.unique(cell, return_index=True)[1]] = 0
+            p = int(np.searchsorted(np.cumsum(again), need)) + 1
             part, cell = often[:p], cell[:p]
             order = np.argsort(cell, kind="stable")
             part, cell = part[order], cell[order]
@@ -192,15 +197,15 @@ def signatures(tokens: np.ndarray, bits: np.ndarray, percent: int):
                     break
                 out.append(mix(part[:-step][same] * np.uint64(0xBF58476D1CE4E5B9) + mix(part[step:][same]) + np.uint64(cells)))
                 step += 1
-        cells, low = 2 * cells, 2 * low
+        cells, low = 2 * cells, high
     return len(rare), rare, np.unique(np.concatenate(out))
 
 
 def indexed(docs: DataFrame, k: int, percent: int, bits: bytes) -> DataFrame:
-    """doc_id, n, key, r, rare and often (items of the index) and bits (parity table) of every document."""
+    """doc_id, row, n, key, r, rare and often (items of the index) and bits (parity table) of every document."""
     shared = docs.sparkSession.sparkContext.broadcast(bits)
     types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64())]
-    names = ["doc_id", "n", "key", "r", "rare", "often", "bits"]
+    names = ["doc_id", "row", "n", "key", "r", "rare", "often", "bits"]
 
     def lists(parts: list[np.ndarray]) -> pa.Array:
         at = np.zeros(len(parts) + 1, dtype=np.int32)
@@ -210,12 +215,12 @@ def indexed(docs: DataFrame, k: int, percent: int, bits: bytes) -> DataFrame:
     def run(batches):
         table_ = np.frombuffer(shared.value, np.uint8)
         for batch in batches:
-            ids = batch.column(batch.schema.get_field_index("doc_id")).cast(pa.int64())
+            ids, marks = (batch.column(batch.schema.get_field_index(c)).cast(pa.int64()) for c in ("doc_id", "row"))
             rows, size, first = [], 0, 0
 
             def flush(last, rows):
                 n, key, r, rare, often, odd = zip(*rows, strict=True)
-                return pa.RecordBatch.from_arrays([ids.slice(first, last - first), pa.array(n, types[1]), pa.array(key, types[2]), pa.array(r, types[3]), lists(rare), lists(often), lists(odd)], names=names)  # noqa: B023
+                return pa.RecordBatch.from_arrays([ids.slice(first, last - first), marks.slice(first, last - first), pa.array(n, types[1]), pa.array(key, types[2]), pa.array(r, types[3]), lists(rare), lists(often), lists(odd)], names=names)  # noqa: B023
 
             for i, tokens in token_sets(batch, k):
                 if len(tokens):
@@ -230,7 +235,7 @@ def indexed(docs: DataFrame, k: int, percent: int, bits: bytes) -> DataFrame:
             if rows:
                 yield flush(len(batch), rows)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n int, key long, r int, rare array<long>, often array<long>, bits array<long>")
+    return docs.select("doc_id", "row", "text").mapInArrow(run, "doc_id long, row long, n int, key long, r int, rare array<long>, often array<long>, bits array<long>")
 
 
 def rare_pairs(items: DataFrame, percent: int) -> DataFrame:
@@ -293,7 +298,7 @@ def plausible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs of ``pairs`` that link, on their whole token sets.
+    """The pairs of ``pairs`` that link, on their whole token sets, hashed from the words with another seed.
 
     Only documents that stand for a set of some pair are read again.
     """
@@ -305,12 +310,12 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percen
         seen: set[int] = set()
         for batch in batches:
             keys, sets, size = [], [], 0
-            for _, tokens in token_sets(batch, k):
+            for (_, tokens), (_, anew) in zip(token_sets(batch, k), token_sets(batch, k, 1), strict=True):
                 if len(tokens) and (key := set_key(tokens)) not in seen:
                     if len(seen) < 100_000:  # spares copies within a task; the grouping below settles the rest
                         seen.add(key)
                     keys.append(key)
-                    sets.append(tokens.view(np.int64))
+                    sets.append(anew.view(np.int64))
                     size += len(tokens)
                 if size > 1 << 19:
                     yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["key", "tokens"])
@@ -338,37 +343,65 @@ def linked(items: DataFrame, docs: DataFrame, k: int, percent: int) -> tuple[Dat
     star = member.filter(fits(F.col("n"), F.col("pn")) & could(F.col("r"), F.col("pr"), F.col("n"), F.col("pn"))).select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b")).distinct()
     one = saved(plausible(saved(rare_pairs(real, percent).unionByName(star).distinct()), nodes, percent))
     links = verified(one, nodes, docs, k, percent)
-    # Members that don't link with their item's pivot meet all others there.
-    sides = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    far = saved(member.join(sides, (F.col("pivot") == F.col("a")) & (F.col("key") == F.col("b")), "left_anti").select("item", "key", "n", "r", "bits"))
+    # Members that don't link with their item's pivot meet each other there, and the linked ones if near enough.
+    sides = saved(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    tied = (F.col("pivot") == F.col("a")) & (F.col("key") == F.col("b"))
+    far = saved(member.join(sides, tied, "left_anti").select("item", "key", "n", "r", "bits", "pivot", "pn"))
     if far.isEmpty():
         return nodes, links
-    other = often.select("item", F.col("key").alias("key2"), F.col("n").alias("n2"), F.col("r").alias("r2"), F.col("bits").alias("bits2"))
-    two = far.join(other, (far["item"] == other["item"]) & (F.col("key") != F.col("key2")) & fits(F.col("n"), F.col("n2")) & could(F.col("r"), F.col("r2"), F.col("n"), F.col("n2")) & ((100 + percent) * apart("bits", "bits2", PARITY // 64) <= (100 - percent) * (F.col("n") + F.col("n2"))))
-    two = two.select(F.least("key", "key2").alias("a"), F.greatest("key", "key2").alias("b")).distinct().join(one, ["a", "b"], "left_anti")
+    differ = lambda x, y, total: (100 + percent) * apart(x, y, PARITY // 64) <= (100 - percent) * total
+    other = lambda df: df.select("item", F.col("key").alias("key2"), F.col("n").alias("n2"), F.col("r").alias("r2"), F.col("bits").alias("bits2"))
+    # A set that links with both x and the pivot has x.n * 100 / percent tokens at most.
+    reach = F.col("n") + F.col("pn") + 2 * F.floor(F.col("n") * 100 / percent)
+    close = far.join(nodes.select(F.col("key").alias("pivot"), F.col("bits").alias("pbits")), "pivot").filter(differ("bits", "pbits", reach))
+    near = member.join(sides, tied, "left_semi")
+    fit = fits(F.col("n"), F.col("n2")) & could(F.col("r"), F.col("r2"), F.col("n"), F.col("n2")) & differ("bits", "bits2", F.col("n") + F.col("n2"))
+    met = [x.join(saved(other(y)), "item").filter((F.col("key") != F.col("key2")) & fit).select(F.least("key", "key2").alias("a"), F.greatest("key", "key2").alias("b")) for x, y in ((far, far), (close, near))]
+    two = met[0].unionByName(met[1]).distinct().join(one, ["a", "b"], "left_anti")
     return nodes, links.unionByName(verified(saved(plausible(saved(two), nodes, percent)), nodes, docs, k, percent))
 
 
-def groups(docs: DataFrame, k: int = 5, percent: int = 80, frequent: int = FREQUENT) -> DataFrame:
-    """doc_id, n_shingles and component_id (smallest doc_id of the group) of every document."""
+def _grouped(docs: DataFrame, k: int, percent: int, frequent: int) -> tuple[DataFrame, DataFrame]:
+    """doc_id, row, n and key of the rows of ``docs`` (doc_id, row, text), and the label of each key's group (key, first, label)."""
     if percent < 60:
         raise ValueError("the cells of an extended prefix suit similarities of 0.6 or more")
-    bits = frequent_bits(docs, k, frequent)
-    items = saved(indexed(docs, k, percent, bits))
+    items = saved(indexed(docs, k, percent, frequent_bits(docs, k, frequent)))
     nodes, links = linked(items, docs, k, percent)
     marks = labels(links)
     named = nodes.join(marks, nodes["key"] == marks["node"], "left").select("key", "first", F.coalesce("label", "key").alias("label"))
-    named, tops = saved(named), saved(named.groupBy("label").agg(F.min("first").alias("component_id")))  # both written, so that a large group's rows can be split
+    return items.select("doc_id", "row", "n", "key"), saved(named)  # written, so that a large group's rows can be split
+
+
+def groups(docs: DataFrame, k: int = 5, percent: int = 80, frequent: int = FREQUENT) -> DataFrame:
+    """doc_id, n_shingles and component_id (smallest doc_id of the group) of every document."""
+    items, named = _grouped(docs.select("doc_id", F.lit(0).cast("long").alias("row"), "text"), k, percent, frequent)
+    tops = saved(named.groupBy("label").agg(F.min("first").alias("component_id")))
     of = saved(named.join(tops, "label").select("key", "component_id"))
     rows = items.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "key")
     full = rows.filter("n_shingles > 0").join(of, "key").select("doc_id", "n_shingles", "component_id")
     return full.unionByName(rows.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
-def one_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that stay when each group keeps its smallest doc_id."""
-    drop = groups(docs, k, percent).filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return without(docs, saved(drop))
+def one_each(docs: DataFrame, k: int = 5, percent: int = 80, frequent: int = FREQUENT) -> DataFrame:
+    """The rows of ``docs`` that stay when each group keeps one row, that of the smallest doc_id (null last).
+
+    Of rows with that doc_id the one with the smallest hash of all columns
+    stays, and of wholly equal rows one. Rows without words all stay.
+    """
+    row = fresh(docs, "row")
+    keyed = docs.withColumn(row, F.xxhash64(*docs.columns))
+    items, named = _grouped(keyed.select("doc_id", F.col(row).alias("row"), "text"), k, percent, frequent)
+    rows = saved(items.filter("n > 0").join(named.select("key", "label"), "key").select("label", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row").alias("rank")))
+    best = saved(rows.groupBy("label").agg(F.min("rank").alias("best")))
+    told = rows.join(best, "label")
+    drop = told.filter("rank <> best").select(F.col("rank.row").alias(row)).distinct()
+    repeated = saved(told.filter("rank = best").groupBy(F.col("rank.row").alias(row)).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(row))
+    stay = without(keyed, saved(drop), row)
+    if repeated.isEmpty():
+        return stay.drop(row)
+    maybe, no = perhaps(stay, row, repeated, row)
+    once = maybe.join(repeated, row, "left_anti").unionByName(maybe.join(repeated, row, "left_semi").dropDuplicates(docs.columns))
+    return no.unionByName(once).drop(row)
 
 
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
