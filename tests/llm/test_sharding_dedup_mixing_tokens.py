@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -191,12 +192,35 @@ def test_token_counts_equal_the_library(spark, sf_dir):
     model = sentencepiece.SentencePieceProcessor(model_file=token_counts.vocabulary_path())
     odd = ["", " ", "  ", "a", " a", "a ", "a  b   c ", "\n", "a\nb \n c", "<s> x </s>", "▁a▁▁b ", "é ﬁ ½", "日本語テキスト", "\x00 a", "\t a", "😀 😀", "   x"]
     texts = odd + [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
-    counter = token_counts.Counted(token_counts.vocabulary_path(), kept=500)
-    assert counter.of(texts) == [len(x) for x in model.encode(texts)]
-    df = docs_of(spark, odd_rows())
-    got = {(r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts.counted(df).collect()}
-    assert got == {(i, len((t or "").encode()), n := len(model.encode(t or "")), n > 4096) for i, t, _ in odd_rows()}
+    counter = token_counts.Counted(token_counts.vocabulary_path())
+    rows = [(i, t, "x") for i, t in enumerate(texts)] + [(-1, None, "x"), (-2, "a\u3000b \u00a0c\u200b d", "x"), (-2, "a", "x"), (None, "q" * 20_000, "x"), (-3, "word " * 300_000, "x")]
+    assert counter.of(["", "a", " a"]) == [1, len(model.encode("a")), len(model.encode(" a"))]
+    want = Counter((i, len((t or "").encode()), n := len(model.encode(t or "")), n > 4096) for i, t, _ in rows)
+    for df in (docs_of(spark, rows), docs_of(spark, rows).withColumns({c: F.lit(1) for c in ("block", "part", "blob")}).repartition(5)):
+        df = df.localCheckpoint()
+        assert Counter((r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts.counted(df).collect()) == want
+    df = docs_of(spark, odd_rows() * 2)
+    got = Counter((r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts.counted(df).collect())
+    assert got == Counter((i, len((t or "").encode()), n := len(model.encode(t or "")), n > 4096) for i, t, _ in odd_rows() * 2)
     assert token_counts.counted(df.limit(0)).count() == 0
+    with pytest.raises(Exception, match="nowhere"):
+        token_counts.counted(df, "/nowhere/x.model").collect()
+
+
+def test_a_pre_token_has_one_range(spark, monkeypatch):
+    monkeypatch.setattr(token_counts, "BLOCK", 2000)
+    rng = random.Random(1)
+    rows = [(i, " ".join(f"w{rng.randrange(500)}" for _ in range(200)), "x") for i in range(40)]
+    df = docs_of(spark, rows).repartition(4, "doc_id").localCheckpoint()
+    questions = token_counts.asked(df.select("doc_id", "text"), 8)
+    assert questions.count() > 8
+    lists = [pa.decompress(r.blob, decompressed_size=r["size"], codec="zstd", asbytes=True).split(token_counts.BETWEEN) for r in questions.collect()]
+    assert {w.decode() for x in lists for w in x} == {w for _, t, _ in rows for w in t.split()}
+    by = defaultdict(set)
+    for r, x in zip(questions.collect(), lists, strict=True):
+        for w in x:
+            by[w].add(r.part)
+    assert all(len(p) == 1 for p in by.values())
 
 
 def test_fit_takes_a_long_document_that_comes_nearer():

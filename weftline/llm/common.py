@@ -225,6 +225,42 @@ def has_bit(table_: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (table_[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) != 0
 
 
+# --- blocks of texts ------------------------------------------------------------
+
+#: The level of compressed pieces.
+ZSTD = 6
+
+
+def packed(*columns: np.ndarray) -> bytes:
+    """Equally long arrays of numbers as compressed planes of bytes."""
+    planes = np.concatenate([np.ascontiguousarray(x, np.uint64).view(np.uint8).reshape(-1, 8).T for x in columns])
+    return planes.shape[1].to_bytes(8, "little") + pa.Codec("zstd", ZSTD).compress(planes.tobytes(), asbytes=True)
+
+
+def unpacked(blob: bytes, columns: int) -> list[np.ndarray]:
+    """The arrays that :func:`packed` packed, as unsigned numbers."""
+    n = int.from_bytes(blob[:8], "little")
+    planes = np.frombuffer(pa.decompress(blob[8:], decompressed_size=8 * n * columns, codec="zstd", asbytes=True), np.uint8).reshape(columns, 8, n)
+    return [np.ascontiguousarray(x.T).view(np.uint64).ravel() for x in planes]
+
+
+def blocks(batches, least: int):
+    """``(number, slices)`` of runs of rows that have about ``least`` bytes of text; the number is a hash of the texts."""
+    held, size, name = [], 0, hashlib.blake2b(digest_size=8)
+    number = lambda: int.from_bytes(name.digest(), "little", signed=True)
+    for batch in batches:
+        for first, data, at in texts(batch):
+            held.append(batch.slice(first, len(at) - 1))
+            name.update(np.ascontiguousarray(at))
+            name.update(np.ascontiguousarray(data))
+            size += len(data)
+            if size >= least:
+                yield number(), held
+                held, size, name = [], 0, hashlib.blake2b(digest_size=8)
+    if held:
+        yield number(), held
+
+
 _MARKS = np.ones(256, dtype=bool)
 _MARKS[[c for c in range(33, 127) if not chr(c).isalnum()]] = False
 

@@ -33,14 +33,12 @@ result.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_remainder, mix, saved, table, texts, words
+from .common import ZSTD, blocks, id_remainder, mix, packed, saved, table, texts, unpacked, words
 
 #: Classes: the end, words of their own, then classes by ending; and classes of a trigram's context.
 CLASSES, OWN, CONTEXT = 1024, 512, 32
@@ -51,8 +49,8 @@ END = np.uint64(0x9C0FFEE5EED51DE5)
 LEVELS, STEP, WORD_STEP, BUCKETS = 64, 4, 2, 64
 #: Bits of an n-gram's hash, and bytes of text that a block holds at least.
 KEY_BITS, BLOCK = 48, 1 << 23
-#: Class counts that travel in one piece, and the level of compressed pieces.
-CELLS, ZSTD = 1 << 15, 6
+#: Class counts that travel in one piece.
+CELLS = 1 << 15
 
 
 def _endings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -163,11 +161,11 @@ def class_counts(docs: DataFrame, held) -> DataFrame:
                 np.add.at(sums, pairs + two * CLASSES + classes, 1)
                 seen = True
         if seen:
-            parts = [_packed(sums[i : i + CELLS]) for i in range(0, cells, CELLS)]
+            parts = [packed(sums[i : i + CELLS]) for i in range(0, cells, CELLS)]
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts), dtype=np.int32)), pa.array(parts, pa.binary())], names=["part", "blob"])
 
     def add(group: pa.Table) -> pa.Table:
-        sums = sum(_unpacked(x.as_py(), 1)[0] for x in group.column("blob")).astype(np.int64)
+        sums = sum(unpacked(x.as_py(), 1)[0] for x in group.column("blob")).astype(np.int64)
         full = np.flatnonzero(sums)
         return pa.table([pa.array((full + group.column("part")[0].as_py() * CELLS).astype(np.int32)), pa.array(sums[full])], names=["cell", "n"])
 
@@ -254,35 +252,6 @@ def _grams(hashes: np.ndarray, stops: np.ndarray) -> np.ndarray:
     return mix(np.concatenate([one + np.uint64(1), two + np.uint64(2), three + np.uint64(3)])) >> np.uint64(64 - KEY_BITS)
 
 
-def _packed(*columns: np.ndarray) -> bytes:
-    """Equally long arrays of numbers as compressed planes of bytes."""
-    planes = np.concatenate([np.ascontiguousarray(x, np.uint64).view(np.uint8).reshape(-1, 8).T for x in columns])
-    return planes.shape[1].to_bytes(8, "little") + pa.Codec("zstd", ZSTD).compress(planes.tobytes(), asbytes=True)
-
-
-def _unpacked(blob: bytes, columns: int) -> list[np.ndarray]:
-    n = int.from_bytes(blob[:8], "little")
-    planes = np.frombuffer(pa.decompress(blob[8:], decompressed_size=8 * n * columns, codec="zstd", asbytes=True), np.uint8).reshape(columns, 8, n)
-    return [np.ascontiguousarray(x.T).view(np.uint64).ravel() for x in planes]
-
-
-def _blocks(batches):
-    """``(number, slices)`` of runs of rows that have about ``BLOCK`` bytes of text; the number is a hash of the texts."""
-    held, size, name = [], 0, hashlib.blake2b(digest_size=8)
-    number = lambda: int.from_bytes(name.digest(), "little", signed=True)
-    for batch in batches:
-        for first, data, at in texts(batch):
-            held.append(batch.slice(first, len(at) - 1))
-            name.update(np.ascontiguousarray(at))
-            name.update(np.ascontiguousarray(data))
-            size += len(data)
-            if size >= BLOCK:
-                yield number(), held
-                held, size, name = [], 0, hashlib.blake2b(digest_size=8)
-    if held:
-        yield number(), held
-
-
 def gram_counts(rows: DataFrame) -> DataFrame:
     """``block``, ``deleted``, ``part`` and ``blob``: for each block of texts, part by part, the training counts of its sorted n-grams.
 
@@ -295,7 +264,7 @@ def gram_counts(rows: DataFrame) -> DataFrame:
 
     def emit(deleted):
         def run(batches):
-            for number, held in _blocks(batches):
+            for number, held in blocks(batches, BLOCK):
                 keys = []
                 for piece in held:
                     train = ~piece.column(1).to_numpy(zero_copy_only=False)
@@ -308,14 +277,14 @@ def gram_counts(rows: DataFrame) -> DataFrame:
                 n, keys = np.add.reduceat(counted, first), keys[first]
                 cut = [0, *np.searchsorted(keys, bounds).tolist(), len(keys)]
                 full = [i for i in range(parts) if cut[i] < cut[i + 1]]
-                blobs = [_packed(np.diff(keys[cut[i] : cut[i + 1]], prepend=np.uint64(0)), n[cut[i] : cut[i + 1]]) for i in full]
+                blobs = [packed(np.diff(keys[cut[i] : cut[i + 1]], prepend=np.uint64(0)), n[cut[i] : cut[i + 1]]) for i in full]
                 m = len(full)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(m, number)), pa.array(np.full(m, deleted)), pa.array(full, pa.int32()), pa.array(blobs, pa.binary())], names=names)
 
         return run
 
     def count(group: pa.Table) -> pa.Table:
-        blobs = [_unpacked(x.as_py(), 2) for x in group.column("blob")]
+        blobs = [unpacked(x.as_py(), 2) for x in group.column("blob")]
         deleted = group.column("deleted").to_pylist()
         at = np.cumsum([0] + [len(n) for _, n in blobs])
         keys, n = np.concatenate([np.cumsum(steps, dtype=np.uint64) for steps, _ in blobs]), np.concatenate([n for _, n in blobs])
@@ -327,7 +296,7 @@ def gram_counts(rows: DataFrame) -> DataFrame:
         total[order] = np.add.reduceat(n[order], first)[which]
         mine = np.where(np.repeat(deleted, np.diff(at)), n, np.uint64(0))
         part[order] = np.add.reduceat(mine[order], first)[which]
-        answers = [_packed(total[s:e], part[s:e]) if d else _packed(total[s:e]) for s, e, d in zip(at[:-1], at[1:], deleted, strict=True)]
+        answers = [packed(total[s:e], part[s:e]) if d else packed(total[s:e]) for s, e, d in zip(at[:-1], at[1:], deleted, strict=True)]
         return group.select(names[:-1]).append_column("blob", pa.array(answers, pa.binary()))
 
     sent = rows.filter("deleted").drop("deleted").mapInArrow(emit(True), form).unionByName(rows.filter("NOT deleted").drop("deleted").mapInArrow(emit(False), form))
@@ -338,7 +307,7 @@ def _met(rows: DataFrame, answers: DataFrame, columns: int, act, form: str) -> D
     """``act(slice, counts)`` for slices of ``rows``; counts are a function from tokens to ``columns`` arrays of three rows (word, pair, triple)."""
 
     def pack(batches):
-        for number, held in _blocks(batches):
+        for number, held in blocks(batches, BLOCK):
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", ZSTD))) as out:
                 for piece in held:
@@ -350,7 +319,7 @@ def _met(rows: DataFrame, answers: DataFrame, columns: int, act, form: str) -> D
         packs, told = [i for i, p in enumerate(parts) if p < 0], {p: i for i, p in enumerate(parts) if p >= 0}  # equal blocks have equal answers
         if not packs or not told:
             raise RuntimeError("the documents were not read in the same order again")
-        found = [np.concatenate(x) for x in zip(*(_unpacked(blobs[told[p]].as_py(), columns) for p in sorted(told)), strict=True)]
+        found = [np.concatenate(x) for x in zip(*(unpacked(blobs[told[p]].as_py(), columns) for p in sorted(told)), strict=True)]
         return pa.Table.from_batches([x for i in packs for x in one(list(pa.ipc.open_stream(blobs[i].as_py())), found)])
 
     def one(pieces, found):
