@@ -2,7 +2,9 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from weftline.llm import toxicity
 from weftline.llm.queries import QUERIES
@@ -100,6 +102,64 @@ def test_misspelled_and_quoted_words(spark):
     assert toxicity.scored(docs.limit(0), model).count() == 0
 
 
+def brute_features(text, lexicon, stems):
+    """The features of an ASCII text (and curly quotes), character by character."""
+    found, word, begin = [], "", 0
+    for i, c in enumerate([*text, " "]):
+        if c in " \t\n\x0b\x0c\r":
+            if word:
+                found.append((word, begin))
+            word = ""
+        elif c.isalnum() or ord(c) > 126:
+            begin = begin if word else i
+            word += c.lower()
+    out, n = [1.0] + [0.0] * 8, max(1, len(found))
+    plain, stem, soft = 0, 0, 0
+    for k, (w, at) in enumerate(found):
+        if w in lexicon or any(edit(w, x) <= toxicity.allowed(x.encode()) for x in lexicon) and not any(w.startswith(x) for x in stems):
+            kind = "word"
+        elif any(w.startswith(x) for x in stems):
+            kind = "stem"
+        else:
+            continue
+        line = text[text.rfind("\n", 0, at) + 1 : text.find("\n", at) if "\n" in text[at:] else len(text)]
+        here = at - (text.rfind("\n", 0, at) + 1)
+        marks = [c in '"\u201c\u201d\u201e' for c in line]
+        quoted = sum(marks[:here]) % 2 == 1 and sum(marks[here:]) > 0
+        told = any(x in toxicity.REPORTING for x, _ in found[max(0, k - toxicity.CONTEXT) : k + toxicity.CONTEXT + 1])
+        if quoted or told:
+            soft += 1
+        elif kind == "word":
+            plain += 1
+        else:
+            stem += 1
+    for column, count in ((1, plain), (4, stem)):
+        out[column : column + 3] = [np.log1p(count), np.log1p(100 * count / n), float(count > 0)]
+    out[7:] = [np.log1p(soft), float(soft > 0)]
+    return out
+
+
+def test_features_equal_brute_force():
+    rng = random.Random(12)
+    lexicon, stems = ["idiot", "trash", "pathetic"], ["fool", "scumb"]
+    model = toxicity.Model([x.encode() for x in lexicon], [x.encode() for x in stems])
+    some = ["w1", "the", "said", "idiot", "Idiott!", "trash,", "foolish", "fool", '"you', 'idiot"', '"', "\u201cscumbag\u201d", "pathetik", "\n", "\t", "he said:", "word's", "...", "Quote"]
+    texts = [" ".join(rng.choice(some) if rng.random() < 0.5 else f"n{rng.randrange(50)}" for _ in range(rng.randint(0, 60))) for _ in range(400)] + ["", "idiot " * 300]
+    got = np.concatenate([x for _, x in toxicity._features(model.automaton, model.reporting, pa.record_batch({"text": texts}))])
+    assert np.allclose(got, [brute_features(t, lexicon, stems) for t in texts])
+    model.weights = np.arange(9) / 7 - 0.6
+    assert np.allclose(model.scores(pa.record_batch({"text": texts})), 1 / (1 + np.exp(-got @ model.weights)))
+
+
+def test_one_text_for_each_label(spark):
+    docs = spark.createDataFrame([(1, "a b", "", "", 0)] * 500 + [(2, "idiot", "", "", 0), (2, "fool", "", "", 0), (None, "x", "", "", 0)], DOCS).withColumn("toxic", F.lit("mine"))
+    labels = spark.createDataFrame([(1, 1, 0), (1, 1, 0), (2, 0, 1), (2, 0, 0), (None, 0, 1)], "doc_id long, quality int, toxic int")
+    rows = sorted(tuple(r) for r in toxicity.sampled(docs, labels).collect())
+    assert rows == [("a b", 0), ("fool", 1)]
+    model = toxicity.fitted(docs, labels)
+    assert toxicity.scored(docs, model).count() == 503 and toxicity.accepted(docs, model).columns == docs.columns
+
+
 @pytest.mark.parametrize("labels", [[], [(1, 1, 1), (2, 0, 1)], [(1, 1, 0)]])
 def test_few_labels(spark, labels):
     docs = spark.createDataFrame([(1, "a b", "", "", 0), (2, "idiot", "", "", 0)], DOCS)

@@ -24,8 +24,11 @@ are classes of their own, all others share classes by their last two bytes, and
 where P(class | h) mixes class estimates of three orders and the uniform one,
 by the count of a context of two coarse classes. Its tables have a fixed size.
 
-Words are known by 64-bit hashes, n-grams by 48-bit ones. Cases: a null text is
-an empty one and has just the end; without training documents every word is
+Words are counted by 60-bit hashes and n-grams by 51-bit ones, so a clash can
+add another n-gram's count to a score, and hardly ever a word's to the base.
+Cases: a null text is an empty one and has just the end; a very long text is a
+block of its own, held in memory with its n-grams; further columns are ignored;
+ without training documents every word is
 unseen; equal rows get equal scores; a null doc_id counts as the empty text for
 the division into training and held-out rows; an empty table gives an empty
 result.
@@ -47,8 +50,8 @@ SLOTS = 1 << 18
 END = np.uint64(0x9C0FFEE5EED51DE5)
 #: Levels of a logged probability in the counts that expectation maximisation reads, a quarter of an octave each (half a one for words).
 LEVELS, STEP, WORD_STEP, BUCKETS = 64, 4, 2, 64
-#: Bits of an n-gram's hash, and bytes of text that a block holds at least.
-KEY_BITS, BLOCK = 48, 1 << 23
+#: Bits of an n-gram's key, and bytes of text that a block holds at least.
+KEY_BITS, BLOCK = 63, 1 << 23
 #: Class counts that travel in one piece.
 CELLS = 1 << 15
 
@@ -242,14 +245,20 @@ def mixture(counts: pa.Table, rounds: int = 40, uniform: float = 1 / CLASSES, st
 
 
 def _grams(hashes: np.ndarray, stops: np.ndarray) -> np.ndarray:
-    """Hashes of the words, then of the word pairs, then of the word triples that end at each token; a text begins after two ends."""
+    """Keys of the words, then of the word pairs, then of the word triples that end at each token; a text begins after two ends.
+
+    Words have the first eighth of the keys and 60 bits of their hashes, so neither another word nor an n-gram is
+    taken for a word; pairs and triples have the rest and 51 bits, with zeros below that compress away.
+    """
     near = np.append(END, hashes[:-1])
     far = np.append([END, END], hashes[:-2])[: len(hashes)]
     far[np.append(0, stops[:-1] + 1)] = END
     one = hashes * np.uint64(0x9E3779B97F4A7C15)
     two = one + near * np.uint64(0xC2B2AE3D27D4EB4F)
     three = two + far * np.uint64(0x165667B19E3779F9)
-    return mix(np.concatenate([one + np.uint64(1), two + np.uint64(2), three + np.uint64(3)])) >> np.uint64(64 - KEY_BITS)
+    more = mix(np.concatenate([two + np.uint64(2), three + np.uint64(3)]))
+    more = ((more & np.uint64(0xFFFF)) * np.uint64(7) >> np.uint64(16)) + np.uint64(1) << np.uint64(60) | more >> np.uint64(16) << np.uint64(12)
+    return np.concatenate([mix(one + np.uint64(1)) >> np.uint64(4), more])
 
 
 def gram_counts(rows: DataFrame) -> DataFrame:

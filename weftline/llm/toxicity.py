@@ -19,8 +19,10 @@ training rows, those with the smallest hashed ids; every document is scored on
 its whole text.
 
 Cases: null and empty texts have no hits and get the score of such texts; a
-label of a missing document is ignored, of several labels of a document the
-larger counts; null labels are ignored; without labelled rows, or without toxic
+very long text is read whole and its counts are logarithms; a label of a
+missing document is ignored, of several labels of a document the larger
+counts, and of several texts under a labelled id the first in order is learned
+from; null labels are ignored; without labelled rows, or without toxic
 or clean ones, the score is the smoothed share of toxic rows; equal rows get
 equal scores; extra columns are kept by :func:`accepted`; an empty table gives
 an empty result.
@@ -247,7 +249,9 @@ def sampled(docs: DataFrame, labels: DataFrame, folds: int = 5, most: int = SAMP
     """text and toxic (0, 1) of at most ``most`` labelled training rows, by the smallest hashes of their ids."""
     train = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (id_remainder(F.col("doc_id"), folds) != 0))
     chosen = train.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))  # at most ``most`` pairs
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most ``most`` pairs
+    # One text for each label, however often its id stands in the table.
+    return rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").cast("int").alias("toxic")).select("text", "toxic")
 
 
 def lexicon(rows: DataFrame) -> tuple[list[bytes], list[bytes], dict[bytes, int]]:
