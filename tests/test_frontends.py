@@ -69,7 +69,7 @@ def test_scripts_keep_notes_and_order(spark):
     with pytest.raises(ValueError, match="cycle"):
         p.order()
     package = ssis.parse(queries.DTSX)
-    assert package.targets == ["stg_orders"] and package.types["o_totalprice"] == "r8" and [type(n).__name__ for n in package.graph.nodes] == ["Source", "Lookup", "Expression", "Router", "Target"]
+    assert package.targets == ["big_orders", "stg_orders"] and package.types["o_totalprice"] == "r8" and [type(n).__name__ for n in package.graph.nodes] == ["Source", "Target", "Lookup", "Expression", "Router", "Target"]
 
 
 def test_stream_rows(spark):
@@ -186,3 +186,44 @@ def test_changes_as_a_stream(spark, tmp_path):
     stream = spark.readStream.schema(changes.schema).parquet(str(tmp_path / "changes"))
     cdc.follow(stream, lambda: spark.read.parquet(state["path"]), write, ["k"], [F.col("at")], str(tmp_path / "log")).awaitTermination(60)
     assert sorted(map(tuple, spark.read.parquet(state["path"]).collect())) == [(1, "y"), (3, "n")]
+
+
+def test_rewrites_leave_literals_alone():
+    same = "note = 'a = NULL' AND word = 'SYSDATE' AND q = \"b = NULL\""
+    assert dialect.expression(same) == same
+    assert dialect.null_tests("a = NULL OR b = '= NULL'") == "a IS NULL OR b = '= NULL'"
+    assert dialect.query("SELECT 'ROWNUM <= 3' AS a FROM t") == "SELECT 'ROWNUM <= 3' AS a FROM t"
+
+
+def test_limits_stay_in_their_select():
+    q = dialect.query
+    assert q("SELECT x FROM (SELECT x FROM t WHERE ROWNUM <= 10) q ORDER BY x").replace("FROM(", "FROM (") == "SELECT x FROM (SELECT x FROM t LIMIT 10) q ORDER BY x"
+    assert q("SELECT x FROM t WHERE a = 1 AND ROWNUM < 3 ORDER BY x") == "SELECT * FROM (SELECT x FROM t WHERE a = 1 LIMIT 2) ORDER BY x"
+    assert q("SELECT x FROM t UNION ALL SELECT x FROM u WHERE ROWNUM = 1").split() == "SELECT x FROM t UNION ALL (SELECT x FROM u LIMIT 1)".split()
+    with pytest.raises(ValueError, match="ROWNUM"):
+        q("SELECT x FROM t WHERE ROWNUM <= 3 OR x = 1")
+
+
+def test_old_outer_joins_of_both_directions():
+    got = dialect.query("SELECT 1 FROM a, b, c WHERE a.x *= b.x AND a.y =* c.y AND b.z = 3")
+    assert got.split() == "SELECT 1 FROM c LEFT JOIN a ON a.y = c.y LEFT JOIN b ON a.x = b.x AND b.z = 3".split()
+    with pytest.raises(ValueError, match="table's name"):
+        dialect.query("SELECT 1 FROM a, b WHERE x *= y")
+    with pytest.raises(ValueError):
+        dialect.outer_joins("a *= b AND c =* d")
+
+
+def test_texts_are_joined_in_branches_and_operands():
+    e = lambda t, *s: dialect.expression(t, "ssis", frozenset(s))
+    assert e('c ? a + "-" + b : "z"') == "CASE WHEN c THEN concat(a, '-', b) ELSE 'z' END"
+    assert e('UPPER(a + "x") == "YX"') == "UPPER(concat(a, 'x')) = 'YX'"
+    assert e("n + 1 > 2 ? n + 2 : m", "t") == "CASE WHEN n + 1 > 2 THEN n + 2 ELSE m END"
+    assert e("t + u", "t") == "concat(t, u)"
+
+
+def test_a_destination_after_a_split_needs_a_path():
+    text = """<x ObjectName="p"><pipeline><component componentClassID="a.OLEDBSource" name="s"><properties><property name="OpenRowset">t</property></properties></component>
+    <component componentClassID="a.ConditionalSplit" name="c"><outputs><output name="o" isDefault="true"/></outputs></component>
+    <component componentClassID="a.OLEDBDestination" name="d"><properties><property name="OpenRowset">u</property></properties></component></pipeline></x>"""
+    with pytest.raises(ValueError, match="no path"):
+        ssis.parse(text)

@@ -112,3 +112,37 @@ def test_scd2_and_upsert(spark):
     out = {(r.sk, r.nk, r.v, r.current_flg, r.end_dt) for r in dml.scd2(dim, new, ["nk"], ["v"], "'2024'").collect()}
     assert out == {(7, "a", "x", "N", "2024"), (8, "b", "x", "Y", None), (5, "a", "w", "N", None), (9, "a", "y", "Y", None), (10, "c", None, "Y", None)}
     assert dml.upsert(dim, dim.limit(1).withColumn("v", F.lit("q")), ["sk"]).count() == 3
+
+
+def test_a_join_needs_keys(spark):
+    df = spark.range(3)
+    with pytest.raises(ValueError, match="keys"):
+        R.joiner(df, df, "", "left")
+    assert R.joiner(df, df.toDF("x"), "", "cross").count() == 9
+
+
+def test_an_upsert_keeps_its_key_unique(spark):
+    old = spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string")
+    new = spark.createDataFrame([(2, "c"), (2, "d"), (3, None), (3, "e")], "k long, v string")
+    assert sorted(map(tuple, dml.upsert(old, new, ["k"]).collect())) == [(1, "a"), (2, "d"), (3, "e")]
+    assert dml.upsert(old.select("k"), new.select("k"), ["k"]).count() == 3
+
+
+def test_windows_need_keys(spark):
+    from weftline.operators import windows
+
+    with pytest.raises(ValueError, match="keys"):
+        windows.ranked(spark.range(2), [], ["id"], {"r": "rank"})
+    with pytest.raises(ValueError, match="frame"):
+        windows.framed(spark.range(2), ["id"], ["id"], {"n": "count(*)"}, kind="groups")
+
+
+def test_exact_sums_and_tolerance(spark):
+    from weftline.operators import parity
+
+    a = spark.createDataFrame([(i, float(i)) for i in range(2000)], "n long, x double")
+    b = a.withColumn("n", F.expr("case when n = 5 then 6 when n = 6 then 5 when n = 7 then 8 when n = 8 then 7 else n end")).withColumn("x", F.expr("x + 1e-9"))
+    got = {r.column_name: r for r in parity.compared(a, b).collect()}
+    assert got["n"].matches and got["n"].a_exact == got["n"].b_exact == "1999000"
+    c = a.withColumn("n", F.expr("case when n = 5 then 2500 when n = 1999 then 1998 when n = 6 then 5 else n end"))
+    assert not {r.column_name: r.matches for r in parity.compared(a, c).collect()}["n"]

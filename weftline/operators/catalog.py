@@ -95,15 +95,19 @@ def pipeline_usage(matched: DataFrame) -> DataFrame:
     return matched.withColumn("success_rate", F.coalesce(F.try_divide(F.lit(100.0) * F.col("runs_success"), F.col("runs_total")), F.lit(0.0))).withColumn("ran_without_logging", off).withColumn("status", status)
 
 
+#: Titles of findings.
+NO_KEY, UNDEFINED, UNLOGGED, NEVER, FAILING = "Table has no primary key", "Pipeline running without source definition", "Pipeline ran without logging", "Pipeline never executed", "Pipeline failure rate "
+
+
 def flags(tables: DataFrame, columns: DataFrame, matched: DataFrame) -> DataFrame:
     """severity, title and object of catalog findings."""
     keyed = columns.filter("is_pk").select(F.col("table_fqn").alias("fqn")).distinct()
-    no_pk = tables.filter("kind = 'TABLE'").join(keyed, "fqn", "left_anti").select(F.lit("warn").alias("severity"), F.lit("Table has no primary key").alias("title"), F.col("fqn").alias("object"))
+    no_pk = tables.filter("kind = 'TABLE'").join(keyed, "fqn", "left_anti").select(F.lit("warn").alias("severity"), F.lit(NO_KEY).alias("title"), F.col("fqn").alias("object"))
     share = F.try_divide(F.lit(100.0) * F.col("runs_failed"), F.col("runs_total"))
     known, silent = F.col("has_definition"), F.col("runs_total") == 0
     title = (
-        F.when(~known, "Pipeline running without source definition").when(silent & F.col("csv_exists"), "Pipeline ran without logging")
-        .when(silent, "Pipeline never executed").when(share >= 5, F.concat(F.lit("Pipeline failure rate "), F.format_string("%.1f", share), F.lit("%")))
+        F.when(~known, UNDEFINED).when(silent & F.col("csv_exists"), UNLOGGED)
+        .when(silent, NEVER).when(share >= 5, F.concat(F.lit(FAILING), F.format_string("%.1f", share), F.lit("%")))
     )
     grave = F.when(~known | (silent & F.col("csv_exists")) | (~silent & (share >= 10)), "critical").otherwise("warn")
     return no_pk.unionByName(matched.select(grave.alias("severity"), title.alias("title"), F.col("pipeline_name").alias("object")).filter("title IS NOT NULL"))
@@ -192,6 +196,12 @@ def scope(pipelines: DataFrame, tables: DataFrame) -> DataFrame:
     return p.unionByName(t)
 
 
+def manifest(scope_: DataFrame) -> DataFrame:
+    """A scope as one row for each kind: counts, and the sorted names in and out of it. Lists have a name for each object of a catalog."""
+    inside = lambda cond: F.sort_array(F.collect_list(F.when(cond, F.col("name"))))
+    return scope_.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_if("in_scope").alias("n_in_scope"), inside(F.col("in_scope")).alias("included"), inside(~F.col("in_scope")).alias("excluded"))
+
+
 def confidence(files: DataFrame) -> DataFrame:
     """Confidence and band from counts of errors, warnings and parser warnings, and whether a star was projected."""
     raw = F.lit(100) - 25 * F.col("errors") - 10 * F.col("warnings") - 5 * F.col("parser_warnings") - F.when(F.col("has_star"), 10).otherwise(0)

@@ -133,7 +133,12 @@ def _merged(target: DataFrame, source: DataFrame, spec: Merge, pairs: list[tuple
 
 
 def upsert(target: DataFrame, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Incremental table with a unique key: incoming rows replace those of their key."""
+    """Incremental table with a unique key: incoming rows replace those of their key; of several with one key the greatest stays."""
+    rest = [c for c in target.columns if c.lower() not in {k.lower() for k in keys}]
+    if rest:
+        rows = rows.groupBy(*map(quoted, keys)).agg(F.max(F.struct(*map(quoted, rest))).alias("_row")).select(*map(quoted, keys), "_row.*")
+    else:
+        rows = rows.select(*map(quoted, keys)).distinct()
     return target.join(rows.select(*map(quoted, keys)).distinct(), list(keys), "left_anti").select(*target.columns).unionByName(rows.select(*target.columns))
 
 

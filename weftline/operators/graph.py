@@ -88,6 +88,8 @@ def _peeled(units: DataFrame, edges: DataFrame) -> tuple[DataFrame | None, DataF
     while not ready.isEmpty():
         wave = ready.withColumn("wave", F.lit(at))
         out = wave if out is None else out.unionByName(wave)
+        if at % 32 == 0:  # so that the plan doesn't grow with the depth
+            out = cut(out)
         gone = ready.select(F.col("unit").alias("u"))
         left = cut(rest.join(gone, "u", "left_anti"))
         touched = rest.join(gone, "u", "left_semi").select(F.col("v").alias("unit")).distinct()
@@ -254,10 +256,22 @@ def export(lineage: DataFrame, columns: DataFrame, tables: DataFrame) -> DataFra
 
 
 def table_level(lineage: DataFrame) -> DataFrame:
-    """Distinct table to table edges, by way of the steps between: sources of each output."""
-    e = lineage.select(F.col("source_fqn").alias("src"), F.col("target_fqn").alias("dst")).distinct()
-    pairs = closure(e)
-    return pairs.filter(~F.col("src").startswith("PIPELINE.") & ~F.col("dst").startswith("PIPELINE."))
+    """Distinct table to table edges, by way of the pipeline steps between them.
+
+    Only steps are walked through, from the tables that they read; nothing is
+    closed over tables.
+    """
+    e = cut(lineage.select(F.col("source_fqn").alias("src"), F.col("target_fqn").alias("dst")).distinct())
+    step = F.col("dst").startswith("PIPELINE.")
+    hop = e.filter(F.col("src").startswith("PIPELINE.")).select(F.col("src").alias("mid"), F.col("dst").alias("next"))
+    new = cut(e.filter(~F.col("src").startswith("PIPELINE.")))
+    found = new
+    while True:
+        reached_ = new.filter(step).join(hop, F.col("dst") == F.col("mid")).select("src", F.col("next").alias("dst")).distinct()
+        new = cut(reached_.join(found, ["src", "dst"], "left_anti"))
+        if new.isEmpty():
+            return found.filter(~step)
+        found = cut(found.unionByName(new))
 
 
 def seeds(spark, names: Sequence[str]) -> DataFrame:

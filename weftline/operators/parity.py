@@ -1,4 +1,4 @@
-"""Parity of two copies of a table: one wide aggregate per side, unpivoted and compared."""
+"""Parity of two copies of a table: aggregates of every column of either side, compared by column."""
 
 from __future__ import annotations
 
@@ -10,37 +10,49 @@ from pyspark.sql import functions as F
 from .relational import quoted
 
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
-MEASURES = ("nulls", "distincts", "total", "low", "high", "low_text", "high_text")
+MEASURES = ("nulls", "distincts", "total", "exact", "low", "high", "low_text", "high_text")
 TOLERANCE = 1e-6
 
 
 def profile(df: DataFrame) -> DataFrame:
-    """column_name, kind, row_count and the aggregates of every column, in one pass.
+    """column_name, kind, row_count and the aggregates of every column.
 
     Nulls and exact distinct counts for all; sum, least and greatest of numbers
-    as doubles; least and greatest of strings as text; of dates the first two only.
+    as doubles, and the exact sum of whole and decimal numbers as text; least
+    and greatest of strings as text; of dates the first two only. One pass
+    makes the plain aggregates; each column's distinct values are counted on a
+    scan of that column alone, so no row is multiplied by the number of columns.
     """
     kinds = {c: "number" if t.split("(")[0] in NUMERIC else "string" if t == "string" else "other" for c, t in df.dtypes}
     aggs = [F.count(F.lit(1)).alias("_rows")]
     for i, (c, kind) in enumerate(kinds.items()):
         x = F.col(quoted(c))
-        aggs += [F.count_if(x.isNull()).alias(f"nulls{i}"), F.count_distinct(x).alias(f"distincts{i}")]
+        aggs.append(F.count_if(x.isNull()).alias(f"nulls{i}"))
         if kind == "number":
             aggs += [F.sum(x).cast("double").alias(f"total{i}"), F.min(x).cast("double").alias(f"low{i}"), F.max(x).cast("double").alias(f"high{i}")]
+        if kind == "number" and not df.schema[i].dataType.typeName() in ("float", "double"):
+            scale = getattr(df.schema[i].dataType, "scale", 0)
+            aggs.append(F.sum(x.cast(f"decimal(38,{scale})")).cast("string").alias(f"exact{i}"))
         if kind == "string":
             aggs += [F.min(x).alias(f"low_text{i}"), F.max(x).alias(f"high_text{i}")]
     one = df.agg(*aggs)
     have = set(one.columns)
-    types = {"nulls": "long", "distincts": "long", "total": "double", "low": "double", "high": "double", "low_text": "string", "high_text": "string"}
-    rows = [F.struct(F.lit(c.lower()).alias("column_name"), F.lit(kind).alias("kind"), F.lit(i).alias("position"), F.col("_rows").alias("row_count"), *[(F.col(f"{m}{i}") if f"{m}{i}" in have else F.lit(None)).cast(types[m]).alias(m) for m in MEASURES]) for i, (c, kind) in enumerate(kinds.items())]
-    return one.select(F.explode(F.array(*rows)).alias("p")).select("p.*")
+    types = {"nulls": "long", "total": "double", "exact": "string", "low": "double", "high": "double", "low_text": "string", "high_text": "string"}
+    rows = [F.struct(F.lit(c.lower()).alias("column_name"), F.lit(kind).alias("kind"), F.lit(i).alias("position"), F.col("_rows").alias("row_count"), *[(F.col(f"{m}{i}") if f"{m}{i}" in have else F.lit(None)).cast(types[m]).alias(m) for m in MEASURES if m != "distincts"]) for i, (c, kind) in enumerate(kinds.items())]
+    plain = one.select(F.explode(F.array(*rows)).alias("p")).select("p.*")
+    counts = None
+    for i, c in enumerate(kinds):
+        part = df.agg(F.count_distinct(F.col(quoted(c))).alias("distincts")).select(F.lit(i).alias("position"), "distincts")
+        counts = part if counts is None else counts.unionByName(part)
+    return plain.join(F.broadcast(counts), "position").select("column_name", "kind", "position", "row_count", *MEASURES)  # one row for each column
 
 
 def compared(a: DataFrame, b: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     """Per column of either side: both profiles, ``side`` (both, a_only, b_only) and ``matches``.
 
-    Sums may differ by ``tolerance`` times the larger of side a's sum and 1;
-    least and greatest are compared by type. A column on one side only is drift.
+    Sums of whole and decimal numbers are compared exactly; those of floats may
+    differ by ``tolerance`` times the larger of side a's sum and 1. Least and
+    greatest are compared by type. A column on one side only is drift.
     """
     pa, pb = profile(a), profile(b)
     left = pa.select("column_name", *[F.col(m).alias(f"a_{m}") for m in ("position", "row_count", *MEASURES)])
@@ -49,6 +61,7 @@ def compared(a: DataFrame, b: DataFrame, tolerance: float = TOLERANCE) -> DataFr
     same = lambda m: F.col(f"a_{m}").eqNullSafe(F.col(f"b_{m}"))
     close = F.coalesce(F.abs(F.col("a_total") - F.col("b_total")) <= tolerance * F.greatest(F.abs("a_total"), F.lit(1.0)), F.col("a_total").isNull() & F.col("b_total").isNull())
     side = F.when(F.col("a_nulls").isNull(), "b_only").when(F.col("b_nulls").isNull(), "a_only").otherwise("both")
+    close = F.when(F.col("a_exact").isNotNull() & F.col("b_exact").isNotNull(), same("exact")).otherwise(close)
     ok = same("nulls") & same("distincts") & close & same("low") & same("high") & same("low_text") & same("high_text")
     return both.withColumn("side", side).withColumn("matches", (side == "both") & ok)
 
@@ -76,8 +89,9 @@ def verified(pairs: Mapping[str, tuple[DataFrame | None, DataFrame | None, str]]
         else:
             status, rows = None, verdict(compared(a, b), name)
         if rows is None:
-            count = lambda df: F.lit(None if df is None else df.count()).cast("long")
-            rows = empty.select(F.lit(name).alias("table_name"), count(a).alias("a_rows"), count(b).alias("b_rows"), F.lit(status).alias("status"))
+            rows = empty.select(F.lit(name).alias("table_name"), F.lit(status).alias("status"))
+            for side, df in (("a_rows", a), ("b_rows", b)):
+                rows = rows.withColumn(side, F.lit(None).cast("long")) if df is None else rows.crossJoin(F.broadcast(df.agg(F.count(F.lit(1)).alias(side))))  # one row each
         rows = rows.select("table_name", F.lit(kind).alias("classification"), "a_rows", "b_rows", "status")
         out = rows if out is None else out.unionByName(rows)
     return out.withColumn("display_status", display(F.col("classification"), F.col("status")))
@@ -113,3 +127,36 @@ def unresolved(refs: DataFrame, files: DataFrame) -> DataFrame:
     """References (file, ref) to names that no file defines."""
     names = files.select(F.lower("name").alias("_n")).distinct()
     return refs.join(names, F.lower("ref") == F.col("_n"), "left_anti")
+
+
+#: What a project's settings must name.
+REQUIRED = ("name", "warehouse", "default_schema")
+
+
+def validated(spark, settings: Mapping[str, str], nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """severity, check and object of a project's faults.
+
+    ``nodes`` has name and kind (source, model), ``edges`` src and dst. Missing
+    settings, names that are no identifiers or stand twice, unknown kinds,
+    models that read nothing, references that nothing makes, and cycles.
+    """
+    from .graph import cycle_nodes
+
+    found = lambda df, level, check, column: df.select(F.lit(level).alias("severity"), F.lit(check).alias("check"), F.col(column).cast("string").alias("object"))
+    missing = spark.createDataFrame([(k,) for k in REQUIRED if not settings.get(k)], "k string")
+    low = nodes.select(F.lower("name").alias("name"), "kind")
+    made = low.select("name").distinct()
+    ends = edges.select(F.lower("src").alias("src"), F.lower("dst").alias("dst"))
+    parts = [
+        found(missing, "error", "missing setting", "k"),
+        found(nodes.filter(~F.col("name").rlike(r"^[A-Za-z_]\w*$")), "error", "bad name", "name"),
+        found(low.groupBy("name").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "error", "repeated name", "name"),
+        found(nodes.filter(~F.col("kind").isin("source", "model")), "error", "unknown kind", "name"),
+        found(low.filter("kind = 'model'").join(ends, F.col("name") == F.col("dst"), "left_anti"), "warn", "reads nothing", "name"),
+        found(ends.join(made, F.col("src") == F.col("name"), "left_anti").select("src").distinct(), "error", "unresolved reference", "src"),
+        found(cycle_nodes(ends), "error", "cycle", "node"),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -174,9 +174,12 @@ def keys_of(on: str | Sequence[str] | Mapping[str, str]) -> list[tuple[str, str]
 def joiner(left: DataFrame, right: DataFrame, on: str | Sequence[str] | Mapping[str, str], how: str | None = None) -> DataFrame:
     """Two streams joined on keys. Output: all left columns, then right ones whose names aren't taken (left wins).
 
-    In a right or full join a left key that has no row takes the right key's value.
+    In a right or full join a left key that has no row takes the right key's
+    value. Only a cross join may lack keys.
     """
     kind, pairs = how_of(how), keys_of(on)
+    if not pairs and kind != "cross":
+        raise ValueError("a join needs keys")
     a, b = left.alias("l"), right.alias("r")
     col = lambda side, df, n: F.col(f"{side}.{quoted(next(c for c in df.columns if c.lower() == n.lower()))}")
     if kind == "cross":

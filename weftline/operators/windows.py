@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -42,6 +43,54 @@ def top_per(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], n
     return numbered(df, order, "_n", keys).filter(F.col("_n") <= n).drop("_n")
 
 
+#: Ranking functions by name; NTILE takes its number of parts, as ``ntile(4)``.
+RANKS = {"row_number": F.row_number, "rank": F.rank, "dense_rank": F.dense_rank, "percent_rank": F.percent_rank, "cume_dist": F.cume_dist}
+
+
+def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], columns: dict[str, str]) -> DataFrame:
+    """Columns of ranks within ``keys``: name to one of ``RANKS``, or ``ntile(n)``."""
+    over, out = _window(keys, order), {}
+    for name, kind in columns.items():
+        parts = re.fullmatch(r"ntile\((\d+)\)", kind)
+        out[name] = (F.ntile(int(parts[1])) if parts else RANKS[kind]()).over(over)
+    return df.withColumns(out)
+
+
+def _window(keys: Sequence[str], order: Sequence[Column | str]):
+    if not keys or not order:
+        raise ValueError("a window needs keys, or one task would hold all rows, and an order")
+    return Window.partitionBy(*keys).orderBy(*order)
+
+
+def shifted(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], columns: dict[str, tuple[str, int]]) -> DataFrame:
+    """Columns of other rows: name to (column, steps), steps ahead as LEAD or, below zero, back as LAG."""
+    over = _window(keys, order)
+    return df.withColumns({name: (F.lead(c, n) if n >= 0 else F.lag(c, -n)).over(over) for name, (c, n) in columns.items()})
+
+
+def framed(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], columns: dict[str, Column | str], start: int | None = None, end: int | None = 0, kind: str = "rows") -> DataFrame:
+    """Aggregates, FIRST_VALUE or LAST_VALUE over a frame of rows or of the order's values.
+
+    ``start`` and ``end`` are relative to the row, None is unbounded. A frame of
+    values (``kind`` range) needs one numeric order column.
+    """
+    if kind not in ("rows", "range"):
+        raise ValueError(f"unknown frame {kind!r}")
+    low, high = Window.unboundedPreceding if start is None else start, Window.unboundedFollowing if end is None else end
+    over = getattr(_window(keys, order), f"{kind}Between")(low, high)
+    return df.withColumns({name: (F.expr(e) if isinstance(e, str) else e).over(over) for name, e in columns.items()})
+
+
+#: Findings from the gravest to the mildest.
+FINDINGS = ("critical", "error", "warn", "info")
+
+
+def by_severity(df: DataFrame, severity: str = "severity", ties: Sequence[str] = ("object",)) -> DataFrame:
+    """Findings sorted from the gravest; unknown severities come last, nulls after all values."""
+    place = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, FINDINGS)), F.lower(severity)), F.lit(0)), F.lit(len(FINDINGS) + 1))
+    return df.orderBy(place, *[F.col(t).asc_nulls_last() for t in ties])
+
+
 def latest(df: DataFrame, stamp: str, keys: Sequence[str] = ()) -> DataFrame:
     """All rows of the latest snapshot, over all or within keys."""
     last = df.groupBy(*keys).agg(F.max(stamp).alias("_last"))

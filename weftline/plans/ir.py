@@ -25,6 +25,7 @@ class Context:
     tables: Callable[[str], DataFrame]
     variables: Mapping[str, str] = field(default_factory=dict)
     made: dict[str, DataFrame] = field(default_factory=dict)
+    stages: str | None = None  # a shared folder where targets are written as they are made
 
     def table(self, name: str) -> DataFrame:
         return self.made[name] if name in self.made else self.tables(name)
@@ -220,7 +221,10 @@ class Sequence_(Node):
 
 @dataclass
 class Target(Node):
-    """A table's next rows: projected, checked for a schema of later columns, replaced or merged by key."""
+    """A table's next rows: projected, checked for a schema of later columns, replaced or merged by key.
+
+    ``upstream`` may be one group of a router, as ``router.group``.
+    """
 
     upstream: str = ""
     columns: Mapping[str, str] | None = None
@@ -238,6 +242,10 @@ class Target(Node):
         df = dml.extended(df, self.later)
         if self.incremental and self.unique_key:
             df = dml.upsert(ctx.tables(self.name), df, self.unique_key)
+        if ctx.stages:  # later steps read what is stored
+            from weftline.sources.readers import refreshed
+
+            return refreshed(ctx.spark, df, f"{ctx.stages.rstrip('/')}/{self.name}", view_name(self.name))
         return df
 
 

@@ -49,7 +49,11 @@ def _columns(el: ET.Element) -> list[ET.Element]:
 
 
 def parse(text: str) -> Package:
-    """A package's graph: control statements first, then each data flow's components in order.
+    """A package's graph: control statements first, then each data flow's components.
+
+    A component reads the output that its path starts from, so what follows a
+    conditional split takes that output's rows alone. Without paths each
+    component reads the one before it; after a split that is an error.
 
     ``?`` parameters of a source are filled from the package's variables in order.
     """
@@ -64,7 +68,21 @@ def parse(text: str) -> Package:
                 package.graph.nodes.append(statement_node(f"control_{i}_{j}", s))
     for flow in _all(root, "pipeline"):
         before: str | None = None
-        for c in (x for x in flow.iter() if _local(x.tag) == "component"):
+        starts, ends = {}, {}
+        for p in _all(flow, "path"):
+            ends[_attr(p, "endId")] = _attr(p, "startId")
+        components = [x for x in flow.iter() if _local(x.tag) == "component"]
+        for c in components:
+            split = (_attr(c, "componentClassID") or "").endswith("ConditionalSplit")
+            for out in _all(c, "output"):
+                starts[_attr(out, "refId") or _attr(out, "id")] = f"{_attr(c, 'name')}.{_attr(out, 'name')}" if split else _attr(c, "name")
+        for c in components:
+            inputs = [_attr(x, "refId") or _attr(x, "id") for x in _all(c, "input")]
+            given = [starts[ends[i]] for i in inputs if i in ends]
+            if given:
+                before = given[0]
+            elif before in {n.name for n in package.graph.nodes if isinstance(n, Router)}:
+                raise ValueError(f"no path says which output of {before} goes to {_attr(c, 'name')}")
             node = _component(c, before, package)
             package.graph.nodes.append(node)
             if isinstance(node, Target):

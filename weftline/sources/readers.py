@@ -102,6 +102,12 @@ def refreshed(spark: SparkSession, df: DataFrame, path: str, view: str) -> DataF
     return out
 
 
+def exported(spark: SparkSession, scope: DataFrame, manifest: DataFrame, folder: str) -> None:
+    """A scope's manifest as JSON and its rows as one table of CSV, below ``folder``."""
+    write(manifest, f"{folder.rstrip('/')}/manifest", "json")
+    write(scope, f"{folder.rstrip('/')}/scope", "csv")
+
+
 def recent(df: DataFrame, stamp: str, n: int, tie: str) -> DataFrame:
     return df.orderBy(F.desc(stamp), tie).limit(n)
 
