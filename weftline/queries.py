@@ -171,15 +171,15 @@ def q_predicates(spark, d):
 
 
 def _orders(spark, d):
-    return table(spark, d, "orders").filter("o_totalprice > 250000").select("o_orderkey", F.col("o_custkey").alias("k"), F.col("o_orderstatus").alias("tag"))
+    return table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("k"), F.col("o_orderstatus").alias("tag"))
 
 
 def _customers(spark, d):
-    return table(spark, d, "customer").filter("c_acctbal > 5000").select(F.col("c_custkey").alias("K"), "c_name", F.col("c_mktsegment").alias("TAG"))
+    return table(spark, d, "customer").select((F.col("c_custkey") + 40).alias("K"), "c_name", F.col("c_mktsegment").alias("TAG"))
 
 
-_O = "(SELECT o_orderkey, o_custkey AS k, o_orderstatus AS tag FROM orders WHERE o_totalprice > 250000) o"
-_C = "(SELECT c_custkey AS k, c_name, c_mktsegment AS tag FROM customer WHERE c_acctbal > 5000) c"
+_O = "(SELECT o_orderkey, o_custkey AS k, o_orderstatus AS tag FROM orders) o"
+_C = "(SELECT c_custkey + 40 AS k, c_name, c_mktsegment AS tag FROM customer) c"
 for _how, _k in (("inner", "o.k"), ("left", "o.k"), ("right", "coalesce(o.k, c.k)"), ("full", "coalesce(o.k, c.k)")):
 
     def _join(spark, d, how=_how):
@@ -195,9 +195,9 @@ def q_join_cross(spark, d):
     return R.joiner(table(spark, d, "region").select("r_name"), table(spark, d, "nation").select("n_name"), "", "cross")
 
 
-@query("SELECT l_orderkey, l_linenumber, p_brand AS brand, p_type AS kind FROM lineitem LEFT JOIN part ON l_partkey = p_partkey WHERE l_quantity > 45")
+@query("SELECT l_orderkey, l_linenumber, p_brand AS brand, p_type AS kind FROM lineitem LEFT JOIN part ON l_partkey = p_partkey")
 def q_lookup_left(spark, d):
-    rows = table(spark, d, "lineitem").filter("l_quantity > 45").select("l_orderkey", "l_linenumber", "l_partkey")
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
     return R.lookup(rows, table(spark, d, "part"), {"l_partkey": "p_partkey"}, {"brand": "p_brand", "kind": "p_type"}).drop("l_partkey")
 
 
@@ -214,9 +214,9 @@ def q_semi_exists(spark, d):
     return R.joiner(table(spark, d, "customer").select("c_custkey", "c_name"), big, "c_custkey", "semi")
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P' AND o_totalprice > 100000)")
 def q_anti_missing(spark, d):
-    return R.joiner(table(spark, d, "customer").select("c_custkey", "c_name"), table(spark, d, "orders"), {"c_custkey": "o_custkey"}, "anti")
+    return R.joiner(table(spark, d, "customer").select("c_custkey", "c_name"), table(spark, d, "orders").filter("o_orderstatus = 'P' and o_totalprice > 100000"), {"c_custkey": "o_custkey"}, "anti")
 
 
 @query("SELECT c.c_custkey, c.c_acctbal FROM customer c LEFT JOIN customer p ON c.c_custkey = p.c_custkey AND p.c_acctbal >= 0 WHERE p.c_custkey IS NULL OR p.c_acctbal IS DISTINCT FROM (CASE WHEN c.c_custkey % 5 = 0 THEN c.c_acctbal + 1 ELSE c.c_acctbal END)")
@@ -343,9 +343,9 @@ def q_union_all_mapped(spark, d):
     return R.union_all({"c": t("customer"), "s": t("supplier"), "n": t("nation")}, ["id", "name", "kind", "bal"], maps)
 
 
-@query("SELECT p_partkey AS k FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 20")
+@query("SELECT p_partkey AS k FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 49")
 def q_set_difference(spark, d):
-    return R.difference(table(spark, d, "part").select(F.col("p_partkey").alias("k")), table(spark, d, "lineitem").filter("l_quantity > 20").select("l_partkey"))
+    return R.difference(table(spark, d, "part").select(F.col("p_partkey").alias("k")), table(spark, d, "lineitem").filter("l_quantity > 49").select("l_partkey"))
 
 
 @query("SELECT o_custkey, min(o_orderkey) AS o_orderkey FROM orders GROUP BY 1")
@@ -353,9 +353,9 @@ def q_ordered_dedup(spark, d):
     return R.first_of(table(spark, d, "orders").select("o_custkey", "o_orderkey"), ["o_custkey"], ["o_orderkey"])
 
 
-@query("SELECT p_partkey, i.generate_series::INT AS idx FROM part, generate_series(1, 3) i WHERE p_size < 10")
+@query("SELECT p_partkey, i.generate_series::INT AS idx FROM part, generate_series(1, 3) i")
 def q_normalizer_explode(spark, d):
-    return R.repeated(table(spark, d, "part").filter("p_size < 10").select("p_partkey"), 3)
+    return R.repeated(table(spark, d, "part").select("p_partkey"), 3)
 
 
 @query("SELECT l_orderkey, l_linenumber, 1 AS idx, l_quantity AS amount FROM lineitem UNION ALL SELECT l_orderkey, l_linenumber, 2, l_discount FROM lineitem UNION ALL SELECT l_orderkey, l_linenumber, 3, l_tax FROM lineitem")
@@ -566,25 +566,30 @@ DTSX = """<?xml version="1.0"?>
 <DTS:Executable xmlns:DTS="www.microsoft.com/SqlServer/Dts" DTS:ObjectName="orders_pkg">
  <DTS:Variables><DTS:Variable DTS:ObjectName="Since"><DTS:VariableValue>1996-01-01</DTS:VariableValue></DTS:Variable></DTS:Variables>
  <DTS:Executable DTS:ObjectName="flow"><DTS:ObjectData><pipeline>
-  <component componentClassID="Microsoft.OLEDBSource" name="src"><properties><property name="SqlCommand">SELECT o_orderkey, o_custkey, o_totalprice, o_orderstatus FROM dbo.orders WHERE o_orderdate &gt;= ?</property></properties>
-   <outputs><output name="o"><columns><column name="o_orderkey" dataType="i8"/><column name="o_custkey" dataType="i8"/><column name="o_totalprice" dataType="r8"/><column name="o_orderstatus" dataType="wstr"/></columns></output></outputs></component>
-  <component componentClassID="Microsoft.Lookup" name="lkp"><properties><property name="ReferenceTableName">[dbo].[cust]</property><property name="JoinKeys">o_custkey</property></properties>
-   <outputs><output name="o"><columns><column name="segment" dataType="wstr"/></columns></output></outputs></component>
-  <component componentClassID="Microsoft.DerivedColumn" name="der"><outputs><output name="o"><columns>
+  <component refId="src" componentClassID="Microsoft.OLEDBSource" name="src"><properties><property name="SqlCommand">SELECT o_orderkey, o_custkey, o_totalprice, o_orderstatus FROM dbo.orders WHERE o_orderdate &gt;= ?</property></properties>
+   <outputs><output refId="src.o" name="o"><columns><column name="o_orderkey" dataType="i8"/><column name="o_custkey" dataType="i8"/><column name="o_totalprice" dataType="r8"/><column name="o_orderstatus" dataType="wstr"/></columns></output></outputs></component>
+  <component refId="big" componentClassID="Microsoft.OLEDBDestination" name="big_dst"><properties><property name="OpenRowset">[dbo].[big_orders]</property></properties><inputs><input refId="big.i" name="i"/></inputs></component>
+  <component refId="lkp" componentClassID="Microsoft.Lookup" name="lkp"><properties><property name="ReferenceTableName">[dbo].[cust]</property><property name="JoinKeys">o_custkey</property></properties><inputs><input refId="lkp.i" name="i"/></inputs>
+   <outputs><output refId="lkp.o" name="o"><columns><column name="segment" dataType="wstr"/></columns></output></outputs></component>
+  <component refId="der" componentClassID="Microsoft.DerivedColumn" name="der"><inputs><input refId="der.i" name="i"/></inputs><outputs><output refId="der.o" name="o"><columns>
     <column name="size" dataType="wstr" expression="o_totalprice &gt;= 100000 ? &quot;BIG&quot; : &quot;SMALL&quot;"/>
-    <column name="label" dataType="wstr" expression="o_orderstatus + &quot;-&quot; + segment"/></columns></output></outputs></component>
-  <component componentClassID="Microsoft.ConditionalSplit" name="split"><outputs>
-    <output name="big"><properties><property name="EvaluationExpression">size == "BIG"</property></properties></output>
-    <output name="rest" isDefault="true"/></outputs></component>
-  <component componentClassID="Microsoft.OLEDBDestination" name="dst"><properties><property name="OpenRowset">[dbo].[stg_orders]</property></properties></component>
+    <column name="label" dataType="wstr" expression="o_orderstatus == &quot;P&quot; ? &quot;open&quot; : o_orderstatus + &quot;-&quot; + segment"/></columns></output></outputs></component>
+  <component refId="split" componentClassID="Microsoft.ConditionalSplit" name="split"><inputs><input refId="split.i" name="i"/></inputs><outputs>
+    <output refId="split.big" name="big"><properties><property name="EvaluationExpression">size == "BIG"</property></properties></output>
+    <output refId="split.rest" name="rest" isDefault="true"/></outputs></component>
+  <component refId="dst" componentClassID="Microsoft.OLEDBDestination" name="dst"><properties><property name="OpenRowset">[dbo].[stg_orders]</property></properties><inputs><input refId="dst.i" name="i"/></inputs></component>
+  <paths><path startId="src.o" endId="lkp.i"/><path startId="lkp.o" endId="der.i"/><path startId="der.o" endId="split.i"/><path startId="split.big" endId="big.i"/><path startId="split.rest" endId="dst.i"/></paths>
  </pipeline></DTS:ObjectData></DTS:Executable>
 </DTS:Executable>"""
 
 
-@query("SELECT o_orderkey, CASE WHEN o_totalprice >= 100000 THEN 'BIG' ELSE 'SMALL' END AS size, o_orderstatus || '-' || c_mktsegment AS label FROM orders LEFT JOIN customer ON o_custkey = c_custkey WHERE o_orderdate >= TIMESTAMP '1996-01-01'")
+@query("SELECT CASE WHEN o_totalprice >= 100000 THEN 'big_orders' ELSE 'stg_orders' END AS target, o_orderkey, CASE WHEN o_totalprice >= 100000 THEN 'BIG' ELSE 'SMALL' END AS size, CASE WHEN o_orderstatus = 'P' THEN 'open' ELSE o_orderstatus || '-' || c_mktsegment END AS label FROM orders LEFT JOIN customer ON o_custkey = c_custkey WHERE o_orderdate >= TIMESTAMP '1996-01-01'")
 def q_package_ssis(spark, d):
+    """Each output of a conditional split in its own destination."""
     cust = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("segment"))
-    return ssis.parse(DTSX).run(_context(spark, d, cust=cust))["stg_orders"].select("o_orderkey", "size", "label")
+    made = ssis.parse(DTSX).run(_context(spark, d, cust=cust))
+    big, rest = (made[t].select(F.lit(t).alias("target"), "o_orderkey", "size", "label") for t in ("big_orders", "stg_orders"))
+    return big.unionByName(rest)
 
 
 # --- graphs: part type -> brand -> size chains and customer -> nation -> region ------------------------------
@@ -716,10 +721,11 @@ def q_read_pressure(spark, d):
     return catalog.read_pressure(p, catalog.matched_runs(p, catalog.run_stats(_runs(spark, d))))
 
 
-@query(f"{_S} SELECT CASE WHEN total IS NULL THEN CASE WHEN csv_exists THEN 'critical' ELSE 'warn' END WHEN 100.0 * (total - good) / total >= 10 THEN 'critical' ELSE 'warn' END AS severity, p.name AS object FROM p LEFT JOIN k ON k.c = p.name WHERE total IS NULL OR 100.0 * (total - good) / total >= 5 UNION ALL SELECT 'critical', (SELECT min(pipeline_name) FROM r WHERE r.c = k.c) FROM k WHERE c NOT IN (SELECT name FROM p)")
+@query(f"{_S} SELECT CASE WHEN total IS NULL THEN CASE WHEN csv_exists THEN 'critical' ELSE 'warn' END WHEN 100.0 * (total - good) / total >= 10 THEN 'critical' ELSE 'warn' END AS severity, p.name AS object FROM p LEFT JOIN k ON k.c = p.name WHERE total IS NULL OR 100.0 * (total - good) / total >= 5 UNION ALL SELECT 'critical', (SELECT min(pipeline_name) FROM r WHERE r.c = k.c) FROM k WHERE c NOT IN (SELECT name FROM p) UNION ALL SELECT 'warn', 'DW.' || name FROM (SELECT DISTINCT ['RAW_', 'STG_', 'DIM_', 'RPT_', 'OLD_LEGACY_', 'T'][p_size % 6 + 1] || p_partkey % 50 AS name FROM part) WHERE name NOT LIKE 'DIM%'")
 def q_catalog_flags(spark, d):
-    none = spark.createDataFrame([], "fqn string, kind string"), spark.createDataFrame([], "table_fqn string, is_pk boolean")
-    return catalog.flags(*none, catalog.matched_runs(_pipelines(spark), catalog.run_stats(_runs(spark, d)))).select("severity", "object")
+    t = _tables(spark, d)
+    keys = t.select(F.col("fqn").alias("table_fqn"), F.col("name").startswith("DIM").alias("is_pk"))
+    return catalog.flags(t, keys, catalog.matched_runs(_pipelines(spark), catalog.run_stats(_runs(spark, d)))).select("severity", "object")
 
 
 def _awr(spark, d):
@@ -762,9 +768,21 @@ def q_layer_rules(spark, d):
     return _tables(spark, d).select("name", catalog.layer(F.col("name")).alias("layer"), catalog.tag(F.col("name")).alias("tag"))
 
 
-@query("SELECT column_name, domain FROM (VALUES ('C_CUSTOMER', 'MEMBER'), ('FUND_FEE', 'HOLDING'), ('TAX_LOG', 'TRANSACTION'), ('REF_STATE', 'REFERENCE'), ('X', 'OTHER'), ('ACCOUNT_TXN', 'ACCOUNT')) v(column_name, domain)")
+_NAMES = ("c_customer", "fund_fee", "tax_log", "ref_state", "x", "account_txn", "member_name", "c_acctbal", "order_id", "status", "work_email")
+
+
+def _names(spark, d):
+    """Column names out of parts: a fixed stem and the part's brand."""
+    stem = F.element_at(F.array(*map(F.lit, _NAMES)), (F.col("p_partkey") % len(_NAMES) + 1).cast("int"))
+    return table(spark, d, "part").select("p_partkey", F.concat(F.lower(F.regexp_replace("p_brand", "[^A-Za-z0-9]", "")), F.lit("_"), stem).alias("name"))
+
+
+_N = f"n AS (SELECT p_partkey, lower(regexp_replace(p_brand, '[^A-Za-z0-9]', '', 'g')) || '_' || {list(_NAMES)}[p_partkey % {len(_NAMES)} + 1] AS name FROM part)"
+
+
+@query(f"WITH {_N} SELECT name, CASE {' '.join(f'WHEN contains(upper(name), {a!r}) THEN {b!r}' for a, b in catalog.DOMAINS)} ELSE 'OTHER' END AS domain FROM n")
 def q_domain_rules(spark, d):
-    return spark.createDataFrame([(x,) for x in ("C_CUSTOMER", "FUND_FEE", "TAX_LOG", "REF_STATE", "X", "ACCOUNT_TXN")], "column_name string").withColumn("domain", catalog.domain(F.col("column_name")))
+    return _names(spark, d).select("name", catalog.domain(F.col("name")).alias("domain"))
 
 
 _DEC = f"""WITH {_T}, m AS (SELECT 'DW.' || name AS fqn, name, name LIKE '%LEGACY%' AS legacy, (TIMESTAMP '2010-01-01' + to_days(CAST(length(name) * 500 AS INT))) AS seen, CAST(regexp_extract(name, '[0-9]+$') AS INT) AS k FROM t),
@@ -780,11 +798,16 @@ def q_decommission_score(spark, d):
     return catalog.decommission(t, by(0, 9), by(5, 20), by(30, 44), by(40, 49), "timestamp_ntz'2024-06-01'").select("fqn", "score", "verdict")
 
 
-@query("SELECT * FROM (VALUES ('a.csv', 'x_mel,x_syd', 'disjoint'), ('b.csv', 'load_b,purge_b', 'lifecycle'), ('c.csv', 'one,two', 'update_back'), ('d.csv', 'p1,p2,p3,p4', 'unknown')) v(target, writers, pattern)")
+_WRITERS = ("load", "purge", "x_mel", "x_syd", "one", "two", "raw_in")
+
+
+@query(f"""WITH w AS (SELECT DISTINCT {list(_WRITERS)}[event_id % 7 + 1] AS base, {list(_WRITERS)}[event_id % 7 + 1] || '_' || user_id % 2 AS name, 't' || user_id % 300 || '.csv' AS target FROM events),
+ g AS (SELECT target, string_agg(DISTINCT name, ',' ORDER BY name) AS writers, count(DISTINCT name) AS n, bool_or(base = 'purge') AS ends, count(DISTINCT CASE base WHEN 'x_mel' THEN 'mel' WHEN 'x_syd' THEN 'syd' WHEN 'raw_in' THEN 'raw' END) AS origins FROM w GROUP BY 1)
+SELECT target, writers, CASE WHEN ends THEN 'lifecycle' WHEN origins >= 2 THEN 'disjoint' WHEN n <= 3 THEN 'update_back' ELSE 'unknown' END AS pattern FROM g WHERE n >= 2""")
 def q_multi_writer(spark, d):
-    rows = [("x_mel", "a.csv"), ("x_syd", "a.csv"), ("load_b", "b.csv"), ("purge_b", "b.csv"), ("one", "c.csv"), ("two", "c.csv"), *[(f"p{i}", "d.csv") for i in range(1, 5)], ("alone", "e.csv"), ("nil", None)]
-    out = catalog.multi_writers(spark.createDataFrame(rows, "name string, output_csv string"))
-    return out.select("target", F.array_join("writers", ",").alias("writers"), "pattern")
+    base = F.element_at(F.array(*map(F.lit, _WRITERS)), (F.col("event_id") % 7 + 1).cast("int"))
+    rows = table(spark, d, "events").select(F.concat(base, F.lit("_"), F.col("user_id") % 2).alias("name"), F.concat(F.lit("t"), F.col("user_id") % 300, F.lit(".csv")).alias("output_csv"))
+    return catalog.multi_writers(rows).select("target", F.array_join("writers", ",").alias("writers"), "pattern")
 
 
 @query("SELECT p_partkey, greatest(0, least(100, 100 - 25 * (p_size % 4) - 10 * (p_size % 3) - 5 * (p_size % 2) - CASE WHEN p_size > 40 THEN 10 ELSE 0 END))::INT AS confidence FROM part")
@@ -816,28 +839,57 @@ def q_parity_match(spark, d):
     return parity.verdict(parity.compared(o, o.repartition(3)), "orders").drop("columns_compared")
 
 
-@query("SELECT * FROM (VALUES ('o_custkey', 'both', true), ('o_orderdate', 'both', true), ('o_orderkey', 'both', true), ('o_orderpriority', 'a_only', false), ('o_orderstatus', 'both', true), ('o_totalprice', 'both', false)) v(column_name, side, matches)")
+def _agree(column: str, total: str = "true") -> str:
+    pairs = " AND ".join(f"{f} IS NOT DISTINCT FROM {f.replace('a.', 'b.')}" for f in (f"count(DISTINCT a.{column})", f"min(a.{column})", f"max(a.{column})"))
+    return f"SELECT '{column}' AS column_name, 'both' AS side, {pairs} AND {total} AS matches FROM o a JOIN c b USING (k)"
+
+
+@query(f"""WITH o AS (SELECT o_orderkey AS k, *, CAST(o_totalprice AS DECIMAL(14,2)) AS price FROM orders), top AS (SELECT max(o_orderkey) AS m FROM orders),
+ c AS (SELECT o.* REPLACE (CASE WHEN k = m THEN o_totalprice + 1000 ELSE o_totalprice END AS o_totalprice, CAST(CASE WHEN k = m THEN o_totalprice + 1000 ELSE o_totalprice END AS DECIMAL(14,2)) AS price) FROM o, top)
+{_agree("o_orderkey")} UNION ALL {_agree("o_custkey")} UNION ALL {_agree("o_orderstatus")}
+UNION ALL SELECT 'o_orderdate', 'both', count(DISTINCT a.o_orderdate) = count(DISTINCT b.o_orderdate) FROM o a JOIN c b USING (k)
+UNION ALL {_agree("o_totalprice", "abs(sum(a.o_totalprice) - sum(b.o_totalprice)) <= 1e-6 * greatest(abs(sum(a.o_totalprice)), 1)")}
+UNION ALL {_agree("price", "sum(a.price) = sum(b.price)")} UNION ALL SELECT 'o_orderpriority', 'a_only', false""")
 def q_parity_drift(spark, d):
-    return parity.compared(table(spark, d, "orders"), _copy(spark, d)).select("column_name", "side", "matches")
+    """One raised price: within the tolerance of a sum of floats, or not, by the table's size; never within that of exact numbers."""
+    exact = F.col("o_totalprice").cast("decimal(14,2)")
+    a, b = (x.withColumn("price", exact) for x in (table(spark, d, "orders"), _copy(spark, d)))
+    return parity.compared(a, b).select("column_name", "side", "matches")
 
 
-@query("SELECT * FROM (VALUES ('O_ORDERKEY', 'same'), ('O_CUSTKEY', 'same'), ('O_ORDERSTATUS', 'same'), ('O_TOTALPRICE', 'retyped'), ('O_ORDERDATE', 'same'), ('O_ORDERPRIORITY', 'removed'), ('EXTRA', 'added')) v(column_name, state)")
+@query("SELECT upper(column_name) AS column_name, CASE upper(column_name) WHEN 'O_TOTALPRICE' THEN 'retyped' WHEN 'O_ORDERPRIORITY' THEN 'removed' ELSE 'same' END AS state FROM information_schema.columns WHERE table_name = 'orders' UNION ALL SELECT 'EXTRA', 'added'")
 def q_schema_diff(spark, d):
     b = _copy(spark, d).withColumn("o_totalprice", F.col("o_totalprice").cast("decimal(18,2)")).withColumn("extra", F.lit(1))
     return parity.schema_diff(spark, table(spark, d, "orders"), b).select("column_name", "state")
 
 
-@query("SELECT * FROM (VALUES ('orders', 'source', 'oracle_origin', true), ('v_dash', 'source', 'view_origin', false), ('rates', 'source', 'csv_stub', false), ('mart', 'pipeline', 'bq_derived', false)) v(name, role, classification, in_source)")
+@query("SELECT c_name AS name, CASE WHEN c_custkey % 5 = 0 THEN 'pipeline' ELSE 'source' END AS role, CASE WHEN c_custkey % 5 = 0 THEN 'bq_derived' WHEN c_acctbal > 2000 THEN 'oracle_origin' WHEN c_acctbal > 0 THEN 'view_origin' ELSE 'csv_stub' END AS classification, c_acctbal > 2000 AS in_source FROM customer")
 def q_parity_targets(spark, d):
-    f = lambda *x: spark.createDataFrame([(n,) for n in x], "name string")
-    names = spark.createDataFrame([("orders", "source"), ("v_dash", "source"), ("rates", "source"), ("mart", "pipeline")], "name string, role string")
-    return parity.classified(names, f("ORDERS", "CUSTOMER"), f("V_DASH"))
+    c = table(spark, d, "customer")
+    names = c.select(F.col("c_name").alias("name"), F.when(F.col("c_custkey") % 5 == 0, "pipeline").otherwise("source").alias("role"))
+    return parity.classified(names, c.filter("c_acctbal > 2000").select(F.upper("c_name").alias("name")), c.filter("c_acctbal > 0").select(F.lower("c_name").alias("name")))
+
+
+_PAIRS = """p AS (SELECT 'nation' AS t, 'oracle_origin' AS kind, (SELECT count(*) FROM nation) AS a, (SELECT count(*) FROM nation) AS b
+ UNION ALL SELECT 'customer', 'oracle_origin', (SELECT count(*) FROM customer), (SELECT count(*) FROM customer WHERE c_acctbal >= 0)
+ UNION ALL SELECT 'stub', 'csv_stub', NULL, (SELECT count(*) FROM nation) UNION ALL SELECT 'mart', 'bq_derived', NULL, (SELECT count(*) FROM region) UNION ALL SELECT 'gone', 'view_origin', NULL, NULL),
+ v AS (SELECT *, CASE WHEN kind = 'csv_stub' THEN 'skipped' WHEN a IS NULL AND b IS NULL THEN 'missing_both' WHEN a IS NULL THEN 'missing_in_source' WHEN a = b THEN 'match' ELSE 'drift' END AS status FROM p)"""
 
 
-@query("SELECT status, count(*) AS n FROM (VALUES ('match'), ('skipped'), ('missing_in_source'), ('missing_both')) v(status) GROUP BY 1")
+def _verified(spark, d):
+    n, c = table(spark, d, "nation"), table(spark, d, "customer")
+    pairs = {"nation": (n, n, "oracle_origin"), "customer": (c, c.filter("c_acctbal >= 0"), "oracle_origin"), "stub": (None, n, "csv_stub"), "mart": (None, table(spark, d, "region"), "bq_derived"), "gone": (None, None, "view_origin")}
+    return parity.verified(pairs, spark)
+
+
+@query(f"WITH {_PAIRS} SELECT status, count(*) AS n FROM v GROUP BY 1")
 def q_parity_summary(spark, d):
-    n = table(spark, d, "nation")
-    return parity.summary(parity.verified({"nation": (n, n, "oracle_origin"), "stub": (None, n, "csv_stub"), "mart": (None, n, "bq_derived"), "gone": (None, None, "view_origin")}, spark))
+    return parity.summary(_verified(spark, d))
+
+
+@query(f"WITH {_PAIRS} SELECT t AS table_name, a AS a_rows, b AS b_rows, status, CASE WHEN kind = 'bq_derived' AND status = 'missing_in_source' THEN 'target_output' ELSE status END AS display_status FROM v")
+def q_parity_display(spark, d):
+    return _verified(spark, d).select("table_name", "a_rows", "b_rows", "status", "display_status")
 
 
 # --- change data ---------------------------------------------------------------------------------------------------------
@@ -880,10 +932,11 @@ def q_file_kinds(spark, d):
     return table(spark, d, "events").select(F.concat(F.lit("b/"), "event_id", ends).alias("url")).withColumn("kind", readers.file_kind(F.col("url")))
 
 
-@query("SELECT * FROM (VALUES ('view', true), ('click', true), ('never', false), ('dark', false)) v(name, csv_exists)")
+@query("SELECT DISTINCT event_type || '_' || user_id % 10 AS name, user_id % 10 < 6 AND event_type <> 'view' AS csv_exists FROM events")
 def q_output_cross_check(spark, d):
-    files = spark.createDataFrame([("gs://b/x/VIEW.csv",), ("click.CSV",), ("other.csv",)], "path string")
-    return catalog.output_check(_pipelines(spark).drop("csv_exists"), files).select("name", "csv_exists")
+    p = table(spark, d, "events").select(F.concat("event_type", F.lit("_"), F.col("user_id") % 10).alias("name"), (F.col("user_id") % 10).alias("k"), "event_type").distinct()
+    files = p.filter("k < 6 and event_type <> 'view'").select(F.concat(F.lit("store/x/"), F.upper("name"), F.lit(".CSV")).alias("path"))
+    return catalog.output_check(p.select("name", F.concat(F.lit("out/"), "name", F.lit(".csv")).alias("output_csv")), files).select("name", "csv_exists")
 
 
 @query("WITH t AS (SELECT 'ORDERS' AS n, count(*) AS rows FROM orders UNION ALL SELECT 'CUSTOMER', count(*) FROM customer UNION ALL SELECT 'PART', count(*) FROM part), u AS (SELECT * FROM (VALUES ('view', 'ORDERS'), ('view', 'CUSTOMER'), ('click', 'ORDERS'), ('click', 'PART'), ('never', 'NATION'), ('dark', 'CUSTOMER')) v(name, n)) SELECT name, count(*) AS sources, CAST(coalesce(sum(rows * 100), 0) AS BIGINT) AS bytes, max(rows) AS max_rows FROM u LEFT JOIN t USING (n) GROUP BY 1")
@@ -902,10 +955,10 @@ def q_scope_manifest(spark, d):
     return catalog.scope(m, t).select("kind", "name", "in_scope")
 
 
-@query("SELECT (50 * 7.0 + 10 * 5.0)::DOUBLE AS manual_days, (50 * 0.5 + 10 * 1.0)::DOUBLE AS assisted_days, 365.0::DOUBLE AS days_saved, 400 / 35.0::DOUBLE AS speedup, 2e12::DOUBLE / 1e9 * 0.02 AS storage_month, 2e12::DOUBLE * 50 * 30 / 1e12 * 5 AS query_month")
+@query("SELECT u * 7.0::DOUBLE + t * 5.0::DOUBLE AS manual_days, u * 0.5::DOUBLE + t * 1.0::DOUBLE AS assisted_days, u * 6.5::DOUBLE + t * 4.0::DOUBLE AS days_saved, (u * 7.0::DOUBLE + t * 5.0::DOUBLE) / (u * 0.5::DOUBLE + t) AS speedup, b / 1e9::DOUBLE * 0.02::DOUBLE AS storage_month, b * u * 30 / 1e12::DOUBLE * 5 AS query_month FROM (SELECT count(DISTINCT user_id) AS u, count(DISTINCT event_type) AS t, count(*) * 1e6::DOUBLE AS b FROM events)")
 def q_roi_projection(spark, d):
-    out = spark.range(1).select(*catalog.roi(F.lit(50), F.lit(10), F.lit(2e12)))
-    return out.select("manual_days", "assisted_days", "days_saved", "speedup", "storage_month", "query_month")
+    e = table(spark, d, "events").agg(F.count_distinct("user_id").alias("u"), F.count_distinct("event_type").alias("t"), (F.count(F.lit(1)) * F.lit(1e6)).alias("b"))
+    return e.select(*catalog.roi(F.col("u"), F.col("t"), F.col("b"))).select("manual_days", "assisted_days", "days_saved", "speedup", "storage_month", "query_month")
 
 
 @query(f"WITH RECURSIVE {_E}, w AS (SELECT DISTINCT src AS node, 0 AS depth FROM e WHERE src NOT IN (SELECT dst FROM e) UNION SELECT e.dst, w.depth + 1 FROM w JOIN e ON w.node = e.src) SELECT node, max(depth)::INT AS depth FROM w GROUP BY 1")
@@ -913,33 +966,41 @@ def q_layout_depth(spark, d):
     return graph.waves(_edges(spark, d)).select("node", (F.col("wave") - 1).alias("depth"))
 
 
-@query("SELECT c AS name, CASE c WHEN 'member_name' THEN 'PII' WHEN 'c_acctbal' THEN 'FINANCIAL' WHEN 'tax_file' THEN 'TAX' WHEN 'order_id' THEN 'INTERNAL' ELSE 'PUBLIC' END AS s FROM (VALUES ('member_name'), ('c_acctbal'), ('tax_file'), ('order_id'), ('status')) v(c)")
+@query(f"WITH {_N} SELECT name, CASE {' '.join(f'WHEN regexp_matches(name, {p!r}) THEN {v!r}' for v, p in catalog.SENSITIVE)} ELSE 'PUBLIC' END AS s FROM n")
 def q_sensitivity_rules(spark, d):
-    return spark.createDataFrame([(x,) for x in ("member_name", "c_acctbal", "tax_file", "order_id", "status")], "name string").withColumn("s", catalog.sensitivity(F.col("name")))
+    return _names(spark, d).select("name", catalog.sensitivity(F.col("name")).alias("s"))
 
 
-@query("SELECT * FROM (VALUES ('SOURCE.ORDERS', 'OUTPUTS.SEGMENT_REVENUE'), ('SOURCE.CUSTOMER', 'OUTPUTS.SEGMENT_REVENUE')) v(src, dst)")
+@query("""WITH e AS (SELECT DISTINCT CASE WHEN event_id % 2 = 0 THEN 'SOURCE.U' || user_id % 40 ELSE 'PIPELINE.P' || user_id % 15 || '.S' || event_id % 3 END AS src,
+ CASE WHEN event_id % 2 = 0 THEN 'PIPELINE.P' || event_id % 15 || '.S' || event_id % 4 ELSE 'OUTPUTS.O' || event_id % 20 END AS dst FROM events)
+SELECT DISTINCT a.src, b.dst FROM e a JOIN e b ON a.dst = b.src WHERE a.src LIKE 'SOURCE%' AND b.dst LIKE 'OUTPUTS%'""")
 def q_table_level_lineage(spark, d):
-    from weftline.plans import lineage
-
-    return graph.table_level(lineage.frame(spark, lineage.pipeline_edges(xml_frontend.parse(FLAGSHIP_XML))))
+    return graph.table_level(_lineage(spark, d))
 
 
-@query("SELECT * FROM (VALUES ('o_custkey', 'o_custkey', 'join'), ('o_custkey', 'o_custkey', 'extract'), ('o_totalprice', 'o_totalprice', 'extract'), ('o_totalprice', 'o_totalprice', 'join'), ('o_totalprice', 'tax', 'transform'), ('o_totalprice', 'gross', 'transform'), ('o_totalprice', 'o_totalprice', 'transform'), ('o_custkey', 'o_custkey', 'transform')) v(source_column, target_column, operation)")
+@query("""WITH n AS (SELECT lower(replace(n_name, ' ', '_')) AS t FROM nation), c AS (SELECT * FROM (VALUES ('total', 'total', 'extract'), ('k', 'k', 'extract'), ('total', 'tax', 'transform'), ('total', 'total', 'transform'), ('k', 'k', 'transform'), ('total', 'total', 'load'), ('k', 'k', 'load'), ('tax', 'tax', 'load')) v(source_column, target_column, operation))
+SELECT t AS pipeline, source_column, target_column, operation FROM n, c""")
 def q_column_lineage(spark, d):
+    """One pipeline for each nation, its text made from the row."""
     from weftline.plans import lineage
 
-    e = lineage.frame(spark, lineage.pipeline_edges(xml_frontend.parse(FLAGSHIP_XML)))
-    return e.filter("source_column in ('o_custkey', 'o_totalprice')").select("source_column", "target_column", "operation").distinct()
+    edges = []
+    for r in table(spark, d, "nation").select(F.lower(F.replace("n_name", F.lit(" "), F.lit("_"))).alias("t")).collect():  # 25 texts to parse
+        text = f'<pipeline name="{r.t}"><steps><extract id="a"><query>SELECT k, total FROM {r.t}</query></extract><transform id="b" input="a"><math operation="multiply" col1="total" val2="0.1" result_column="tax"/></transform><load id="c" input="b" type="csv" path="{r.t}.csv"/></steps></pipeline>'
+        edges += [(r.t, e[1], e[3], e[4]) for e in lineage.pipeline_edges(xml_frontend.parse(text))]
+    return spark.createDataFrame(edges, "pipeline string, source_column string, target_column string, operation string").distinct()
 
 
-@query("SELECT * FROM (VALUES ('a', 'ghost'), ('b', 'gone')) v(file, ref)")
+@query("SELECT DISTINCT event_type AS file, 'T' || user_id % 90 AS ref FROM events WHERE user_id % 90 NOT IN (SELECT s_suppkey FROM supplier)")
 def q_unresolved_refs(spark, d):
-    refs = spark.createDataFrame([("a", "orders"), ("a", "ghost"), ("b", "gone"), ("b", "Customer")], "file string, ref string")
-    return parity.unresolved(refs, spark.createDataFrame([("orders",), ("customer",)], "name string"))
+    refs = table(spark, d, "events").select(F.col("event_type").alias("file"), F.concat(F.lit("T"), F.col("user_id") % 90).alias("ref")).distinct()
+    return parity.unresolved(refs, table(spark, d, "supplier").select(F.concat(F.lit("t"), "s_suppkey").alias("name")))
 
 
 @query("SELECT p_partkey, CAST(p_size AS BIGINT) AS size_id, p_name AS site_id FROM part")
 def q_key_types(spark, d):
     p = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("p_partkey"), F.col("p_size").alias("size_id"), F.col("p_name").alias("site_id"))
     return R.cast_keys(p, {"partkey": "bigint", "size_id": "bigint", "site_id": "string"})
+
+
+from weftline import queries_more  # noqa: E402, F401  registers its queries here
