@@ -89,9 +89,25 @@ def test_op7_finds_whole_items(spark, sf_dir):
     docs = {r.doc_id: " ".join(r.text.split()) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     got = {(r.doc_id, r.item_id) for r in QUERIES["op7_decontamination"](spark, sf_dir).collect()}
     assert {(i, k) for i, t in docs.items() for k, x in items.items() if x in t} <= got
-    split = lambda t: ["".join(c for c in w if c.isalnum() or ord(c) > 127) for w in t.lower().split()]
+    split = lambda t: [x for w in t.lower().split() if (x := "".join(c for c in w if c.isalnum() or ord(c) > 127))]
     for i, k in got:
-        assert brute_distance(split(items[k]), split(docs[i])) <= dec.TOLERANCE * len(split(items[k])) + 1
+        assert brute_distance(split(items[k]), split(docs[i])) <= dec.TOLERANCE * len(split(items[k]))
+
+
+def test_edits_that_crowd_and_a_very_long_text(spark):
+    rng = random.Random(17)
+    some, _ = world(rng)
+    items = [some(n) for n in (25, 30, 35, 40, 60) * 12]
+    docs = []
+    for w in items:  # all edits within one stretch of the item
+        n = int(dec.TOLERANCE * len(w))
+        at = rng.randrange(len(w) - n + 1)
+        docs.append(some(20) + w[:at] + [f"other{rng.randrange(10**6)}" for _ in range(n)] + w[at + n :] + some(20))
+    docs.append([x for w in items[:3] for x in some(100_000) + w])
+    df = spark.createDataFrame([(i, " ".join(w), "en", "s", 0) for i, w in enumerate(docs)], DOCS).withColumns({c: F.lit("mine") for c in ("item_id", "distance")})
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in dec.hits(df, bench).collect()}
+    assert sum((k, k) in got for k in range(len(items))) >= 0.95 * len(items) and {(len(items), k) for k in range(3)} <= got
 
 
 def brute_dice(template, text):

@@ -84,6 +84,14 @@ def test_run_and_empty_tables(spark, sf_dir, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
+def test_near_copies_with_equal_or_null_ids_leave_one_row(spark, sf_dir):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _at string, row long"
+    text = "one two three four five six seven eight nine ten"
+    rows = [(7, text, "en", "a", 1, "x", 1), (7, text, "en", "b", 1, "x", 2), (None, text, "en", "a", 1, "x", 3), (7, text.upper(), "en", "a", 1, "x", 4), (8, "other " * 40_000, "en", "a", 1, "x", 5)]
+    out = corpus_pipeline.STAGES[1][1](spark, spark.createDataFrame(rows, schema), sf_dir)
+    assert sorted(r.doc_id for r in out.collect()) == [7, 8] and out.columns == corpus_pipeline.COLUMNS
+
+
 def test_odd_rows(spark, sf_dir):
     schema = "doc_id long, text string, lang string, source string, n_chars long, size string"
     rows = [(1, None, None, None, None, "x"), (2, "", "", "", 0, "y"), (None, "a b c", "en", "s", 5, None), (4, "a b c", "en", "s", 5, None), (4, "a b c", "en", "s", 5, None)]

@@ -163,7 +163,7 @@ def grams(hashes: np.ndarray, k: int) -> np.ndarray:
     """
     if len(hashes) < k:
         return np.zeros(0, dtype=np.uint64)
-    out, width = mix(hashes + np.uint64(k * int(_SIZE) % (1 << 64))), 1
+    out, width = mix(hashes + np.uint64(int(k) * int(_SIZE) % (1 << 64))), 1
     while width < k:
         step = min(width, k - width)  # the last halves overlap
         out = mix(out[:-step] * _LEFT + out[step:])
