@@ -4,8 +4,10 @@ Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame that is
 written as Parquet and read again as the next one's ``docs``. All but the last
 return the columns of ``documents``. An empty table passes through every stage
 as an empty table; null texts are clean, link with nothing and weigh nothing in
-the mix; rows that repeat are separate rows, but for the near-duplicate stage,
-where equal ids stay or go together.
+the mix; very long texts pass through whole. Rows that repeat are separate
+rows, but the near-duplicate stage keeps one row of each group, whether ids are
+equal, null or different. Columns beyond those of ``documents`` are dropped by
+the first stage that sees them.
 """
 
 from __future__ import annotations
@@ -62,15 +64,25 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to ``documents``; results between them go to the shared checkpoint folder."""
+    """The stages applied to ``documents``.
+
+    Results between them go to the shared checkpoint folder. Each is deleted
+    once the next is written, and the last one when the session's JVM ends, as
+    the returned DataFrame reads it.
+    """
     from weftline.llm.common import shared_folder
 
     docs = table(spark, sf_dir, "documents")
     base = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    path = lambda name: spark._jvm.org.apache.hadoop.fs.Path(f"{base}/{name}")
+    store = path("all").getFileSystem(spark._jsc.hadoopConfiguration())
     for i, (name, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
         if i == len(STAGES) - 1:
             return out
+        store.deleteOnExit(path(name))
         out.write.parquet(f"{base}/{name}")
         docs = spark.read.parquet(f"{base}/{name}")
+        if i:
+            store.delete(path(STAGES[i - 1][0]), True)
     return docs
