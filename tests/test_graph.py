@@ -83,3 +83,23 @@ def test_export_and_deliveries(spark):
     assert [tuple(r) for r in graph.delivery_nodes(nodes, deliveries).collect()] == [("OUTPUTS.FEES", "DELIVERY_EXT.fees.csv")]
     fk = spark.createDataFrame([("DW.F", "c_id", True, "DW.C.ID"), ("DW.F", "z", False, None)], "table_fqn string, name string, is_fk boolean, fk_target string")
     assert [(r.source_fqn, r.target_fqn, r.target_column) for r in graph.fk_edges(fk).collect()] == [("DW.F", "DW.C", "ID")]
+
+
+def test_cycles_of_a_random_graph(spark):
+    import random
+
+    rng = random.Random(5)
+    edges = {(rng.randrange(40), rng.randrange(40)) for _ in range(60)} | {(100 + i, 100 + (i + 1) % 9) for i in range(9)}
+    after = {a: {a} for a, _ in edges} | {b: {b} for _, b in edges}
+    for _ in range(60):
+        for a, b in edges:
+            after[a] |= after[b]
+    want = {n: min(m for m in after[n] if n in after[m]) for n in after if (n, n) in edges or any(m != n and n in after[m] for m in after[n])}
+    df = spark.createDataFrame(sorted(edges), "src long, dst long")
+    assert {r.node: r.cycle for r in graph.cycle_nodes(df).collect()} == want
+    got = {(r.src, r.dst) for r in graph.closure(df.filter("src < 15")).collect()}
+    small = {(a, b) for a, b in edges if a < 15}
+    pairs = set(small)
+    while more := {(a, d) for a, b in pairs for c, d in small if b == c} - pairs:
+        pairs |= more
+    assert got == pairs

@@ -9,6 +9,7 @@ cycles end too. Nothing is collected but counts.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +26,16 @@ def nodes_of(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
 
 
+def _all(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _kept(parts: list[DataFrame], new: DataFrame) -> list[DataFrame]:
+    """The results of the rounds so far. What was found stays as it was written; every 16 rounds it is written together."""
+    parts = [*parts, new]
+    return [cut(_all(parts))] if len(parts) > 16 else parts
+
+
 def closure(edges: DataFrame, seeds: DataFrame | None = None, reverse: bool = False) -> DataFrame:
     """Distinct pairs (src, dst) where a path of one edge or more leads from src to dst.
 
@@ -37,30 +48,64 @@ def closure(edges: DataFrame, seeds: DataFrame | None = None, reverse: bool = Fa
     step = e.select(F.col("src").alias("mid"), F.col("dst").alias("next"))
     new = e if seeds is None else e.join(seeds.select(F.col("node").alias("src")).distinct(), "src", "left_semi")
     new = cut(new)
-    found = new
+    found = [new]
     while not new.isEmpty():
         reached = new.join(step, new["dst"] == step["mid"]).select("src", F.col("next").alias("dst")).distinct()
-        new = cut(reached.join(found, ["src", "dst"], "left_anti"))
-        found = cut(found.unionByName(new))
+        new = cut(reached.join(_all(found), ["src", "dst"], "left_anti"))
+        found = _kept(found, new)
+    found = _all(found)
     return found.select(F.col("dst").alias("src"), F.col("src").alias("dst")) if reverse else found
 
 
 def reached(edges: DataFrame, seeds: DataFrame, reverse: bool = False) -> DataFrame:
     """Nodes that a path from any seed leads to, seeds included: one closure for all seeds, of nodes, not pairs."""
     e = cut(edges.select(*(("dst", "src") if reverse else ("src", "dst"))).distinct().toDF("mid", "node"))
-    found = cut(seeds.select("node").distinct())
-    new = found
+    new = cut(seeds.select("node").distinct())
+    found = [new]
     while not new.isEmpty():
-        new = cut(e.join(new.select(F.col("node").alias("mid")), "mid", "left_semi").select("node").distinct().join(found, "node", "left_anti"))
-        found = cut(found.unionByName(new))
-    return found
+        new = cut(e.join(new.select(F.col("node").alias("mid")), "mid", "left_semi").select("node").distinct().join(_all(found), "node", "left_anti"))
+        found = _kept(found, new)
+    return _all(found)
 
 
 def cycle_nodes(edges: DataFrame) -> DataFrame:
-    """Nodes that lie on a cycle, self edges included, with the smallest node of their cycle group."""
-    pairs = closure(edges)
-    back = pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return pairs.join(back, ["src", "dst"]).groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("cycle"))
+    """Nodes that lie on a cycle, self edges included, with the smallest node of their cycle group.
+
+    Each round gives every node the largest node that leads to it; those that
+    lead back to that node among nodes of the same colour are its group. Groups
+    go, the rest is trimmed, and the next round follows. Rows are nodes and
+    edges, never pairs of nodes.
+    """
+    loops = edges.filter("src = dst").select(F.col("src").alias("node")).distinct()
+    e, groups = acyclic_core(edges.filter("src <> dst")), []
+    while not e.isEmpty():
+        colour = _coloured(e)
+        a, b = colour.select(F.col("node").alias("src"), F.col("colour").alias("a")), colour.select(F.col("node").alias("dst"), F.col("colour").alias("b"))
+        same = e.join(a, "src").join(b, "dst").filter("a = b").select("src", "dst")
+        back = reached(same, colour.filter("node = colour").select("node"), reverse=True)
+        group = cut(colour.join(back, "node"))
+        groups.append(group)
+        gone = group.select("node")
+        left = e.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti")
+        e = acyclic_core(left)
+    if not groups:
+        return loops.select("node", F.col("node").alias("cycle"))
+    every = _all(groups)
+    low = every.groupBy("colour").agg(F.min("node").alias("cycle"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    found = cut(every.join(low, "colour").select("node", "cycle"))
+    return found.unionByName(loops.join(found, "node", "left_anti").select("node", F.col("node").alias("cycle")))
+
+
+def _coloured(edges: DataFrame) -> DataFrame:
+    """``node`` and ``colour``, the largest node that leads to it or itself."""
+    colour = cut(nodes_of(edges).withColumn("colour", F.col("node")))
+    while True:
+        best = edges.join(colour.select(F.col("node").alias("src"), "colour"), "src").groupBy(F.col("dst").alias("node")).agg(F.max("colour").alias("best"))
+        new = cut(colour.join(best, "node", "left").select("node", F.greatest("colour", "best").alias("colour"), (F.col("best") > F.col("colour")).alias("moved")))
+        still = new.filter("moved").isEmpty()
+        colour = new.select("node", "colour")
+        if still:
+            return colour
 
 
 def acyclic_core(edges: DataFrame) -> DataFrame:
