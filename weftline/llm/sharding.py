@@ -12,9 +12,9 @@ Global numbers need no global sort: rows fall into 65,536 hash buckets, each
 bucket is numbered by itself, and the prefix sums of the bucket sizes (a table
 of fixed size, safe to broadcast) shift them.
 
-Cases: null values are ordinary values of a column; equal rows are counted
-before the shuffle and numbered one after another, so a third of all rows may
-be one repeated row; an empty table gives an empty result; columns named like
+Cases: null values are ordinary values of a column; very long texts are values
+like others; equal rows are counted before the shuffle and numbered one after
+another, so a third of all rows may be one repeated row; an empty table gives an empty result; columns named like
 the result's columns are replaced.
 """
 
