@@ -146,3 +146,11 @@ def test_exact_sums_and_tolerance(spark):
     assert got["n"].matches and got["n"].a_exact == got["n"].b_exact == "1999000"
     c = a.withColumn("n", F.expr("case when n = 5 then 2500 when n = 1999 then 1998 when n = 6 then 5 else n end"))
     assert not {r.column_name: r.matches for r in parity.compared(a, c).collect()}["n"]
+
+
+def test_a_merge_keeps_null_keys_out_of_the_join(spark):
+    t = spark.createDataFrame([(1, "a"), (2, "b"), (None, "n"), (None, "m")], "k long, v string")
+    s = spark.createDataFrame([(2, "B"), (3, "C"), (None, "N"), (None, "M")], "k long, v string")
+    spec = dml.Merge("k", [dml.When({"v": "s.v"})], [dml.When({"k": "s.k", "v": "s.v"})], [dml.When({"v": "upper(t.v) || '!'"}, "t.v <> 'm'")])
+    got = sorted(map(tuple, dml.merge(t, s, spec).collect()), key=repr)
+    assert got == sorted([(1, "A!"), (2, "B"), (3, "C"), (None, "N!"), (None, "m"), (None, "N"), (None, "M")], key=repr)

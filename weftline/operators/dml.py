@@ -7,7 +7,8 @@ then overwrites; a Parquet table has no MERGE of its own.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -84,7 +85,13 @@ def merge(target: DataFrame, source: DataFrame, spec: Merge) -> DataFrame:
             meets = meets & F.expr(spec.match_condition)
         fresh = source.alias("s").join(target.alias("t"), meets, "left_anti")
         return target.unionByName(_merged(target.limit(0), fresh, spec, pairs))
-    return _merged(target, source, spec, pairs)
+    # Rows with a null key match nothing. They stay out of the join, where one task would hold them all.
+    null = lambda names: reduce(lambda a, b: a | b, [F.col(quoted(n)).isNull() for n in names])
+    no_t, no_s = null([x for x, _ in pairs]), null([y for _, y in pairs])
+    both = _merged(target.filter(~no_t), source.filter(~no_s), spec, pairs)
+    kept = _merged(target.filter(no_t), source.limit(0), replace(spec, matched=(), not_matched=()), pairs)
+    added = _merged(target.limit(0), source.filter(no_s), replace(spec, matched=(), not_matched_by_source=()), pairs)
+    return both.unionByName(kept).unionByName(added)
 
 
 def _merged(target: DataFrame, source: DataFrame, spec: Merge, pairs: list[tuple[str, str]]) -> DataFrame:
