@@ -214,6 +214,18 @@ def test_scores_equal_brute_force(spark):
     assert got.keys() == want.keys() and all(abs(got[i] - want[i]) <= 1e-6 * max(1, abs(want[i])) for i in want), [(i, got[i], want[i]) for i in want if abs(got[i] - want[i]) > 1e-6][:5]
 
 
+def test_odd_rows_and_names(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(1, "a b a"), (1, "a b a"), (None, "a b"), (None, "a b"), (4, None), (5, ""), (6, "word " * 200_000), (7, "x" * 1_000_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2, "text").localCheckpoint()
+    plain = sorted(map(str, lm_scoring.scores(df).collect()))
+    named = df.withColumns({c: F.lit("mine") for c in ("held_out", "deleted", "block", "part", "blob", "word", "n", "score")}).localCheckpoint()
+    assert sorted(map(str, lm_scoring.scores(named).collect())) == plain and len(plain) == len(rows)
+    got = lm_scoring.scores(df).collect()
+    assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == brute(rows)
+
+
 def test_patterned_words_are_two_words(spark):
     x, y = ("".join(p[bin(i).count("1") % 2] for i in range(1024)) for p in ("ab", "ba"))
     rows = [(i, x) for i in range(20) if zlib.crc32(str(i).encode()) % 7 != 2]

@@ -147,6 +147,7 @@ def test_a_very_long_text(spark):
 def test_components_of_a_long_chain(spark):
     n = 60
     edges = [(i, i + 1) for i in range(n)] + [(100, 101), (101, 102), (102, 100), (200, 200)]
-    df = spark.createDataFrame(edges, "a long, b long")
+    df = spark.createDataFrame([*edges, *edges[:9], (None, 3), (4, None), (None, None)], "a long, b long").withColumns({c: F.lit(-1) for c in ("u", "v", "m", "node", "label")})
     got = {r.node: r.label for r in components.labels(df).collect()}
     assert got == {i: 0 for i in range(n + 1)} | {100: 100, 101: 100, 102: 100}
+    assert components.labels(df.limit(0)).count() == 0

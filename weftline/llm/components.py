@@ -3,6 +3,9 @@
 Each round hangs every node's larger neighbours on its smallest one, then the
 smaller ones; edges never grow in number and chains halve, so rounds grow with
 the logarithm of the longest chain. Nothing is collected.
+
+Cases: null ends are no edge; repeated edges count once, self edges not at all;
+further columns are ignored, whatever their names; no edges give no rows.
 """
 
 from __future__ import annotations
