@@ -118,10 +118,30 @@ def test_linked_sets_share_an_item(percent):
                 both = len(np.intersect1d(x, y))
                 if 100 * both < percent * (len(x) + len(y) - both) or np.array_equal(x, y):
                     continue
+                assert len(np.intersect1d(near_dup.blocks_of(x, percent), near_dup.blocks_of(y, percent))), (n, drop, add)
                 (_, r1, o1), (_, r2, o2) = (near_dup.signatures(s, table, percent) for s in (x, y))
                 assert len(np.intersect1d(r1, r2)) + len(np.intersect1d(o1, o2)), (n, drop, add)
 
 
+def test_texts_of_shared_passages_only(spark):
+    """Every token is frequent and lists are full of texts that don't link, with clusters among them."""
+    rng = random.Random(21)
+    passages = [[f"p{i}w{j}" for j in range(40)] for i in range(12)]
+    rows = []
+    for i in range(90):
+        w = [x for p in rng.sample(passages, 3) for x in p]
+        rows.append((i * 2, " ".join(w)))
+        for c in range(rng.choice([0, 0, 1, 3])):  # near copies, some beyond the threshold
+            v = list(w)
+            for _ in range(rng.choice([1, 2, 4, 8])):
+                v[rng.randrange(len(v))] = f"n{i}{c}{rng.randrange(10**6)}"
+            rows.append((1000 + i * 10 + c, " ".join(v)))
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS)
+    for k, percent in ((4, 85), (5, 80)):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.groups(df, k, percent, 3).collect()}
+        assert got == brute(rows, k, percent)
+
+
 def thue_morse(n):
     """Two words that any polynomial hash modulo a power of two takes for one."""
     bits = [bin(i).count("1") % 2 for i in range(n)]

@@ -27,11 +27,14 @@ one set.
    allow a link. A frequent item's list may hold
    a third of all sets: all of it is compared with one pivot, the set with
    fewest rare tokens. Members linked with the pivot need no pairs among
-   themselves. The others are compared among themselves, and with linked
-   members if they are near enough to the pivot for that (set differences obey
-   the triangle inequality), unless rare tokens, which pairs met here don't
-   share, or the sets' parity tables, whose differing bits never outnumber the
-   differing tokens, rule the link out.
+   themselves. The others, and members linked with the pivot if another one is
+   near enough to it for a link between them (set differences obey the triangle
+   inequality), meet by blocks: a set's tokens fall by hash into more blocks
+   than linked sets of its size differ in tokens, so linked sets have a block
+   in common that is alike in both. Equal blocks are compared with one head
+   again, and only members of a block that don't link with its head with all of
+   the block. Pairs whose parity tables differ in more bits than linked sets
+   differ in tokens are never verified.
 4. Candidates are verified on whole token sets, hashed anew from the words with
    another seed, and linked sets are grouped by star contraction.
 
@@ -343,22 +346,87 @@ def linked(items: DataFrame, docs: DataFrame, k: int, percent: int) -> tuple[Dat
     star = member.filter(fits(F.col("n"), F.col("pn")) & could(F.col("r"), F.col("pr"), F.col("n"), F.col("pn"))).select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b")).distinct()
     one = saved(plausible(saved(rare_pairs(real, percent).unionByName(star).distinct()), nodes, percent))
     links = verified(one, nodes, docs, k, percent)
-    # Members that don't link with their item's pivot meet each other there, and the linked ones if near enough.
-    sides = saved(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    # Members that don't link with their item's pivot are met again, and linked ones if they may be near enough to such a member.
     tied = (F.col("pivot") == F.col("a")) & (F.col("key") == F.col("b"))
-    far = saved(member.join(sides, tied, "left_anti").select("item", "key", "n", "r", "bits", "pivot", "pn"))
+    sides = saved(_both(links))
+    far = saved(member.join(sides, tied, "left_anti").select("item", "key", "n", "bits", "pivot", "pn"))
     if far.isEmpty():
         return nodes, links
-    differ = lambda x, y, total: (100 + percent) * apart(x, y, PARITY // 64) <= (100 - percent) * total
-    other = lambda df: df.select("item", F.col("key").alias("key2"), F.col("n").alias("n2"), F.col("r").alias("r2"), F.col("bits").alias("bits2"))
     # A set that links with both x and the pivot has x.n * 100 / percent tokens at most.
     reach = F.col("n") + F.col("pn") + 2 * F.floor(F.col("n") * 100 / percent)
-    close = far.join(nodes.select(F.col("key").alias("pivot"), F.col("bits").alias("pbits")), "pivot").filter(differ("bits", "pbits", reach))
-    near = member.join(sides, tied, "left_semi")
-    fit = fits(F.col("n"), F.col("n2")) & could(F.col("r"), F.col("r2"), F.col("n"), F.col("n2")) & differ("bits", "bits2", F.col("n") + F.col("n2"))
-    met = [x.join(saved(other(y)), "item").filter((F.col("key") != F.col("key2")) & fit).select(F.least("key", "key2").alias("a"), F.greatest("key", "key2").alias("b")) for x, y in ((far, far), (close, near))]
-    two = met[0].unionByName(met[1]).distinct().join(one, ["a", "b"], "left_anti")
-    return nodes, links.unionByName(verified(saved(plausible(saved(two), nodes, percent)), nodes, docs, k, percent))
+    pivot_bits = nodes.select(F.col("key").alias("pivot"), F.col("bits").alias("pbits"))
+    close = far.join(pivot_bits, "pivot").filter((100 + percent) * apart("bits", "pbits", PARITY // 64) <= (100 - percent) * reach).select("item").distinct()
+    near = member.join(sides, tied, "left_semi").join(close, "item", "left_semi").select("key")
+    rows = saved(block_rows(saved(far.select("key").unionByName(near).distinct()), nodes, docs, k, percent))
+    heads = saved(rows.groupBy("block").agg(F.min("key").alias("head"), F.count(F.lit(1)).alias("size")).filter("size > 1").select("block", "head"))
+    met = rows.join(heads, "block").filter("key <> head")
+    pairs = lambda df, x, y: df.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
+    two = saved(plausible(saved(pairs(met, "key", "head").join(one, ["a", "b"], "left_anti")), nodes, percent))
+    links = saved(links.unionByName(verified(two, nodes, docs, k, percent)))
+    left = saved(met.join(_both(links), (F.col("head") == F.col("a")) & (F.col("key") == F.col("b")), "left_anti").select("block", "key"))
+    if left.isEmpty():
+        return nodes, links
+    others = saved(rows.join(left.select("block").distinct(), "block", "left_semi").select("block", F.col("key").alias("other")))
+    three = pairs(left.join(others, "block").filter("key <> other"), "key", "other").join(one.unionByName(two), ["a", "b"], "left_anti")
+    return nodes, links.unionByName(verified(saved(plausible(saved(three), nodes, percent)), nodes, docs, k, percent))
+
+
+def _both(links: DataFrame) -> DataFrame:
+    return links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+
+
+def _classes(n: int, percent: int):
+    """``(class, number of blocks, differences)`` of the size classes of a set of n tokens; linked sets share one."""
+    low, number = 1, 0
+    while low <= n:
+        high = low + 1 + low // 4
+        top = -(-high * 100 // percent)
+        if n < top:
+            most = (100 - percent) * 2 * (top - 1) // (100 + percent)
+            yield number, most + 1 + max(1, most // 4), most
+        low, number = high, number + 1
+
+
+def blocks_of(tokens: np.ndarray, percent: int) -> np.ndarray:
+    """Keys of the blocks of a token set: two linked sets have one in common.
+
+    Tokens fall into blocks by hash, more blocks than linked sets of that size
+    differ in tokens. Blocks without a difference are alike, and more of them
+    than blocks that are empty, which need no key then.
+    """
+    out = []
+    for number, blocks, most in _classes(len(tokens), percent):
+        of = (tokens >> np.uint64(12)) % np.uint64(blocks)
+        order = np.argsort(of, kind="stable")
+        at = np.flatnonzero(np.diff(of[order], prepend=np.uint64(blocks)))
+        full, sums = of[order][at], np.add.reduceat(mix(tokens[order] ^ np.uint64(0x5851F42D4C957F2D)), at)
+        if blocks - len(full) > blocks - most - 1:
+            empty = np.setdiff1d(np.arange(blocks, dtype=np.uint64), full)
+            full, sums = np.concatenate([full, empty]), np.concatenate([sums, np.zeros(len(empty), np.uint64)])
+        out.append(mix(mix(sums) + full * np.uint64(0x9E3779B97F4A7C15) + np.uint64(number + 1)))
+    return np.concatenate(out)
+
+
+def block_rows(keys: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """``block`` and ``key`` of the sets in ``keys``, from the documents that stand for them."""
+    first = keys.join(nodes.select("key", "first"), "key")
+    maybe, _ = perhaps(docs.select("doc_id", "text"), "doc_id", first, "first")
+
+    def run(batches):
+        for batch in batches:
+            held, size = [], 0
+            for _, tokens in token_sets(batch, k):
+                if len(tokens):
+                    blocks = blocks_of(tokens, percent).view(np.int64)
+                    held.append((blocks, np.full(len(blocks), set_key(tokens))))
+                    size += len(blocks)
+                if size > 1 << 18:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], names=["block", "key"])
+                    held, size = [], 0
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], names=["block", "key"])
+
+    return maybe.mapInArrow(run, "block long, key long").join(keys, "key", "left_semi").distinct()
 
 
 def _grouped(docs: DataFrame, k: int, percent: int, frequent: int) -> tuple[DataFrame, DataFrame]:
