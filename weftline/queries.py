@@ -107,7 +107,8 @@ def q_source_comma_join(spark, d):
     return R.multi_source(table(spark, d, "nation"), "n", [R.Joined("r", table(spark, d, "region"))], "n_regionkey = r_regionkey and r_name like 'A%'").select("n_name", "r_name")
 
 
-@query("WITH big AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) SELECT c_name AS custname, n AS ordercount FROM big JOIN customer ON o_custkey = c_custkey WHERE n > 12")
+@query("""WITH big AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) SELECT c_name AS custname, n AS ordercount FROM big JOIN customer ON o_custkey =
+  c_custkey WHERE n > 12""")
 def q_source_custom_sql(spark, d):
     """Custom SQL with its own WITH, under port names."""
     sql = "WITH big AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) SELECT c_name AS cust_name, n AS order_count FROM big JOIN customer ON o_custkey = c_custkey WHERE n > 12"
@@ -156,7 +157,8 @@ def q_safe_divide(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", dialect.safe_divide(F.col("l_extendedprice"), F.col("l_discount")).alias("ratio"))
 
 
-@query("SELECT event_id, coalesce(CASE WHEN event_type = 'view' THEN NULL ELSE event_type END, 'UNKNOWN') AS status, coalesce(CASE WHEN value < 10 THEN NULL ELSE value END, 0) AS amount FROM events")
+@query("""SELECT event_id, coalesce(CASE WHEN event_type = 'view' THEN NULL ELSE event_type END, 'UNKNOWN') AS status, coalesce(CASE WHEN value < 10 THEN NULL
+  ELSE value END, 0) AS amount FROM events""")
 def q_defaults_applied(spark, d):
     e = table(spark, d, "events").select("event_id", F.expr("nullif(event_type, 'view')").alias("status"), F.expr("case when value >= 10 then value end").alias("amount"))
     return dialect.with_defaults(e)
@@ -219,7 +221,8 @@ def q_anti_missing(spark, d):
     return R.joiner(table(spark, d, "customer").select("c_custkey", "c_name"), table(spark, d, "orders").filter("o_orderstatus = 'P' and o_totalprice > 100000"), {"c_custkey": "o_custkey"}, "anti")
 
 
-@query("SELECT c.c_custkey, c.c_acctbal FROM customer c LEFT JOIN customer p ON c.c_custkey = p.c_custkey AND p.c_acctbal >= 0 WHERE p.c_custkey IS NULL OR p.c_acctbal IS DISTINCT FROM (CASE WHEN c.c_custkey % 5 = 0 THEN c.c_acctbal + 1 ELSE c.c_acctbal END)")
+@query("""SELECT c.c_custkey, c.c_acctbal FROM customer c LEFT JOIN customer p ON c.c_custkey = p.c_custkey AND p.c_acctbal >= 0 WHERE p.c_custkey IS NULL OR
+  p.c_acctbal IS DISTINCT FROM (CASE WHEN c.c_custkey % 5 = 0 THEN c.c_acctbal + 1 ELSE c.c_acctbal END)""")
 def q_new_or_changed(spark, d):
     c = table(spark, d, "customer").select("c_custkey", "c_acctbal")
     now = c.withColumn("c_acctbal", F.expr("case when c_custkey % 5 = 0 then c_acctbal + 1 else c_acctbal end"))
@@ -227,7 +230,9 @@ def q_new_or_changed(spark, d):
     return out.join(c.withColumnRenamed("c_acctbal", "b"), "c_custkey").select("c_custkey", F.col("b").alias("c_acctbal"))
 
 
-@query("WITH s AS (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1), t AS (SELECT s_nationkey, count(*) AS m FROM supplier GROUP BY 1) SELECT n_name, coalesce(n, 0) AS customers, coalesce(m, 0) AS suppliers FROM nation LEFT JOIN s ON n_nationkey = c_nationkey LEFT JOIN t ON n_nationkey = s_nationkey")
+@query("""WITH s AS (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1), t AS (SELECT s_nationkey, count(*) AS m FROM supplier GROUP BY 1) SELECT
+  n_name, coalesce(n, 0) AS customers, coalesce(m, 0) AS suppliers FROM nation LEFT JOIN s ON n_nationkey = c_nationkey LEFT JOIN t ON n_nationkey =
+  s_nationkey""")
 def q_join_derived(spark, d):
     """Aggregates joined to a dimension, each aggregated before its join."""
     out = table(spark, d, "nation").select("n_name", "n_nationkey")
@@ -254,7 +259,8 @@ def q_legacy_outer_join(spark, d):
 # --- aggregates ------------------------------------------------------------------------
 
 
-@query(f"SELECT l_returnflag, l_linestatus, count(*) AS n, {_money('l_quantity')} AS qty, min(l_shipdate) AS first_ship, max(l_extendedprice) AS top_price FROM lineitem GROUP BY 1, 2")
+@query(f"""SELECT l_returnflag, l_linestatus, count(*) AS n, {_money('l_quantity')} AS qty, min(l_shipdate) AS first_ship, max(l_extendedprice) AS top_price FROM
+  lineitem GROUP BY 1, 2""")
 def q_agg_basic(spark, d):
     return R.aggregator(table(spark, d, "lineitem"), ["l_returnflag", "l_linestatus"], {"n": "count(*)", "qty": _money("l_quantity"), "first_ship": "min(l_shipdate)", "top_price": "max(l_extendedprice)"})
 
@@ -270,7 +276,8 @@ def q_agg_count_distinct(spark, d):
     return R.aggregator(table(spark, d, "lineitem"), ["l_returnflag"], {"suppliers": "count(distinct l_suppkey)", "parts": "count(distinct l_partkey)"})
 
 
-@query(f"SELECT o_orderpriority, count(*) FILTER (o_orderstatus = 'F') AS done, {_money('case when o_orderstatus = chr(79) then o_totalprice else 0 end')} AS open_total FROM orders GROUP BY 1")
+@query(f"""SELECT o_orderpriority, count(*) FILTER (o_orderstatus = 'F') AS done, {_money('case when o_orderstatus = chr(79) then o_totalprice else 0 end')} AS
+  open_total FROM orders GROUP BY 1""")
 def q_agg_conditional(spark, d):
     return R.aggregator(table(spark, d, "orders"), ["o_orderpriority"], {"done": "count_if(o_orderstatus = 'F')", "open_total": _money("case when o_orderstatus = 'O' then o_totalprice else 0 end")})
 
@@ -336,7 +343,8 @@ def q_recent_runs(spark, d):
 # --- sets, explosion, routing -----------------------------------------------------------------
 
 
-@query("SELECT c_custkey AS id, c_name AS name, 'C' AS kind, c_acctbal AS bal FROM customer UNION ALL SELECT s_suppkey, s_name, 'S', s_acctbal FROM supplier UNION ALL SELECT n_nationkey, n_name, 'N', NULL FROM nation")
+@query("""SELECT c_custkey AS id, c_name AS name, 'C' AS kind, c_acctbal AS bal FROM customer UNION ALL SELECT s_suppkey, s_name, 'S', s_acctbal FROM supplier
+  UNION ALL SELECT n_nationkey, n_name, 'N', NULL FROM nation""")
 def q_union_all_mapped(spark, d):
     t = lambda n: table(spark, d, n)
     maps = {"c": {"id": "c_custkey", "name": "c_name", "kind": "'C'", "bal": "c_acctbal"}, "s": {"id": "s_suppkey", "name": "s_name", "kind": "'S'", "bal": "s_acctbal"}, "n": {"id": "cast(n_nationkey as bigint)", "name": "n_name", "kind": "'N'", "bal": "cast(null as double)"}}
@@ -358,7 +366,8 @@ def q_normalizer_explode(spark, d):
     return R.repeated(table(spark, d, "part").select("p_partkey"), 3)
 
 
-@query("SELECT l_orderkey, l_linenumber, 1 AS idx, l_quantity AS amount FROM lineitem UNION ALL SELECT l_orderkey, l_linenumber, 2, l_discount FROM lineitem UNION ALL SELECT l_orderkey, l_linenumber, 3, l_tax FROM lineitem")
+@query("""SELECT l_orderkey, l_linenumber, 1 AS idx, l_quantity AS amount FROM lineitem UNION ALL SELECT l_orderkey, l_linenumber, 2, l_discount FROM lineitem
+  UNION ALL SELECT l_orderkey, l_linenumber, 3, l_tax FROM lineitem""")
 def q_normalizer_groups(spark, d):
     return R.normalizer(table(spark, d, "lineitem"), 3, ["l_orderkey", "l_linenumber"], {"amount": ["l_quantity", "l_discount", "l_tax"]})
 
@@ -410,17 +419,21 @@ def _part_changes(spark, d):
     return table(spark, d, "part").filter("p_retailprice > 1200").select(F.when(F.col("p_partkey") % 8 == 0, F.col("p_partkey") + 1_000_000).otherwise(F.col("p_partkey")).alias("pk"), F.concat(F.lit("new "), "p_name").alias("pname"), (F.col("p_size") + 1).alias("psize"))
 
 
-_CHANGES = "(SELECT CASE WHEN p_partkey % 8 = 0 THEN p_partkey + 1000000 ELSE p_partkey END AS pk, 'new ' || p_name AS pname, p_size + 1 AS psize FROM part WHERE p_retailprice > 1200)"
-_MERGE = "MERGE INTO dw.part tgt USING changes src ON tgt.p_partkey = src.pk WHEN MATCHED THEN UPDATE SET tgt.p_name = src.pname, p_size = src.psize WHEN NOT MATCHED THEN INSERT (p_partkey, p_name, p_size) VALUES (src.pk, src.pname, src.psize)"
+_CHANGES = """(SELECT CASE WHEN p_partkey % 8 = 0 THEN p_partkey + 1000000 ELSE p_partkey END AS pk, 'new ' || p_name AS pname, p_size + 1 AS psize FROM part WHERE
+  p_retailprice > 1200)"""
+_MERGE = """MERGE INTO dw.part tgt USING changes src ON tgt.p_partkey = src.pk WHEN MATCHED THEN UPDATE SET tgt.p_name = src.pname, p_size = src.psize WHEN NOT
+  MATCHED THEN INSERT (p_partkey, p_name, p_size) VALUES (src.pk, src.pname, src.psize)"""
 
 
-@query(f"SELECT coalesce(p_partkey, pk) AS p_partkey, coalesce(pname, p_name) AS p_name, coalesce(psize, p_size) AS p_size, p_brand FROM part FULL JOIN {_CHANGES} ON p_partkey = pk")
+@query(f"""SELECT coalesce(p_partkey, pk) AS p_partkey, coalesce(pname, p_name) AS p_name, coalesce(psize, p_size) AS p_size, p_brand FROM part FULL JOIN
+  {_CHANGES} ON p_partkey = pk""")
 def q_merge_upsert(spark, d):
     node = xml_frontend.statement_node("m", _MERGE)
     return node.evaluate(_context(spark, d, changes=_part_changes(spark, d))).select("p_partkey", "p_name", "p_size", "p_brand")
 
 
-@query(f"SELECT p_partkey, CASE WHEN pk IS NOT NULL AND p_size > 25 THEN 0 ELSE p_size END AS p_size FROM part LEFT JOIN {_CHANGES} ON p_partkey = pk WHERE NOT (pk IS NOT NULL AND p_size <= 25 AND p_size > 10) UNION ALL SELECT pk, psize FROM {_CHANGES} WHERE pk >= 1000000 AND psize > 20")
+@query(f"""SELECT p_partkey, CASE WHEN pk IS NOT NULL AND p_size > 25 THEN 0 ELSE p_size END AS p_size FROM part LEFT JOIN {_CHANGES} ON p_partkey = pk WHERE NOT
+  (pk IS NOT NULL AND p_size <= 25 AND p_size > 10) UNION ALL SELECT pk, psize FROM {_CHANGES} WHERE pk >= 1000000 AND psize > 20""")
 def q_merge_conditional(spark, d):
     """Conditions on every branch and a deletion."""
     spec = dml.Merge({"p_partkey": "pk"}, [dml.When({"p_size": "0"}, "t.p_size > 25"), dml.When(None, "t.p_size > 10")], [dml.When({"p_partkey": "s.pk", "p_size": "s.psize"}, "s.psize > 20")])
@@ -451,7 +464,8 @@ def q_assert_unique(spark, d):
     return dml.broken_unique(table(spark, d, "orders"), ["o_custkey"])
 
 
-@query("SELECT 'o_orderkey' AS \"column\", count(*) FILTER (o_orderkey IS NULL) AS nulls FROM orders UNION ALL SELECT 'o_totalprice', count(*) FILTER (o_totalprice IS NULL) FROM orders")
+@query("""SELECT 'o_orderkey' AS \"column\", count(*) FILTER (o_orderkey IS NULL) AS nulls FROM orders UNION ALL SELECT 'o_totalprice', count(*) FILTER
+  (o_totalprice IS NULL) FROM orders""")
 def q_assert_non_null(spark, d):
     return dml.null_counts(table(spark, d, "orders"), ["o_orderkey", "o_totalprice"])
 
@@ -459,7 +473,8 @@ def q_assert_non_null(spark, d):
 # --- dialects ---------------------------------------------------------------------------------------
 
 
-@query("SELECT o_orderkey, date_trunc('month', o_orderdate)::timestamp AS m, date_trunc('quarter', o_orderdate)::timestamp AS q, date_trunc('week', o_orderdate)::timestamp AS w, date_trunc('day', o_orderdate)::timestamp AS dd FROM orders")
+@query("""SELECT o_orderkey, date_trunc('month', o_orderdate)::timestamp AS m, date_trunc('quarter', o_orderdate)::timestamp AS q, date_trunc('week',
+  o_orderdate)::timestamp AS w, date_trunc('day', o_orderdate)::timestamp AS dd FROM orders""")
 def q_date_trunc_parts(spark, d):
     return table(spark, d, "orders").select("o_orderkey", *[F.expr(dialect.expression(f"TRUNC(o_orderdate, '{c}')")).alias(n) for n, c in (("m", "MM"), ("q", "Q"), ("w", "IW"), ("dd", "DD"))])
 
@@ -469,7 +484,8 @@ def q_date_minus_days(spark, d):
     return table(spark, d, "events").select("event_id", dialect.minus_days(F.col("ts"), 7).alias("week_ago"))
 
 
-@query("SELECT o_orderkey, date_diff('year', o_orderdate, TIMESTAMP '1999-01-01') AS y, date_diff('month', o_orderdate, TIMESTAMP '1999-01-01') AS m, date_diff('day', o_orderdate, TIMESTAMP '1999-01-01') AS d FROM orders")
+@query("""SELECT o_orderkey, date_diff('year', o_orderdate, TIMESTAMP '1999-01-01') AS y, date_diff('month', o_orderdate, TIMESTAMP '1999-01-01') AS m,
+  date_diff('day', o_orderdate, TIMESTAMP '1999-01-01') AS d FROM orders""")
 def q_date_diff_boundary(spark, d):
     at = F.expr("timestamp_ntz'1999-01-01'")
     return table(spark, d, "orders").select("o_orderkey", *[dialect.date_diff(p, F.col("o_orderdate"), at).alias(n) for n, p in (("y", "yyyy"), ("m", "mm"), ("d", "dd"))])
@@ -496,7 +512,8 @@ def q_words_and_null_concat(spark, d):
     return table(spark, d, "part").select("p_partkey", dialect.word(F.col("p_name"), 1).alias("first_word"), dialect.concat_null_as_empty(F.col("p_brand"), F.expr("case when p_size > 25 then p_type end")).alias("label"))
 
 
-@query("SELECT o_orderkey, coalesce(CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderstatus END, 'none') AS s, o_orderdate + INTERVAL 3 MONTH AS later, CAST(o_totalprice AS DECIMAL(12,2))::DOUBLE AS price FROM orders")
+@query("""SELECT o_orderkey, coalesce(CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderstatus END, 'none') AS s, o_orderdate + INTERVAL 3 MONTH AS later,
+  CAST(o_totalprice AS DECIMAL(12,2))::DOUBLE AS price FROM orders""")
 def q_legacy_functions(spark, d):
     e = {"s": "ISNULL(nullif(o_orderstatus, 'P'), 'none')", "later": "DATEADD(mm, 3, o_orderdate)", "price": "cast(CONVERT(DECIMAL(12,2), o_totalprice) as double)"}
     return table(spark, d, "orders").select("o_orderkey", *[F.expr(dialect.expression(x)).alias(n) for n, x in e.items()])
@@ -530,7 +547,8 @@ WHEN NOT MATCHED THEN INSERT (c_custkey, c_mktsegment) VALUES (src.o_custkey, 'O
 """
 
 
-@query("SELECT c_custkey, CASE WHEN n > 10 THEN 'FREQUENT' ELSE c_mktsegment END AS c_mktsegment FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1) ON c_custkey = o_custkey")
+@query("""SELECT c_custkey, CASE WHEN n > 10 THEN 'FREQUENT' ELSE c_mktsegment END AS c_mktsegment FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM
+  orders WHERE o_orderstatus <> 'P' GROUP BY 1) ON c_custkey = o_custkey""")
 def q_script_bteq(spark, d):
     made = scripts.bteq(BTEQ).run(_context(spark, d, customer_dim=table(spark, d, "customer")))
     return made["customer_dim"].select("c_custkey", "c_mktsegment")
@@ -583,7 +601,9 @@ DTSX = """<?xml version="1.0"?>
 </DTS:Executable>"""
 
 
-@query("SELECT CASE WHEN o_totalprice >= 100000 THEN 'big_orders' ELSE 'stg_orders' END AS target, o_orderkey, CASE WHEN o_totalprice >= 100000 THEN 'BIG' ELSE 'SMALL' END AS size, CASE WHEN o_orderstatus = 'P' THEN 'open' ELSE o_orderstatus || '-' || c_mktsegment END AS label FROM orders LEFT JOIN customer ON o_custkey = c_custkey WHERE o_orderdate >= TIMESTAMP '1996-01-01'")
+@query("""SELECT CASE WHEN o_totalprice >= 100000 THEN 'big_orders' ELSE 'stg_orders' END AS target, o_orderkey, CASE WHEN o_totalprice >= 100000 THEN 'BIG'
+  ELSE 'SMALL' END AS size, CASE WHEN o_orderstatus = 'P' THEN 'open' ELSE o_orderstatus || '-' || c_mktsegment END AS label FROM orders LEFT JOIN
+  customer ON o_custkey = c_custkey WHERE o_orderdate >= TIMESTAMP '1996-01-01'""")
 def q_package_ssis(spark, d):
     """Each output of a conditional split in its own destination."""
     cust = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("segment"))
@@ -605,7 +625,8 @@ def _edges(spark, d):
     return a.union(b).union(top).union(skip).distinct()
 
 
-_E = "e AS (SELECT 'C' || c_custkey AS src, 'N' || c_nationkey AS dst FROM customer UNION SELECT 'N' || n_nationkey, 'R' || n_regionkey FROM nation UNION SELECT 'R' || r_regionkey, 'ALL' FROM region UNION SELECT 'C' || c_custkey, 'ALL' FROM customer WHERE c_acctbal > 9000)"
+_E = """e AS (SELECT 'C' || c_custkey AS src, 'N' || c_nationkey AS dst FROM customer UNION SELECT 'N' || n_nationkey, 'R' || n_regionkey FROM nation UNION
+  SELECT 'R' || r_regionkey, 'ALL' FROM region UNION SELECT 'C' || c_custkey, 'ALL' FROM customer WHERE c_acctbal > 9000)"""
 _P = f"WITH RECURSIVE {_E}, p AS (SELECT src, dst FROM e UNION SELECT p.src, e.dst FROM p JOIN e ON p.dst = e.src)"
 
 
@@ -620,7 +641,8 @@ def q_reachability(spark, d):
     return graph.reach_outputs(e, e.filter("src like 'C%'").select(F.col("src").alias("node")), graph.seeds(spark, ["R1"]))
 
 
-@query(f"WITH RECURSIVE {_E}, w AS (SELECT DISTINCT src AS node, 1 AS wave FROM e WHERE src NOT IN (SELECT dst FROM e) UNION SELECT e.dst, w.wave + 1 FROM w JOIN e ON w.node = e.src) SELECT node, max(wave)::INT AS wave, false AS in_cycle FROM w GROUP BY 1")
+@query(f"""WITH RECURSIVE {_E}, w AS (SELECT DISTINCT src AS node, 1 AS wave FROM e WHERE src NOT IN (SELECT dst FROM e) UNION SELECT e.dst, w.wave + 1 FROM w
+  JOIN e ON w.node = e.src) SELECT node, max(wave)::INT AS wave, false AS in_cycle FROM w GROUP BY 1""")
 def q_wave_depth(spark, d):
     return graph.waves(_edges(spark, d))
 
@@ -628,7 +650,8 @@ def q_wave_depth(spark, d):
 _LOOPS = "l AS (SELECT src, dst FROM e UNION SELECT 'R2', 'C6' UNION SELECT 'ALL', 'ALL')"
 
 
-@query(f"WITH RECURSIVE {_E}, {_LOOPS}, p AS (SELECT src, dst FROM l UNION SELECT p.src, l.dst FROM p JOIN l ON p.dst = l.src) SELECT a.src AS node, min(a.dst) AS cycle FROM p a JOIN p b ON a.src = b.dst AND a.dst = b.src GROUP BY 1")
+@query(f"""WITH RECURSIVE {_E}, {_LOOPS}, p AS (SELECT src, dst FROM l UNION SELECT p.src, l.dst FROM p JOIN l ON p.dst = l.src) SELECT a.src AS node, min(a.dst)
+  AS cycle FROM p a JOIN p b ON a.src = b.dst AND a.dst = b.src GROUP BY 1""")
 def q_cycle_nodes(spark, d):
     e = _edges(spark, d).union(spark.createDataFrame([("R2", "C6"), ("ALL", "ALL")], "src string, dst string"))
     return graph.cycle_nodes(e)
@@ -664,16 +687,21 @@ def q_pipeline_focus(spark, d):
     return graph.focus(_lineage(spark, d), "P3")
 
 
-@query(f"WITH {_L}, u AS (SELECT src AS node, col, dst AS partner, operation FROM l UNION ALL SELECT dst, col, src, operation FROM l) SELECT node, col AS \"column\", bool_or(operation IN ('join', 'fk')) AS is_key, string_agg(DISTINCT operation, ',' ORDER BY operation) AS operations, count(DISTINCT partner) AS n_partners FROM u GROUP BY 1, 2")
+@query(f"""WITH {_L}, u AS (SELECT src AS node, col, dst AS partner, operation FROM l UNION ALL SELECT dst, col, src, operation FROM l) SELECT node, col AS
+  \"column\", bool_or(operation IN ('join', 'fk')) AS is_key, string_agg(DISTINCT operation, ',' ORDER BY operation) AS operations, count(DISTINCT
+  partner) AS n_partners FROM u GROUP BY 1, 2""")
 def q_column_partners(spark, d):
     flat = _lineage(spark, d).withColumn("source_fqn", graph.short(F.col("source_fqn"))).withColumn("target_fqn", graph.short(F.col("target_fqn")))
     return graph.partners(flat).select("node", "column", "is_key", F.array_join("operations", ",").alias("operations"), F.size("partners").cast("long").alias("n_partners"))
 
 
-_SENS = "s AS (SELECT src AS node, CASE WHEN src LIKE 'C%' AND CAST(substr(src, 2) AS INT) % 9 = 0 THEN 4 WHEN src LIKE 'C%' AND CAST(substr(src, 2) AS INT) % 4 = 0 THEN 2 WHEN src LIKE 'N%' AND CAST(substr(src, 2) AS INT) % 5 = 0 THEN 3 ELSE 0 END AS v FROM (SELECT src FROM e UNION SELECT dst FROM e))"
+_SENS = """s AS (SELECT src AS node, CASE WHEN src LIKE 'C%' AND CAST(substr(src, 2) AS INT) % 9 = 0 THEN 4 WHEN src LIKE 'C%' AND CAST(substr(src, 2) AS INT) %
+  4 = 0 THEN 2 WHEN src LIKE 'N%' AND CAST(substr(src, 2) AS INT) % 5 = 0 THEN 3 ELSE 0 END AS v FROM (SELECT src FROM e UNION SELECT dst FROM e))"""
 
 
-@query(f"{_P}, {_SENS} SELECT t.node, ['PUBLIC','INTERNAL','FINANCIAL','TAX','PII'][greatest(t.v, coalesce(max(f.v), 0)) + 1] AS sensitivity, count(DISTINCT CASE WHEN f.v > t.v THEN f.node END) AS n_origins FROM s t LEFT JOIN (SELECT p.dst, s.node, s.v FROM p JOIN s ON p.src = s.node WHERE s.v >= 2) f ON f.dst = t.node GROUP BY t.node, t.v")
+@query(f"""{_P}, {_SENS} SELECT t.node, ['PUBLIC','INTERNAL','FINANCIAL','TAX','PII'][greatest(t.v, coalesce(max(f.v), 0)) + 1] AS sensitivity, count(DISTINCT
+  CASE WHEN f.v > t.v THEN f.node END) AS n_origins FROM s t LEFT JOIN (SELECT p.dst, s.node, s.v FROM p JOIN s ON p.src = s.node WHERE s.v >= 2) f ON
+  f.dst = t.node GROUP BY t.node, t.v""")
 def q_sensitivity_propagation(spark, d):
     e = _edges(spark, d)
     n = F.try_cast(F.substring("node", 2, 9), "int") if hasattr(F, "try_cast") else F.expr("try_cast(substr(node, 2) as int)")
@@ -682,7 +710,9 @@ def q_sensitivity_propagation(spark, d):
     return out.select("node", "sensitivity", F.size("origins").cast("long").alias("n_origins"))
 
 
-@query(f"{_P}, u AS (SELECT src AS node, dst AS output FROM p WHERE dst LIKE 'R%' UNION SELECT dst, dst FROM e WHERE dst LIKE 'R%'), o AS (SELECT node, min(output) AS output FROM u GROUP BY 1 HAVING count(DISTINCT output) = 1) SELECT output, node FROM o WHERE output IN (SELECT output FROM o GROUP BY 1 HAVING count(*) >= 2)")
+@query(f"""{_P}, u AS (SELECT src AS node, dst AS output FROM p WHERE dst LIKE 'R%' UNION SELECT dst, dst FROM e WHERE dst LIKE 'R%'), o AS (SELECT node,
+  min(output) AS output FROM u GROUP BY 1 HAVING count(DISTINCT output) = 1) SELECT output, node FROM o WHERE output IN (SELECT output FROM o GROUP BY 1
+  HAVING count(*) >= 2)""")
 def q_exclusive_subgraph(spark, d):
     e = _edges(spark, d)
     return graph.exclusive(e, e.filter("dst like 'R%'").select(F.col("dst").alias("node")).distinct())
@@ -696,7 +726,9 @@ def _runs(spark, d):
 
 
 _R = "r AS (SELECT lpad(CAST(user_id % 12 AS VARCHAR), 2, '0') || '_' || event_type AS pipeline_name, event_type AS c, value > 20 AS ok, ts FROM events)"
-_S = f"WITH {_R}, k AS (SELECT c, count(*) AS total, count(*) FILTER (ok) AS good, min(ts) AS first_run, max(ts) AS last_run FROM r GROUP BY 1), p AS (SELECT * FROM (VALUES ('view', 'out/view.csv', true), ('click', 'out/click.csv', true), ('never', 'out/never.csv', false), ('dark', 'out/dark.csv', true)) v(name, output_csv, csv_exists))"
+_S = f"""WITH {_R}, k AS (SELECT c, count(*) AS total, count(*) FILTER (ok) AS good, min(ts) AS first_run, max(ts) AS last_run FROM r GROUP BY 1), p AS (SELECT
+  * FROM (VALUES ('view', 'out/view.csv', true), ('click', 'out/click.csv', true), ('never', 'out/never.csv', false), ('dark', 'out/dark.csv', true))
+  v(name, output_csv, csv_exists))"""
 
 
 def _pipelines(spark):
@@ -704,24 +736,33 @@ def _pipelines(spark):
     return spark.createDataFrame(rows, "name string, output_csv string, csv_exists boolean, source_tables array<string>")
 
 
-@query(f"WITH {_R} SELECT pipeline_name, count(*) AS runs_total, count(*) FILTER (ok) AS runs_success, count(*) FILTER (NOT ok) AS runs_failed, min(ts) AS first_run, max(ts) AS last_run FROM r GROUP BY 1")
+@query(f"""WITH {_R} SELECT pipeline_name, count(*) AS runs_total, count(*) FILTER (ok) AS runs_success, count(*) FILTER (NOT ok) AS runs_failed, min(ts) AS
+  first_run, max(ts) AS last_run FROM r GROUP BY 1""")
 def q_run_stats_by_event_type(spark, d):
     return catalog.run_stats(_runs(spark, d)).drop("csv_generated")
 
 
-@query(f"{_S} SELECT p.name AS pipeline_name, coalesce(total, 0) AS runs_total, CASE WHEN total IS NULL THEN CASE WHEN csv_exists THEN 'off-grid' ELSE 'never-run' END WHEN good < total THEN 'failing' ELSE 'healthy' END AS status FROM p LEFT JOIN k ON k.c = p.name UNION ALL SELECT (SELECT min(pipeline_name) FROM r WHERE r.c = k.c), total, 'undocumented' FROM k WHERE c NOT IN (SELECT name FROM p)")
+@query(f"""{_S} SELECT p.name AS pipeline_name, coalesce(total, 0) AS runs_total, CASE WHEN total IS NULL THEN CASE WHEN csv_exists THEN 'off-grid' ELSE
+  'never-run' END WHEN good < total THEN 'failing' ELSE 'healthy' END AS status FROM p LEFT JOIN k ON k.c = p.name UNION ALL SELECT (SELECT
+  min(pipeline_name) FROM r WHERE r.c = k.c), total, 'undocumented' FROM k WHERE c NOT IN (SELECT name FROM p)""")
 def q_pipeline_status(spark, d):
     m = catalog.matched_runs(_pipelines(spark), catalog.run_stats(_runs(spark, d)))
     return catalog.pipeline_usage(m).select("pipeline_name", "runs_total", "status")
 
 
-@query(f"{_S}, u AS (SELECT * FROM (VALUES ('view', 'SOURCE.ORDERS'), ('view', 'SOURCE.CUSTOMER'), ('click', 'SOURCE.ORDERS'), ('click', 'RAW.PART'), ('never', 'SOURCE.NATION'), ('dark', 'SOURCE.CUSTOMER')) v(name, fqn)) SELECT fqn, CAST(sum(coalesce(total, 1)) AS BIGINT) AS read_count FROM u LEFT JOIN k ON k.c = u.name GROUP BY 1")
+@query(f"""{_S}, u AS (SELECT * FROM (VALUES ('view', 'SOURCE.ORDERS'), ('view', 'SOURCE.CUSTOMER'), ('click', 'SOURCE.ORDERS'), ('click', 'RAW.PART'), ('never',
+  'SOURCE.NATION'), ('dark', 'SOURCE.CUSTOMER')) v(name, fqn)) SELECT fqn, CAST(sum(coalesce(total, 1)) AS BIGINT) AS read_count FROM u LEFT JOIN k ON
+  k.c = u.name GROUP BY 1""")
 def q_read_pressure(spark, d):
     p = _pipelines(spark)
     return catalog.read_pressure(p, catalog.matched_runs(p, catalog.run_stats(_runs(spark, d))))
 
 
-@query(f"{_S} SELECT CASE WHEN total IS NULL THEN CASE WHEN csv_exists THEN 'critical' ELSE 'warn' END WHEN 100.0 * (total - good) / total >= 10 THEN 'critical' ELSE 'warn' END AS severity, p.name AS object FROM p LEFT JOIN k ON k.c = p.name WHERE total IS NULL OR 100.0 * (total - good) / total >= 5 UNION ALL SELECT 'critical', (SELECT min(pipeline_name) FROM r WHERE r.c = k.c) FROM k WHERE c NOT IN (SELECT name FROM p) UNION ALL SELECT 'warn', 'DW.' || name FROM (SELECT DISTINCT ['RAW_', 'STG_', 'DIM_', 'RPT_', 'OLD_LEGACY_', 'T'][p_size % 6 + 1] || p_partkey % 50 AS name FROM part) WHERE name NOT LIKE 'DIM%'")
+@query(f"""{_S} SELECT CASE WHEN total IS NULL THEN CASE WHEN csv_exists THEN 'critical' ELSE 'warn' END WHEN 100.0 * (total - good) / total >= 10 THEN
+  'critical' ELSE 'warn' END AS severity, p.name AS object FROM p LEFT JOIN k ON k.c = p.name WHERE total IS NULL OR 100.0 * (total - good) / total >= 5
+  UNION ALL SELECT 'critical', (SELECT min(pipeline_name) FROM r WHERE r.c = k.c) FROM k WHERE c NOT IN (SELECT name FROM p) UNION ALL SELECT 'warn',
+  'DW.' || name FROM (SELECT DISTINCT ['RAW_', 'STG_', 'DIM_', 'RPT_', 'OLD_LEGACY_', 'T'][p_size % 6 + 1] || p_partkey % 50 AS name FROM part) WHERE
+  name NOT LIKE 'DIM%'""")
 def q_catalog_flags(spark, d):
     t = _tables(spark, d)
     keys = t.select(F.col("fqn").alias("table_fqn"), F.col("name").startswith("DIM").alias("is_pk"))
@@ -734,8 +775,11 @@ def _awr(spark, d):
     return e.select(sql.alias("sql_text"), (F.col("event_id") % 4 + 1).alias("executions"), F.col("event_type").alias("user"), F.col("ts").alias("last_active"))
 
 
-_A = "a AS (SELECT 'DW.T' || user_id % 9 AS fqn, true AS w, event_id % 4 + 1 AS n, event_type AS u FROM events WHERE event_id % 5 = 0 UNION ALL SELECT 'DW.T' || user_id % 7, false, event_id % 4 + 1, event_type FROM events WHERE event_id % 5 <> 0 UNION ALL SELECT 'RAW.BASE', false, event_id % 4 + 1, event_type FROM events WHERE event_id % 5 <> 0)"
-_AU = f"WITH {_A}, g AS (SELECT fqn, CAST(sum(CASE WHEN w THEN 0 ELSE n END) AS BIGINT) AS read_count, CAST(sum(CASE WHEN w THEN n ELSE 0 END) AS BIGINT) AS write_count, count(DISTINCT u) AS distinct_users FROM a GROUP BY 1)"
+_A = """a AS (SELECT 'DW.T' || user_id % 9 AS fqn, true AS w, event_id % 4 + 1 AS n, event_type AS u FROM events WHERE event_id % 5 = 0 UNION ALL SELECT
+  'DW.T' || user_id % 7, false, event_id % 4 + 1, event_type FROM events WHERE event_id % 5 <> 0 UNION ALL SELECT 'RAW.BASE', false, event_id % 4 + 1,
+  event_type FROM events WHERE event_id % 5 <> 0)"""
+_AU = f"""WITH {_A}, g AS (SELECT fqn, CAST(sum(CASE WHEN w THEN 0 ELSE n END) AS BIGINT) AS read_count, CAST(sum(CASE WHEN w THEN n ELSE 0 END) AS BIGINT) AS
+  write_count, count(DISTINCT u) AS distinct_users FROM a GROUP BY 1)"""
 
 
 @query(f"{_AU} SELECT * FROM g")
@@ -758,12 +802,15 @@ def _tables(spark, d):
 _T = "t AS (SELECT DISTINCT ['RAW_', 'STG_', 'DIM_', 'RPT_', 'OLD_LEGACY_', 'T'][p_size % 6 + 1] || p_partkey % 50 AS name FROM part)"
 
 
-@query(f"WITH {_T} SELECT 'DW.' || name AS fqn FROM t WHERE 'DW.' || name NOT IN (SELECT 'DW.T' || user_id % 9 FROM events WHERE event_id % 5 = 0 UNION SELECT 'DW.T' || user_id % 7 FROM events WHERE event_id % 5 <> 0)")
+@query(f"""WITH {_T} SELECT 'DW.' || name AS fqn FROM t WHERE 'DW.' || name NOT IN (SELECT 'DW.T' || user_id % 9 FROM events WHERE event_id % 5 = 0 UNION SELECT
+  'DW.T' || user_id % 7 FROM events WHERE event_id % 5 <> 0)""")
 def q_dead_objects(spark, d):
     return catalog.dead(_tables(spark, d), catalog.awr_usage(_awr(spark, d)))
 
 
-@query(f"WITH {_T} SELECT name, CASE WHEN name LIKE 'RAW!_%' ESCAPE '!' THEN 'RAW' WHEN name LIKE 'STG!_%' ESCAPE '!' THEN 'STAGING' WHEN name LIKE 'DIM!_%' ESCAPE '!' THEN 'INTEGRATION' WHEN name LIKE 'RPT!_%' ESCAPE '!' THEN 'REPORTING' ELSE 'UNKNOWN' END AS layer, CASE WHEN name LIKE 'RAW!_%' ESCAPE '!' OR name LIKE 'STG!_%' ESCAPE '!' THEN 'staging' WHEN name LIKE 'DIM!_%' ESCAPE '!' THEN 'reporting' ELSE 'transformation' END AS tag FROM t")
+@query(f"""WITH {_T} SELECT name, CASE WHEN name LIKE 'RAW!_%' ESCAPE '!' THEN 'RAW' WHEN name LIKE 'STG!_%' ESCAPE '!' THEN 'STAGING' WHEN name LIKE 'DIM!_%'
+  ESCAPE '!' THEN 'INTEGRATION' WHEN name LIKE 'RPT!_%' ESCAPE '!' THEN 'REPORTING' ELSE 'UNKNOWN' END AS layer, CASE WHEN name LIKE 'RAW!_%' ESCAPE '!'
+  OR name LIKE 'STG!_%' ESCAPE '!' THEN 'staging' WHEN name LIKE 'DIM!_%' ESCAPE '!' THEN 'reporting' ELSE 'transformation' END AS tag FROM t""")
 def q_layer_rules(spark, d):
     return _tables(spark, d).select("name", catalog.layer(F.col("name")).alias("layer"), catalog.tag(F.col("name")).alias("tag"))
 
@@ -810,7 +857,8 @@ def q_multi_writer(spark, d):
     return catalog.multi_writers(rows).select("target", F.array_join("writers", ",").alias("writers"), "pattern")
 
 
-@query("SELECT p_partkey, greatest(0, least(100, 100 - 25 * (p_size % 4) - 10 * (p_size % 3) - 5 * (p_size % 2) - CASE WHEN p_size > 40 THEN 10 ELSE 0 END))::INT AS confidence FROM part")
+@query("""SELECT p_partkey, greatest(0, least(100, 100 - 25 * (p_size % 4) - 10 * (p_size % 3) - 5 * (p_size % 2) - CASE WHEN p_size > 40 THEN 10 ELSE 0
+  END))::INT AS confidence FROM part""")
 def q_confidence_score(spark, d):
     files = table(spark, d, "part").select("p_partkey", (F.col("p_size") % 4).alias("errors"), (F.col("p_size") % 3).alias("warnings"), (F.col("p_size") % 2).alias("parser_warnings"), (F.col("p_size") > 40).alias("has_star"))
     return catalog.confidence(files).select("p_partkey", "confidence")
@@ -857,13 +905,16 @@ def q_parity_drift(spark, d):
     return parity.compared(a, b).select("column_name", "side", "matches")
 
 
-@query("SELECT upper(column_name) AS column_name, CASE upper(column_name) WHEN 'O_TOTALPRICE' THEN 'retyped' WHEN 'O_ORDERPRIORITY' THEN 'removed' ELSE 'same' END AS state FROM information_schema.columns WHERE table_name = 'orders' UNION ALL SELECT 'EXTRA', 'added'")
+@query("""SELECT upper(column_name) AS column_name, CASE upper(column_name) WHEN 'O_TOTALPRICE' THEN 'retyped' WHEN 'O_ORDERPRIORITY' THEN 'removed' ELSE 'same'
+  END AS state FROM information_schema.columns WHERE table_name = 'orders' UNION ALL SELECT 'EXTRA', 'added'""")
 def q_schema_diff(spark, d):
     b = _copy(spark, d).withColumn("o_totalprice", F.col("o_totalprice").cast("decimal(18,2)")).withColumn("extra", F.lit(1))
     return parity.schema_diff(spark, table(spark, d, "orders"), b).select("column_name", "state")
 
 
-@query("SELECT c_name AS name, CASE WHEN c_custkey % 5 = 0 THEN 'pipeline' ELSE 'source' END AS role, CASE WHEN c_custkey % 5 = 0 THEN 'bq_derived' WHEN c_acctbal > 2000 THEN 'oracle_origin' WHEN c_acctbal > 0 THEN 'view_origin' ELSE 'csv_stub' END AS classification, c_acctbal > 2000 AS in_source FROM customer")
+@query("""SELECT c_name AS name, CASE WHEN c_custkey % 5 = 0 THEN 'pipeline' ELSE 'source' END AS role, CASE WHEN c_custkey % 5 = 0 THEN 'bq_derived' WHEN
+  c_acctbal > 2000 THEN 'oracle_origin' WHEN c_acctbal > 0 THEN 'view_origin' ELSE 'csv_stub' END AS classification, c_acctbal > 2000 AS in_source FROM
+  customer""")
 def q_parity_targets(spark, d):
     c = table(spark, d, "customer")
     names = c.select(F.col("c_name").alias("name"), F.when(F.col("c_custkey") % 5 == 0, "pipeline").otherwise("source").alias("role"))
@@ -887,7 +938,8 @@ def q_parity_summary(spark, d):
     return parity.summary(_verified(spark, d))
 
 
-@query(f"WITH {_PAIRS} SELECT t AS table_name, a AS a_rows, b AS b_rows, status, CASE WHEN kind = 'bq_derived' AND status = 'missing_in_source' THEN 'target_output' ELSE status END AS display_status FROM v")
+@query(f"""WITH {_PAIRS} SELECT t AS table_name, a AS a_rows, b AS b_rows, status, CASE WHEN kind = 'bq_derived' AND status = 'missing_in_source' THEN
+  'target_output' ELSE status END AS display_status FROM v""")
 def q_parity_display(spark, d):
     return _verified(spark, d).select("table_name", "a_rows", "b_rows", "status", "display_status")
 
@@ -913,7 +965,8 @@ def q_windowed_events(spark, d):
 # --- further sources, lineage and catalog reports -----------------------------------------------------------------------------
 
 
-@query("SELECT c_custkey, CAST(floor(months / 12) AS BIGINT) AS age FROM (SELECT c_custkey, (2024 - (1950 + c_custkey % 50)) * 12 + 6 - (1 + c_custkey % 12) - CASE WHEN 1 + c_custkey % 28 > 15 THEN 1 ELSE 0 END AS months FROM customer)")
+@query("""SELECT c_custkey, CAST(floor(months / 12) AS BIGINT) AS age FROM (SELECT c_custkey, (2024 - (1950 + c_custkey % 50)) * 12 + 6 - (1 + c_custkey % 12) -
+  CASE WHEN 1 + c_custkey % 28 > 15 THEN 1 ELSE 0 END AS months FROM customer)""")
 def q_calculate_age(spark, d):
     c = table(spark, d, "customer").select("c_custkey", F.expr("make_date(1950 + cast(c_custkey % 50 as int), 1 + cast(c_custkey % 12 as int), 1 + cast(c_custkey % 28 as int))").alias("dob"))
     out = xml_frontend.OPERATIONS["calculate_age"]({"dob_column": "dob", "result_column": "age", "as_of": "date'2024-06-15'"})(c)
@@ -926,7 +979,8 @@ def q_source_text_assembly(spark, d):
     return readers.source_text(lines).select(F.col("name").alias("o_custkey"), "source")
 
 
-@query("SELECT url, CASE WHEN k = 0 THEN 'ddl' WHEN k = 1 THEN 'etl' WHEN k = 2 THEN 'dictionary' WHEN k = 3 THEN 'output' ELSE 'other' END AS kind FROM (SELECT 'b/' || event_id || ['.sql', '.xml', '_dba_x.csv', '.csv', '.bin'][event_id % 5 + 1] AS url, event_id % 5 AS k FROM events)")
+@query("""SELECT url, CASE WHEN k = 0 THEN 'ddl' WHEN k = 1 THEN 'etl' WHEN k = 2 THEN 'dictionary' WHEN k = 3 THEN 'output' ELSE 'other' END AS kind FROM
+  (SELECT 'b/' || event_id || ['.sql', '.xml', '_dba_x.csv', '.csv', '.bin'][event_id % 5 + 1] AS url, event_id % 5 AS k FROM events)""")
 def q_file_kinds(spark, d):
     ends = F.element_at(F.array(*map(F.lit, (".sql", ".xml", "_dba_x.csv", ".csv", ".bin"))), (F.col("event_id") % 5 + 1).cast("int"))
     return table(spark, d, "events").select(F.concat(F.lit("b/"), "event_id", ends).alias("url")).withColumn("kind", readers.file_kind(F.col("url")))
@@ -939,7 +993,10 @@ def q_output_cross_check(spark, d):
     return catalog.output_check(p.select("name", F.concat(F.lit("out/"), "name", F.lit(".csv")).alias("output_csv")), files).select("name", "csv_exists")
 
 
-@query("WITH t AS (SELECT 'ORDERS' AS n, count(*) AS rows FROM orders UNION ALL SELECT 'CUSTOMER', count(*) FROM customer UNION ALL SELECT 'PART', count(*) FROM part), u AS (SELECT * FROM (VALUES ('view', 'ORDERS'), ('view', 'CUSTOMER'), ('click', 'ORDERS'), ('click', 'PART'), ('never', 'NATION'), ('dark', 'CUSTOMER')) v(name, n)) SELECT name, count(*) AS sources, CAST(coalesce(sum(rows * 100), 0) AS BIGINT) AS bytes, max(rows) AS max_rows FROM u LEFT JOIN t USING (n) GROUP BY 1")
+@query("""WITH t AS (SELECT 'ORDERS' AS n, count(*) AS rows FROM orders UNION ALL SELECT 'CUSTOMER', count(*) FROM customer UNION ALL SELECT 'PART', count(*)
+  FROM part), u AS (SELECT * FROM (VALUES ('view', 'ORDERS'), ('view', 'CUSTOMER'), ('click', 'ORDERS'), ('click', 'PART'), ('never', 'NATION'),
+  ('dark', 'CUSTOMER')) v(name, n)) SELECT name, count(*) AS sources, CAST(coalesce(sum(rows * 100), 0) AS BIGINT) AS bytes, max(rows) AS max_rows FROM
+  u LEFT JOIN t USING (n) GROUP BY 1""")
 def q_parity_preview(spark, d):
     out = None
     for n in ("orders", "customer", "part"):
@@ -948,20 +1005,24 @@ def q_parity_preview(spark, d):
     return catalog.parity_preview(_pipelines(spark), out)
 
 
-@query(f"{_S} SELECT 'pipeline' AS kind, p.name, total IS NOT NULL OR csv_exists AS in_scope FROM p LEFT JOIN k ON k.c = p.name UNION ALL SELECT 'table', 'T' || i.generate_series, i.generate_series % 2 = 1 FROM generate_series(1, 4) i")
+@query(f"""{_S} SELECT 'pipeline' AS kind, p.name, total IS NOT NULL OR csv_exists AS in_scope FROM p LEFT JOIN k ON k.c = p.name UNION ALL SELECT 'table', 'T'
+  || i.generate_series, i.generate_series % 2 = 1 FROM generate_series(1, 4) i""")
 def q_scope_manifest(spark, d):
     m = catalog.matched_runs(_pipelines(spark), catalog.run_stats(_runs(spark, d)))
     t = spark.range(1, 5).select(F.concat(F.lit("T"), "id").alias("fqn"), F.when(F.col("id") % 2 == 0, "safe").otherwise("review").alias("verdict"))
     return catalog.scope(m, t).select("kind", "name", "in_scope")
 
 
-@query("SELECT u * 7.0::DOUBLE + t * 5.0::DOUBLE AS manual_days, u * 0.5::DOUBLE + t * 1.0::DOUBLE AS assisted_days, u * 6.5::DOUBLE + t * 4.0::DOUBLE AS days_saved, (u * 7.0::DOUBLE + t * 5.0::DOUBLE) / (u * 0.5::DOUBLE + t) AS speedup, b / 1e9::DOUBLE * 0.02::DOUBLE AS storage_month, b * u * 30 / 1e12::DOUBLE * 5 AS query_month FROM (SELECT count(DISTINCT user_id) AS u, count(DISTINCT event_type) AS t, count(*) * 1e6::DOUBLE AS b FROM events)")
+@query("""SELECT u * 7.0::DOUBLE + t * 5.0::DOUBLE AS manual_days, u * 0.5::DOUBLE + t * 1.0::DOUBLE AS assisted_days, u * 6.5::DOUBLE + t * 4.0::DOUBLE AS
+  days_saved, (u * 7.0::DOUBLE + t * 5.0::DOUBLE) / (u * 0.5::DOUBLE + t) AS speedup, b / 1e9::DOUBLE * 0.02::DOUBLE AS storage_month, b * u * 30 /
+  1e12::DOUBLE * 5 AS query_month FROM (SELECT count(DISTINCT user_id) AS u, count(DISTINCT event_type) AS t, count(*) * 1e6::DOUBLE AS b FROM events)""")
 def q_roi_projection(spark, d):
     e = table(spark, d, "events").agg(F.count_distinct("user_id").alias("u"), F.count_distinct("event_type").alias("t"), (F.count(F.lit(1)) * F.lit(1e6)).alias("b"))
     return e.select(*catalog.roi(F.col("u"), F.col("t"), F.col("b"))).select("manual_days", "assisted_days", "days_saved", "speedup", "storage_month", "query_month")
 
 
-@query(f"WITH RECURSIVE {_E}, w AS (SELECT DISTINCT src AS node, 0 AS depth FROM e WHERE src NOT IN (SELECT dst FROM e) UNION SELECT e.dst, w.depth + 1 FROM w JOIN e ON w.node = e.src) SELECT node, max(depth)::INT AS depth FROM w GROUP BY 1")
+@query(f"""WITH RECURSIVE {_E}, w AS (SELECT DISTINCT src AS node, 0 AS depth FROM e WHERE src NOT IN (SELECT dst FROM e) UNION SELECT e.dst, w.depth + 1 FROM w
+  JOIN e ON w.node = e.src) SELECT node, max(depth)::INT AS depth FROM w GROUP BY 1""")
 def q_layout_depth(spark, d):
     return graph.waves(_edges(spark, d)).select("node", (F.col("wave") - 1).alias("depth"))
 

@@ -30,7 +30,8 @@ def _scratch(spark: SparkSession, name: str) -> str:
 _W = "(PARTITION BY o_custkey ORDER BY o_orderpriority, o_orderstatus)"
 
 
-@query(f"SELECT o_orderkey, rank() OVER {_W} AS r, dense_rank() OVER {_W} AS d, percent_rank() OVER {_W} AS p, cume_dist() OVER {_W} AS c, CAST(ntile(3) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INT) AS t FROM orders")
+@query(f"""SELECT o_orderkey, rank() OVER {_W} AS r, dense_rank() OVER {_W} AS d, percent_rank() OVER {_W} AS p, cume_dist() OVER {_W} AS c, CAST(ntile(3) OVER
+  (PARTITION BY o_custkey ORDER BY o_orderkey) AS INT) AS t FROM orders""")
 def q_rank_family(spark, d):
     o = windows.ranked(table(spark, d, "orders"), ["o_custkey"], ["o_orderpriority", "o_orderstatus"], {"r": "rank", "d": "dense_rank", "p": "percent_rank", "c": "cume_dist"})
     return windows.ranked(o, ["o_custkey"], ["o_orderkey"], {"t": "ntile(3)"}).select("o_orderkey", "r", "d", "p", "c", "t")
@@ -44,7 +45,9 @@ def q_lead_lag(spark, d):
     return windows.shifted(table(spark, d, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"], {"two_on": ("o_totalprice", 2), "one_back": ("o_orderkey", -1)}).select("o_orderkey", "two_on", "one_back")
 
 
-@query(f"SELECT o_orderkey, first_value(o_orderkey) OVER {_B} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS first_key, last_value(o_orderstatus) OVER {_B} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS last_status, max(o_totalprice) OVER {_B} ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING) AS top_near FROM orders")
+@query(f"""SELECT o_orderkey, first_value(o_orderkey) OVER {_B} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS first_key, last_value(o_orderstatus) OVER
+  {_B} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS last_status, max(o_totalprice) OVER {_B} ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING) AS
+  top_near FROM orders""")
 def q_frames_rows(spark, d):
     order = ["o_orderdate", "o_orderkey"]
     o = windows.framed(table(spark, d, "orders"), ["o_custkey"], order, {"first_key": "first_value(o_orderkey)"})
@@ -52,13 +55,16 @@ def q_frames_rows(spark, d):
     return windows.framed(o, ["o_custkey"], order, {"top_near": "max(o_totalprice)"}, -2, 1).select("o_orderkey", "first_key", "last_status", "top_near")
 
 
-@query("SELECT l_orderkey, l_linenumber, count(*) OVER (PARTITION BY l_suppkey ORDER BY l_quantity RANGE BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS near, min(l_extendedprice) OVER (PARTITION BY l_suppkey ORDER BY l_quantity RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS low FROM lineitem")
+@query("""SELECT l_orderkey, l_linenumber, count(*) OVER (PARTITION BY l_suppkey ORDER BY l_quantity RANGE BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS near,
+  min(l_extendedprice) OVER (PARTITION BY l_suppkey ORDER BY l_quantity RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS low FROM lineitem""")
 def q_frames_range(spark, d):
     rows = windows.framed(table(spark, d, "lineitem"), ["l_suppkey"], ["l_quantity"], {"near": "count(*)"}, -5, 5, "range")
     return windows.framed(rows, ["l_suppkey"], ["l_quantity"], {"low": "min(l_extendedprice)"}, kind="range").select("l_orderkey", "l_linenumber", "near", "low")
 
 
-@query("SELECT severity, object, row_number() OVER (ORDER BY CASE severity WHEN 'critical' THEN 1 WHEN 'error' THEN 2 WHEN 'warn' THEN 3 WHEN 'info' THEN 4 ELSE 5 END, object NULLS LAST, severity NULLS LAST) AS place FROM (SELECT DISTINCT ['warn', 'critical', 'odd', 'info', 'error'][p_size % 5 + 1] AS severity, CASE WHEN p_size % 7 > 0 THEN p_brand END AS object FROM part)")
+@query("""SELECT severity, object, row_number() OVER (ORDER BY CASE severity WHEN 'critical' THEN 1 WHEN 'error' THEN 2 WHEN 'warn' THEN 3 WHEN 'info' THEN 4
+  ELSE 5 END, object NULLS LAST, severity NULLS LAST) AS place FROM (SELECT DISTINCT ['warn', 'critical', 'odd', 'info', 'error'][p_size % 5 + 1] AS
+  severity, CASE WHEN p_size % 7 > 0 THEN p_brand END AS object FROM part)""")
 def q_findings_by_severity(spark, d):
     rows = table(spark, d, "part").select(F.element_at(F.array(*map(F.lit, ("warn", "critical", "odd", "info", "error"))), (F.col("p_size") % 5 + 1).cast("int")).alias("severity"), F.when(F.col("p_size") % 7 > 0, F.col("p_brand")).alias("object")).distinct()
     place = F.struct(F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, windows.FINDINGS)), F.col("severity")), F.lit(0)), F.lit(9)).alias("s"), F.col("object").isNull().alias("n"), "object", "severity")
@@ -75,7 +81,8 @@ def _said(spark, d, sql, *names):
     return spark.sql(dialect.query(sql))
 
 
-@query("SELECT c_custkey, n_name FROM (SELECT c_custkey, c_nationkey FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 25) JOIN nation ON n_nationkey = c_nationkey ORDER BY c_custkey")
+@query("""SELECT c_custkey, n_name FROM (SELECT c_custkey, c_nationkey FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 25) JOIN nation ON n_nationkey =
+  c_nationkey ORDER BY c_custkey""")
 def q_rownum_inner(spark, d):
     """ROWNUM limits the SELECT it stands in, here after an inner sort and before the join."""
     return _said(spark, d, "SELECT c_custkey, n_name FROM (SELECT * FROM (SELECT c_custkey, c_nationkey FROM customer ORDER BY c_acctbal DESC, c_custkey) WHERE ROWNUM <= 25) q JOIN nation ON n_nationkey = c_nationkey ORDER BY c_custkey", "customer", "nation")
@@ -98,7 +105,8 @@ def q_literals_and_session(spark, d):
     return _said(spark, d, "SELECT r_regionkey, 'a = NULL' AS note, 'SYSDATE' AS word, @@ERROR AS failed, TRUNC(SYSDATE, 'DAY')::date AS today, GETDATE() >= TRUNC(SYSDATE) AS ran FROM region WHERE r_name <> NULL", "region")
 
 
-@query("SELECT o_orderkey, date_trunc('day', o_orderdate)::timestamp AS d, date_trunc('day', o_orderdate)::timestamp AS dy, date_trunc('year', o_orderdate)::timestamp AS y, date_trunc('hour', o_orderdate)::timestamp AS h FROM orders")
+@query("""SELECT o_orderkey, date_trunc('day', o_orderdate)::timestamp AS d, date_trunc('day', o_orderdate)::timestamp AS dy, date_trunc('year',
+  o_orderdate)::timestamp AS y, date_trunc('hour', o_orderdate)::timestamp AS h FROM orders""")
 def q_date_part_codes(spark, d):
     """D, DY and DAY are days."""
     return table(spark, d, "orders").select("o_orderkey", *[F.expr(dialect.expression(f"TRUNC(o_orderdate, '{c}')")).alias(n) for n, c in (("d", "D"), ("dy", "DAY"), ("y", "SYYYY"), ("h", "HH24"))])
@@ -236,21 +244,25 @@ def q_stub_source(spark, d):
     return types.stub(spark, ["region_id", "is_open", "label"]).union(rows)
 
 
-@query("SELECT kind, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM (SELECT CASE event_id % 5 WHEN 0 THEN 'ddl' WHEN 1 THEN 'etl' WHEN 2 THEN 'dictionary' WHEN 3 THEN 'output' ELSE 'other' END AS kind, event_id % 1000 AS size FROM events) GROUP BY 1")
+@query("""SELECT kind, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM (SELECT CASE event_id % 5 WHEN 0 THEN 'ddl' WHEN 1 THEN 'etl' WHEN 2 THEN
+  'dictionary' WHEN 3 THEN 'output' ELSE 'other' END AS kind, event_id % 1000 AS size FROM events) GROUP BY 1""")
 def q_source_preview(spark, d):
     ends = F.element_at(F.array(*map(F.lit, (".sql", ".xml", "_dba_x.csv", ".csv", ".bin"))), (F.col("event_id") % 5 + 1).cast("int"))
     files = table(spark, d, "events").select(F.concat(F.lit("b/"), "event_id", ends).alias("path"), (F.col("event_id") % 1000).alias("size"))
     return readers.preview(files.withColumn("kind", readers.file_kind(F.col("path"))))[0]
 
 
-@query("SELECT 'MAIN.' || upper(table_name) AS table_fqn, upper(column_name) AS name, (ordinal_position - 1)::INT AS position FROM information_schema.columns WHERE table_name IN ('orders', 'nation', 'part')")
+@query("""SELECT 'MAIN.' || upper(table_name) AS table_fqn, upper(column_name) AS name, (ordinal_position - 1)::INT AS position FROM information_schema.columns
+  WHERE table_name IN ('orders', 'nation', 'part')""")
 def q_ddl_tables(spark, d):
     """Each table's CREATE TABLE, written out and parsed again."""
     text = ";\n".join(R.ddl_of(table(spark, d, n), n) for n in ("orders", "nation", "part"))
     return ddl.frames(spark, ddl.parse(text.replace("`", '"')))[1].select("table_fqn", "name", "position")
 
 
-@query("WITH s AS (SELECT 'O' || n_regionkey AS owner, n_name AS table_name, CAST(sum(s_suppkey * 10) AS BIGINT) AS bytes, max(s_suppkey) AS row_count FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1, 2) SELECT 'O' || n_regionkey || '.' || n_name AS fqn, bytes, row_count FROM nation LEFT JOIN s ON s.owner = 'O' || n_regionkey AND s.table_name = n_name")
+@query("""WITH s AS (SELECT 'O' || n_regionkey AS owner, n_name AS table_name, CAST(sum(s_suppkey * 10) AS BIGINT) AS bytes, max(s_suppkey) AS row_count FROM
+  supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1, 2) SELECT 'O' || n_regionkey || '.' || n_name AS fqn, bytes, row_count FROM nation LEFT
+  JOIN s ON s.owner = 'O' || n_regionkey AND s.table_name = n_name""")
 def q_dictionary_inventory(spark, d):
     """Catalog tables from dictionary extracts, with the sizes of their segments."""
     n = table(spark, d, "nation").select(F.concat(F.lit("O"), "n_regionkey").alias("owner"), F.col("n_name").alias("table_name"), "n_nationkey")
@@ -280,7 +292,8 @@ def _nation_names(spark, d):
 _T25 = "n AS (SELECT lower(replace(n_name, ' ', '_')) AS t FROM nation)"
 
 
-@query(f"WITH {_T25} SELECT t, k.kind, CASE WHEN k.kind <> 'select' THEN 'dw.' || t END AS target, CASE WHEN k.kind IN ('insert', 'merge', 'select') THEN 'src.' || t END AS source FROM n, (VALUES ('insert'), ('update'), ('delete'), ('truncate'), ('merge'), ('select')) k(kind)")
+@query(f"""WITH {_T25} SELECT t, k.kind, CASE WHEN k.kind <> 'select' THEN 'dw.' || t END AS target, CASE WHEN k.kind IN ('insert', 'merge', 'select') THEN
+  'src.' || t END AS source FROM n, (VALUES ('insert'), ('update'), ('delete'), ('truncate'), ('merge'), ('select')) k(kind)""")
 def q_statement_kinds(spark, d):
     rows = []
     for t in _nation_names(spark, d):
@@ -290,20 +303,24 @@ def q_statement_kinds(spark, d):
     return spark.createDataFrame(rows, "t string, kind string, target string, source string")
 
 
-@query(f"WITH {_T25} SELECT 'SOURCE.' || upper(t) AS source_fqn, c.s AS source_column, 'DW.V_' || upper(t) AS target_fqn, c.d AS target_column, 0.95::DOUBLE AS confidence FROM n, (VALUES ('id', 'id'), ('amount', 'total')) c(s, d) UNION ALL SELECT 'SOURCE.RATES', 'rate', 'DW.V_' || upper(t), 'total', 0.95 FROM n")
+@query(f"""WITH {_T25} SELECT 'SOURCE.' || upper(t) AS source_fqn, c.s AS source_column, 'DW.V_' || upper(t) AS target_fqn, c.d AS target_column, 0.95::DOUBLE AS
+  confidence FROM n, (VALUES ('id', 'id'), ('amount', 'total')) c(s, d) UNION ALL SELECT 'SOURCE.RATES', 'rate', 'DW.V_' || upper(t), 'total', 0.95 FROM
+  n""")
 def q_view_edges(spark, d):
     edges = [e for t in _nation_names(spark, d) for e in lineage.view_edges(f"DW.V_{t.upper()}", f"SELECT a.id, a.amount * r.rate AS total FROM {t} a JOIN rates r ON r.k = a.k")]
     return lineage.frame(spark, edges).select("source_fqn", "source_column", "target_fqn", "target_column", F.col("confidence").cast("double").alias("confidence"))
 
 
-@query("SELECT 'DW.' || p_brand AS source_fqn, 'C' || p_partkey AS source_column, CASE WHEN p_size % 3 = 0 THEN 'DW.T' || p_size ELSE 'T' || p_size END AS target_fqn, 'ID' AS target_column, 'fk' AS operation FROM part WHERE p_size % 4 > 0")
+@query("""SELECT 'DW.' || p_brand AS source_fqn, 'C' || p_partkey AS source_column, CASE WHEN p_size % 3 = 0 THEN 'DW.T' || p_size ELSE 'T' || p_size END AS
+  target_fqn, 'ID' AS target_column, 'fk' AS operation FROM part WHERE p_size % 4 > 0""")
 def q_fk_edges(spark, d):
     target = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("DW.T"), "p_size", F.lit(".ID"))).otherwise(F.concat(F.lit("T"), "p_size", F.lit(".ID")))
     columns = table(spark, d, "part").select(F.concat(F.lit("DW."), "p_brand").alias("table_fqn"), F.concat(F.lit("C"), "p_partkey").alias("name"), (F.col("p_size") % 4 > 0).alias("is_fk"), target.alias("fk_target"))
     return graph.fk_edges(columns).drop("confidence")
 
 
-@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'OUTPUTS.' || upper(event_type) WHEN 1 THEN 'EXTERNAL.' || upper(event_type) WHEN 2 THEN 'RAW.' || upper(event_type) ELSE 'SOURCE.' || upper(event_type) END AS fqn FROM events")
+@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'OUTPUTS.' || upper(event_type) WHEN 1 THEN 'EXTERNAL.' || upper(event_type) WHEN 2 THEN 'RAW.' ||
+  upper(event_type) ELSE 'SOURCE.' || upper(event_type) END AS fqn FROM events""")
 def q_fqn_names(spark, d):
     k = F.col("event_id") % 4
     name = F.when(k < 2, F.concat(F.lit("a/b/"), "event_type", F.lit(".CSV"))).when(k == 2, F.concat(F.lit("raw."), "event_type")).otherwise(F.col("event_type"))
@@ -311,7 +328,9 @@ def q_fqn_names(spark, d):
     return table(spark, d, "events").select("event_id", graph.fqn(name, kind).alias("fqn"))
 
 
-@query("WITH c AS (SELECT DISTINCT 'DW.' || p_brand || '.' || p_size AS k FROM part), q AS (SELECT DISTINCT CASE WHEN p_partkey % 2 = 0 THEN lower('DW.' || p_brand || '.' || p_size) ELSE p_size::VARCHAR END AS key FROM part) SELECT key, min(k) AS column_key FROM q JOIN c ON lower(k) = key OR lower(k) LIKE '%.' || key GROUP BY 1")
+@query("""WITH c AS (SELECT DISTINCT 'DW.' || p_brand || '.' || p_size AS k FROM part), q AS (SELECT DISTINCT CASE WHEN p_partkey % 2 = 0 THEN lower('DW.' ||
+  p_brand || '.' || p_size) ELSE p_size::VARCHAR END AS key FROM part) SELECT key, min(k) AS column_key FROM q JOIN c ON lower(k) = key OR lower(k) LIKE
+  '%.' || key GROUP BY 1""")
 def q_key_resolve(spark, d):
     p = table(spark, d, "part")
     columns = p.select(F.concat_ws(".", F.lit("DW"), "p_brand", "p_size").alias("column_key")).distinct()
@@ -319,8 +338,10 @@ def q_key_resolve(spark, d):
     return graph.resolved(keys, columns)
 
 
-_E = "e AS (SELECT 'C' || c_custkey AS src, 'N' || c_nationkey AS dst FROM customer UNION SELECT 'N' || n_nationkey, 'R' || n_regionkey FROM nation UNION SELECT 'R' || r_regionkey, 'ALL' FROM region UNION SELECT 'C' || c_custkey, 'ALL' FROM customer WHERE c_acctbal > 9000)"
-_OWN = "o AS (SELECT node, CASE WHEN node LIKE 'C%' AND CAST(substr(node, 2) AS INT) % 97 = 0 THEN 4 WHEN node LIKE 'N%' AND CAST(substr(node, 2) AS INT) % 5 = 0 THEN 3 ELSE 0 END AS s FROM (SELECT src AS node FROM e UNION SELECT dst FROM e))"
+_E = """e AS (SELECT 'C' || c_custkey AS src, 'N' || c_nationkey AS dst FROM customer UNION SELECT 'N' || n_nationkey, 'R' || n_regionkey FROM nation UNION
+  SELECT 'R' || r_regionkey, 'ALL' FROM region UNION SELECT 'C' || c_custkey, 'ALL' FROM customer WHERE c_acctbal > 9000)"""
+_OWN = """o AS (SELECT node, CASE WHEN node LIKE 'C%' AND CAST(substr(node, 2) AS INT) % 97 = 0 THEN 4 WHEN node LIKE 'N%' AND CAST(substr(node, 2) AS INT) % 5
+  = 0 THEN 3 ELSE 0 END AS s FROM (SELECT src AS node FROM e UNION SELECT dst FROM e))"""
 _UP = f"WITH RECURSIVE {_E}, p AS (SELECT src, dst FROM e UNION SELECT p.src, e.dst FROM p JOIN e ON p.dst = e.src)"
 
 
@@ -331,20 +352,28 @@ def _explicit(spark, d, pii=97):
     return e, graph.nodes_of(e).withColumn("explicit_sensitivity", s)
 
 
-@query(f"{_UP}, {_OWN}, m AS (SELECT t.node, t.s, greatest(t.s, coalesce(max(f.s), 0)) AS m FROM o t LEFT JOIN p ON p.dst = t.node LEFT JOIN o f ON f.node = p.src AND f.s >= 2 GROUP BY 1, 2) SELECT count(*) FILTER (s = 4) AS explicit_pii, count(*) FILTER (m = 4 AND s < 4) AS inherited_pii, count(*) FILTER (m >= 2) AS sensitive FROM m")
+@query(f"""{_UP}, {_OWN}, m AS (SELECT t.node, t.s, greatest(t.s, coalesce(max(f.s), 0)) AS m FROM o t LEFT JOIN p ON p.dst = t.node LEFT JOIN o f ON f.node =
+  p.src AND f.s >= 2 GROUP BY 1, 2) SELECT count(*) FILTER (s = 4) AS explicit_pii, count(*) FILTER (m = 4 AND s < 4) AS inherited_pii, count(*) FILTER
+  (m >= 2) AS sensitive FROM m""")
 def q_pii_reach(spark, d):
     e, columns = _explicit(spark, d)
     return graph.pii_reach(graph.propagated(columns, e), columns)
 
 
-@query(f"{_UP}, {_OWN}, r AS (SELECT node, CASE node WHEN 'N1' THEN 4 ELSE s END AS s FROM o) SELECT t.node, ['PUBLIC','INTERNAL','FINANCIAL','TAX','PII'][greatest(t.s, coalesce(max(f.s), 0)) + 1] AS sensitivity FROM r t LEFT JOIN p ON p.dst = t.node LEFT JOIN r f ON f.node = p.src AND f.s >= 2 GROUP BY t.node, t.s")
+@query(f"""{_UP}, {_OWN}, r AS (SELECT node, CASE node WHEN 'N1' THEN 4 ELSE s END AS s FROM o) SELECT t.node,
+  ['PUBLIC','INTERNAL','FINANCIAL','TAX','PII'][greatest(t.s, coalesce(max(f.s), 0)) + 1] AS sensitivity FROM r t LEFT JOIN p ON p.dst = t.node LEFT
+  JOIN r f ON f.node = p.src AND f.s >= 2 GROUP BY t.node, t.s""")
 def q_column_override(spark, d):
     """One class changed by hand, then propagated again."""
     e, columns = _explicit(spark, d)
     return graph.propagated(graph.overridden(columns, "N1", "PII"), e).select("node", "sensitivity")
 
 
-@query("WITH l AS (SELECT DISTINCT CASE WHEN event_id % 2 = 0 THEN 'SOURCE.U' || user_id % 40 ELSE 'PIPELINE.P' || user_id % 15 || '.S' || event_id % 3 END AS source_fqn, CASE WHEN event_id % 2 = 0 THEN 'PIPELINE.P' || event_id % 15 || '.S' || event_id % 4 ELSE 'OUTPUTS.O' || event_id % 20 END AS target_fqn, event_type AS c FROM events) SELECT source_fqn, target_fqn, c AS source_column, CASE WHEN source_fqn LIKE 'SOURCE%' THEN 'RAW' END AS source_layer, CASE WHEN target_fqn LIKE 'OUTPUTS%' AND c = 'view' THEN 'PII' WHEN target_fqn LIKE 'OUTPUTS%' THEN 'PUBLIC' END AS target_sensitivity, target_fqn LIKE 'OUTPUTS%' AND c = 'view' AS is_pii_path FROM l")
+@query("""WITH l AS (SELECT DISTINCT CASE WHEN event_id % 2 = 0 THEN 'SOURCE.U' || user_id % 40 ELSE 'PIPELINE.P' || user_id % 15 || '.S' || event_id % 3 END AS
+  source_fqn, CASE WHEN event_id % 2 = 0 THEN 'PIPELINE.P' || event_id % 15 || '.S' || event_id % 4 ELSE 'OUTPUTS.O' || event_id % 20 END AS target_fqn,
+  event_type AS c FROM events) SELECT source_fqn, target_fqn, c AS source_column, CASE WHEN source_fqn LIKE 'SOURCE%' THEN 'RAW' END AS source_layer,
+  CASE WHEN target_fqn LIKE 'OUTPUTS%' AND c = 'view' THEN 'PII' WHEN target_fqn LIKE 'OUTPUTS%' THEN 'PUBLIC' END AS target_sensitivity, target_fqn
+  LIKE 'OUTPUTS%' AND c = 'view' AS is_pii_path FROM l""")
 def q_edge_export(spark, d):
     """Lineage edges with layers and classes of both ends, through a CSV and back."""
     l = _lineage(spark, d).drop("operation").distinct()
@@ -366,7 +395,8 @@ def q_undocumented(spark, d):
 
 
 _T = "t AS (SELECT DISTINCT ['RAW_', 'STG_', 'DIM_', 'RPT_', 'OLD_LEGACY_', 'T'][p_size % 6 + 1] || p_partkey % 50 AS name FROM part)"
-_LAYER = "CASE WHEN name LIKE 'RAW%' THEN 'RAW' WHEN name LIKE 'STG%' THEN 'STAGING' WHEN name LIKE 'DIM%' THEN 'INTEGRATION' WHEN name LIKE 'RPT%' THEN 'REPORTING' ELSE 'UNKNOWN' END"
+_LAYER = """CASE WHEN name LIKE 'RAW%' THEN 'RAW' WHEN name LIKE 'STG%' THEN 'STAGING' WHEN name LIKE 'DIM%' THEN 'INTEGRATION' WHEN name LIKE 'RPT%' THEN
+  'REPORTING' ELSE 'UNKNOWN' END"""
 
 
 @query(f"WITH {_T} SELECT 'DW.' || name AS fqn FROM t WHERE name LIKE 'STG%1%'")
@@ -375,10 +405,14 @@ def q_inventory_search(spark, d):
     return catalog.search(t, "1", "STAGING").select("fqn")
 
 
-_S = "r AS (SELECT event_type AS c, value > 20 AS ok FROM events), k AS (SELECT c, count(*) AS total, count(*) FILTER (ok) AS good FROM r GROUP BY 1), p AS (SELECT * FROM (VALUES ('view', true), ('click', true), ('never', false), ('dark', true)) v(name, csv_exists)), u AS (SELECT CASE WHEN total IS NULL THEN CASE WHEN csv_exists THEN 'off-grid' ELSE 'never-run' END WHEN good < total THEN 'failing' ELSE 'healthy' END AS status FROM p LEFT JOIN k ON c = name UNION ALL SELECT 'undocumented' FROM k WHERE c NOT IN (SELECT name FROM p))"
+_S = """r AS (SELECT event_type AS c, value > 20 AS ok FROM events), k AS (SELECT c, count(*) AS total, count(*) FILTER (ok) AS good FROM r GROUP BY 1), p AS
+  (SELECT * FROM (VALUES ('view', true), ('click', true), ('never', false), ('dark', true)) v(name, csv_exists)), u AS (SELECT CASE WHEN total IS NULL
+  THEN CASE WHEN csv_exists THEN 'off-grid' ELSE 'never-run' END WHEN good < total THEN 'failing' ELSE 'healthy' END AS status FROM p LEFT JOIN k ON c =
+  name UNION ALL SELECT 'undocumented' FROM k WHERE c NOT IN (SELECT name FROM p))"""
 
 
-@query(f"WITH {_T}, {_S} SELECT 'tables.' || lower({_LAYER}) AS metric, count(*) AS value FROM t GROUP BY 1 UNION ALL SELECT 'pipelines.' || status, count(*) FROM u GROUP BY 1 UNION ALL SELECT 'flags.warn', count(*) FROM t")
+@query(f"""WITH {_T}, {_S} SELECT 'tables.' || lower({_LAYER}) AS metric, count(*) AS value FROM t GROUP BY 1 UNION ALL SELECT 'pipelines.' || status, count(*)
+  FROM u GROUP BY 1 UNION ALL SELECT 'flags.warn', count(*) FROM t""")
 def q_digest(spark, d):
     """Counts of a summary: tables by layer, pipelines by status, findings by severity."""
     t = _tables(spark, d)
@@ -388,7 +422,9 @@ def q_digest(spark, d):
     return catalog.digest(t.withColumn("layer", catalog.layer(F.col("name"))), usage, flags)
 
 
-@query("SELECT kind, count(*) AS n, count(*) FILTER (inside) AS n_in_scope, coalesce(string_agg(name, ',' ORDER BY name) FILTER (NOT inside), '') AS excluded FROM (SELECT 'table' AS kind, 'S' || s_suppkey AS name, s_acctbal <= 5000 AS inside FROM supplier UNION ALL SELECT 'pipeline', n_name, n_nationkey % 3 > 0 FROM nation) GROUP BY 1")
+@query("""SELECT kind, count(*) AS n, count(*) FILTER (inside) AS n_in_scope, coalesce(string_agg(name, ',' ORDER BY name) FILTER (NOT inside), '') AS excluded
+  FROM (SELECT 'table' AS kind, 'S' || s_suppkey AS name, s_acctbal <= 5000 AS inside FROM supplier UNION ALL SELECT 'pipeline', n_name, n_nationkey % 3
+  > 0 FROM nation) GROUP BY 1""")
 def q_scope_export(spark, d):
     """A scope's manifest as JSON and its rows as CSV, read back."""
     p = table(spark, d, "nation").select(F.lit(True).alias("has_definition"), F.col("n_name").alias("pipeline_name"), (F.col("n_nationkey") % 3).alias("runs_total"), F.lit(False).alias("csv_exists"))
