@@ -32,6 +32,7 @@ bytes of the phrase. Other columns are ignored.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,6 +47,8 @@ LONGEST, FREQUENT, TOP = 5, 100, 2000
 BLOCK = 1 << 24
 #: Bits of a table of frequent phrases: 64 for each, between these bounds.
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
+#: Phrases that a task holds before it sends them on.
+HELD = 1 << 20
 #: Ranges that a group's best phrases are first sought in.
 RANGES = 64
 
@@ -206,30 +209,45 @@ def _counts(tables: list[bytes], longest: int):
 
 
 def _phrases(tables: list[bytes], longest: int):
-    """(lang, words in it, phrase, occurrences) of a row's phrases that the tables know, and with 0 words the number of all words."""
+    """(lang, words in it, phrase, occurrences) of the phrases that the tables know, and with 0 words the number of all words.
+
+    A task adds up the phrases of its rows, and sends them on whenever it holds ``HELD`` of them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, int], Counter[bytes]] = {}
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            for (lang, k), counts in held.items():
+                names, n = list(counts), list(counts.values())
+                for a in range(0, len(names), 1 << 14):
+                    part = [x.decode("utf-8", "replace") for x in names[a : a + (1 << 14)]]
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), pa.array([k] * len(part), pa.int32()), pa.array(part), pa.array(n[a : a + (1 << 14)], pa.int64())], ["lang", "k", "phrase", "n"])
+            held.clear()
+
         for batch in batches:
             for i in range(len(batch)):
                 lang, hashes, sizes, steps = _row(batch, i)
                 names = batch.column("words")[i].as_py()
-                columns = ["lang", "k", "phrase", "n"]
-                yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([0], pa.int32()), pa.array([""]), pa.array([int(sizes.sum())])], columns)
+                held.setdefault((lang, 0), Counter())[b""] += int(sizes.sum())
                 at = word = None
                 for k, (keys, counts, places, of) in enumerate(levels(lang, hashes, sizes, steps, tables, longest), 1):
                     if k > len(tables):
                         break
                     known = np.flatnonzero(_frequent(keys, tables[k - 1]))
                     if k == 1:
-                        at, word, phrases = places, of, [names[j].decode("utf-8", "replace") for j in known.tolist()]
+                        at, word, phrases = places, of, [names[j] for j in known.tolist()]
                     else:  # the words of a phrase stand at its first place and after it
                         start = np.zeros(len(keys), np.int64)
                         start[of] = places
                         start = np.searchsorted(at, start[known])
-                        phrases = [b" ".join(names[w] for w in word[a : a + k].tolist()).decode("utf-8", "replace") for a in start.tolist()]
-                    for a in range(0, len(known), 1 << 14):
-                        part = known[a : a + (1 << 14)]
-                        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), pa.array(np.full(len(part), k, np.int32)), pa.array(phrases[a : a + (1 << 14)]), pa.array(counts[part].astype(np.int64))], columns)
+                        phrases = [b" ".join([names[w] for w in word[a : a + k].tolist()]) for a in start.tolist()]
+                    into = held.setdefault((lang, k), Counter())
+                    for phrase, n in zip(phrases, counts[known].tolist(), strict=True):
+                        into[phrase] += n
+                if sum(map(len, held.values())) >= HELD:
+                    yield from sent()
+        yield from sent()
 
     return run
 
@@ -251,7 +269,8 @@ def frequencies(df: DataFrame, column: str = "text", group: str = "lang", longes
         counts = lists.select("lang", "hashes", "sizes", "steps").mapInArrow(_counts(tables, longest), "key long, n long")
         keys = saved(counts.groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= frequent).select("key"))
         tables.append(_bits(keys))
-    rows = lists.mapInArrow(_phrases(tables, longest), "lang string, k int, phrase string, n long")
+    tasks = df.sparkSession.sparkContext.defaultParallelism  # few, so that each adds up the phrases of many blocks
+    rows = lists.coalesce(tasks).mapInArrow(_phrases(tables, longest), "lang string, k int, phrase string, n long")
     return saved(rows.groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n")).filter((F.col("k") == 0) | (F.col("n") >= frequent)))
 
 
