@@ -13,8 +13,8 @@ merge gives the list of the phrase of k + 1 words, and the lengths of a phrase's
 lists over all blocks add up to its exact frequency. What isn't frequent is
 dropped before the next extension, as no longer phrase around it can be.
 
-Which phrases are frequent is agreed by counts of 64-bit keys, one row for each
-distinct phrase of a block, and sent to the tasks as a table of bits. Its size
+Which phrases are frequent is agreed by counts of keys (32 to 63 bits, by the
+number of words), one row for each distinct phrase of a block, and sent to the tasks as a table of bits. Its size
 follows the number of frequent phrases up to ``MOST_BITS`` (32 MB for each
 length, whatever the corpus). Phrases that share a key or a bit only let more
 pass: the counts that are returned come from a last pass that adds up the list
@@ -97,8 +97,8 @@ class _Lists:
         self.places.append(places + self.end)
         self.distinct, self.end = self.distinct + len(hashes), self.end + int(places[-1]) + 2
 
-    def row(self) -> tuple[list[bytes], bytes, bytes, bytes] | None:
-        """Distinct words, then packed: their hashes, the lengths of their lists, and the lists' steps."""
+    def row(self) -> tuple[int, list[bytes], bytes, bytes, bytes] | None:
+        """The number of words, the distinct ones, then packed: their hashes, the lengths of their lists, and the lists' steps."""
         if not self.codes:
             return None
         hashes, first, code = np.unique(np.concatenate(self.hashes), return_index=True, return_inverse=True)
@@ -111,7 +111,7 @@ class _Lists:
         steps = np.diff(places, prepend=0)
         heads = np.cumsum(sizes) - sizes
         steps[heads] = places[heads]
-        return [self.names[i] for i in first.tolist()], packed(hashes), packed(sizes), packed(steps)
+        return len(code), [self.names[i] for i in first.tolist()], packed(hashes), packed(sizes), packed(steps)
 
 
 def _block_lists(column: str, group: str, least: int):
@@ -126,14 +126,14 @@ def _block_lists(column: str, group: str, least: int):
                         lists.add(data, at)
                 row = lists.row()
                 if row:
-                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([row[0]], pa.list_(pa.binary())), *(pa.array([x], pa.binary()) for x in row[1:])], ["lang", "words", "hashes", "sizes", "steps"])
+                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([row[0]]), pa.array([row[1]], pa.list_(pa.binary())), *(pa.array([x], pa.binary()) for x in row[2:])], ["lang", "total", "words", "hashes", "sizes", "steps"])
 
     return run
 
 
 def posting_lists(df: DataFrame, column: str = "text", group: str = "lang", least: int = BLOCK) -> DataFrame:
     """One row for each block of texts and each of its groups: ``lang``, ``words``, and the packed hashes, lengths and steps of their lists."""
-    return df.select(F.col(column).cast("string").alias("text"), F.col(group).cast("string").alias("lang")).mapInArrow(_block_lists("text", "lang", least), "lang string, words array<binary>, hashes binary, sizes binary, steps binary")
+    return df.select(F.col(column).cast("string").alias("text"), F.col(group).cast("string").alias("lang")).mapInArrow(_block_lists("text", "lang", least), "lang string, total long, words array<binary>, hashes binary, sizes binary, steps binary")
 
 
 # --- extension -------------------------------------------------------------------
@@ -195,13 +195,16 @@ def _row(batch: pa.RecordBatch, i: int) -> tuple[str, np.ndarray, np.ndarray, np
     return one("lang"), unpacked(one("hashes"), 1)[0], unpacked(one("sizes"), 1)[0].astype(np.int64), unpacked(one("steps"), 1)[0].astype(np.int64)
 
 
-def _counts(tables: list[bytes], longest: int):
-    """(key, occurrences) of a row's phrases that are one word longer than the tables know."""
+def _counts(tables: list[bytes], longest: int, width: int):
+    """(key of ``width`` bits, occurrences) of a row's phrases that are one word longer than the tables know."""
+
+    mask = np.uint64((1 << width) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(len(batch)):
                 *_, (keys, sizes, _, _) = levels(*_row(batch, i), tables, longest)
+                keys &= mask
                 for a in range(0, len(keys), 1 << 16):
                     yield pa.RecordBatch.from_arrays([pa.array(keys[a : a + (1 << 16)].view(np.int64)), pa.array(sizes[a : a + (1 << 16)].astype(np.int64))], ["key", "n"])
 
@@ -264,9 +267,12 @@ def _bits(keys: DataFrame) -> bytes:
 def frequencies(df: DataFrame, column: str = "text", group: str = "lang", longest: int = LONGEST, frequent: int = FREQUENT, least: int = BLOCK) -> DataFrame:
     """``lang``, ``k``, ``phrase``, ``n``: every phrase of 1 to ``longest`` words that stands ``frequent`` times or more; with k = 0 the number of all words of the group."""
     lists = saved(posting_lists(df, column, group, least))
+    # 16 keys or more for each word of the corpus: few phrases share one, and its upper bytes are zeros, which compress
+    total = lists.agg(F.sum("total")).first()[0] or 1
+    width = min(63, max(32, total.bit_length() + 4))
     tables: list[bytes] = []
     for _ in range(longest):
-        counts = lists.select("lang", "hashes", "sizes", "steps").mapInArrow(_counts(tables, longest), "key long, n long")
+        counts = lists.select("lang", "hashes", "sizes", "steps").mapInArrow(_counts(tables, longest, width), "key long, n long")
         keys = saved(counts.groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= frequent).select("key"))
         tables.append(_bits(keys))
     tasks = df.sparkSession.sparkContext.defaultParallelism  # few, so that each adds up the phrases of many blocks
@@ -283,6 +289,12 @@ def _cut(phrase: str, first: int, last: int | None = None) -> Column:
     return F.array_join(F.slice(words, first, F.size(words) if last is None else last - first + 1), " ")
 
 
+def score(a: str, n: str, l: str, r: str) -> Column:
+    """floor(1000 a n / (l r)) in decimals of 38 digits."""
+    wide = lambda name: F.col(name).cast("decimal(19,0)")
+    return F.call_function("div", wide(a) * wide(n) * F.lit(1000).cast("decimal(4,0)"), wide(l) * wide(r))
+
+
 def collocations(df: DataFrame, column: str = "text", group: str = "lang", longest: int = LONGEST, frequent: int = FREQUENT, top: int = TOP, covered: int = 100, least: int = BLOCK) -> DataFrame:
     """The ``top`` phrases of each group: ``lang``, ``rank``, ``phrase``, ``a``, ``l``, ``r``, ``n``, ``score``.
 
@@ -299,8 +311,7 @@ def collocations(df: DataFrame, column: str = "text", group: str = "lang", longe
     cut = candidates.withColumn("at", F.explode(F.sequence(F.lit(1), F.col("k") - 1))).withColumn("head", _cut("phrase", 1, F.col("at"))).withColumn("tail", _cut("phrase", F.col("at") + 1))
     cut = cut.join(part("l"), (F.col("lang") == F.col("l_lang")) & (F.col("head") == F.col("l_phrase"))).join(part("r"), (F.col("lang") == F.col("r_lang")) & (F.col("tail") == F.col("r_phrase")))
     cut = cut.join(words, F.col("lang") == F.col("_lang"))
-    wide = lambda name: F.col(name).cast("decimal(19,0)")
-    cut = cut.withColumn("score", F.call_function("div", (wide("a") * wide("_n")).cast("decimal(34,0)") * F.lit(1000).cast("decimal(4,0)"), (wide("l") * wide("r")).cast("decimal(38,0)")))
+    cut = cut.withColumn("score", score("a", "_n", "l", "r"))
     lowest = F.min(F.struct("score", "at", "l", "r", F.col("_n").alias("n")))
     scored = cut.groupBy("lang", "phrase", "k", "a").agg(lowest.alias("cut")).select("lang", "phrase", "k", "a", "cut.l", "cut.r", "cut.n", "cut.score")
     # what lies inside a phrase of any length lies inside one that is a word longer, and is no rarer than that
