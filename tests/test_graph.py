@@ -58,7 +58,7 @@ def test_waves_condense_cycles(spark, edges):
 def test_propagation_has_explicit_origins_only(spark):
     columns = spark.createDataFrame([("a", "PII"), ("b", None), ("c", "FINANCIAL"), ("d", "public"), ("e", "TAX")], "node string, explicit_sensitivity string")
     edges = frame(spark, {("a", "b"), ("b", "c"), ("c", "d"), ("d", "c"), ("e", "e")})
-    got = {r.node: (r.sensitivity, r.origins) for r in graph.propagated(columns, edges).collect()}
+    got = {r.node: (r.sensitivity, r.origins) for r in graph.propagated(columns, edges).join(graph.origins(columns, edges), "node").collect()}
     assert got == {"a": ("PII", []), "b": ("PII", ["a"]), "c": ("PII", ["a"]), "d": ("PII", ["a", "c"]), "e": ("TAX", [])}
     out = graph.propagated(columns, edges)
     assert tuple(graph.pii_reach(out, columns).first()) == (1, 3, 5)
@@ -103,3 +103,69 @@ def test_cycles_of_a_random_graph(spark):
     while more := {(a, d) for a, b in pairs for c, d in small if b == c} - pairs:
         pairs |= more
     assert got == pairs
+
+
+def counted(monkeypatch):
+    """Counts the rounds: every one cuts its lineage once or a few times."""
+    calls, cut = [], graph.cut
+
+    def one(df):
+        calls.append(1)
+        return cut(df)
+
+    monkeypatch.setattr(graph, "cut", one)
+    return calls
+
+
+def test_rounds_grow_with_the_logarithm_of_a_chain(spark, monkeypatch):
+    calls = counted(monkeypatch)
+    used = {}
+    for n in (60, 1000):
+        chain = spark.range(n).selectExpr("id AS src", "id + 1 AS dst")
+        calls.clear()
+        got = {r.node: r.wave for r in graph.waves(chain).collect()}
+        assert got == {i: i + 1 for i in range(n + 1)}
+        used["waves", n] = len(calls)
+        calls.clear()
+        assert graph.reached(chain, graph.seeds(spark, [7]).selectExpr("cast(node AS long) AS node")).count() == n - 6
+        used["reached", n] = len(calls)
+        ring = chain.filter(f"dst < {n}").unionByName(spark.createDataFrame([(n - 1, 0), (n - 1, n + 5)], "src long, dst long"))
+        calls.clear()
+        assert {(r.node, r.cycle) for r in graph.cycle_nodes(ring).collect()} == {(i, 0) for i in range(n)}
+        used["cycles", n] = len(calls)
+    calls.clear()
+    assert graph.closure(spark.range(300).selectExpr("id AS src", "id + 1 AS dst")).count() == 301 * 300 // 2
+    assert len(calls) < 40
+    assert used["waves", 1000] <= used["waves", 60] + 12 and used["reached", 1000] <= used["reached", 60] + 10 and used["cycles", 1000] <= used["cycles", 60] + 60, used
+
+
+def test_rows_stay_in_proportion_to_the_edges(spark, monkeypatch):
+    """A dense graph of layers: pairs of nodes would be 30 times the edges."""
+    layers, width = 30, 12
+    edges = {(f"{a:02}-{i}", f"{a + 1:02}-{j}") for a in range(layers) for i in range(width) for j in range(width)}
+    df = frame(spark, edges)
+    levels = graph.shortcuts(df)
+    assert sum(x.count() for x in levels) <= (1 + graph.DENSE) * len(levels) * len(edges)
+    wide = spark.range(400).selectExpr("concat('a', id) AS src", "concat('b', id % 40) AS dst").unionByName(spark.range(1600).selectExpr("concat('b', id % 40) AS src", "concat('c', id) AS dst"))
+    assert len(graph.shortcuts(wide)) == 1  # 16,000 pairs from 2,000 edges: not made
+    assert {r.wave for r in graph.waves(df).collect()} == set(range(1, layers + 2))
+    columns = graph.nodes_of(df).selectExpr("node", "if(node LIKE '00-%', 'PII', if(node = '05-3', 'TAX', null)) AS explicit_sensitivity")
+    got = {r.node: r.sensitivity for r in graph.propagated(columns, df).collect()}
+    assert set(got.values()) == {"PII"} and len(got) == (layers + 1) * width
+
+
+def test_exclusive_keeps_two_outputs_at_most(spark):
+    edges = {("a", "x"), ("a", "b"), ("b", "x"), ("c", "y"), ("c", "x"), ("d", "c"), ("e", "y"), ("z", "q")}
+    outputs = graph.seeds(spark, ["x", "y", "z"])
+    got = {(r.output, r.node) for r in graph.exclusive(frame(spark, edges), outputs).collect()}
+    assert got == {("x", "a"), ("x", "b"), ("x", "x"), ("y", "e"), ("y", "y")}
+
+
+def test_chains_of_cycles(spark):
+    edges = set()
+    for i in range(40):
+        edges |= {(2 * i, 2 * i + 1), (2 * i + 1, 2 * i), (2 * i + 1, 2 * i + 2)}
+    got = {r.node: r.cycle for r in graph.cycle_nodes(spark.createDataFrame(sorted(edges), "src long, dst long")).collect()}
+    assert got == {n: n - n % 2 for n in range(80)}
+    deep = {r.node: (r.wave, r.in_cycle) for r in graph.waves(spark.createDataFrame(sorted(edges), "src long, dst long")).collect()}
+    assert deep == {n: (n // 2 + 1, n < 80) for n in range(81)}

@@ -7,7 +7,7 @@ then overwrites; a Parquet table has no MERGE of its own.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -85,31 +85,30 @@ def merge(target: DataFrame, source: DataFrame, spec: Merge) -> DataFrame:
             meets = meets & F.expr(spec.match_condition)
         fresh = source.alias("s").join(target.alias("t"), meets, "left_anti")
         return target.unionByName(_merged(target.limit(0), fresh, spec, pairs))
-    # Rows with a null key match nothing. They stay out of the join, where one task would hold them all.
-    null = lambda names: reduce(lambda a, b: a | b, [F.col(quoted(n)).isNull() for n in names])
-    no_t, no_s = null([x for x, _ in pairs]), null([y for _, y in pairs])
-    both = _merged(target.filter(~no_t), source.filter(~no_s), spec, pairs)
-    kept = _merged(target.filter(no_t), source.limit(0), replace(spec, matched=(), not_matched=()), pairs)
-    added = _merged(target.limit(0), source.filter(no_s), replace(spec, matched=(), not_matched_by_source=()), pairs)
-    return both.unionByName(kept).unionByName(added)
+    return _merged(target, source, spec, pairs)
 
 
 def _merged(target: DataFrame, source: DataFrame, spec: Merge, pairs: list[tuple[str, str]]) -> DataFrame:
-    t, s = target.withColumn("_in_t", F.lit(True)), source.withColumn("_in_s", F.lit(True))
+    # Rows with a null key match nothing; a salt of their own, never the same on both sides, spreads them over the join's tasks.
+    def salted(df: DataFrame, names: list[str], sign: int) -> DataFrame:
+        null = reduce(lambda a, b: a | b, [F.col(quoted(n)).isNull() for n in names])
+        return df.withColumn("_salt", F.when(null, F.lit(sign) * (F.monotonically_increasing_id() + 1)).otherwise(F.lit(0).cast("long")))
+
+    t, s = salted(target.withColumn("_in_t", F.lit(True)), [x for x, _ in pairs], 1), salted(source.withColumn("_in_s", F.lit(True)), [y for _, y in pairs], -1)
     guarded = bool(spec.matched or spec.not_matched_by_source)
     by_key = guarded and not spec.match_condition
     if by_key:  # counted on the join's own keys, so the source is shuffled once for both
-        s = s.withColumn("_many", F.count(F.lit(1)).over(Window.partitionBy(*[quoted(y) for _, y in pairs])))
+        s = s.withColumn("_many", F.count(F.lit(1)).over(Window.partitionBy(*[quoted(y) for _, y in pairs], "_salt")))
     elif guarded:
         t = t.withColumn("_tid", F.monotonically_increasing_id())
-    on = F.lit(True)
+    on = F.col("t._salt") == F.col("s._salt")
     for x, y in pairs:
         on = on & (F.col(f"t.{quoted(x)}") == F.col(f"s.{quoted(y)}"))
     if spec.match_condition:
         on = on & F.expr(spec.match_condition)
     both = t.alias("t").join(s.alias("s"), on, "full")
     if guarded and not by_key:
-        own = Window.partitionBy("t._tid", F.when(F.col("t._tid").isNull(), F.xxhash64(*[F.col(f"s.{quoted(y)}") for _, y in pairs])))
+        own = Window.partitionBy("t._tid", F.when(F.col("t._tid").isNull(), F.xxhash64("s._salt", *[F.col(f"s.{quoted(y)}") for _, y in pairs])))
         both = both.withColumn("_many", F.when(F.col("t._in_t") & F.col("s._in_s"), F.count("s._in_s").over(own)))
     is_t, is_s = F.coalesce(F.col("t._in_t"), F.lit(False)), F.coalesce(F.col("s._in_s"), F.lit(False))
     plan = [(is_t & is_s, spec.matched), (~is_t & is_s, spec.not_matched), (is_t & ~is_s, spec.not_matched_by_source)]

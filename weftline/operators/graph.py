@@ -1,9 +1,12 @@
 """Lineage graphs as edge DataFrames: closure, depth, cycles, focus and propagation.
 
-Edges have ``src`` and ``dst``. Every iterative operator keeps distinct pairs
-only, joins a frontier instead of walking from each node, cuts its lineage in
-the shared checkpoint folder, and stops when nothing is new, so graphs with
-cycles end too. Nothing is collected but counts.
+Edges have ``src`` and ``dst``. Walks follow shortcuts: pairs of nodes that are
+2, 4, 8, ... edges apart, made by squaring as long as they stay in proportion to
+the edges. With them a walk takes rounds in the logarithm of its length, and in
+graphs too dense for that, which are seldom deep, rounds in its length divided
+by the longest shortcut. Each round joins what changed last, cuts its lineage in
+the shared checkpoint folder, and the walk stops when nothing is new, so graphs
+with cycles end too. Nothing is collected but counts.
 """
 
 from __future__ import annotations
@@ -36,58 +39,140 @@ def _kept(parts: list[DataFrame], new: DataFrame) -> list[DataFrame]:
     return [cut(_all(parts))] if len(parts) > 16 else parts
 
 
+#: Squaring stops before it could make more rows than this many times the edges.
+DENSE = 4
+
+
+def shortcuts(edges: DataFrame, dense: int = DENSE) -> list[DataFrame]:
+    """Distinct pairs that a path of exactly 1, 2, 4, ... edges connects, in that order.
+
+    They end where no path is longer, where ``dense`` forbids the next, or, on
+    cycles, beyond the number of edges.
+    """
+    levels = [cut(edges.select("src", "dst").distinct())]
+    size, length = levels[0].count(), 1
+    while length < size:
+        last = levels[-1]
+        into, out = last.groupBy(F.col("dst").alias("mid")).agg(F.count(F.lit(1)).alias("a")), last.groupBy(F.col("src").alias("mid")).agg(F.count(F.lit(1)).alias("b"))
+        pairs = into.join(out, "mid").agg(F.sum(F.col("a").cast("double") * F.col("b"))).first()[0]
+        if pairs is None or pairs > dense * size:
+            break
+        ahead = last.select(F.col("src").alias("mid"), F.col("dst").alias("next"))
+        levels.append(cut(last.join(ahead, last["dst"] == ahead["mid"]).select("src", F.col("next").alias("dst")).distinct()))
+        length *= 2
+    return levels
+
+
+def _steps(levels: list[DataFrame], reverse: bool = False) -> DataFrame:
+    """All shortcuts as ``mid`` and ``next``, followed backwards with ``reverse``."""
+    a, b = ("dst", "src") if reverse else ("src", "dst")
+    return _all([x.select(F.col(a).alias("mid"), F.col(b).alias("next")) for x in levels])
+
+
 def closure(edges: DataFrame, seeds: DataFrame | None = None, reverse: bool = False) -> DataFrame:
     """Distinct pairs (src, dst) where a path of one edge or more leads from src to dst.
 
     With ``seeds`` (a column ``node``) only paths from them, or with ``reverse``
-    to them. Each round joins the pairs found last with the edges.
+    to them. Each round joins the pairs found last with the shortcuts.
     """
-    e = cut(edges.select("src", "dst").distinct())
-    if reverse:
-        e = e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    step = e.select(F.col("src").alias("mid"), F.col("dst").alias("next"))
-    new = e if seeds is None else e.join(seeds.select(F.col("node").alias("src")).distinct(), "src", "left_semi")
-    new = cut(new)
+    step = _steps(shortcuts(edges), reverse)
+    first = step.select(F.col("mid").alias("src"), F.col("next").alias("dst")).distinct()
+    if seeds is not None:
+        first = first.join(seeds.select(F.col("node").alias("src")).distinct(), "src", "left_semi")
+    new = cut(first)
     found = [new]
     while not new.isEmpty():
-        reached = new.join(step, new["dst"] == step["mid"]).select("src", F.col("next").alias("dst")).distinct()
-        new = cut(reached.join(_all(found), ["src", "dst"], "left_anti"))
+        further = new.join(step, new["dst"] == step["mid"]).select("src", F.col("next").alias("dst")).distinct()
+        new = cut(further.join(_all(found), ["src", "dst"], "left_anti"))
         found = _kept(found, new)
     found = _all(found)
     return found.select(F.col("dst").alias("src"), F.col("src").alias("dst")) if reverse else found
 
 
 def reached(edges: DataFrame, seeds: DataFrame, reverse: bool = False) -> DataFrame:
-    """Nodes that a path from any seed leads to, seeds included: one closure for all seeds, of nodes, not pairs."""
-    e = cut(edges.select(*(("dst", "src") if reverse else ("src", "dst"))).distinct().toDF("mid", "node"))
+    """Nodes that a path from any seed leads to, seeds included: one walk for all seeds, of nodes, not pairs."""
+    return _reached(_steps(shortcuts(edges), reverse), seeds)
+
+
+def _reached(step: DataFrame, seeds: DataFrame) -> DataFrame:
     new = cut(seeds.select("node").distinct())
     found = [new]
     while not new.isEmpty():
-        new = cut(e.join(new.select(F.col("node").alias("mid")), "mid", "left_semi").select("node").distinct().join(_all(found), "node", "left_anti"))
+        new = cut(step.join(new.select(F.col("node").alias("mid")), "mid", "left_semi").select(F.col("next").alias("node")).distinct().join(_all(found), "node", "left_anti"))
         found = _kept(found, new)
     return _all(found)
 
 
+def spread(step: DataFrame, state: DataFrame, best: Mapping[str, str]) -> DataFrame:
+    """``state`` (node and labels, one row for each node) after labels have followed the steps.
+
+    ``best`` says for each label whether the greatest or the least of a node's
+    own and those that lead to it stays; null labels give way. Only nodes whose
+    labels changed last send theirs on, so rows are nodes and steps.
+    """
+    pick = {"greatest": (F.max, F.greatest), "least": (F.min, F.least)}
+    names = list(best)
+    state = cut(state.select("node", *names, F.lit(True).alias("_new")))
+    while not state.filter("_new").isEmpty():
+        sent = state.filter("_new").join(step, F.col("node") == F.col("mid")).groupBy("next").agg(*[pick[best[c]][0](c).alias(f"_{c}") for c in names])
+        both = state.join(sent, F.col("node") == F.col("next"), "left")
+        after = {c: pick[best[c]][1](c, f"_{c}") for c in names}
+        moved = reduce(lambda a, b: a | b, [~F.col(c).eqNullSafe(x) for c, x in after.items()])
+        state = cut(both.select("node", *[x.alias(c) for c, x in after.items()], moved.alias("_new")))
+    return state.select("node", *names)
+
+
+def _endless(last: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """Nodes where 1, 2, ... of the longest shortcuts in a row end, and those where any number does: they lie on or behind cycles."""
+    at, out = last.select(F.col("dst").alias("node")).distinct(), []
+    at = cut(at)
+    n = at.count()
+    while n:
+        out.append(at)
+        at = cut(last.join(at.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node")).distinct())
+        less = at.count()
+        if less == n:  # they only ever become fewer
+            return out, at
+        n = less
+    return out, at
+
+
+def _core(levels: list[DataFrame]) -> list[DataFrame]:
+    """Shortcuts among nodes that lie on cycles or on paths between cycles; all empty for a DAG."""
+    last = levels[-1]
+    _, behind = _endless(last)
+    if behind.isEmpty():
+        return []
+    _, before = _endless(last.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    return _among(levels, behind.join(before, "node", "left_semi"))
+
+
+def _among(levels: list[DataFrame], nodes: DataFrame) -> list[DataFrame]:
+    a, b = nodes.select(F.col("node").alias("src")), nodes.select(F.col("node").alias("dst"))
+    return [cut(x.join(a, "src", "left_semi").join(b, "dst", "left_semi")) for x in levels]
+
+
 def cycle_nodes(edges: DataFrame) -> DataFrame:
     """Nodes that lie on a cycle, self edges included, with the smallest node of their cycle group.
 
-    Each round gives every node the largest node that leads to it; those that
-    lead back to that node among nodes of the same colour are its group. Groups
-    go, the rest is trimmed, and the next round follows. Rows are nodes and
-    edges, never pairs of nodes.
+    Each round gives every node the colour of the node with the greatest hash
+    that leads to it; those that lead back to that node among nodes of the same
+    colour are its group. Groups and the shortcuts between colours go, what lies
+    on no cycle any more is trimmed, and the next round follows. Hashes split a
+    chain of groups at random, so the rounds, too, are few. A path between two
+    nodes of one colour never leaves it, so the shortcuts are made once.
     """
     loops = edges.filter("src = dst").select(F.col("src").alias("node")).distinct()
-    e, groups = acyclic_core(edges.filter("src <> dst")), []
-    while not e.isEmpty():
-        colour = _coloured(e)
+    levels, groups = _core(shortcuts(edges.filter("src <> dst"))), []
+    while levels and not levels[0].isEmpty():
+        every = nodes_of(levels[0]).withColumn("colour", F.struct(F.xxhash64("node", F.lit(len(groups))).alias("h"), F.col("node").alias("of")))
+        colour = spread(_steps(levels), every, {"colour": "greatest"}).select("node", F.col("colour.of").alias("colour"))
         a, b = colour.select(F.col("node").alias("src"), F.col("colour").alias("a")), colour.select(F.col("node").alias("dst"), F.col("colour").alias("b"))
-        same = e.join(a, "src").join(b, "dst").filter("a = b").select("src", "dst")
-        back = reached(same, colour.filter("node = colour").select("node"), reverse=True)
+        levels = [cut(x.join(a, "src").join(b, "dst").filter("a = b").select("src", "dst")) for x in levels]
+        back = _reached(_steps(levels, reverse=True), colour.filter("node = colour").select("node"))
         group = cut(colour.join(back, "node"))
         groups.append(group)
-        gone = group.select("node")
-        left = e.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti")
-        e = acyclic_core(left)
+        levels = _core(_among(levels, colour.join(group, "node", "left_anti").select("node")))
     if not groups:
         return loops.select("node", F.col("node").alias("cycle"))
     every = _all(groups)
@@ -96,73 +181,51 @@ def cycle_nodes(edges: DataFrame) -> DataFrame:
     return found.unionByName(loops.join(found, "node", "left_anti").select("node", F.col("node").alias("cycle")))
 
 
-def _coloured(edges: DataFrame) -> DataFrame:
-    """``node`` and ``colour``, the largest node that leads to it or itself."""
-    colour = cut(nodes_of(edges).withColumn("colour", F.col("node")))
-    while True:
-        best = edges.join(colour.select(F.col("node").alias("src"), "colour"), "src").groupBy(F.col("dst").alias("node")).agg(F.max("colour").alias("best"))
-        new = cut(colour.join(best, "node", "left").select("node", F.greatest("colour", "best").alias("colour"), (F.col("best") > F.col("colour")).alias("moved")))
-        still = new.filter("moved").isEmpty()
-        colour = new.select("node", "colour")
-        if still:
-            return colour
-
-
-def acyclic_core(edges: DataFrame) -> DataFrame:
-    """Edges left after nodes without incoming or without outgoing edges are peeled off; empty for a DAG."""
-    e = cut(edges.select("src", "dst").distinct())
-    n = e.count()
-    while n:
-        both = e.select(F.col("src").alias("node")).intersect(e.select(F.col("dst").alias("node")))
-        e = cut(e.join(both.withColumnRenamed("node", "src"), "src", "left_semi").join(both.withColumnRenamed("node", "dst"), "dst", "left_semi"))
-        left = e.count()
-        if left == n:
-            break
-        n = left
-    return e
-
+def _depths(units: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``node`` and ``depth``, the edges of the longest path that ends there, and the nodes on or behind cycles, where there is none.
 
-def _peeled(units: DataFrame, edges: DataFrame) -> tuple[DataFrame | None, DataFrame]:
-    """``unit`` and ``wave`` of nodes in order of readiness, and the edges left, which lie on or behind cycles.
-
-    Each edge is removed once, when its start is ready, so all rounds together
-    read the edges a few times, however deep the graph is.
+    A node is d deep or deeper if a path of exactly d edges ends in it. The
+    longest shortcuts give the depth in steps of their length; each shorter one
+    then settles a bit: half a step more fits if it leads here from a node that
+    is as deep in whole steps.
     """
-    ready = cut(units.select("unit").distinct().join(edges.select(F.col("v").alias("unit")).distinct(), "unit", "left_anti"))
-    rest, at, out = edges, 1, None
-    while not ready.isEmpty():
-        wave = ready.withColumn("wave", F.lit(at))
-        out = wave if out is None else out.unionByName(wave)
-        if at % 32 == 0:  # so that the plan doesn't grow with the depth
-            out = cut(out)
-        gone = ready.select(F.col("unit").alias("u"))
-        left = cut(rest.join(gone, "u", "left_anti"))
-        touched = rest.join(gone, "u", "left_semi").select(F.col("v").alias("unit")).distinct()
-        ready = cut(touched.join(left.select(F.col("v").alias("unit")).distinct(), "unit", "left_anti"))
-        rest, at = left, at + 1
-    return out, rest
+    levels = shortcuts(edges)
+    at, endless = _endless(levels[-1])
+    stride = 1 << (len(levels) - 1)
+    depth = units.select("node", F.lit(0).alias("depth"))
+    if at:
+        rows = _all([x.select("node", F.lit(stride * i).alias("d")) for i, x in enumerate(at, 1)]).groupBy("node").agg(F.max("d").alias("d"))
+        depth = units.join(rows, "node", "left").select("node", F.coalesce("d", F.lit(0)).alias("depth"))
+    depth = cut(depth)
+    for level in reversed(levels[:-1]):
+        stride //= 2
+        before = level.join(depth.select(F.col("node").alias("src"), F.col("depth").alias("d")), "src").groupBy(F.col("dst").alias("node")).agg(F.max("d").alias("d"))
+        depth = cut(depth.join(before, "node", "left").select("node", (F.col("depth") + F.when(F.col("d") >= F.col("depth"), F.lit(stride)).otherwise(F.lit(0))).alias("depth")))
+    return depth, endless
 
 
 def waves(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """``node``, ``wave`` and ``in_cycle``: one more than the longest path from a root; roots are 1.
 
     Each cycle counts as one node, and its members share a wave. Only the part
-    of the graph that peeling leaves is searched for cycles.
+    of the graph that lies on or behind cycles is searched for them.
     """
     every = nodes_of(edges) if nodes is None else nodes.select("node").unionByName(nodes_of(edges)).distinct()
     every = cut(every)
-    e = cut(edges.select(F.col("src").alias("u"), F.col("dst").alias("v")).distinct())
-    out, rest = _peeled(every.select(F.col("node").alias("unit")), e)
-    if rest.isEmpty():
-        if out is None:
-            return every.select("node", F.lit(None).cast("int").alias("wave"), F.lit(False).alias("in_cycle"))
-        return out.select(F.col("unit").alias("node"), "wave", F.lit(False).alias("in_cycle"))
-    loops = cut(cycle_nodes(acyclic_core(rest.select(F.col("u").alias("src"), F.col("v").alias("dst")))))
-    of = cut(every.join(loops, "node", "left").select("node", F.coalesce("cycle", "node").alias("unit"), F.col("cycle").isNotNull().alias("in_cycle")))
-    a, b = of.select(F.col("node").alias("u"), F.col("unit").alias("u2")), of.select(F.col("node").alias("v"), F.col("unit").alias("v2"))
-    flat = cut(e.join(a, "u").join(b, "v").select(F.col("u2").alias("u"), F.col("v2").alias("v")).filter("u <> v").distinct())
-    out, _ = _peeled(of, flat)
-    return of.join(out, "unit").select("node", "wave", "in_cycle")
+    e = cut(edges.select("src", "dst").distinct())
+    loops = e.filter("src = dst").select(F.col("src").alias("node"))
+    plain = e.filter("src <> dst")
+    depth, endless = _depths(every, plain)
+    if endless.isEmpty():
+        self_edge = loops.withColumn("_loop", F.lit(True))
+        return depth.join(self_edge, "node", "left").select("node", (F.col("depth") + 1).alias("wave"), F.coalesce("_loop", F.lit(False)).alias("in_cycle"))
+    behind = plain.join(endless.withColumnRenamed("node", "src"), "src", "left_semi")
+    cycles = cut(cycle_nodes(behind.unionByName(e.filter("src = dst"))))
+    of = cut(every.join(cycles, "node", "left").select("node", F.coalesce("cycle", "node").alias("unit"), F.col("cycle").isNotNull().alias("in_cycle")))
+    a, b = of.select(F.col("node").alias("src"), F.col("unit").alias("u")), of.select(F.col("node").alias("dst"), F.col("unit").alias("v"))
+    flat = cut(plain.join(a, "src").join(b, "dst").select(F.col("u").alias("src"), F.col("v").alias("dst")).filter("src <> dst").distinct())
+    depth, _ = _depths(of.select(F.col("unit").alias("node")).distinct(), flat)
+    return of.join(depth.withColumnRenamed("node", "unit"), "unit").select("node", (F.col("depth") + 1).alias("wave"), "in_cycle")
 
 
 def short(fqn: Column, keep: str | None = None) -> Column:
@@ -206,9 +269,14 @@ def focus(lineage: DataFrame, pipeline: str, internals: bool = False) -> DataFra
 
 
 def exclusive(edges: DataFrame, outputs: DataFrame, least: int = 2) -> DataFrame:
-    """``output`` and ``node``: nodes that lead to exactly one output, the output too, in groups of ``least`` or more."""
-    up = closure(edges, outputs, reverse=True).unionByName(outputs.select(F.col("node").alias("src"), F.col("node").alias("dst"))).distinct()
-    one = up.groupBy(F.col("src").alias("node")).agg(F.count_distinct("dst").alias("n"), F.min("dst").alias("output")).filter("n = 1")
+    """``output`` and ``node``: nodes that lead to exactly one output, the output too, in groups of ``least`` or more.
+
+    A node keeps the least and the greatest output that it leads to, never the
+    set of them: it leads to one only if they are the same.
+    """
+    ends = outputs.select("node").distinct().withColumn("low", F.col("node")).withColumn("high", F.col("node"))
+    every = nodes_of(edges).unionByName(outputs.select("node")).distinct().join(ends, "node", "left")
+    one = spread(_steps(shortcuts(edges), reverse=True), every, {"low": "least", "high": "greatest"}).filter("low = high").select(F.col("low").alias("output"), "node")
     big = one.groupBy("output").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") >= least)
     return one.join(big.select("output"), "output").select("output", "node")
 
@@ -236,19 +304,30 @@ def resolved(keys: DataFrame, columns: DataFrame, key: str = "key") -> DataFrame
 
 
 def propagated(columns: DataFrame, edges: DataFrame, least: str = "FINANCIAL") -> DataFrame:
-    """``node``, ``sensitivity`` and ``origins`` of columns after explicit classes flow along edges.
+    """``node`` and ``sensitivity`` of columns after explicit classes of ``least`` or more flow along edges; a class only ever rises.
 
-    ``columns`` has node and explicit_sensitivity. Origins are explicit columns
-    of ``least`` or more that are more severe than the node's own class; the
-    class is the most severe of its own and its origins'.
+    ``columns`` has node and explicit_sensitivity. A node holds the greatest
+    class that has come to it, whatever the number of columns it came from; who
+    they are is what :func:`origins` says.
     """
     own = columns.select("node", F.coalesce(severity(F.col("explicit_sensitivity")), F.lit(0)).alias("s"))
-    seeds = own.filter(F.col("s") >= SEVERITY.index(least))
-    pairs = closure(edges, seeds.select("node"))
+    sent = F.when(F.col("s") >= SEVERITY.index(least), F.col("s"))
+    every = own.select("node", sent.alias("came")).unionByName(nodes_of(edges).join(own, "node", "left_anti").withColumn("came", F.lit(None).cast("int")))
+    came = spread(_steps(shortcuts(edges)), every.groupBy("node").agg(F.max("came").alias("came")), {"came": "greatest"})
     names = F.array(*map(F.lit, SEVERITY))
-    came = pairs.join(seeds.select(F.col("node").alias("src"), F.col("s").alias("from_s")), "src").filter("src <> dst")
-    up = own.join(came, own["node"] == came["dst"], "left").groupBy("node", "s").agg(F.max(F.greatest("s", F.coalesce("from_s", "s"))).alias("m"), F.sort_array(F.collect_set(F.when(F.col("from_s") > F.col("s"), F.col("src")))).alias("origins"))
-    return up.select("node", F.element_at(names, F.col("m") + 1).alias("sensitivity"), "origins")
+    return own.join(came, "node").select("node", F.element_at(names, F.greatest("s", "came") + 1).alias("sensitivity"))
+
+
+def origins(columns: DataFrame, edges: DataFrame, least: str = "FINANCIAL") -> DataFrame:
+    """``node`` and ``origins``: the explicit columns of ``least`` or more, more severe than the node's own class, that lead to it.
+
+    These are pairs of columns, as many as there are; columns without origins
+    have an empty list.
+    """
+    own = columns.select("node", F.coalesce(severity(F.col("explicit_sensitivity")), F.lit(0)).alias("s"))
+    seeds = own.filter(F.col("s") >= SEVERITY.index(least))
+    came = closure(edges, seeds.select("node")).join(seeds.select(F.col("node").alias("src"), F.col("s").alias("from_s")), "src").filter("src <> dst")
+    return own.join(came, (own["node"] == came["dst"]) & (came["from_s"] > own["s"]), "left").groupBy("node").agg(F.sort_array(F.collect_set("src")).alias("origins"))
 
 
 def pii_reach(result: DataFrame, columns: DataFrame) -> DataFrame:

@@ -19,32 +19,36 @@ def profile(df: DataFrame) -> DataFrame:
 
     Nulls and exact distinct counts for all; sum, least and greatest of numbers
     as doubles, and the exact sum of whole and decimal numbers as text; least
-    and greatest of strings as text; of dates the first two only. One pass
-    makes the plain aggregates; each column's distinct values are counted on a
-    scan of that column alone, so no row is multiplied by the number of columns.
+    and greatest of strings as text; of dates the first two only.
+
+    One scan and one exchange of values, whatever the number of columns: each
+    row becomes a cell for each column, tasks add cells up by column and value
+    before anything moves, and what the values hold is added up by column.
+    Values are compared as text; zeros of either sign are one value.
     """
     kinds = {c: "number" if t.split("(")[0] in NUMERIC else "string" if t == "string" else "other" for c, t in df.dtypes}
-    aggs = [F.count(F.lit(1)).alias("_rows")]
-    for i, (c, kind) in enumerate(kinds.items()):
-        x = F.col(quoted(c))
-        aggs.append(F.count_if(x.isNull()).alias(f"nulls{i}"))
-        if kind == "number":
-            aggs += [F.sum(x).cast("double").alias(f"total{i}"), F.min(x).cast("double").alias(f"low{i}"), F.max(x).cast("double").alias(f"high{i}")]
-        if kind == "number" and not df.schema[i].dataType.typeName() in ("float", "double"):
-            scale = getattr(df.schema[i].dataType, "scale", 0)
-            aggs.append(F.sum(x.cast(f"decimal(38,{scale})")).cast("string").alias(f"exact{i}"))
-        if kind == "string":
-            aggs += [F.min(x).alias(f"low_text{i}"), F.max(x).alias(f"high_text{i}")]
-    one = df.agg(*aggs)
-    have = set(one.columns)
-    types = {"nulls": "long", "total": "double", "exact": "string", "low": "double", "high": "double", "low_text": "string", "high_text": "string"}
-    rows = [F.struct(F.lit(c.lower()).alias("column_name"), F.lit(kind).alias("kind"), F.lit(i).alias("position"), F.col("_rows").alias("row_count"), *[(F.col(f"{m}{i}") if f"{m}{i}" in have else F.lit(None)).cast(types[m]).alias(m) for m in MEASURES if m != "distincts"]) for i, (c, kind) in enumerate(kinds.items())]
-    plain = one.select(F.explode(F.array(*rows)).alias("p")).select("p.*")
-    counts = None
-    for i, c in enumerate(kinds):
-        part = df.agg(F.count_distinct(F.col(quoted(c))).alias("distincts")).select(F.lit(i).alias("position"), "distincts")
-        counts = part if counts is None else counts.unionByName(part)
-    return plain.join(F.broadcast(counts), "position").select("column_name", "kind", "position", "row_count", *MEASURES)  # one row for each column
+    scale = {f.name: getattr(f.dataType, "scale", 0) for f in df.schema if kinds[f.name] == "number" and f.dataType.typeName() not in ("float", "double")}
+    sums = {n: f"exact{n}" for n in sorted(set(scale.values()))}  # one exact sum for each scale
+    cells = []
+    for i, f in enumerate(df.schema):
+        x, kind = F.col(quoted(f.name)), f.dataType.typeName()
+        number = (x.cast("double") + F.lit(0.0)) if kinds[f.name] == "number" else F.lit(None).cast("double")
+        text = F.base64(x) if kind == "binary" else F.to_json(x) if kind in ("map", "struct", "array", "variant") else (number if kind in ("float", "double") else x).cast("string")
+        exact = [(x if scale.get(f.name) == n else F.lit(None)).cast(f"decimal(38,{n})").alias(c) for n, c in sums.items()]
+        cells.append(F.struct(F.lit(i).alias("position"), text.alias("value"), number.alias("number"), *exact))
+    values = df.select(F.explode(F.array(*cells)).alias("c")).select("c.*").groupBy("position", "value")
+    values = values.agg(F.count(F.lit(1)).alias("n"), F.sum("number").alias("number"), F.min("number").alias("low"), F.max("number").alias("high"), *[F.sum(c).alias(c) for c in sums.values()])
+    found = values.groupBy("position").agg(
+        F.sum("n").alias("row_count"), F.sum(F.when(F.col("value").isNull(), F.col("n"))).alias("nulls"), F.count("value").alias("distincts"), F.sum("number").alias("total"),
+        F.min("low").alias("low"), F.max("high").alias("high"), F.min("value").alias("low_text"), F.max("value").alias("high_text"), *[F.sum(c).alias(c) for c in sums.values()],
+    )
+    names = df.sparkSession.createDataFrame([(c.lower(), k, i, scale.get(c)) for i, (c, k) in enumerate(kinds.items())], "column_name string, kind string, position int, scale int")
+    both = names.join(F.broadcast(found), "position", "left")  # a row for each column; of an empty table too
+    exact = F.coalesce(*[F.when(F.col("scale") == n, F.col(c).cast("string")) for n, c in sums.items()], F.lit(None).cast("string"))
+    total = F.when(F.col("scale").isNotNull(), F.coalesce(*[F.when(F.col("scale") == n, F.col(c).cast("double")) for n, c in sums.items()], F.lit(None).cast("double"))).otherwise(F.col("total"))
+    none, text = F.lit(0).cast("long"), F.col("kind") == "string"
+    counts = [F.coalesce(c, none).alias(c) for c in ("row_count", "nulls", "distincts")]
+    return both.select("column_name", "kind", "position", *counts, total.alias("total"), exact.alias("exact"), "low", "high", F.when(text, F.col("low_text")).alias("low_text"), F.when(text, F.col("high_text")).alias("high_text"))
 
 
 def compared(a: DataFrame, b: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
@@ -160,3 +164,42 @@ def validated(spark, settings: Mapping[str, str], nodes: DataFrame, edges: DataF
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+#: Conditions of Spark's analyser to the names that findings use; others keep the analyser's own.
+CONDITIONS = {"PARSE_SYNTAX_ERROR": "syntax", "PARSE_EMPTY_STATEMENT": "syntax", "UNRESOLVED_COLUMN": "unknown column", "TABLE_OR_VIEW_NOT_FOUND": "unknown table", "UNRESOLVED_ROUTINE": "unknown function", "DATATYPE_MISMATCH": "type mismatch", "MISSING_AGGREGATION": "not grouped", "AMBIGUOUS_REFERENCE": "ambiguous column"}
+
+
+def analysed(spark, texts, tables: Mapping[str, str]):
+    """(name, check, line, position, detail) of each fault that Spark's parser and analyser find in statements; none is run.
+
+    ``texts`` gives (name, text) one after another, such as a folder's files;
+    ``tables`` names the relations that they may read, each with its schema, and
+    they are empty here. Of a statement that changes a table the query is
+    analysed. Parsing and analysis are the driver's work in Spark, so texts pass
+    through it one at a time; their faults are yielded, not gathered.
+    """
+    import logging
+    import re
+
+    from pyspark.errors import AnalysisException, ParseException
+
+    from weftline.plans import sqltext
+
+    logging.getLogger("SQLQueryContextLogger").setLevel(logging.CRITICAL)  # faults are results here
+    own = spark.newSession()
+    for name, schema in tables.items():
+        own.createDataFrame([], schema).createOrReplaceTempView(name)
+    parser = own._jsparkSession.sessionState().sqlParser()
+    for name, text in texts:
+        statement = sqltext.classify(text)
+        try:
+            if statement.kind != "select":
+                parser.parsePlan(text)
+            if statement.query:
+                own.sql(statement.query)
+        except (ParseException, AnalysisException) as fault:
+            condition = (fault.getCondition() or "").split(".")[0]
+            at = re.search(r"line (\d+),? pos(?:ition)? (\d+)", str(fault))
+            detail = fault.getMessageParameters() or {}
+            yield name, CONDITIONS.get(condition, condition), int(at[1]) if at else None, int(at[2]) if at else None, (detail.get("objectName") or detail.get("relationName") or detail.get("routineName") or detail.get("error") or "").replace("`", "").strip("'")

@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.functions.naming import filled
+from weftline.functions import naming
 from weftline.operators import dml
 from weftline.operators import relational as R
 
@@ -31,7 +31,13 @@ class Context:
         return self.made[name] if name in self.made else self.tables(name)
 
     def text(self, value: str) -> str:
-        return filled(value, dict(self.variables)) if "$" in value else value
+        """An expression with its variables as literals."""
+        return naming.inlined(value, self.variables) if "$" in value else value
+
+    def sql(self, text: str) -> DataFrame:
+        """A statement with its variables as typed parameters."""
+        text, args = naming.bound(text, self.variables) if "$" in text else (text, {})
+        return self.spark.sql(text, args=args) if args else self.spark.sql(text)
 
 
 @dataclass
@@ -60,7 +66,7 @@ class Source(Node):
         if self.sql is not None:
             for t in self.reads:
                 ctx.table(t).createOrReplaceTempView(view_name(t))
-            df = ctx.spark.sql(ctx.text(self.sql))
+            df = ctx.sql(self.sql)
             return R.source(R.aliased(df, list(self.columns)) if self.columns else df, None, where, self.distinct)
         if self.joins:
             base = self.table.split(".")[-1]

@@ -688,26 +688,26 @@ def q_pipeline_focus(spark, d):
 
 
 @query(f"""WITH {_L}, u AS (SELECT src AS node, col, dst AS partner, operation FROM l UNION ALL SELECT dst, col, src, operation FROM l) SELECT node, col AS
-  \"column\", bool_or(operation IN ('join', 'fk')) AS is_key, string_agg(DISTINCT operation, ',' ORDER BY operation) AS operations, count(DISTINCT
-  partner) AS n_partners FROM u GROUP BY 1, 2""")
+  \"column\", bool_or(operation IN ('join', 'fk')) AS is_key, string_agg(DISTINCT operation, ',' ORDER BY operation) AS operations, string_agg(DISTINCT
+  partner, ',' ORDER BY partner) AS partners FROM u GROUP BY 1, 2""")
 def q_column_partners(spark, d):
     flat = _lineage(spark, d).withColumn("source_fqn", graph.short(F.col("source_fqn"))).withColumn("target_fqn", graph.short(F.col("target_fqn")))
-    return graph.partners(flat).select("node", "column", "is_key", F.array_join("operations", ",").alias("operations"), F.size("partners").cast("long").alias("n_partners"))
+    return graph.partners(flat).select("node", "column", "is_key", F.array_join("operations", ",").alias("operations"), F.array_join("partners", ",").alias("partners"))
 
 
 _SENS = """s AS (SELECT src AS node, CASE WHEN src LIKE 'C%' AND CAST(substr(src, 2) AS INT) % 9 = 0 THEN 4 WHEN src LIKE 'C%' AND CAST(substr(src, 2) AS INT) %
   4 = 0 THEN 2 WHEN src LIKE 'N%' AND CAST(substr(src, 2) AS INT) % 5 = 0 THEN 3 ELSE 0 END AS v FROM (SELECT src FROM e UNION SELECT dst FROM e))"""
 
 
-@query(f"""{_P}, {_SENS} SELECT t.node, ['PUBLIC','INTERNAL','FINANCIAL','TAX','PII'][greatest(t.v, coalesce(max(f.v), 0)) + 1] AS sensitivity, count(DISTINCT
-  CASE WHEN f.v > t.v THEN f.node END) AS n_origins FROM s t LEFT JOIN (SELECT p.dst, s.node, s.v FROM p JOIN s ON p.src = s.node WHERE s.v >= 2) f ON
+@query(f"""{_P}, {_SENS} SELECT t.node, ['PUBLIC','INTERNAL','FINANCIAL','TAX','PII'][greatest(t.v, coalesce(max(f.v), 0)) + 1] AS sensitivity, coalesce(string_agg(DISTINCT
+  CASE WHEN f.v > t.v THEN f.node END, ',' ORDER BY CASE WHEN f.v > t.v THEN f.node END), '') AS origins FROM s t LEFT JOIN (SELECT p.dst, s.node, s.v FROM p JOIN s ON p.src = s.node WHERE s.v >= 2) f ON
   f.dst = t.node GROUP BY t.node, t.v""")
 def q_sensitivity_propagation(spark, d):
     e = _edges(spark, d)
     n = F.try_cast(F.substring("node", 2, 9), "int") if hasattr(F, "try_cast") else F.expr("try_cast(substr(node, 2) as int)")
     s = F.when(F.col("node").startswith("C") & (n % 9 == 0), "PII").when(F.col("node").startswith("C") & (n % 4 == 0), "FINANCIAL").when(F.col("node").startswith("N") & (n % 5 == 0), "TAX").otherwise("PUBLIC")
-    out = graph.propagated(graph.nodes_of(e).withColumn("explicit_sensitivity", s), e)
-    return out.select("node", "sensitivity", F.size("origins").cast("long").alias("n_origins"))
+    columns = graph.nodes_of(e).withColumn("explicit_sensitivity", s)
+    return graph.propagated(columns, e).join(graph.origins(columns, e), "node").select("node", "sensitivity", F.array_join("origins", ",").alias("origins"))
 
 
 @query(f"""{_P}, u AS (SELECT src AS node, dst AS output FROM p WHERE dst LIKE 'R%' UNION SELECT dst, dst FROM e WHERE dst LIKE 'R%'), o AS (SELECT node,
@@ -1064,4 +1064,4 @@ def q_key_types(spark, d):
     return R.cast_keys(p, {"partkey": "bigint", "size_id": "bigint", "site_id": "string"})
 
 
-from weftline import queries_more  # noqa: E402, F401  registers its queries here
+from weftline import queries_more, queries_stored, queries_text  # noqa: E402, F401  register their queries here
