@@ -175,7 +175,7 @@ def test_changes_as_a_stream(spark, tmp_path):
     target, at = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"), tmp_path / "table_0"
     target.write.parquet(str(at))
     state = {"path": str(at)}
-    changes = spark.createDataFrame([(1, "x", 1, "UPDATE"), (1, "y", 2, "UPDATE"), (2, None, 1, "DELETE"), (3, "n", 1, "INSERT")], "k int, v string, at int, action string")
+    changes = spark.createDataFrame([(1, "x", 1, "UPDATE"), (1, "y", 2, "UPDATE"), (2, None, 1, "DELETE"), (3, "n", 1, "INSERT")], "k int, v string, at long, action string").withColumn("at", F.timestamp_seconds("at"))
     changes.coalesce(1).write.parquet(str(tmp_path / "changes"))
 
     def write(df, number):
@@ -184,7 +184,7 @@ def test_changes_as_a_stream(spark, tmp_path):
         state["path"] = path
 
     stream = spark.readStream.schema(changes.schema).parquet(str(tmp_path / "changes"))
-    cdc.follow(stream, lambda: spark.read.parquet(state["path"]), write, ["k"], [F.col("at")], str(tmp_path / "log")).awaitTermination(60)
+    cdc.follow(stream, lambda: spark.read.parquet(state["path"]), write, ["k"], "at", str(tmp_path / "log")).awaitTermination(60)
     assert sorted(map(tuple, spark.read.parquet(state["path"]).collect())) == [(1, "y"), (3, "n")]
 
 

@@ -12,6 +12,7 @@ with cycles end too. Nothing is collected but counts.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -40,33 +41,46 @@ def _kept(parts: list[DataFrame], new: DataFrame) -> list[DataFrame]:
 
 
 #: Squaring stops before it could make more rows than this many times the edges.
-DENSE = 4
+DENSE = 8
 
 
-def shortcuts(edges: DataFrame, dense: int = DENSE) -> list[DataFrame]:
-    """Distinct pairs that a path of exactly 1, 2, 4, ... edges connects, in that order.
+@dataclass(frozen=True)
+class Shortcuts:
+    """Distinct pairs that a path of exactly 1, 2, 4, ... edges connects, in that order; ``acyclic`` if no path is twice as long as the last."""
 
-    They end where no path is longer, where ``dense`` forbids the next, or, on
-    cycles, beyond the number of edges.
-    """
+    levels: list[DataFrame]
+    acyclic: bool
+
+    def steps(self, reverse: bool = False) -> DataFrame:
+        """All of them as ``mid`` and ``next``, followed backwards with ``reverse``."""
+        return _steps(_all(self.levels), reverse)
+
+    def tagged(self) -> DataFrame:
+        """All of them, and whether a pair is one of the longest."""
+        return _all([x.withColumn("last", F.lit(i == len(self.levels) - 1)) for i, x in enumerate(self.levels)])
+
+
+def shortcuts(edges: DataFrame, dense: int = DENSE) -> Shortcuts:
+    """The shortcuts of a graph, until no path is longer, ``dense`` forbids the next, or, on cycles, beyond the number of edges."""
     levels = [cut(edges.select("src", "dst").distinct())]
-    size, length = levels[0].count(), 1
-    while length < size:
+    size, length = None, 1
+    while True:
         last = levels[-1]
         into, out = last.groupBy(F.col("dst").alias("mid")).agg(F.count(F.lit(1)).alias("a")), last.groupBy(F.col("src").alias("mid")).agg(F.count(F.lit(1)).alias("b"))
-        pairs = into.join(out, "mid").agg(F.sum(F.col("a").cast("double") * F.col("b"))).first()[0]
-        if pairs is None or pairs > dense * size:
-            break
+        total = into.join(out, "mid", "full").agg(F.sum(F.col("a").cast("double") * F.col("b")).alias("pairs"), F.coalesce(F.sum("a"), F.lit(0)).alias("edges")).first()
+        size = total.edges if size is None else size
+        if total.pairs is None:
+            return Shortcuts(levels, True)
+        if total.pairs > dense * size or length >= size:
+            return Shortcuts(levels, False)
         ahead = last.select(F.col("src").alias("mid"), F.col("dst").alias("next"))
         levels.append(cut(last.join(ahead, last["dst"] == ahead["mid"]).select("src", F.col("next").alias("dst")).distinct()))
         length *= 2
-    return levels
 
 
-def _steps(levels: list[DataFrame], reverse: bool = False) -> DataFrame:
-    """All shortcuts as ``mid`` and ``next``, followed backwards with ``reverse``."""
+def _steps(pairs: DataFrame, reverse: bool = False) -> DataFrame:
     a, b = ("dst", "src") if reverse else ("src", "dst")
-    return _all([x.select(F.col(a).alias("mid"), F.col(b).alias("next")) for x in levels])
+    return pairs.select(F.col(a).alias("mid"), F.col(b).alias("next"))
 
 
 def closure(edges: DataFrame, seeds: DataFrame | None = None, reverse: bool = False) -> DataFrame:
@@ -75,7 +89,7 @@ def closure(edges: DataFrame, seeds: DataFrame | None = None, reverse: bool = Fa
     With ``seeds`` (a column ``node``) only paths from them, or with ``reverse``
     to them. Each round joins the pairs found last with the shortcuts.
     """
-    step = _steps(shortcuts(edges), reverse)
+    step = shortcuts(edges).steps(reverse)
     first = step.select(F.col("mid").alias("src"), F.col("next").alias("dst")).distinct()
     if seeds is not None:
         first = first.join(seeds.select(F.col("node").alias("src")).distinct(), "src", "left_semi")
@@ -91,7 +105,7 @@ def closure(edges: DataFrame, seeds: DataFrame | None = None, reverse: bool = Fa
 
 def reached(edges: DataFrame, seeds: DataFrame, reverse: bool = False) -> DataFrame:
     """Nodes that a path from any seed leads to, seeds included: one walk for all seeds, of nodes, not pairs."""
-    return _reached(_steps(shortcuts(edges), reverse), seeds)
+    return _reached(shortcuts(edges).steps(reverse), seeds)
 
 
 def _reached(step: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -122,34 +136,28 @@ def spread(step: DataFrame, state: DataFrame, best: Mapping[str, str]) -> DataFr
     return state.select("node", *names)
 
 
-def _endless(last: DataFrame) -> tuple[list[DataFrame], DataFrame]:
-    """Nodes where 1, 2, ... of the longest shortcuts in a row end, and those where any number does: they lie on or behind cycles."""
-    at, out = last.select(F.col("dst").alias("node")).distinct(), []
-    at = cut(at)
-    n = at.count()
+def _ends(last: DataFrame) -> list[DataFrame]:
+    """Nodes where 1, 2, ... of the longest shortcuts in a row end, as long as they become fewer; the last are all that lie on or behind cycles, or none."""
+    at = cut(last.select(F.col("dst").alias("node")).distinct())
+    out, n = [at], at.count()
     while n:
-        out.append(at)
         at = cut(last.join(at.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node")).distinct())
-        less = at.count()
-        if less == n:  # they only ever become fewer
-            return out, at
-        n = less
-    return out, at
+        out.append(at)
+        n, before = at.count(), n
+        if n == before:
+            break
+    return out
 
 
-def _core(levels: list[DataFrame]) -> list[DataFrame]:
-    """Shortcuts among nodes that lie on cycles or on paths between cycles; all empty for a DAG."""
-    last = levels[-1]
-    _, behind = _endless(last)
-    if behind.isEmpty():
-        return []
-    _, before = _endless(last.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    return _among(levels, behind.join(before, "node", "left_semi"))
+def _through(pairs: DataFrame) -> DataFrame:
+    """Tagged shortcuts among nodes that the longest ones both lead to and leave: what lies on no path that long is trimmed."""
+    last = pairs.filter("last")
+    inner = last.select(F.col("src").alias("node")).intersect(last.select(F.col("dst").alias("node")))
+    return _among(pairs, inner)
 
 
-def _among(levels: list[DataFrame], nodes: DataFrame) -> list[DataFrame]:
-    a, b = nodes.select(F.col("node").alias("src")), nodes.select(F.col("node").alias("dst"))
-    return [cut(x.join(a, "src", "left_semi").join(b, "dst", "left_semi")) for x in levels]
+def _among(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    return pairs.join(nodes.select(F.col("node").alias("src")), "src", "left_semi").join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst", "last")
 
 
 def cycle_nodes(edges: DataFrame) -> DataFrame:
@@ -158,21 +166,23 @@ def cycle_nodes(edges: DataFrame) -> DataFrame:
     Each round gives every node the colour of the node with the greatest hash
     that leads to it; those that lead back to that node among nodes of the same
     colour are its group. Groups and the shortcuts between colours go, what lies
-    on no cycle any more is trimmed, and the next round follows. Hashes split a
-    chain of groups at random, so the rounds, too, are few. A path between two
+    on no long path any more is trimmed, and the next round follows. Hashes split
+    a chain of groups at random, so the rounds, too, are few. A path between two
     nodes of one colour never leaves it, so the shortcuts are made once.
     """
     loops = edges.filter("src = dst").select(F.col("src").alias("node")).distinct()
-    levels, groups = _core(shortcuts(edges.filter("src <> dst"))), []
-    while levels and not levels[0].isEmpty():
-        every = nodes_of(levels[0]).withColumn("colour", F.struct(F.xxhash64("node", F.lit(len(groups))).alias("h"), F.col("node").alias("of")))
-        colour = spread(_steps(levels), every, {"colour": "greatest"}).select("node", F.col("colour.of").alias("colour"))
+    ways = shortcuts(edges.filter("src <> dst"))
+    groups: list[DataFrame] = []
+    pairs = None if ways.acyclic else cut(_through(ways.tagged()))
+    while pairs is not None and not pairs.isEmpty():
+        every = nodes_of(pairs).withColumn("colour", F.struct(F.xxhash64("node", F.lit(len(groups))).alias("h"), F.col("node").alias("of")))
+        colour = spread(_steps(pairs), every, {"colour": "greatest"}).select("node", F.col("colour.of").alias("colour"))
         a, b = colour.select(F.col("node").alias("src"), F.col("colour").alias("a")), colour.select(F.col("node").alias("dst"), F.col("colour").alias("b"))
-        levels = [cut(x.join(a, "src").join(b, "dst").filter("a = b").select("src", "dst")) for x in levels]
-        back = _reached(_steps(levels, reverse=True), colour.filter("node = colour").select("node"))
+        pairs = cut(pairs.join(a, "src").join(b, "dst").filter("a = b").select("src", "dst", "last"))
+        back = _reached(_steps(pairs, reverse=True), colour.filter("node = colour").select("node"))
         group = cut(colour.join(back, "node"))
         groups.append(group)
-        levels = _core(_among(levels, colour.join(group, "node", "left_anti").select("node")))
+        pairs = cut(_through(_among(pairs, colour.join(group, "node", "left_anti"))))
     if not groups:
         return loops.select("node", F.col("node").alias("cycle"))
     every = _all(groups)
@@ -181,7 +191,7 @@ def cycle_nodes(edges: DataFrame) -> DataFrame:
     return found.unionByName(loops.join(found, "node", "left_anti").select("node", F.col("node").alias("cycle")))
 
 
-def _depths(units: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _depths(units: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """``node`` and ``depth``, the edges of the longest path that ends there, and the nodes on or behind cycles, where there is none.
 
     A node is d deep or deeper if a path of exactly d edges ends in it. The
@@ -189,19 +199,19 @@ def _depths(units: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     then settles a bit: half a step more fits if it leads here from a node that
     is as deep in whole steps.
     """
-    levels = shortcuts(edges)
-    at, endless = _endless(levels[-1])
-    stride = 1 << (len(levels) - 1)
-    depth = units.select("node", F.lit(0).alias("depth"))
-    if at:
-        rows = _all([x.select("node", F.lit(stride * i).alias("d")) for i, x in enumerate(at, 1)]).groupBy("node").agg(F.max("d").alias("d"))
-        depth = units.join(rows, "node", "left").select("node", F.coalesce("d", F.lit(0)).alias("depth"))
-    depth = cut(depth)
+    ways = shortcuts(edges)
+    levels, stride = ways.levels, 1 << (len(ways.levels) - 1)
+    at = [levels[-1].select(F.col("dst").alias("node")).distinct()] if ways.acyclic else _ends(levels[-1])
+    endless = None if ways.acyclic or at[-1].isEmpty() else at[-1]
+    if endless is not None:
+        return units, endless
+    rows = _all([x.select("node", F.lit(stride * i).alias("d")) for i, x in enumerate(at, 1)]).groupBy("node").agg(F.max("d").alias("d"))
+    depth = cut(units.join(rows, "node", "left").select("node", F.coalesce("d", F.lit(0)).alias("depth")))
     for level in reversed(levels[:-1]):
         stride //= 2
         before = level.join(depth.select(F.col("node").alias("src"), F.col("depth").alias("d")), "src").groupBy(F.col("dst").alias("node")).agg(F.max("d").alias("d"))
         depth = cut(depth.join(before, "node", "left").select("node", (F.col("depth") + F.when(F.col("d") >= F.col("depth"), F.lit(stride)).otherwise(F.lit(0))).alias("depth")))
-    return depth, endless
+    return depth, None
 
 
 def waves(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
@@ -216,7 +226,7 @@ def waves(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     loops = e.filter("src = dst").select(F.col("src").alias("node"))
     plain = e.filter("src <> dst")
     depth, endless = _depths(every, plain)
-    if endless.isEmpty():
+    if endless is None:
         self_edge = loops.withColumn("_loop", F.lit(True))
         return depth.join(self_edge, "node", "left").select("node", (F.col("depth") + 1).alias("wave"), F.coalesce("_loop", F.lit(False)).alias("in_cycle"))
     behind = plain.join(endless.withColumnRenamed("node", "src"), "src", "left_semi")
@@ -276,7 +286,7 @@ def exclusive(edges: DataFrame, outputs: DataFrame, least: int = 2) -> DataFrame
     """
     ends = outputs.select("node").distinct().withColumn("low", F.col("node")).withColumn("high", F.col("node"))
     every = nodes_of(edges).unionByName(outputs.select("node")).distinct().join(ends, "node", "left")
-    one = spread(_steps(shortcuts(edges), reverse=True), every, {"low": "least", "high": "greatest"}).filter("low = high").select(F.col("low").alias("output"), "node")
+    one = spread(shortcuts(edges).steps(reverse=True), every, {"low": "least", "high": "greatest"}).filter("low = high").select(F.col("low").alias("output"), "node")
     big = one.groupBy("output").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") >= least)
     return one.join(big.select("output"), "output").select("output", "node")
 
@@ -313,7 +323,7 @@ def propagated(columns: DataFrame, edges: DataFrame, least: str = "FINANCIAL") -
     own = columns.select("node", F.coalesce(severity(F.col("explicit_sensitivity")), F.lit(0)).alias("s"))
     sent = F.when(F.col("s") >= SEVERITY.index(least), F.col("s"))
     every = own.select("node", sent.alias("came")).unionByName(nodes_of(edges).join(own, "node", "left_anti").withColumn("came", F.lit(None).cast("int")))
-    came = spread(_steps(shortcuts(edges)), every.groupBy("node").agg(F.max("came").alias("came")), {"came": "greatest"})
+    came = spread(shortcuts(edges).steps(), every.groupBy("node").agg(F.max("came").alias("came")), {"came": "greatest"})
     names = F.array(*map(F.lit, SEVERITY))
     return own.join(came, "node").select("node", F.element_at(names, F.greatest("s", "came") + 1).alias("sensitivity"))
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.operators import dml
@@ -49,14 +49,14 @@ def current(spark: SparkSession, path: str) -> DataFrame:
     return stored.drop(_layout(stored)[0])
 
 
-def changed(spark: SparkSession, path: str, rows: DataFrame, keys: Sequence[str], change: Callable[[DataFrame, DataFrame], DataFrame], row_keys: Sequence[str] | None = None, everywhere: bool = False) -> dict[str, int]:
-    """The target after ``change(old rows, rows)``, applied to the buckets of the rows' keys alone.
+def changed(spark: SparkSession, path: str, rows: DataFrame, keys: Sequence[str], change: Callable[[DataFrame, DataFrame], DataFrame], row_keys: Sequence[str] | None = None, everywhere: bool = False) -> int:
+    """The target after ``change(old rows, rows)``, applied to the buckets of the rows' keys alone; returns how many those are.
 
     ``row_keys`` names the keys in ``rows`` if they are called otherwise there.
     With ``everywhere`` all buckets are read, for changes that reach rows
     without a counterpart; a row whose key falls into a bucket that wasn't read
-    is an error before anything is overwritten. Returns how many buckets and rows were written; at
-    most one number for each bucket comes to the driver.
+    is an error before anything is overwritten. At most one number for each
+    bucket comes to the driver.
     """
     stored = spark.read.parquet(path)
     name, buckets = _layout(stored)
@@ -65,32 +65,37 @@ def changed(spark: SparkSession, path: str, rows: DataFrame, keys: Sequence[str]
     types = [kinds[k] for k in own]
     touched = list(range(buckets)) if everywhere else sorted(r[0] for r in rows.select(bucket(row_keys or keys, types, buckets)).distinct().collect())
     if not touched:
-        return {"buckets": 0, "rows": 0}
+        return 0
     columns = [c for c in stored.columns if c != name]
     old = stored.filter(F.col(name).isin(touched)).select(*map(quoted, columns))
     new = change(old, rows).select(*map(quoted, columns)).withColumn("_b", bucket(own, types, buckets))
     stray = F.raise_error(F.lit("the change sets a key in a bucket that it hasn't read")).cast("int")
     new = new.withColumn(name, F.when(F.col("_b").isin(touched), F.col("_b")).otherwise(stray)).drop("_b")
-    seen = Observation()
-    new = new.observe(seen, F.count(F.lit(1)).alias("rows"), F.collect_set(name).alias("alive"))
+    before = {b: _files(spark, f"{path.rstrip('/')}/{name}={b}") for b in touched}
     new.hint("rebalance", name).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(name).parquet(path)
-    _dropped(spark, path, name, set(touched) - set(seen.get["alive"]))
-    return {"buckets": len(touched), "rows": seen.get["rows"]}
+    for b, files in before.items():  # an overwrite passes over buckets that no row is left in
+        at = f"{path.rstrip('/')}/{name}={b}"
+        if files and _files(spark, at) == files:
+            _store(spark, at)[0].delete(_store(spark, at)[1], True)
+    return len(touched)
 
 
-def _dropped(spark: SparkSession, path: str, name: str, buckets: set[int]) -> None:
-    """Removes parts that no row is left in; an overwrite passes over those."""
-    for b in buckets:
-        at = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{name}={b}")
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+def _store(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
-def upserted(spark: SparkSession, path: str, rows: DataFrame, keys: Sequence[str]) -> dict[str, int]:
+def _files(spark: SparkSession, path: str) -> frozenset[str]:
+    store, at = _store(spark, path)
+    return frozenset(f.getPath().getName() for f in store.listStatus(at)) if store.exists(at) else frozenset()
+
+
+def upserted(spark: SparkSession, path: str, rows: DataFrame, keys: Sequence[str]) -> int:
     """:func:`dml.upsert` of a stored target."""
     return changed(spark, path, rows, keys, lambda old, new: dml.upsert(old, new, keys))
 
 
-def merged(spark: SparkSession, path: str, source: DataFrame, spec: dml.Merge) -> dict[str, int]:
+def merged(spark: SparkSession, path: str, source: DataFrame, spec: dml.Merge) -> int:
     """:func:`dml.merge` of a stored target; ``spec.on`` must be its keys.
 
     Branches for rows that the source lacks reach all buckets.

@@ -85,10 +85,11 @@ def framed(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], co
 FINDINGS = ("critical", "error", "warn", "info")
 
 
-def by_severity(df: DataFrame, severity: str = "severity", ties: Sequence[str] = ("object",)) -> DataFrame:
-    """Findings sorted from the gravest; unknown severities come last, nulls after all values."""
-    place = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, FINDINGS)), F.lower(severity)), F.lit(0)), F.lit(len(FINDINGS) + 1))
-    return df.orderBy(place, *[F.col(t).asc_nulls_last() for t in ties])
+def by_severity(df: DataFrame, severity: str = "severity", ties: Sequence[str] = ("object",), place: str | None = None) -> DataFrame:
+    """Findings sorted from the gravest; unknown severities come last, nulls after all values. ``place`` names a column for their number."""
+    rank = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, FINDINGS)), F.lower(severity)), F.lit(0)), F.lit(len(FINDINGS) + 1))
+    order = [rank.asc(), *[F.col(t).asc_nulls_last() for t in ties]]
+    return df.orderBy(*order) if place is None else numbered(df, order, place)
 
 
 def latest(df: DataFrame, stamp: str, keys: Sequence[str] = ()) -> DataFrame:

@@ -525,9 +525,10 @@ def q_canonical_names(spark, d):
     return t.select(catalog.canonical(F.col("n")).alias("canonical")).distinct()
 
 
-@query("SELECT r_regionkey, upper(r_name[1]) || lower(r_name[2:]) AS pascal FROM region WHERE NOT contains(r_name, ' ')")
+@query("""SELECT o_orderkey, array_to_string(list_transform(regexp_split_to_array(o_orderpriority, '[^A-Za-z0-9]+'), lambda w: upper(w[1]) || lower(w[2:])), '') AS pascal FROM orders""")
 def q_pascal_names(spark, d):
-    return table(spark, d, "region").filter("not contains(r_name, ' ')").select("r_regionkey", naming.pascal_column(F.col("r_name")).alias("pascal"))
+    """Names of one or more words, with blanks and marks between them."""
+    return table(spark, d, "orders").select("o_orderkey", naming.pascal_column(F.col("o_orderpriority")).alias("pascal"))
 
 
 # --- foreign front ends --------------------------------------------------------------------------------
@@ -870,8 +871,8 @@ def q_confidence_score(spark, d):
 def _copy(spark, d):
     """Orders with one price raised and one column gone."""
     o = table(spark, d, "orders")
-    top = o.agg(F.max("o_orderkey").alias("m")).first().m
-    return o.withColumn("o_totalprice", F.when(F.col("o_orderkey") == top, F.col("o_totalprice") + 1000).otherwise(F.col("o_totalprice"))).drop("o_orderpriority")
+    top = F.broadcast(o.agg(F.max("o_orderkey").alias("_top")))  # one row
+    return o.crossJoin(top).withColumn("o_totalprice", F.when(F.col("o_orderkey") == F.col("_top"), F.col("o_totalprice") + 1000).otherwise(F.col("o_totalprice"))).drop("o_orderpriority", "_top")
 
 
 @query("""SELECT 'o_orderkey' AS column_name, count(*) FILTER (o_orderkey IS NULL) AS nulls, count(DISTINCT o_orderkey) AS distincts, min(o_orderkey)::DOUBLE AS low, max(o_orderkey)::DOUBLE AS high, NULL::VARCHAR AS low_text FROM orders
@@ -1045,11 +1046,9 @@ def q_column_lineage(spark, d):
     """One pipeline for each nation, its text made from the row."""
     from weftline.plans import lineage
 
-    edges = []
-    for r in table(spark, d, "nation").select(F.lower(F.replace("n_name", F.lit(" "), F.lit("_"))).alias("t")).collect():  # 25 texts to parse
-        text = f'<pipeline name="{r.t}"><steps><extract id="a"><query>SELECT k, total FROM {r.t}</query></extract><transform id="b" input="a"><math operation="multiply" col1="total" val2="0.1" result_column="tax"/></transform><load id="c" input="b" type="csv" path="{r.t}.csv"/></steps></pipeline>'
-        edges += [(r.t, e[1], e[3], e[4]) for e in lineage.pipeline_edges(xml_frontend.parse(text))]
-    return spark.createDataFrame(edges, "pipeline string, source_column string, target_column string, operation string").distinct()
+    text = F.format_string('<pipeline name="%1$s"><steps><extract id="a"><query>SELECT k, total FROM %1$s</query></extract><transform id="b" input="a"><math operation="multiply" col1="total" val2="0.1" result_column="tax"/></transform><load id="c" input="b" type="csv" path="%1$s.csv"/></steps></pipeline>', "t")
+    edges = lineage.pipeline_lineage(table(spark, d, "nation").select(F.lower(F.replace("n_name", F.lit(" "), F.lit("_"))).alias("t")).select(text.alias("text")))
+    return edges.select(F.col("origin_object").alias("pipeline"), "source_column", "target_column", "operation").distinct()
 
 
 @query("SELECT DISTINCT event_type AS file, 'T' || user_id % 90 AS ref FROM events WHERE user_id % 90 NOT IN (SELECT s_suppkey FROM supplier)")

@@ -67,9 +67,7 @@ def q_frames_range(spark, d):
   severity, CASE WHEN p_size % 7 > 0 THEN p_brand END AS object FROM part)""")
 def q_findings_by_severity(spark, d):
     rows = table(spark, d, "part").select(F.element_at(F.array(*map(F.lit, ("warn", "critical", "odd", "info", "error"))), (F.col("p_size") % 5 + 1).cast("int")).alias("severity"), F.when(F.col("p_size") % 7 > 0, F.col("p_brand")).alias("object")).distinct()
-    place = F.struct(F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, windows.FINDINGS)), F.col("severity")), F.lit(0)), F.lit(9)).alias("s"), F.col("object").isNull().alias("n"), "object", "severity")
-    sorted_ = windows.by_severity(rows, ties=("object", "severity"))
-    return windows.numbered(sorted_.withColumn("_place", place), ["_place"], "place").select("severity", "object", "place")
+    return windows.by_severity(rows, ties=("object", "severity"), place="place").select("severity", "object", "place")
 
 
 # --- dialects -----------------------------------------------------------------------
@@ -188,18 +186,22 @@ def q_agg_array(spark, d):
 
 @query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_totalprice > 100000")
 def q_extract_csv(spark, d):
-    """An extract without a schema reads the columns that later steps use."""
+    """A CSV with the columns that later steps use, by the types that they need."""
     text = '<pipeline name="p"><steps><extract_csv id="a" path="in/orders.csv"/><transform id="b" input="a"><filter column="o_totalprice" operator="&gt;" value="100000"/><rename old_col="o_custkey" new_col="buyer"/><sort columns="o_orderkey"/></transform><aggregate id="c" input="b" group_by="o_orderkey,buyer"><max column="o_totalprice" result_column="top"/></aggregate><load id="l" input="c" type="csv" path="x.csv"/></steps></pipeline>'
-    p = xml_frontend.parse(text)
+    p, path = xml_frontend.parse(text), _scratch(spark, "orders-csv")
+    readers.write(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), path, "csv")
     used = xml_frontend.used_columns(p.steps)["a"]
-    made = xml_frontend.run(p, _context(spark, d, orders=table(spark, d, "orders").select(*used)))["x"]
+    rows = readers.csv(spark, path, "o_orderkey long, o_custkey long, o_totalprice double").select(*used)
+    made = xml_frontend.run(p, _context(spark, d, orders=rows))["x"]
     return made.select("o_orderkey", F.col("buyer").alias("o_custkey"), F.col("top").alias("o_totalprice"))
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE p_size >= 40")
+@query("SELECT row_number() OVER (ORDER BY p_partkey DESC) AS place, p_partkey, p_name FROM part WHERE p_size >= 40")
 def q_xml_filter_sort(spark, d):
+    """The place is that in the sorted output."""
     p = xml_frontend.OPERATIONS["filter"]({"condition": "NVL(p_size, 0) >= 40"})(table(spark, d, "part"))
-    return xml_frontend.OPERATIONS["sort"]({"columns": "p_partkey", "order": "desc"})(p).select("p_partkey", "p_name")
+    out = xml_frontend.OPERATIONS["sort"]({"columns": "p_partkey", "order": "desc"})(p).select("p_partkey", "p_name")
+    return windows.numbered(out.withColumn("_m", F.monotonically_increasing_id()), ["_m"], "place").drop("_m")
 
 
 @query("SELECT upper(n_name) AS \"N_NAME\", n_nationkey::VARCHAR AS \"N_NATIONKEY\", (SELECT count(*) FROM nation) AS total FROM nation")
@@ -285,8 +287,8 @@ def q_view_source(spark, d):
 
 
 def _nation_names(spark, d):
-    """Names of 25 tables, for statements whose text is made on the driver."""
-    return [r[0] for r in table(spark, d, "nation").select(F.lower(F.replace("n_name", F.lit(" "), F.lit("_")))).collect()]
+    """A table's name for each nation."""
+    return table(spark, d, "nation").select(F.lower(F.replace("n_name", F.lit(" "), F.lit("_"))).alias("t"))
 
 
 _T25 = "n AS (SELECT lower(replace(n_name, ' ', '_')) AS t FROM nation)"
@@ -295,20 +297,17 @@ _T25 = "n AS (SELECT lower(replace(n_name, ' ', '_')) AS t FROM nation)"
 @query(f"""WITH {_T25} SELECT t, k.kind, CASE WHEN k.kind <> 'select' THEN 'dw.' || t END AS target, CASE WHEN k.kind IN ('insert', 'merge', 'select') THEN
   'src.' || t END AS source FROM n, (VALUES ('insert'), ('update'), ('delete'), ('truncate'), ('merge'), ('select')) k(kind)""")
 def q_statement_kinds(spark, d):
-    rows = []
-    for t in _nation_names(spark, d):
-        for text in (f"INSERT INTO dw.{t} (a) SELECT a FROM src.{t}", f"UPDATE dw.{t} SET a = 1 WHERE b = 2", f"DELETE FROM dw.{t} WHERE a = 1", f"TRUNCATE TABLE dw.{t}", f"MERGE INTO dw.{t} x USING src.{t} y ON x.a = y.a WHEN MATCHED THEN UPDATE SET b = y.b", f"SELECT a FROM src.{t} -- FROM dw.other"):
-            s = sqltext.classify(text)
-            rows.append((t, s.kind, s.target, ",".join(s.sources) or None))
-    return spark.createDataFrame(rows, "t string, kind string, target string, source string")
+    script = "INSERT INTO dw.%1$s (a) SELECT a FROM src.%1$s; UPDATE dw.%1$s SET a = 1 WHERE b = 2; DELETE FROM dw.%1$s WHERE a = 1; TRUNCATE TABLE dw.%1$s; MERGE INTO dw.%1$s x USING src.%1$s y ON x.a = y.a WHEN MATCHED THEN UPDATE SET b = y.b; SELECT a FROM src.%1$s -- FROM dw.other"
+    rows = _nation_names(spark, d).select("t", F.format_string(script, "t").alias("text"))
+    return lineage.statements_of(rows, keep=["t"]).select("t", "kind", "target", F.when(F.size("sources") > 0, F.array_join("sources", ",")).alias("source"))
 
 
 @query(f"""WITH {_T25} SELECT 'SOURCE.' || upper(t) AS source_fqn, c.s AS source_column, 'DW.V_' || upper(t) AS target_fqn, c.d AS target_column, 0.95::DOUBLE AS
   confidence FROM n, (VALUES ('id', 'id'), ('amount', 'total')) c(s, d) UNION ALL SELECT 'SOURCE.RATES', 'rate', 'DW.V_' || upper(t), 'total', 0.95 FROM
   n""")
 def q_view_edges(spark, d):
-    edges = [e for t in _nation_names(spark, d) for e in lineage.view_edges(f"DW.V_{t.upper()}", f"SELECT a.id, a.amount * r.rate AS total FROM {t} a JOIN rates r ON r.k = a.k")]
-    return lineage.frame(spark, edges).select("source_fqn", "source_column", "target_fqn", "target_column", F.col("confidence").cast("double").alias("confidence"))
+    views = _nation_names(spark, d).select(F.concat(F.lit("DW.V_"), F.upper("t")).alias("name"), F.format_string("SELECT a.id, a.amount * r.rate AS total FROM %s a JOIN rates r ON r.k = a.k", "t").alias("text"))
+    return lineage.view_lineage(views).select("source_fqn", "source_column", "target_fqn", "target_column", "confidence")
 
 
 @query("""SELECT 'DW.' || p_brand AS source_fqn, 'C' || p_partkey AS source_column, CASE WHEN p_size % 3 = 0 THEN 'DW.T' || p_size ELSE 'T' || p_size END AS
@@ -408,17 +407,19 @@ def q_inventory_search(spark, d):
 _S = """r AS (SELECT event_type AS c, value > 20 AS ok FROM events), k AS (SELECT c, count(*) AS total, count(*) FILTER (ok) AS good FROM r GROUP BY 1), p AS
   (SELECT * FROM (VALUES ('view', true), ('click', true), ('never', false), ('dark', true)) v(name, csv_exists)), u AS (SELECT CASE WHEN total IS NULL
   THEN CASE WHEN csv_exists THEN 'off-grid' ELSE 'never-run' END WHEN good < total THEN 'failing' ELSE 'healthy' END AS status FROM p LEFT JOIN k ON c =
-  name UNION ALL SELECT 'undocumented' FROM k WHERE c NOT IN (SELECT name FROM p))"""
+  name UNION ALL SELECT 'undocumented' FROM k WHERE c NOT IN (SELECT name FROM p)), f AS (SELECT CASE WHEN total IS NULL THEN CASE WHEN csv_exists THEN 'critical' ELSE 'warn'
+  END WHEN 100.0 * (total - good) / total >= 10 THEN 'critical' ELSE 'warn' END AS severity FROM p LEFT JOIN k ON c = name WHERE total IS NULL OR 100.0 * (total - good) / total >= 5
+  UNION ALL SELECT 'critical' FROM k WHERE c NOT IN (SELECT name FROM p) UNION ALL SELECT 'warn' FROM t)"""
 
 
 @query(f"""WITH {_T}, {_S} SELECT 'tables.' || lower({_LAYER}) AS metric, count(*) AS value FROM t GROUP BY 1 UNION ALL SELECT 'pipelines.' || status, count(*)
-  FROM u GROUP BY 1 UNION ALL SELECT 'flags.warn', count(*) FROM t""")
+  FROM u GROUP BY 1 UNION ALL SELECT 'flags.' || severity, count(*) FROM f GROUP BY 1""")
 def q_digest(spark, d):
     """Counts of a summary: tables by layer, pipelines by status, findings by severity."""
     t = _tables(spark, d)
-    usage = catalog.pipeline_usage(catalog.matched_runs(_pipelines(spark), catalog.run_stats(_runs(spark, d))))
-    none = usage.filter("false")
-    flags = catalog.flags(t, t.select(F.col("fqn").alias("table_fqn"), F.lit(False).alias("is_pk")), none.drop("success_rate", "ran_without_logging", "status"))
+    matched = catalog.matched_runs(_pipelines(spark), catalog.run_stats(_runs(spark, d)))
+    usage = catalog.pipeline_usage(matched)
+    flags = catalog.flags(t, t.select(F.col("fqn").alias("table_fqn"), F.lit(False).alias("is_pk")), matched)
     return catalog.digest(t.withColumn("layer", catalog.layer(F.col("name"))), usage, flags)
 
 

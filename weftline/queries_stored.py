@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from weftline.operators import dml, stored
+from weftline.operators import dml, stored, targets
 from weftline.queries import ORACLE_SQL, _part_changes, query
 from weftline.queries_more import _scratch
 from weftline.session import table
@@ -99,3 +99,40 @@ def q_jdbc_dictionary(spark, d):
     finally:
         _closed(spark, url)
     return spark.read.parquet(path)
+
+
+# --- several targets, checks and catalog tables --------------------------------------------
+
+
+@query("""SELECT 'big' AS target, o_orderkey AS id, o_totalprice AS amount, NULL AS status FROM orders WHERE o_totalprice > 200000
+UNION ALL SELECT 'open', o_orderkey, NULL, o_orderstatus FROM orders WHERE o_orderstatus = 'O' UNION ALL SELECT 'all', o_custkey, o_totalprice, NULL FROM orders""")
+def q_split_written(spark, d):
+    """Three targets with columns of their own from one scan."""
+    parts = {"big": ("o_totalprice > 200000", {"id": "o_orderkey", "amount": "o_totalprice"}), "open": ("o_orderstatus = 'O'", {"id": "o_orderkey", "status": "o_orderstatus"}), "all": (None, {"id": "o_custkey", "amount": "o_totalprice"})}
+    out = targets.split_written(table(spark, d, "orders"), parts, _scratch(spark, "targets"))
+    whole = None
+    for name, df in out.items():
+        columns = [F.col(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in (("id", "long"), ("amount", "double"), ("status", "string"))]
+        part = df.select(F.lit(name).alias("target"), *columns)
+        whole = part if whole is None else whole.unionByName(part)
+    return whole
+
+
+@query("""SELECT 'rows' AS "check", NULL AS "column", count(*) AS n FROM orders UNION ALL SELECT 'nulls', 'late', count(*) FILTER (o_totalprice <= 250000) FROM orders
+UNION ALL SELECT 'repeated keys', 'o_custkey', count(*) FROM (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*) > 1)""")
+def q_checked_write(spark, d):
+    """Rows and nulls counted while they are written, repeated keys from what was written."""
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", F.when(F.col("o_totalprice") > 250000, F.col("o_orderdate")).alias("late"))
+    return targets.checked_write(o, _scratch(spark, "checked"), ["o_custkey"], ["late"])
+
+
+@query("""WITH t AS (SELECT o_custkey, count(*) AS n, max(o_totalprice) AS top FROM orders GROUP BY 1)
+SELECT c_custkey, c_name, t.n, t.top FROM customer JOIN t ON c_custkey = o_custkey WHERE t.n >= (SELECT avg(n) FROM t)""")
+def q_stored_table(spark, d):
+    """CTAS read twice: the aggregate is computed once, bucketed by its key."""
+    by = table(spark, d, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.max("o_totalprice").alias("top"))
+    name = f"order_totals_{uuid.uuid4().hex[:8]}"
+    made = targets.stored_table(by, name, _scratch(spark, "table"), ["o_custkey"])
+    least = made.agg(F.avg("n").alias("least"))
+    joined = table(spark, d, "customer").join(made, F.col("c_custkey") == F.col("o_custkey")).crossJoin(F.broadcast(least))  # one row
+    return joined.filter("n >= least").select("c_custkey", "c_name", "n", "top")
