@@ -177,3 +177,45 @@ def test_op6_on_held_out_rows(spark):
     precision, recall = true / max(1, sum(p for p, _ in held)), true / max(1, sum(t for _, t in held))
     print("precision", precision, "recall", recall, "accuracy", sum(p == t for p, t in held) / len(held))
     assert sum(p == t for p, t in held) / len(held) > 0.97 and precision > 0.9 and recall > 0.9
+
+
+def test_a_large_lexicon_is_ready_at_once_and_bounded(monkeypatch):
+    import pickle
+    import random
+    import time
+
+    rng = random.Random(3)
+    letters = "etaoinshrdlucmfwypvbgkjqxz"
+    make = lambda: "".join(rng.choices(letters, weights=range(26, 0, -1), k=rng.randrange(5, 12)))
+    lexicon = sorted({make() for _ in range(2000)})
+    began = time.perf_counter()
+    automaton = toxicity.Automaton([w.encode() for w in lexicon])
+    sent = pickle.dumps(automaton)
+    assert time.perf_counter() - began < 5 and len(sent) < 5_000_000
+    automaton = pickle.loads(sent)
+
+    def changed(w):
+        w = list(w)
+        for _ in range(rng.randrange(3)):
+            i = rng.randrange(len(w))
+            w[i : i + rng.randrange(2)] = rng.choice(["", "q", "zz"])
+        return "".join(w) or "x"
+
+    words = [changed(rng.choice(lexicon)) for _ in range(60)] + [make() for _ in range(3000)]
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    monkeypatch.setattr(toxicity, "PLACES", 20_000)  # many fresh starts
+    monkeypatch.setattr(toxicity, "AT_ONCE", 256)
+    got = kinds(automaton, [w.encode() for w in words])
+    assert automaton.held < 2_000_000
+    known = set(lexicon)
+    for w, k in list(zip(words, got, strict=True))[:160]:
+        near = any(abs(len(w) - len(x)) <= toxicity.allowed(x.encode()) and distance(w, x) <= toxicity.allowed(x.encode()) for x in lexicon)
+        assert k == (2 if w in known else 1 if near else 0), w

@@ -2,11 +2,13 @@
 
 The lexicon is learned from labelled training rows: words far commoner in
 toxic texts than in others. It is kept as a trie, and the Levenshtein automata
-of its words, intersected with that trie, are determinised into one table: a
-state is a set of (trie node, errors so far), so one pass over a word's letters
-tells whether it is within one error (two for long words) of a lexicon word,
-whatever the lexicon's size; a stem takes any ending, but no error. Every distinct word of a slice runs through the
-table together.
+of its words, intersected with that trie, make a table of states: a state is a set
+of (trie node, errors so far), so one pass over a word's letters tells whether
+it is within one error (two for long words) of a lexicon word, whatever the
+lexicon's size; a stem takes any ending, but no error. States are worked out as
+the words of the texts reach them, which most words of other subjects don't get
+far in, and a worker keeps about ``PLACES`` such pairs at most. Every distinct word
+of a slice runs through the table together.
 
 How many errors a lexicon word may have is learned too: where words so near it
 stand in clean texts more than in toxic ones, it may have fewer. A hit is
@@ -48,6 +50,8 @@ CONTEXT = 6
 #: Words that introduce another's speech.
 REPORTING = ("said", "says", "quote", "quoted", "quotes", "wrote", "writes", "called", "calls", "reported", "according", "word", "words", "term", "insult", "slur", "sagte", "zitat", "dijo", "dit")
 FEATURES = 9
+#: Places in the states of an automaton that a worker keeps (some 60 MB) before it starts over, and words that run through it at once.
+PLACES, AT_ONCE = 1 << 19, 1 << 12
 
 
 def _letters(word: bytes) -> bytes:
@@ -59,13 +63,18 @@ def allowed(word: bytes) -> int:
     return 0 if len(word) < 4 else 1 if len(word) < 9 else 2
 
 
+#: The node of a stem with any letters after it.
+PAST = -1
+
+
 class Automaton:
-    """All lexicon words within their allowed errors, as one transition table over bytes."""
+    """All lexicon words within their allowed errors, as a transition table over bytes that grows as words need it."""
 
-    def __init__(self, lexicon: list[bytes], stems: list[bytes] = (), errors: dict[bytes, int] | None = None):
+    def __init__(self, lexicon: list[bytes], stems: list[bytes] = (), errors: dict[bytes, int] | None = None, most_errors: int | None = None):
+        """``errors`` lowers what words are allowed; ``most_errors`` takes its place for all words."""
         self.lexicon = sorted({w for w in map(_letters, lexicon) if w})
         limits = {_letters(w): e for w, e in (errors or {}).items()}
-        allowed_ = lambda w: min(allowed(w), limits.get(w, 9))
+        allowed_ = lambda w: min(allowed(w), limits.get(w, 9)) if most_errors is None else most_errors
         self.stems = sorted({w for w in map(_letters, stems) if w})
         child: list[dict[int, int]] = [{}]
         ends: list[bytes | None] = [None]
@@ -93,73 +102,123 @@ class Automaton:
                     most.append(0)
                 node = child[node][c]
             stem_ends.add(node)
-        past = -1  # a stem and any letters after it
+        self.child, self.ends, self.most, self.stem_ends = child, ends, most, frozenset(stem_ends)
+        self.limit = {w: allowed_(w) for w in self.lexicon}
         letters = sorted({c for w in [*self.lexicon, *self.stems] for c in w})
+        self.letters = [None, *letters]
         self.column = np.zeros(256, dtype=np.int64)  # 0: any other letter
         self.column[letters] = np.arange(1, len(letters) + 1)
-
-        def close(state: dict[int, int]) -> frozenset:
-            todo = list(state.items())
-            while todo:  # letters left out
-                node, e = todo.pop()
-                for n in child[node].values() if node != past else ():
-                    if e + 1 <= most[n] and e + 1 < state.get(n, 99):
-                        state[n] = e + 1
-                        todo.append((n, e + 1))
-            return frozenset(state.items())
-
-        def move(state: frozenset, c: int | None) -> frozenset:
-            new: dict[int, int] = {}
-            for node, e in state:
-                if node == past or (node in stem_ends and not e):
-                    new[past] = 0
-                if node == past:
-                    continue
-                for letter, n in child[node].items():
-                    cost = e + (letter != c)
-                    if cost <= most[n] and cost < new.get(n, 99):
-                        new[n] = cost
-                if e + 1 <= most[node] and e + 1 < new.get(node, 99):  # a letter put in
-                    new[node] = e + 1
-            return close(new)
-
-        start = close({0: 0})
-        number, todo, rows = {frozenset(): 0, start: 1}, [start], {0: [0] * (len(letters) + 1)}
-        while todo:
-            state = todo.pop()
-            row = []
-            for c in [None, *letters]:
-                to = move(state, c)
-                if to not in number:
-                    number[to] = len(number)
-                    todo.append(to)
-                row.append(number[to])
-            rows[number[state]] = row
-        self.next = np.array([rows[i] for i in range(len(rows))], dtype=np.int32)
-        # 0: no word, 1: a word with errors, 2: a word of the lexicon, 3: a stem with an ending.
-        self.accept = np.zeros(len(rows), dtype=np.int8)
-        for state, i in number.items():
-            errors = [e for node, e in state if node != past and ends[node] is not None and e <= allowed_(ends[node])]
-            stem = any(node == past or (node in stem_ends and not e) for node, e in state)
-            self.accept[i] = 2 if errors and min(errors) == 0 else 3 if stem else 1 if errors else 0
-        self.beyond = np.array([any(node == past for node, _ in state) for state in sorted(number, key=number.get)])
         self.longest = max([*(len(w) + allowed_(w) for w in self.lexicon), *(len(w) + 1 for w in self.stems)], default=0)
         self.shortest = min([*(len(w) - allowed_(w) for w in self.lexicon), *map(len, self.stems)], default=1)
+        self._begin()
 
-    def run(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """The kind (0 to 3) of every word of ``data``."""
-        out, size = np.zeros(len(starts), dtype=np.int8), ends - starts
-        at = np.flatnonzero((size <= self.longest if not self.stems else size > 0) & (size >= self.shortest))
-        at = at[np.argsort(-size[at], kind="stable")]  # long words first, so those still running are a prefix
-        left, state = size[at], np.ones(len(at), dtype=np.int32)
+    def __getstate__(self) -> dict:
+        """Without the states: every worker makes its own."""
+        return {k: v for k, v in self.__dict__.items() if k not in ("states", "number", "held", "next", "accept", "beyond")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._begin()
+
+    def _begin(self) -> None:
+        self.states: list[frozenset] = []
+        self.held = 0
+        self.number: dict[frozenset, int] = {}
+        self.next = np.full((1024, len(self.letters)), -1, dtype=np.int32)  # -1: not worked out yet
+        # 0: no word, 1: a word with errors, 2: a word of the lexicon, 3: a stem with an ending.
+        self.accept, self.beyond = np.zeros(1024, dtype=np.int8), np.zeros(1024, dtype=bool)
+        self._state(frozenset())
+        self.next[0] = 0
+        self._state(self._closed({0: 0}))
+
+    def _trim(self) -> None:
+        if self.held > PLACES:
+            self._begin()
+
+    def _closed(self, state: dict[int, int]) -> frozenset:
+        todo = list(state.items())
+        while todo:  # letters left out
+            node, e = todo.pop()
+            for n in self.child[node].values() if node != PAST else ():
+                if e + 1 <= self.most[n] and e + 1 < state.get(n, 99):
+                    state[n] = e + 1
+                    todo.append((n, e + 1))
+        return frozenset(state.items())
+
+    def _moved(self, state: frozenset, c: int | None) -> frozenset:
+        new: dict[int, int] = {}
+        for node, e in state:
+            if node == PAST or (node in self.stem_ends and not e):
+                new[PAST] = 0
+            if node == PAST:
+                continue
+            for letter, n in self.child[node].items():
+                cost = e + (letter != c)
+                if cost <= self.most[n] and cost < new.get(n, 99):
+                    new[n] = cost
+            if e + 1 <= self.most[node] and e + 1 < new.get(node, 99):  # a letter put in
+                new[node] = e + 1
+        return self._closed(new)
+
+    def _state(self, state: frozenset) -> int:
+        if state in self.number:
+            return self.number[state]
+        i = self.number[state] = len(self.states)
+        self.states.append(state)
+        self.held += len(state)
+        if i == len(self.next):
+            self.next = np.concatenate([self.next, np.full_like(self.next, -1)])
+            self.accept, self.beyond = np.concatenate([self.accept, np.zeros_like(self.accept)]), np.concatenate([self.beyond, np.zeros_like(self.beyond)])
+        errors = [e for node, e in state if node != PAST and self.ends[node] is not None and e <= self.limit[self.ends[node]]]
+        stem = any(node == PAST or (node in self.stem_ends and not e) for node, e in state)
+        self.accept[i] = 2 if errors and min(errors) == 0 else 3 if stem else 1 if errors else 0
+        self.beyond[i] = any(node == PAST for node, _ in state)
+        return i
+
+    def _step(self, state: np.ndarray, column: np.ndarray) -> np.ndarray:
+        to = self.next[state, column]
+        new = np.flatnonzero(to < 0)
+        if len(new):
+            width = len(self.letters)
+            for pair in np.unique(state[new].astype(np.int64) * width + column[new]).tolist():
+                s, c = divmod(pair, width)
+                i = self._state(self._moved(self.states[s], self.letters[c]))
+                self.next[s, c] = i
+            to = self.next[state, column]
+        return to
+
+    def _last(self, data: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The states after all letters, or the first ``longest``, of words in order of falling size."""
+        state = np.ones(len(starts), dtype=np.int32)
         for j in range(self.longest):
-            n = int(np.searchsorted(-left, -j, "left"))
+            n = int(np.searchsorted(-size, -j, "left"))
             if not n:
                 break
-            state[:n] = self.next[state[:n], self.column[data[starts[at[:n]] + j]]]
-        out[at] = np.where(left <= self.longest, self.accept[state], np.where(self.beyond[state], 3, 0))
+            state[:n] = self._step(state[:n], self.column[data[starts[:n] + j]])
+        return state
+
+    def run(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The kind (0 to 3) of every word of ``data``."""
+        out, size = np.zeros(len(starts), dtype=np.int8), ends - starts
+        every = np.flatnonzero((size <= self.longest if not self.stems else size > 0) & (size >= self.shortest))
+        for a in range(0, len(every), AT_ONCE):
+            at = every[a : a + AT_ONCE]
+            at = at[np.argsort(-size[at], kind="stable")]  # long words first, so those still running are a prefix
+            left = size[at]
+            state = self._last(data, starts[at], left)
+            out[at] = np.where(left <= self.longest, self.accept[state], np.where(self.beyond[state], 3, 0))
+            self._trim()
         return out
 
+    def near(self, word: bytes) -> list[tuple[bytes, int]]:
+        """The lexicon words that ``word`` is within their allowed errors of, and how many errors that takes."""
+        if not self.shortest <= len(word) <= self.longest:
+            return []
+        data = np.frombuffer(word, np.uint8)
+        state = self.states[int(self._last(data, np.zeros(1, np.int64), np.array([len(word)]))[0])]
+        self._trim()
+        return [(self.ends[n], e) for n, e in state if n != PAST and self.ends[n] is not None and e <= self.limit[self.ends[n]]]
+
 
 def _features(automaton: Automaton, reporting: np.ndarray, batch: pa.RecordBatch):
     """``(first row, features)`` of slices of a batch."""
@@ -300,13 +359,21 @@ def lexicon(rows: DataFrame) -> tuple[list[bytes], list[bytes], dict[bytes, int]
 
 def _errors(by_word: DataFrame, chosen: list[bytes]) -> dict[bytes, int]:
     """Errors that each chosen word may have: as many as keep to words that toxic texts have no less than clean ones."""
-    texts_ = [w.decode("utf-8", "replace") for w in chosen if allowed(w)]
-    if not texts_:
+    open_ = [w for w in chosen if allowed(w)]
+    if not open_:
         return {}
-    near = F.array(*[F.when(F.abs(F.length("word") - len(w)) <= 2, F.struct(F.lit(w).alias("w"), F.levenshtein(F.col("word").cast("string"), F.lit(w), 2).alias("d"))) for w in texts_])
-    rows = by_word.select(F.explode(F.filter(near, lambda x: x["d"].between(1, 2))).alias("x"), "bad", "good").groupBy("x.w", "x.d").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).collect()  # two rows for each chosen word at most
-    seen = {(r.w, r.d): r.good > r.bad for r in rows}
-    return {w.encode(): 0 if seen.get((w, 1)) else 1 if seen.get((w, 2)) else 2 for w in texts_}
+    held = by_word.sparkSession.sparkContext.broadcast(Automaton(open_, most_errors=2))
+
+    def run(batches):
+        for batch in batches:
+            found = [(w, d, i) for i, word in enumerate(batch.column(0).to_pylist()) for w, d in held.value.near(bytes(word)) if d]
+            at = pa.array([i for *_, i in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, _, _ in found], pa.binary()), pa.array([d for _, d, _ in found], pa.int32()), batch.column(1).take(at), batch.column(2).take(at)], names=["w", "d", "bad", "good"])
+
+    kinds = dict(by_word.dtypes)
+    rows = by_word.select("word", "bad", "good").mapInArrow(run, f"w binary, d int, bad {kinds['bad']}, good {kinds['good']}").groupBy("w", "d").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).collect()  # two rows for each chosen word at most
+    seen = {(bytes(r.w), r.d): r.good > r.bad for r in rows}
+    return {w: 0 if seen.get((w, 1)) else 1 if seen.get((w, 2)) else 2 for w in open_}
 
 
 def fitted(docs: DataFrame, labels: DataFrame) -> Model:
