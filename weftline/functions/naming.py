@@ -41,7 +41,7 @@ _VARIABLE = re.compile(r"\$\$(\w+)|\$\{(\w+)\}")
 _NAMES = re.compile(r"(?i)(?:\b(?:FROM|JOIN|INTO|UPDATE|TABLE|USING)\s+|\.)$")
 
 
-def filled(text: str, variables: Mapping[str, object], put: Callable[[str, object], str]) -> str:
+def filled(text: str, variables: Mapping[str, object], put: Callable[[str, object], str] = lambda _, v: literal(v)) -> str:
     """``$$name`` and ``${name}`` replaced by what ``put`` makes of the name and its value; unknown ones are an error.
 
     A quoted literal that is a variable alone becomes a text value, one that
