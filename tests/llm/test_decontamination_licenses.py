@@ -183,3 +183,29 @@ def test_op8_finds_notices(spark, sf_dir):
             if template in t:
                 assert (i, name) in got
     assert all(any(w in docs[i].lower() for w in ("licens", "permission", "redistribution", "software", "law")) for i, _ in got)
+
+
+def test_other_versions_name_the_family_alone(spark):
+    texts = {
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 1.1.": "MPL", "This work is licensed under the GNU General Public License, version 1.": "GPL",
+        "This Font Software is licensed under the SIL Open Font License, Version 1.0.": "OFL", "Licensed under the EUPL, Version 1.1 or as soon they will be approved by the European Commission subsequent versions of the EUPL": "EUPL",
+        "Licensed under CC BY 3.0.": "CC-BY",
+    }
+    known = {n: t for n, t in reversed(licenses.NOTICES)}
+    texts |= {known[n]: n for n in ("MPL-2.0", "GPL-2.0", "GPL-3.0", "OFL-1.1", "EUPL-1.2", "CC-BY-4.0", "Apache-2.0", "Apache-1.1", "MIT")}
+    whole = dict(licenses.templates())["GPL-2.0"]
+    texts |= {whole: "GPL-2.0", whole.replace("Version 2, June 1991", "Version 7, June 1991", 1): "GPL"}
+    rows = [(i, t, "", "", 0) for i, t in enumerate(texts)]
+    got = {}
+    for r in licenses.found(spark.createDataFrame(rows, DOCS)).collect():
+        got.setdefault(r.doc_id, set()).add(r.license)
+    for i, (t, name) in enumerate(texts.items()):
+        assert name in got.get(i, set()) and not {n for n in got[i] if licenses.family(n) == licenses.family(name)} - {name}, (t[:80], got.get(i))
+
+
+def test_licences_of_very_long_texts_and_repeated_rows(spark):
+    notice = "Licensed under the Apache License, Version 2.0."
+    long = "lorem ipsum dolor sit amet " * 60_000 + notice + " consectetur" * 50_000
+    rows = [(1, long, "", "", 0)] + [(2, notice, "", "", 0)] * 50 + [(3, None, "", "", 0), (4, "", "", "", 0), (None, notice, "", "", 0)]
+    got = sorted(((r.doc_id, r.license, r.first_word) for r in licenses.found(spark.createDataFrame(rows, DOCS).repartition(3)).collect()), key=repr)
+    assert got == sorted([(1, "Apache-2.0", 300_000)] + [(2, "Apache-2.0", 0)] * 50 + [(None, "Apache-2.0", 0)], key=repr)

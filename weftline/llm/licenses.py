@@ -16,6 +16,10 @@ identifier, and the short notices below. Of windows that overlap by more than
 half, the one with most shared bigrams stays (of as many, the one that scores
 best), so neither a notice nor a whole licence is also taken for its siblings'.
 
+A notice's window must hold the notice's own version numbers, and a whole text
+whose title says another version than the template's isn't that template: such a
+hit names the family alone, as GPL for GPL-2.0.
+
 Cases: null, empty and one-word texts have no licence; a very long text is read
 whole, in one task; equal rows give equal rows; a null doc_id is carried; extra
 columns are ignored, whatever their names; an empty table gives an empty result.
@@ -23,6 +27,7 @@ columns are ignored, whatever their names; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from pathlib import Path
 
@@ -81,6 +86,27 @@ def templates(folder: str | Path = Path(__file__).parent / "licences") -> tuple[
 
 
 DICE = 0.8
+#: Words of a notice at most; longer templates are whole texts, whose version stands in so many words of their title.
+NOTICE, TITLE = 80, 40
+
+
+def family(name: str) -> str:
+    """An identifier without its version."""
+    return re.sub(r"-v?\d+(\.\d+)*$", "", name)
+
+
+def _hashes(text: str) -> np.ndarray:
+    return words(*plain(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())])))[2]
+
+
+#: Keys of the word before a version, and of versions from 0 to 999, as 2.0 stands without its point.
+_VERSION = set(_hashes("version v").tolist())
+_NUMBERS = dict(zip(_hashes(" ".join(f"{i} v{i} 0{i}" for i in range(1000))).tolist(), [i for i in range(1000) for _ in range(3)], strict=True))
+
+
+def _said(hashes: list[int]) -> set[int]:
+    """Versions that a text says after the word for it."""
+    return {_NUMBERS[b] for a, b in zip(hashes, hashes[1:], strict=False) if a in _VERSION and b in _NUMBERS}
 
 
 class Scanner:
@@ -88,6 +114,9 @@ class Scanner:
 
     def __init__(self, known, dice: float = DICE):
         self.names, self.dice = [n for n, _ in known], dice
+        every = [_hashes(t).tolist() for _, t in known]
+        self.whole = [len(h) > NOTICE for h in every]
+        self.versions = [_said(h[:TITLE]) if w else {x for x in h if x in _NUMBERS} for h, w in zip(every, self.whole, strict=True)]
         self.bags = [Counter(grams(plain_words(t), 2).tolist()) for _, t in known]
         self.sizes = np.array([sum(b.values()) for b in self.bags], dtype=np.int64)
         self.keys = np.array(sorted({k for b in self.bags for k in b}), dtype=np.uint64)
@@ -126,6 +155,16 @@ class Scanner:
                 found[t, k] = (best[0], best[1] - int(bounds[t]), best[2] - int(bounds[t]))
         return found
 
+    def name(self, template: int, window: list[int]) -> str:
+        """The template's identifier, or its family alone if the window's version is another one."""
+        own = self.versions[template]
+        if self.whole[template]:
+            said = _said(window[:TITLE])
+            same = not own or not said or bool(own & said)
+        else:
+            same = own <= set(window)
+        return self.names[template] if same else family(self.names[template])
+
     def _best(self, template: int, at: list[int], keys: list[int]):
         """Score, first word and end of the best window of the places ``at`` and their bigrams ``keys``; the first of equal ones."""
         size, d, bag = int(self.sizes[template]), self.dice, self.bags[template]
@@ -184,7 +223,8 @@ def found(docs: DataFrame, known=None, dice: float = DICE) -> DataFrame:
                 hits: dict[int, list] = {}
                 for (t, k), (score, s, e) in scanner.scan(hashes, bounds).items():
                     both = round(score * (int(scanner.sizes[k]) + e - s - 1) / 2)
-                    hits.setdefault(t, []).append((both, score, s, e, scanner.names[k]))
+                    window = hashes[bounds[t] + s : bounds[t] + e].tolist()
+                    hits.setdefault(t, []).append((both, score, s, e, scanner.name(k, window)))
                 rows = [{"doc_id": ids[first + t], "license": name, "score": score, "first_word": s, "n_words": e - s} for t, own in sorted(hits.items()) for _, score, s, e, name in sorted(chosen(own), key=lambda h: h[4])]
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=schema)

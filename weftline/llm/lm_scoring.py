@@ -6,8 +6,9 @@ the uniform estimate. The weights depend on how often the trigram's context of
 two words was seen (buckets by powers of two). They are learned by expectation
 maximisation on the counts of a deleted block, a seventh of the training
 documents, against estimates from the others; the final estimates use all
-training documents. Words never seen share one place, so the probabilities of
-a context sum to one.
+training documents. Words never seen share one place, so the word n-grams'
+probabilities of a context sum to one over known words and that place; the class
+part has such a place in each class, whose shares add up to its own.
 
 Word, bigram and trigram counts cover all training documents. A block of texts
 sends its distinct n-grams, sorted, delta coded and compressed, to the ranges

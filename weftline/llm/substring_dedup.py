@@ -29,8 +29,8 @@ texts of fewer than ``window`` words lose nothing; a very long text is read
 whole, in one task, and costs memory in proportion to its length; a document
 never matches itself, nor a row of equal doc_id; rows of one doc_id with
 different texts are judged each by its own words, equal rows alike; rows with
-a null doc_id count as larger than all others and keep their words among
-themselves; further columns are ignored, whatever their names; an empty table
+a null doc_id lose nothing and take nothing from others, as their id is neither
+smaller nor larger than any; further columns are ignored, whatever their names; an empty table
 gives an empty result.
 """
 
