@@ -175,3 +175,31 @@ def test_a_profile_is_one_scan_and_one_exchange_of_values(spark, tmp_path):
     assert (got["i"].total, got["i"].exact, got["i"].low, got["i"].high) == (5.0, "5", 1.0, 2.0) and got["d"].exact.rstrip("0") == "1.25" and (got["s"].low_text, got["s"].high_text) == ("a", "b")
     empty = {r.column_name: (r.row_count, r.nulls, r.distincts) for r in parity.profile(spark.read.parquet(str(tmp_path / "t")).limit(0)).collect()}
     assert empty == dict.fromkeys(got, (0, 0, 0))
+
+
+def test_a_routers_targets_are_written_in_one_pass(spark, tmp_path):
+    from weftline.plans import ir
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    orders = spark.range(30).selectExpr("id", "if(id = 3, null, id % 7) AS size").mapInPandas(counted, "id long, size long")
+    g = ir.Graph("g", [
+        ir.Source("s", table="orders"), ir.Router("r", "s", [("big", "size > 4"), ("rest", None)]),
+        ir.Target("large", "r.big", {"id": "id", "twice": "size * 2"}), ir.Target("others", "r.rest", later={"note": "string"}),
+        ir.Source("again", sql="SELECT count(*) AS n, max(note) AS note FROM others", reads=["others"]),
+    ])
+    made = g.run(ir.Context(spark, lambda _: orders, stages=str(tmp_path)))
+    assert rows(made["large"]) == sorted([(i, i % 7 * 2) for i in range(30) if i != 3 and i % 7 > 4], key=repr)
+    assert made["others"].columns == ["id", "size", "note"] and made["others"].filter("id = 3").count() == 1
+    assert tuple(made["again"].first()) == (30 - made["large"].count(), None) and seen.value == 30
+
+
+def test_repeated_targets_keep_their_types(spark, tmp_path):
+    df = spark.createDataFrame([(1, [1, 2], {"a": 1})], "k int, l array<int>, m map<string, int>")
+    out = targets.split_written(df, {"a": (None, {"k": "k", "l": "l"}), "b": ("k = 1", {"k": "cast(k as double)", "m": "m"})}, str(tmp_path / "t"))
+    assert out["a"].dtypes == [("k", "int"), ("l", "array<int>")] and rows(out["a"]) == [(1, [1, 2])] and out["b"].first().m == {"a": 1}

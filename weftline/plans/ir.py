@@ -291,14 +291,42 @@ class Graph:
         return out
 
     def run(self, ctx: Context) -> dict[str, DataFrame]:
+        """What every node made. Where stages are written, a router's targets are written in one pass over its upstream."""
+        routed: set[str] = set()
         for node in self.ordered():
-            ctx.made[node.name] = node.evaluate(ctx)
+            if node.name not in routed:
+                ctx.made[node.name] = node.evaluate(ctx)
+            mates = self._targets_of(node) if isinstance(node, Router) and ctx.stages else []
+            if len(mates) > 1:
+                ctx.made.update(_written_together(ctx, node, mates))
+                routed |= {t.name for t in mates}
         return ctx.made
 
+    def _targets_of(self, router: Router) -> list[Target]:
+        """The full-refresh targets that read one of the router's groups."""
+        return [n for n in self.nodes if isinstance(n, Target) and n.upstream.split(".")[0] == router.name and "." in n.upstream and not n.incremental]
+
     def edges(self) -> list[tuple[str, str]]:
         return [(i, n.name) for n in self.nodes for i in n.inputs()]
 
 
+def _written_together(ctx: Context, router: Router, mates: Sequence[Target]) -> dict[str, DataFrame]:
+    from weftline.operators.targets import split_written
+
+    taken = [f"coalesce({c}, false)" for _, c in router.groups if c is not None]
+    where = {g: f"NOT ({' OR '.join(taken) or 'false'})" if c is None else c for g, c in router.groups}
+    upstream, parts = ctx.made[router.upstream], {}
+    for t in mates:
+        columns = dict(t.columns) if t.columns else {c: R.quoted(c) for c in upstream.columns}
+        have = {c.lower() for c in columns}
+        columns |= {c: f"cast(null as {kind})" for c, kind in t.later.items() if c.lower() not in have}
+        parts[t.name] = (where[t.upstream.split(".", 1)[1]], columns)
+    out = split_written(upstream, parts, f"{ctx.stages.rstrip('/')}/{router.name}")
+    for name, df in out.items():
+        df.createOrReplaceTempView(view_name(name))
+    return out
+
+
 def view_name(table: str) -> str:
     """The temporary view of a table: its last part."""
     return table.split(".")[-1].strip('"`[]')
