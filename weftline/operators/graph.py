@@ -171,7 +171,10 @@ def cycle_nodes(edges: DataFrame) -> DataFrame:
     nodes of one colour never leaves it, so the shortcuts are made once.
     """
     loops = edges.filter("src = dst").select(F.col("src").alias("node")).distinct()
-    ways = shortcuts(edges.filter("src <> dst"))
+    return _cycles(shortcuts(edges.filter("src <> dst")), loops)
+
+
+def _cycles(ways: Shortcuts, loops: DataFrame) -> DataFrame:
     groups: list[DataFrame] = []
     pairs = None if ways.acyclic else cut(_through(ways.tagged()))
     while pairs is not None and not pairs.isEmpty():
@@ -191,50 +194,48 @@ def cycle_nodes(edges: DataFrame) -> DataFrame:
     return found.unionByName(loops.join(found, "node", "left_anti").select("node", F.col("node").alias("cycle")))
 
 
-def _depths(units: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """``node`` and ``depth``, the edges of the longest path that ends there, and the nodes on or behind cycles, where there is none.
+def _depths(units: DataFrame, ways: Shortcuts) -> DataFrame | None:
+    """``node`` and ``depth``, the edges of the longest path that ends there; None if there are cycles.
 
     A node is d deep or deeper if a path of exactly d edges ends in it. The
     longest shortcuts give the depth in steps of their length; each shorter one
     then settles a bit: half a step more fits if it leads here from a node that
     is as deep in whole steps.
     """
-    ways = shortcuts(edges)
     levels, stride = ways.levels, 1 << (len(ways.levels) - 1)
     at = [levels[-1].select(F.col("dst").alias("node")).distinct()] if ways.acyclic else _ends(levels[-1])
-    endless = None if ways.acyclic or at[-1].isEmpty() else at[-1]
-    if endless is not None:
-        return units, endless
+    if not ways.acyclic and not at[-1].isEmpty():
+        return None
     rows = _all([x.select("node", F.lit(stride * i).alias("d")) for i, x in enumerate(at, 1)]).groupBy("node").agg(F.max("d").alias("d"))
     depth = cut(units.join(rows, "node", "left").select("node", F.coalesce("d", F.lit(0)).alias("depth")))
     for level in reversed(levels[:-1]):
         stride //= 2
         before = level.join(depth.select(F.col("node").alias("src"), F.col("depth").alias("d")), "src").groupBy(F.col("dst").alias("node")).agg(F.max("d").alias("d"))
         depth = cut(depth.join(before, "node", "left").select("node", (F.col("depth") + F.when(F.col("d") >= F.col("depth"), F.lit(stride)).otherwise(F.lit(0))).alias("depth")))
-    return depth, None
+    return depth
 
 
 def waves(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """``node``, ``wave`` and ``in_cycle``: one more than the longest path from a root; roots are 1.
 
-    Each cycle counts as one node, and its members share a wave. Only the part
-    of the graph that lies on or behind cycles is searched for them.
+    Each cycle counts as one node, and its members share a wave; cycles are only
+    looked for where there are any.
     """
     every = nodes_of(edges) if nodes is None else nodes.select("node").unionByName(nodes_of(edges)).distinct()
     every = cut(every)
     e = cut(edges.select("src", "dst").distinct())
     loops = e.filter("src = dst").select(F.col("src").alias("node"))
     plain = e.filter("src <> dst")
-    depth, endless = _depths(every, plain)
-    if endless is None:
+    ways = shortcuts(plain)
+    depth = _depths(every, ways)
+    if depth is not None:
         self_edge = loops.withColumn("_loop", F.lit(True))
         return depth.join(self_edge, "node", "left").select("node", (F.col("depth") + 1).alias("wave"), F.coalesce("_loop", F.lit(False)).alias("in_cycle"))
-    behind = plain.join(endless.withColumnRenamed("node", "src"), "src", "left_semi")
-    cycles = cut(cycle_nodes(behind.unionByName(e.filter("src = dst"))))
+    cycles = cut(_cycles(ways, loops))
     of = cut(every.join(cycles, "node", "left").select("node", F.coalesce("cycle", "node").alias("unit"), F.col("cycle").isNotNull().alias("in_cycle")))
     a, b = of.select(F.col("node").alias("src"), F.col("unit").alias("u")), of.select(F.col("node").alias("dst"), F.col("unit").alias("v"))
     flat = cut(plain.join(a, "src").join(b, "dst").select(F.col("u").alias("src"), F.col("v").alias("dst")).filter("src <> dst").distinct())
-    depth, _ = _depths(of.select(F.col("unit").alias("node")).distinct(), flat)
+    depth = _depths(of.select(F.col("unit").alias("node")).distinct(), shortcuts(flat))
     return of.join(depth.withColumnRenamed("node", "unit"), "unit").select("node", (F.col("depth") + 1).alias("wave"), "in_cycle")
 
 
