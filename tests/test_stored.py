@@ -1,5 +1,7 @@
 import glob
 import os
+import subprocess
+import sys
 import uuid
 
 import pytest
@@ -203,3 +205,41 @@ def test_repeated_targets_keep_their_types(spark, tmp_path):
     df = spark.createDataFrame([(1, [1, 2], {"a": 1})], "k int, l array<int>, m map<string, int>")
     out = targets.split_written(df, {"a": (None, {"k": "k", "l": "l"}), "b": ("k = 1", {"k": "cast(k as double)", "m": "m"})}, str(tmp_path / "t"))
     assert out["a"].dtypes == [("k", "int"), ("l", "array<int>")] and rows(out["a"]) == [(1, [1, 2])] and out["b"].first().m == {"a": 1}
+
+
+def test_loaded_rows_are_whole_in_a_sealed_database(spark, tmp_path):
+    rows_in = [(1, 'a "b", c', None, b"\x01\xff"), (2, "", 1.5e10, None), (3, None, -0.25, b""), (4, "line\none ", 0.0, b"x"), (5, " \\", 2.0, b"y")]
+    df = spark.createDataFrame(rows_in, "k int, s string, x double, raw binary").withColumn("at", F.expr("timestamp'2024-01-02 03:04:05.000006' + make_interval(0, 0, 0, k)")).withColumn("day", F.to_date("at")).withColumn("n", (F.col("k") / 8).cast("decimal(12,3)"))
+    folder = str(tmp_path / "a b")
+    os.makedirs(folder)
+    for again in ("things", "others"):
+        jdbc.loaded(df.repartition(3), f"jdbc:derby:{folder}/live;create=true", again, f"{folder}/{again}", {"s": "VARCHAR(20)"})
+    jdbc.loaded(df.filter("k > 9"), f"jdbc:derby:{folder}/live;create=true", "nothing", f"{folder}/nothing", {"s": "VARCHAR(20)"})
+    url = jdbc.sealed(spark, folder, "live")
+    try:
+        assert rows(jdbc.scan(spark, url, "things", '"k"', 3)) == rows(df) == rows(jdbc.scan(spark, url, "others"))
+        assert jdbc.scan(spark, url, "nothing", '"k"').count() == 0
+    finally:
+        _closed(spark, url)
+
+
+CLUSTER = """
+import sys
+from pyspark.sql import SparkSession
+from weftline import queries
+import weftline.queries_stored
+spark = SparkSession.builder.master("local-cluster[2,1,1024]").config("spark.ui.enabled", "false").config("spark.driver.host", "127.0.0.1").config("spark.executor.memory", "600m").config("spark.sql.session.timeZone", "UTC").config("spark.checkpoint.dir", "file://" + sys.argv[2]).getOrCreate()
+for name in ("jdbc_dictionary",):
+    print(name, sorted(map(tuple, queries.QUERIES[name](spark, sys.argv[1]).collect())))
+spark.stop()
+"""
+
+
+def test_databases_are_reached_from_every_executor(spark, sf_dir, tmp_path):
+    from weftline import queries
+
+    ours = os.path.dirname(os.path.dirname(os.path.abspath(stored.__file__)))
+    path = os.pathsep.join(p for p in (os.path.dirname(ours), os.environ.get("PYTHONPATH")) if p)
+    out = subprocess.run([sys.executable, "-c", CLUSTER, sf_dir, str(tmp_path)], env=os.environ | {"PYTHONPATH": path}, cwd=tmp_path, capture_output=True, text=True, timeout=300)
+    got = [line for line in out.stdout.splitlines() if line.startswith("jdbc_")]
+    assert got == [f"{name} {sorted(map(tuple, queries.QUERIES[name](spark, sf_dir).collect()))}" for name in ("jdbc_dictionary",)], out.stderr[-2000:]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import re
 import uuid
 
 from pyspark.sql import functions as F
@@ -61,11 +63,32 @@ def _database(spark) -> str:
 
 
 def _closed(spark, url: str) -> None:
-    try:
-        spark._jvm.java.sql.DriverManager.getConnection(url.replace("create=true", "drop=true"))
-    except Exception as gone:  # the database says that it is gone by an error
-        if "08006" not in str(gone) and "dropped" not in str(gone):
-            raise
+    if ":memory:" in url:
+        jdbc.shut(spark, url.replace(";create=true", ""), "drop")
+    else:
+        jdbc.shut(spark, url)
+
+
+def _filled(spark, tables: dict[str, tuple]) -> str:
+    """The address of a new database of the tables (rows, and types of text columns), which every task can open.
+
+    Executors can't reach a database in the driver's JVM, and Spark brings no
+    database server; there it is filled in the shared folder and read from it.
+    """
+    if re.match(r"local(\[|$)", spark.sparkContext.master):
+        url = _database(spark)
+        for name, (rows, types) in tables.items():
+            jdbc.put(rows, url, name, types)
+        return url
+    at = spark._jvm.java.net.URI(_scratch(spark, "database").replace(" ", "%20"))
+    if at.getScheme() not in (None, "file"):
+        raise RuntimeError(f"a database's files can't lie in {at.getScheme()}: on a cluster spark.checkpoint.dir must be a mounted folder here")
+    folder = at.getPath()
+    os.makedirs(folder)
+    spark._jvm.java.lang.System.setProperty("derby.stream.error.file", "/dev/null")
+    for name, (rows, types) in tables.items():
+        jdbc.loaded(rows, f"jdbc:derby:{folder}/live;create=true", name, f"{folder}/{name}", types)
+    return jdbc.sealed(spark, folder, "live")
 
 
 _TEXT = {"o_orderstatus": "VARCHAR(1)", "o_orderpriority": "VARCHAR(20)"}
@@ -89,9 +112,9 @@ def q_jdbc_replication(spark, d):
 FROM (VALUES ('orders', 'o_orderkey', 1), ('orders', 'o_orderstatus', 2), ('orders', 'o_totalprice', 3)) c(s, c, p)""")
 def q_jdbc_dictionary(spark, d):
     """The dictionary of a database beside a scan whose filters it answers."""
-    url, path = _database(spark), _scratch(spark, "found")
+    path = _scratch(spark, "found")
+    url = _filled(spark, {"orders": (table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice"), {"o_orderstatus": "VARCHAR(1)"})})
     try:
-        jdbc.put(table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice"), url, "orders", {"o_orderstatus": "VARCHAR(1)"})
         _, columns = jdbc.dictionary(spark, url, "derby")
         rows = jdbc.scan(spark, url, "orders", '"o_orderkey"').filter("o_totalprice > 150000 AND o_orderstatus = 'F'").agg(F.count(F.lit(1)).alias("rows_found"))
         found = columns.filter("schema_name = 'APP'").select(F.lower("table_name").alias("table_name"), "column_name", "position").crossJoin(F.broadcast(rows))  # one row

@@ -9,9 +9,11 @@ tables.
 
 from __future__ import annotations
 
+import os
+import zipfile
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.operators.relational import quoted
@@ -93,3 +95,59 @@ def put(df: DataFrame, url: str, table: str, types: Mapping[str, str] | None = N
     if types:
         writer = writer.option("createTableColumnTypes", ", ".join(f"{quoted(c)} {t}" for c, t in types.items()))
     writer.save()
+
+
+def loaded(df: DataFrame, url: str, table: str, folder: str, types: Mapping[str, str] | None = None) -> None:
+    """Rows put into a table of a Derby database that only the driver's JVM can open, by the database's own import of files.
+
+    All tasks write files of rows below ``folder``, which the driver and the
+    executors share; the database reads one after another, so no more than its
+    page cache is in memory.
+    """
+    spark = df.sparkSession
+    put(df.limit(0), url, table, types)  # the table, by Spark's types; no task has rows to connect for
+    zone, clock = spark.conf.get("spark.sql.session.timeZone"), spark._jvm.java.util.TimeZone.getDefault().getID()  # JDBC reads times by the latter
+
+    def said(name: str, kind: str) -> Column:
+        c = F.col(quoted(name))
+        if kind == "timestamp":
+            c = F.convert_timezone(F.lit(zone), F.lit(clock), c.cast("timestamp_ntz"))
+        text = F.hex(c) if kind == "binary" else c.cast("string")
+        return F.coalesce(F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"')), F.lit(""))
+
+    df.select(F.concat_ws(",", *[said(c, t) for c, t in df.dtypes])).write.text(folder)
+    connection = spark._jvm.java.sql.DriverManager.getConnection(url)
+    try:
+        call = connection.prepareCall("CALL SYSCS_UTIL.SYSCS_IMPORT_TABLE(NULL, ?, ?, ',', '\"', 'UTF-8', 0)")
+        call.setString(1, table[1:-1] if table.startswith('"') else table.upper())
+        for name in sorted(os.listdir(folder)):
+            if name.startswith("part-"):
+                call.setString(2, f"{folder.rstrip('/')}/{name}")
+                call.execute()
+    finally:
+        connection.close()
+
+
+def sealed(spark: SparkSession, folder: str, name: str) -> str:
+    """The address under which the JVMs of the driver and of all executors can read the Derby database ``folder/name`` at once.
+
+    A Derby database belongs to the one JVM that has it open, but for one in an
+    archive, which is read only. The database is closed first; its files are
+    stored as they are, so that a page is read by its offset.
+    """
+    shut(spark, f"jdbc:derby:{folder}/{name}")
+    with zipfile.ZipFile(f"{folder}/{name}.jar", "w", zipfile.ZIP_STORED) as archive:
+        for at, _, files in os.walk(f"{folder}/{name}"):
+            for file in files:
+                if not file.endswith(".lck"):
+                    archive.write(f"{at}/{file}", os.path.relpath(f"{at}/{file}", folder))
+    return f"jdbc:derby:jar:({folder}/{name}.jar){name}"
+
+
+def shut(spark: SparkSession, url: str, how: str = "shutdown") -> None:
+    """Closes a Derby database in the driver's JVM, or drops it from memory."""
+    try:
+        spark._jvm.java.sql.DriverManager.getConnection(f"{url};{how}=true")
+    except Exception as gone:  # the database says that it is gone by an error
+        if "08006" not in str(gone) and "dropped" not in str(gone) and "shutdown" not in str(gone):
+            raise
