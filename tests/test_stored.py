@@ -229,7 +229,7 @@ from pyspark.sql import SparkSession
 from weftline import queries
 import weftline.queries_stored
 spark = SparkSession.builder.master("local-cluster[2,1,1024]").config("spark.ui.enabled", "false").config("spark.driver.host", "127.0.0.1").config("spark.executor.memory", "600m").config("spark.sql.session.timeZone", "UTC").config("spark.checkpoint.dir", "file://" + sys.argv[2]).getOrCreate()
-for name in ("jdbc_dictionary",):
+for name in ("jdbc_dictionary", "jdbc_replication"):
     print(name, sorted(map(tuple, queries.QUERIES[name](spark, sys.argv[1]).collect())))
 spark.stop()
 """
@@ -242,4 +242,4 @@ def test_databases_are_reached_from_every_executor(spark, sf_dir, tmp_path):
     path = os.pathsep.join(p for p in (os.path.dirname(ours), os.environ.get("PYTHONPATH")) if p)
     out = subprocess.run([sys.executable, "-c", CLUSTER, sf_dir, str(tmp_path)], env=os.environ | {"PYTHONPATH": path}, cwd=tmp_path, capture_output=True, text=True, timeout=300)
     got = [line for line in out.stdout.splitlines() if line.startswith("jdbc_")]
-    assert got == [f"{name} {sorted(map(tuple, queries.QUERIES[name](spark, sf_dir).collect()))}" for name in ("jdbc_dictionary",)], out.stderr[-2000:]
+    assert got == [f"{name} {sorted(map(tuple, queries.QUERIES[name](spark, sf_dir).collect()))}" for name in ("jdbc_dictionary", "jdbc_replication")], out.stderr[-2000:]

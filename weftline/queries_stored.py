@@ -97,11 +97,10 @@ _TEXT = {"o_orderstatus": "VARCHAR(1)", "o_orderpriority": "VARCHAR(20)"}
 @query("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders")
 def q_jdbc_replication(spark, d):
     """Orders put into a database, replicated with the other tables of its schema by ranges of their key."""
-    url, path = _database(spark), _scratch(spark, "raw")
+    path = _scratch(spark, "raw")
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
+    url = _filled(spark, {"orders": (o, _TEXT), "region": (table(spark, d, "region").select("r_regionkey", "r_name"), {"r_name": "VARCHAR(40)"})})
     try:
-        o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
-        jdbc.put(o, url, "orders", _TEXT)
-        jdbc.put(table(spark, d, "region").select("r_regionkey", "r_name"), url, "region", {"r_name": "VARCHAR(40)"})
         jdbc.replicate(spark, url, "derby", "APP", path, {"orders": '"o_orderkey"'})
     finally:
         _closed(spark, url)
