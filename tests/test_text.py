@@ -134,6 +134,12 @@ def test_texts_of_one_file_are_dealt_out_and_equal_ones_parsed_once(spark, tmp_p
     assert tasks >= spark.sparkContext.defaultParallelism and calls.value <= 4 * tasks < len(want)
 
 
+def test_views_of_one_text_keep_their_names(spark):
+    df = spark.createDataFrame([("A\nB", "SELECT x AS y FROM t"), ("C", "SELECT x AS y FROM t"), ("D", None), ("E", "no query"), (None, "SELECT z FROM u")], "name string, text string")
+    got = {(r.target_fqn, r.origin_object, r.source_fqn, r.source_column, r.target_column, r.problem is not None) for r in lineage.view_lineage(df).collect()}
+    assert got == {("A\nB", "A\nB", "SOURCE.T", "x", "y", False), ("C", "C", "SOURCE.T", "x", "y", False), (None, None, None, None, None, True), (None, None, "SOURCE.U", "z", "z", False)}
+
+
 def test_statements_are_analysed_but_not_run(spark, tmp_path):
     texts = [
         ("good", "SELECT a, count(*) AS n FROM t GROUP BY a"), ("syntax", "SELECT a FROM\n t WHERE > 1"), ("column", "SELECT a,\n b FROM t"), ("table", "SELECT a FROM u"), ("function", "SELECT nosuch(a) FROM t"),
