@@ -88,6 +88,30 @@ def test_older_changes_in_later_batches_are_passed_over(spark, tmp_path):
     assert rows(stored.current(spark, str(tmp_path / "t"))) == [(3, "last")]
 
 
+def test_only_changes_of_one_time_are_sorted(monkeypatch):
+    import pandas as pd
+
+    class State:
+        exists, hasTimedOut, get = False, False, None
+
+        def update(self, mark):
+            self.exists, self.get = True, mark
+
+        def getCurrentWatermarkMs(self):  # noqa: N802
+            return 0
+
+        def setTimeoutTimestamp(self, at):  # noqa: N802
+            self.at = at
+
+    run, state = cdc._newest(["_at", "n"], ["v"]), State()
+    frame = lambda *rows: pd.DataFrame(rows, columns=["v", "_at", "n"])
+    assert [f.v.tolist() for f in run((1,), iter([frame(("a", 5000, 0.5), ("b", 7000, 0.5), ("c", 7000, 2.5), ("d", 7000, 1.5))]), state)] == [["c"]]
+    assert state.get == (7000, 2.5) and list(map(type, state.get)) == [int, float] and state.at == 8
+    monkeypatch.setattr(pd.DataFrame, "sort_values", None)
+    assert [f.v.tolist() for f in run((1,), iter([frame(("e", 6000, 9.5)), frame(("f", 9000, 0.5), ("g", 8000, 3.5))]), state)] == [["f"]]
+    assert list(run((1,), iter([frame(("h", 8999, 9.5))]), state)) == [] and state.get == (9000, 0.5)
+
+
 def test_scans_are_split_and_filters_reach_the_database(spark):
     url = _database(spark)
     try:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -54,8 +55,11 @@ def _newest(order: list[str], names: list[str]):
             return
         best, mark = None, None
         for frame in frames:
-            top = frame.sort_values(order, kind="stable").tail(1)
-            here = tuple(x.item() if hasattr(x, "item") else x for x in top[order].iloc[0])
+            stamps = frame[order[0]].to_numpy()
+            top = frame.iloc[np.flatnonzero(stamps == stamps.max())]
+            if len(top) > 1:  # sorting takes most of a key's time, so only ties are sorted
+                top = top.sort_values(order, kind="stable").tail(1)
+            here = tuple(x.item() if hasattr(x, "item") else x for x in (top[c].iloc[0] for c in order))
             if mark is None or here > mark:
                 best, mark = top, here
         if mark is not None and (not state.exists or mark > tuple(state.get)):
